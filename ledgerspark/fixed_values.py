@@ -21,6 +21,8 @@ SCOPE = (
     "source_discriminator_value",
 )
 IDENTITY = (*SCOPE, "source_row_key")
+# The same columns in the order to shuffle and sort by: the selective one first.
+IDENTITY_KEY = ("source_row_key", *SCOPE)
 
 # --- fixed values: ageing, (last day of bucket, label) in order of age ---------------------------
 NOT_DUE = "not-due"

@@ -9,25 +9,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _canonical_value(name: str, kind: T.DataType) -> Column:
+TEXTUAL = (T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _marked_value(name: str, kind: T.DataType) -> list[Column]:
+    """Name with its mark (``=`` text, ``#`` whole number or flag, ``~`` NULL), then the value."""
     value = F.col(f"`{name}`")
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
+    mark, text = "=", value.cast("string")
+    if isinstance(kind, T.StringType):
+        # No value can imitate a separator.
+        text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+        mark = "#"
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
         raise TypeError(f"column {name!r} is a float; cast it to a decimal before hashing")
-    if isinstance(kind, (T.IntegralType, T.BooleanType)):
-        text = value.cast("string")
-    elif isinstance(kind, (T.StringType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        # Quoted, so that the text "7" and the number 7 differ and no value can imitate a separator.
-        escaped = F.replace(F.replace(value.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-        text = F.concat(F.lit('"'), escaped, F.lit('"'))
-    else:
+    elif not isinstance(kind, TEXTUAL):
         raise TypeError(f"column {name!r} of type {kind.simpleString()} cannot be hashed")
-    return F.coalesce(text, F.lit("~"))
+    head = F.when(value.isNull(), F.lit(f"|{name}~")).otherwise(F.lit(f"|{name}{mark}"))
+    return [head, F.coalesce(text, F.lit(""))]
 
 
 def canonical_text(df: DataFrame, columns: Iterable[str]) -> Column:
-    """``name=value`` pairs in name order, joined by ``|``; NULL is ``~``."""
+    """``|name=value`` for each column in name order; NULL is ``|name~``."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    return F.concat_ws("|", *[F.concat(F.lit(f"{c}="), _canonical_value(c, kinds[c])) for c in sorted(columns)])
+    return F.concat(*[piece for c in sorted(columns) for piece in _marked_value(c, kinds[c])])
 
 
 def row_hash(df: DataFrame, columns: Iterable[str]) -> Column:

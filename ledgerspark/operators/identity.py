@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ledgerspark.fixed_values import IDENTITY, SCOPE
+from ledgerspark.fixed_values import IDENTITY, IDENTITY_KEY, SCOPE
 from ledgerspark.functions.text import BLANKS
 from ledgerspark.operators.registry import confirmed_only, require_physical
 
@@ -88,7 +88,7 @@ def identity_violations(rows: DataFrame) -> DataFrame:
 
 def batch_duplicates(rows: DataFrame) -> DataFrame:
     """Identities that occur more than once in a batch, with their number."""
-    return rows.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+    return rows.groupBy(*IDENTITY_KEY).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 
 def stray_rows(rows: DataFrame, scope: dict[str, str]) -> DataFrame:

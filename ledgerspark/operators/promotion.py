@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerspark.fixed_values import IDENTITY, MONEY, OUTCOMES, TOTAL
+from ledgerspark.fixed_values import IDENTITY, IDENTITY_KEY, MONEY, OUTCOMES, SCOPE, TOTAL
 from ledgerspark.functions.hashing import row_hash
 from ledgerspark.operators.identity import batch_duplicates, identity_violations, in_scope, stray_rows
 
-CONTROL = ("row_hash", "extract_batch_id", "extracted_at", "source_deleted_at")
-
 
 class BatchRejected(ValueError):
     """The batch breaks a rule; no fact was changed."""
@@ -28,7 +26,7 @@ def as_batch(
     return rows.select(
         *IDENTITY,
         *payload,
-        *[c for c in keep if c not in payload],
+        *[c for c in keep if c not in payload and c not in IDENTITY],
         row_hash(rows, payload).alias("row_hash"),
         F.lit(batch_id).alias("extract_batch_id"),
         F.lit(extracted_at).cast("timestamp").alias("extracted_at"),
@@ -41,7 +39,7 @@ def new_staging_rows(existing: DataFrame, batch: DataFrame, *, order_by: Iterabl
     Inside one call the first row of a repeated identity wins, by ``order_by``. The rank filter is
     applied before the shuffle too, so a key repeated very often does not gather in one task.
     """
-    key = [*IDENTITY, "extract_batch_id"]
+    key = [*IDENTITY_KEY, "extract_batch_id"]
     first = W.partitionBy(*key).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
     once = batch.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
     return once.join(existing.select(*key), key, "left_anti")
@@ -58,16 +56,16 @@ def _reject_if_any(violations: DataFrame, message: str) -> None:
         raise BatchRejected(f"{message}: {example[0].asDict()}")
 
 
-def check_identities(rows: DataFrame) -> None:
-    """Reject rows that cannot be traced to their source."""
+def check_identities(rows: DataFrame, scope: dict[str, str] | None = None) -> None:
+    """Reject rows that cannot be traced to their source or lie outside the scope of a full refresh."""
     _reject_if_any(identity_violations(rows), "unusable source identity")
+    if scope is not None:
+        _reject_if_any(stray_rows(rows, scope), "full-refresh batch contains rows outside its scope")
 
 
 def check_batch(batch: DataFrame, scope: dict[str, str] | None = None) -> None:
-    """Reject a batch as a whole, before anything is written."""
-    check_identities(batch)
-    if scope is not None:
-        _reject_if_any(stray_rows(batch, scope), "full-refresh batch contains rows outside its scope")
+    """Reject a batch as a whole, before anything is written. Reads identity columns only."""
+    check_identities(batch, scope)
     _reject_if_any(batch_duplicates(batch), "duplicate source identity within one batch")
 
 
@@ -80,18 +78,37 @@ def promote(
     that scope take part in the join; the others pass through without a shuffle.
     """
     if full_refresh_scope is None:
-        return _merge(facts, batch, extracted_at, F.lit(False))
-    inside = in_scope(full_refresh_scope)
-    merged = _merge(facts.filter(inside), batch, extracted_at, F.lit(True))
-    others = facts.filter(~inside).withColumn("outcome", F.lit(None).cast("string"))
+        return _merge(facts, batch, extracted_at, IDENTITY_KEY, complete=False).select(*facts.columns, "outcome")
+    merged = promote_scope(facts, batch, full_refresh_scope, extracted_at=extracted_at)
+    others = facts.filter(~in_scope(full_refresh_scope)).withColumn("outcome", F.lit(None).cast("string"))
     return merged.unionByName(others)
 
 
-def _merge(facts: DataFrame, batch: DataFrame, extracted_at: datetime, complete: Column) -> DataFrame:
-    carried = [c for c in facts.columns if c not in IDENTITY]
-    old = facts.select(*IDENTITY, *[F.col(c).alias(f"_old_{c}") for c in carried], F.lit(True).alias("_in_facts"))
+def promote_scope(facts: DataFrame, batch: DataFrame, scope: dict[str, str], *, extracted_at: datetime) -> DataFrame:
+    """The facts of one scope after a complete extract of it.
+
+    Inside a scope the row key alone identifies a row, so the scope columns are neither shuffled nor
+    compared. A batch row outside the scope fails the job.
+    """
+    inside = in_scope(scope)
+    stray = F.raise_error(F.concat(F.lit("row outside the scope of its batch: "), "source_row_key"))
+    guarded = batch.withColumn(
+        "source_row_key", F.when(F.coalesce(inside, F.lit(False)), F.col("source_row_key")).otherwise(stray)
+    )
+    merged = _merge(
+        facts.filter(inside).drop(*SCOPE), guarded.drop(*SCOPE), extracted_at, ("source_row_key",), complete=True
+    )
+    return merged.withColumns({c: F.lit(v) for c, v in scope.items()}).select(*facts.columns, "outcome")
+
+
+def _merge(
+    facts: DataFrame, batch: DataFrame, extracted_at: datetime, key: tuple[str, ...], *, complete: bool
+) -> DataFrame:
+    """Full outer join on ``key`` and the five outcomes; ``complete`` batches tombstone what they lack."""
+    carried = [c for c in facts.columns if c not in key]
     replaced = [c for c in carried if c in batch.columns]
-    new = batch.select(*IDENTITY, *[F.col(c).alias(f"_new_{c}") for c in replaced], F.lit(True).alias("_in_batch"))
+    old = facts.select(*key, *[F.col(c).alias(f"_old_{c}") for c in carried], F.lit(True).alias("_in_facts"))
+    new = batch.select(*key, *[F.col(c).alias(f"_new_{c}") for c in replaced], F.lit(True).alias("_in_batch"))
     in_facts, in_batch = F.col("_in_facts").isNotNull(), F.col("_in_batch").isNotNull()
     deleted = F.col("_old_source_deleted_at").isNotNull()
     outcome = (
@@ -99,21 +116,20 @@ def _merge(facts: DataFrame, batch: DataFrame, extracted_at: datetime, complete:
         .when(in_batch & deleted, "revived")
         .when(in_batch & (F.col("_old_row_hash") == F.col("_new_row_hash")), "unchanged")
         .when(in_batch, "updated")
-        .when(complete & ~deleted, "tombstoned")
+        .when(F.lit(complete) & ~deleted, "tombstoned")
     )
     takes_new = F.coalesce(F.col("outcome").isin("inserted", "updated", "revived"), F.lit(False))
-    merged = {c: F.when(takes_new, F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")) for c in replaced}
-    merged["source_deleted_at"] = (
+    final = {c: F.col(f"_old_{c}") for c in carried}
+    final |= {c: F.when(takes_new, F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")) for c in replaced}
+    final["source_deleted_at"] = (
         F.when(takes_new, F.lit(None).cast("timestamp"))
         .when(F.col("outcome") == "tombstoned", F.lit(extracted_at).cast("timestamp"))
         .otherwise(F.col("_old_source_deleted_at"))
     )
-    kept = {c: F.col(f"_old_{c}") for c in carried if c not in merged}
-    final = {**kept, **merged}
     return (
-        old.join(new, list(IDENTITY), "full_outer")
+        old.join(new, list(key), "full_outer")
         .withColumn("outcome", outcome)
-        .select(*[F.col(c) if c in IDENTITY else final[c].alias(c) for c in facts.columns], "outcome")
+        .select(*key, *[c.alias(name) for name, c in final.items()], "outcome")
     )
 
 
@@ -130,7 +146,7 @@ def promotion_counts(merged: DataFrame) -> DataFrame:
 
 def missing_from_refresh(facts: DataFrame, batch: DataFrame, scope: dict[str, str]) -> DataFrame:
     """Live facts of the scope that a complete extract no longer contains."""
-    return live_facts(facts.filter(in_scope(scope))).join(batch.select(*IDENTITY), list(IDENTITY), "left_anti")
+    return live_facts(facts.filter(in_scope(scope))).join(batch.select(*IDENTITY), list(IDENTITY_KEY), "left_anti")
 
 
 def live_facts(facts: DataFrame) -> DataFrame:

@@ -17,10 +17,11 @@ from ledgerspark.operators.promotion import (
     check_identities,
     facts_after,
     promote,
+    promote_scope,
     promotion_counts,
 )
-from ledgerspark.session import durable
-from ledgerspark.sources.mart import read_facts, stage_append, write_fact_scopes
+from ledgerspark.session import written_aside
+from ledgerspark.sources.mart import FactFiles, FactTable, stage_append
 
 
 def fact_schema(rows: DataFrame, payload: Iterable[str]) -> T.StructType:
@@ -41,26 +42,26 @@ def concerned_facts(facts: DataFrame, batch: DataFrame, scope: dict[str, str] |
 
 def promote_into(
     batch: DataFrame,
-    facts_path: str,
-    schema: T.StructType,
+    store: FactFiles | FactTable,
     *,
     extracted_at: datetime,
     full_refresh_scope: dict[str, str] | None = None,
 ) -> dict[str, int]:
-    """Promote a batch into the fact table at ``facts_path`` and return the counts per outcome.
+    """Promote a batch into the stored facts and return the counts per outcome.
 
     Only the scopes concerned are read and rewritten. The merged rows are written aside first, so
-    counts and facts come from one computation and the table is never read while it is replaced. If
+    counts and facts come from one computation and the store is never read while it is replaced. If
     the job dies, running it again reaches the same facts.
     """
     check_batch(batch, full_refresh_scope)
-    stored = read_facts(batch.sparkSession, facts_path, schema)
-    facts = concerned_facts(stored, batch, full_refresh_scope).drop("scope_id")
-    merged = durable(
-        promote(facts, batch, extracted_at=extracted_at, full_refresh_scope=full_refresh_scope), "promotion"
-    )
-    counts = {r.outcome: r.n for r in promotion_counts(merged).collect()}
-    write_fact_scopes(facts_after(merged), facts_path)
+    facts = concerned_facts(store.read(batch.sparkSession), batch, full_refresh_scope).drop("scope_id")
+    if full_refresh_scope is None:
+        merged = promote(facts, batch, extracted_at=extracted_at)
+    else:
+        merged = promote_scope(facts, batch, full_refresh_scope, extracted_at=extracted_at)
+    with written_aside(merged, "promotion") as result:
+        counts = {r.outcome: r.n for r in promotion_counts(result).collect()}
+        store.replace_scopes(facts_after(result))
     return counts
 
 
@@ -75,31 +76,33 @@ def ingest_extract(
     extracted_at: datetime,
     order_by: Iterable[str],
     staging_path: str,
-    facts_path: str,
+    store: FactFiles | FactTable,
     full_refresh: bool,
 ) -> dict[str, int]:
     """Stage and promote one extract of one confirmed source.
 
-    Staging keeps the first of repeated rows; promotion sees the extract as it came and rejects it.
+    The extract is written aside once: a source that goes on changing is read a single time, and the
+    checks, staging and promotion all see the same rows. Staging keeps the first of repeated rows;
+    promotion rejects an extract that has them.
     """
     payload, order_by = list(payload), list(order_by)
     identified = with_identity(rows, entry, row_key, source_system).withColumn(
         "source_financial_year", F.lit(entry.financial_year).cast("string")
     )
-    batch = as_batch(
+    extract = as_batch(
         identified,
         payload=payload,
         batch_id=batch_id,
         extracted_at=extracted_at,
         keep=["source_financial_year", *order_by],
     )
-    check_identities(batch)
-    staged = stage_append(batch, staging_path, payload=payload, order_by=order_by)
-    counts = promote_into(
-        batch,
-        facts_path,
-        fact_schema(rows, payload),
-        extracted_at=extracted_at,
-        full_refresh_scope=scope_of(entry, source_system) if full_refresh else None,
-    )
+    with written_aside(extract, "extract") as batch:
+        check_identities(batch)
+        staged = stage_append(batch, staging_path, payload=payload, order_by=order_by)
+        counts = promote_into(
+            batch,
+            store,
+            extracted_at=extracted_at,
+            full_refresh_scope=scope_of(entry, source_system) if full_refresh else None,
+        )
     return {"staged": staged, **counts}

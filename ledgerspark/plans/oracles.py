@@ -13,15 +13,16 @@ def _plain(sql: str) -> str:
 
 
 def _canonical(**fields: str) -> str:
-    """SQL of the hashed text; ``q`` kinds are quoted, ``n`` kinds bare."""
+    """SQL of the hashed text; kind ``s`` is text to escape, ``t`` other text, ``n`` a whole number."""
     parts = []
     for name in sorted(fields):
         kind, _, expression = fields[name].partition(":")
         text = f"cast({expression} as varchar)"
-        if kind == "q":
-            text = f"""('"' || replace(replace({text}, '\\', '\\\\'), '"', '\\"') || '"')"""
-        parts.append(f"('{name}=' || coalesce({text}, '~'))")
-    return "sha256(" + " || '|' || ".join(parts) + ")"
+        if kind == "s":
+            text = f"replace(replace({text}, '\\', '\\\\'), '|', '\\|')"
+        mark = "#" if kind == "n" else "="
+        parts.append(f"coalesce('|{name}{mark}' || {text}, '|{name}~')")
+    return "sha256(" + " || ".join(parts) + ")"
 
 
 LEDGER = f"ledger as ({_plain(src.LEDGER)})"
@@ -102,9 +103,9 @@ IDENTITY_COLUMNS = (
     "source_discriminator_value, source_row_key"
 )
 LEDGER_HASH = _canonical(
-    site_code="q:site_code", entry_glcode="q:entry_glcode", entry_slcode="q:entry_slcode", entry_no="q:entry_no",
-    entry_date="q:entry_date", entry_type="q:entry_type", narration="q:narration", debit="q:debit",
-    credit="q:credit", release_status="q:release_status",
+    site_code="s:site_code", entry_glcode="s:entry_glcode", entry_slcode="s:entry_slcode", entry_no="s:entry_no",
+    entry_date="t:entry_date", entry_type="s:entry_type", narration="s:narration", debit="t:debit",
+    credit="t:credit", release_status="s:release_status",
 )
 
 
@@ -388,9 +389,9 @@ select count(*) as debits, count(*) as credits, cast(sum(debit) as decimal(24,2)
        cast(sum(credit) as decimal(24,2)) as credit from flawed""",
     "row_hashes": "select o_orderkey, "
     + _canonical(
-        o_orderkey="n:o_orderkey", o_custkey="n:o_custkey", o_orderstatus="q:o_orderstatus",
-        o_totalprice="q:cast(o_totalprice as decimal(20,2))", o_orderdate="q:cast(o_orderdate as date)",
-        o_orderpriority="q:case when o_orderkey % 9 <> 0 then o_orderpriority end",
+        o_orderkey="n:o_orderkey", o_custkey="n:o_custkey", o_orderstatus="s:o_orderstatus",
+        o_totalprice="t:cast(o_totalprice as decimal(20,2))", o_orderdate="t:cast(o_orderdate as date)",
+        o_orderpriority="s:case when o_orderkey % 9 <> 0 then o_orderpriority end",
     )
     + " as row_hash from orders",
     "staging_append": f"""

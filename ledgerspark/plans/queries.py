@@ -142,7 +142,7 @@ def registry_violations(spark, sf):
 
 @register
 def physical_violations(spark, sf):
-    return reg.physical_violations(src.registry(spark, sf))
+    return reg.physical_violations(durable(src.registry(spark, sf), "registry"))
 
 
 @register

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.calendar import month_of
 from ledgerspark.operators.promotion import live_facts
 from ledgerspark.operators.recon import recon_compare, recon_gate, recon_totals
-from ledgerspark.session import durable
+from ledgerspark.session import written_aside
 from ledgerspark.sources.mart import append_recon_run
 
 
 def ledger_scopes() -> dict[str, Column]:
-    """Site, month, account and party of a ledger row."""
+    """Site, month and account of a ledger row."""
     return {
         "site": F.col("site_code"),
         "month": month_of(F.col("entry_date")),
@@ -37,6 +37,6 @@ def run_reconciliation(
     source: DataFrame, facts: DataFrame, path: str, run_at: datetime, kpi=None, explanations=None
 ) -> bool:
     """Reconcile, append the results to the run table and return the gate."""
-    results = durable(reconcile(source, facts, kpi, explanations), "recon")
-    append_recon_run(results, path, run_at)
-    return recon_gate(results).head().gate_passed
+    with written_aside(reconcile(source, facts, kpi, explanations), "recon") as results:
+        append_recon_run(results, path, run_at)
+        return recon_gate(results).head().gate_passed

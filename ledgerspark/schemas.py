@@ -39,16 +39,6 @@ REGISTRY = _struct(
     ("physical_hint", _text, True),
 )
 
-REGISTRY_CSV = _struct(
-    *[
-        (name, _text, True)
-        for name in (
-            "source_type", "logical_cube_name", "copy_id", "financial_year", "date_from", "date_to",
-            "is_current", "is_auto_refresh", "status", "authoritative", "physical_hint",
-        )
-    ]
-)
-
 ADDITIONS_JSON = _struct(
     ("source_type", _text, True),
     ("logical_cube_name", _text, True),

@@ -17,12 +17,11 @@ def _conform(df: DataFrame) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """CSV seed. Empty optional cells are NULL; a flag is set only by the exact text ``true``."""
-    raw = (
-        spark.read.schema(schemas.REGISTRY_CSV)
-        .options(header=True, nullValue="", emptyValue="", mode="FAILFAST")
-        .csv(path)
-    )
+    """CSV seed, columns found by name. Empty optional cells are NULL; a flag is set only by the exact
+    text ``true``."""
+    raw = spark.read.options(header=True, mode="FAILFAST").csv(path)
+    if "physical_hint" not in raw.columns:
+        raw = raw.withColumn("physical_hint", F.lit(None).cast("string"))
 
     def flag(name: str):
         return F.coalesce(F.col(name) == "true", F.lit(False))

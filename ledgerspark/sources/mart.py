@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,27 +61,80 @@ def _with_scope_id(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("scope_id", T.StringType())])
 
 
-def read_facts(spark: SparkSession, path: str, schema: T.StructType = schemas.FACT) -> DataFrame:
-    """The fact table with its partition column ``scope_id``; empty if it does not exist yet."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], _with_scope_id(schema))
-    return spark.read.schema(_with_scope_id(schema)).parquet(path)
+def _read_facts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    full = _with_scope_id(schema)
+    return spark.read.schema(full).parquet(path) if exists(spark, path) else spark.createDataFrame([], full)
+
+
+@dataclass(frozen=True)
+class FactFiles:
+    """Facts as Parquet files under ``path``, one folder per scope."""
+
+    path: str
+    schema: T.StructType = schemas.FACT
 
+    def read(self, spark: SparkSession) -> DataFrame:
+        """All facts with their ``scope_id``; none if nothing was written yet."""
+        return _read_facts(spark, self.path, self.schema)
 
-def write_fact_scopes(facts: DataFrame, path: str) -> None:
-    """Replace the scopes that occur in ``facts`` and leave all other scopes alone.
+    def replace_scopes(self, facts: DataFrame) -> None:
+        """Replace the scopes that occur in ``facts`` and leave all others alone.
 
-    ``facts`` must not read from ``path`` (see ``durable``). The rebalance keeps files near the
-    advisory size: it splits a scope that holds much of the data and joins small ones.
+        ``facts`` must not read from this store. The rebalance keeps files near the advisory size: it
+        splits a scope that holds much of the data and joins small ones.
+        """
+        (
+            facts.withColumn("scope_id", scope_id())
+            .hint("rebalance", "scope_id")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("scope_id")
+            .parquet(self.path)
+        )
+
+
+@dataclass(frozen=True)
+class FactTable:
+    """Facts as a catalog table, one partition per scope, bucketed and sorted by row key.
+
+    Promotion within a scope joins on the row key, so the stored facts, by far the larger side, are
+    read in place: only the batch is shuffled. Row keys are unique, so buckets stay even however much
+    of the data one scope holds. Choose the number of buckets for the largest scope.
     """
-    (
-        facts.withColumn("scope_id", scope_id())
-        .hint("rebalance", "scope_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("scope_id")
-        .parquet(path)
-    )
+
+    name: str
+    path: str
+    buckets: int
+    schema: T.StructType = schemas.FACT
+
+    def create(self, spark: SparkSession) -> None:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _with_scope_id(self.schema).fields)
+        spark.sql(
+            f"create table if not exists {self.name} ({columns}) using parquet partitioned by (scope_id) "
+            f"clustered by (source_row_key) sorted by (source_row_key) into {self.buckets} buckets "
+            f"location '{self.path}'"
+        )
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        self.create(spark)
+        return spark.table(self.name)
+
+    def replace_scopes(self, facts: DataFrame) -> None:
+        """Replace the scopes that occur in ``facts``; one task writes one bucket."""
+        spark = facts.sparkSession
+        self.create(spark)
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")
+        try:
+            (
+                facts.withColumn("scope_id", scope_id())
+                .select(*_with_scope_id(self.schema).names)
+                .repartition(self.buckets, "source_row_key")
+                .write.insertInto(self.name, overwrite=True)
+            )
+        finally:
+            spark.conf.set(mode, before)
 
 
 def fact_versions(spark: SparkSession, base: str) -> list[int]:
@@ -115,7 +169,7 @@ def read_fact_version(spark: SparkSession, base: str, number: int | None = None,
         raise LookupError(f"no complete fact version {number}")
     if not complete:
         return spark.createDataFrame([], _with_scope_id(schema))
-    return read_facts(spark, f"{base}/v={complete[-1] if number is None else number}", schema)
+    return _read_facts(spark, f"{base}/v={complete[-1] if number is None else number}", schema)
 
 
 def append_recon_run(results: DataFrame, path: str, run_at: datetime) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerspark.plans.ingest import ingest_extract
+from ledgerspark.sources.mart import FactFiles, FactTable
 
 
 def ingest_stream(
@@ -22,7 +23,7 @@ def ingest_stream(
     extracted_at: datetime,
     order_by: Iterable[str],
     staging_path: str,
-    facts_path: str,
+    store: FactFiles | FactTable,
     checkpoint: str,
 ) -> StreamingQuery:
     """Start the feed for the files that are there now. A replayed micro-batch has the same id, stages
@@ -42,7 +43,7 @@ def ingest_stream(
             extracted_at=extracted_at,
             order_by=order_by,
             staging_path=staging_path,
-            facts_path=facts_path,
+            store=store,
             full_refresh=False,
         )
 

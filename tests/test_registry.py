@@ -1,0 +1,222 @@
+import json
+from datetime import date
+from itertools import combinations
+
+import pytest
+from conftest import plan, rows
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from ledgerspark import schemas
+from ledgerspark.operators import coverage, registry as reg
+from ledgerspark.sources.control_files import read_overlay, read_registry, read_registry_additions
+
+D = date.fromisoformat
+SEPARATE = ("OWN", "T_1", "TABLE", "SEPARATE_OBJECT", None, None)
+
+
+def entry(copy, start, end, *, kind="SITE", status="UNVERIFIED", authoritative=True, physical=None, current=False, cube="C"):
+    return (kind, cube, copy, None, D(start), D(end), current, False, None, status, authoritative, physical, None)
+
+
+def make(spark, *entries):
+    return spark.createDataFrame(list(entries), schemas.REGISTRY)
+
+
+@pytest.fixture
+def seed(tmp_path):
+    p = tmp_path / "seed.csv"
+    p.write_text(
+        "source_type,logical_cube_name,copy_id,financial_year,date_from,date_to,is_current,is_auto_refresh,status,authoritative,physical_hint\n"
+        "SITE,CUBE_A,31,FY23-24,2023-04-01,2024-03-31,false,false,UNVERIFIED,true,\n"
+        "SITE,CUBE_A,12,,2024-04-01,2025-03-31,True,false,UNVERIFIED,true,\n"
+        "SITE,CUBE_A,77,FY25-26,2025-04-01,2026-03-31,true,true,UNVERIFIED,true,OWN.T_77\n"
+    )
+    return str(p)
+
+
+def test_seed_types_and_empty_cells(spark, seed):
+    r = read_registry(spark, seed)
+    assert r.schema.names == schemas.REGISTRY.names
+    got = {x.copy_id: x for x in r.collect()}
+    assert got["12"].financial_year is None and got["12"].is_current is False  # only the exact text "true"
+    assert got["77"].is_current and got["77"].is_auto_refresh and got["77"].physical_hint == "OWN.T_77"
+    assert got["31"].physical_hint is None and got["31"].physical is None and got["31"].date_from == D("2023-04-01")
+
+
+def test_seed_columns_are_found_by_name(spark, tmp_path):
+    p = tmp_path / "s.csv"
+    p.write_text("copy_id,source_type,logical_cube_name,date_to,date_from,financial_year,is_auto_refresh,is_current,authoritative,status\n"
+                 "1,SITE,C,2024-03-31,2023-04-01,,false,true,false,BLOCKED\n")
+    x = read_registry(spark, str(p)).head()
+    assert (x.source_type, x.copy_id, x.status, x.authoritative, x.is_current) == ("SITE", "1", "BLOCKED", False, True)
+
+
+def test_additions_are_forced_unverified_and_authoritative(spark, tmp_path):
+    p = tmp_path / "add.json"
+    p.write_text(json.dumps([{"source_type": "OUT", "logical_cube_name": "C", "copy_id": "9", "date_from": "2026-04-01",
+                              "date_to": "2027-03-31", "status": "CONFIRMED", "authoritative": False}]))
+    x = read_registry_additions(spark, str(p)).head()
+    assert x.status == "UNVERIFIED" and x.authoritative and not x.is_current and x.physical is None
+    assert read_registry_additions(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_overlay_round_trip(spark, seed, tmp_path):
+    p = tmp_path / "overlay.json"
+    p.write_text(json.dumps({
+        "SITE|CUBE_A|77": {"status": "CONFIRMED", "evidence": {"verification": "x"}, "last_refresh_at": "2026-01-01T00:00:00Z",
+                           "physical": {"owner": "OWN", "object_name": "T_ALL", "object_type": "TABLE",
+                                        "access_mode": "SHARED_DISCRIMINATOR", "discriminator_column": "CUBE_ID",
+                                        "discriminator_value": "77"}},
+        "SITE|CUBE_A|NONE": {"status": "CONFIRMED"}, "SITE|CUBE_A|31": {"evidence": "row 12"}}))
+    overlay = read_overlay(spark, str(p))
+    assert {r.registry_key: r.evidence for r in overlay.collect()}["SITE|CUBE_A|31"] == "row 12"
+    merged = reg.apply_overlay(read_registry(spark, seed), overlay)
+    got = {x.copy_id: x for x in merged.collect()}
+    assert len(got) == 3 and got["77"].status == "CONFIRMED" and got["77"].last_refresh_at.startswith("2026")
+    assert got["31"].status == "UNVERIFIED"
+    p77 = reg.require_physical(reg.find_entry(merged, "SITE", "77"))
+    assert (p77.object_name, p77.discriminator_column, p77.discriminator_value) == ("T_ALL", "CUBE_ID", "77")
+    status = {r.registry_key: r for r in reg.registry_status(merged).collect()}
+    assert status["SITE|CUBE_A|77"].physical == "OWN.T_ALL#CUBE_ID=77" and status["SITE|CUBE_A|12"].physical == "-"
+    assert status["SITE|CUBE_A|12"].hint == "-" and status["SITE|CUBE_A|12"].financial_year == "-"
+    assert read_overlay(spark, str(tmp_path / "none.json")) is None
+
+
+def test_find_entry(spark):
+    r = make(spark, entry("1", "2023-04-01", "2024-03-31"), entry("2", "2024-04-01", "2025-03-31", current=True))
+    assert reg.find_entry(r, "SITE", "1").copy_id == "1"
+    assert reg.find_entry(r, "SITE", current_by_default=True).copy_id == "2"
+    for args in (("SITE",), ("SITE", "3"), ("NOPE",)):
+        with pytest.raises(LookupError):
+            reg.find_entry(r, *args)
+
+
+def test_only_a_confirmed_entry_with_physical_object_may_be_read(spark):
+    r = make(spark, entry("1", "2023-04-01", "2024-03-31", status="CONFIRMED"),
+             entry("2", "2024-04-01", "2025-03-31", physical=SEPARATE),
+             entry("3", "2025-04-01", "2026-03-31", status="CONFIRMED", physical=SEPARATE))
+    assert [x.copy_id for x in reg.confirmed_only(r).collect()] == ["3"]
+    for copy in ("1", "2"):
+        with pytest.raises(reg.UnresolvedSource):
+            reg.require_physical(reg.find_entry(r, "SITE", copy))
+
+
+def brute_force(entries):
+    live = [e for e in entries if e[10] and e[9] != "RETIRED" and e[4] <= e[5]]
+    hit = set()
+    for a, b in combinations(live, 2):
+        if a[0] == b[0] and a[4] <= b[5] and b[4] <= a[5]:
+            hit |= {a[2], b[2]}
+    return hit
+
+
+def test_overlaps_match_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    for _ in range(6):
+        entries = []
+        for i in range(25):
+            start = date(2020, 1, 1).toordinal() + rnd.randrange(900)
+            end = start + rnd.randrange(-3, 60)
+            entries.append(entry(str(i), str(date.fromordinal(start)), str(date.fromordinal(end)), kind=f"T{i % 3}",
+                                 status=rnd.choice(["CONFIRMED", "RETIRED", "BLOCKED"]), authoritative=rnd.random() < 0.8))
+        by_copy = {e[2]: e for e in entries}
+        found = coverage.overlapping_sources(make(spark, *entries)).collect()
+        assert {r.registry_key.split("|")[2] for r in found} == brute_force(entries)
+        for r in found:  # the witness is a real one
+            a, b = by_copy[r.registry_key.split("|")[2]], by_copy[r.overlaps_with.split("|")[2]]
+            assert a is not b and a[0] == b[0] and a[4] <= b[5] and b[4] <= a[5]
+
+
+def test_overlap_cases(spark):
+    years, year = entry("A", "2023-04-01", "2026-03-31"), entry("B", "2024-04-01", "2025-03-31")
+    assert coverage.overlapping_sources(make(spark, years, year)).count() == 2
+    spared = entry("B", "2024-04-01", "2025-03-31", authoritative=False)
+    assert coverage.overlapping_sources(make(spark, years, spared)).count() == 0
+    touching = make(spark, entry("A", "2023-04-01", "2024-03-31"), entry("B", "2024-03-31", "2025-03-31"))
+    assert coverage.overlapping_sources(touching).count() == 2  # both ends are inclusive
+    same_key_twice = make(spark, year, year)
+    assert coverage.overlapping_sources(same_key_twice).count() == 2
+
+
+def test_resolve_first_and_last_day_gap_and_null(spark):
+    r = make(spark, entry("1", "2024-04-01", "2025-03-31"), entry("2", "2025-04-01", "2026-03-31"),
+             entry("x", "2024-04-01", "2026-03-31", status="RETIRED"), entry("o", "2024-04-01", "2026-03-31", kind="OTHER"))
+    days = [("2024-04-01", "1"), ("2025-03-31", "1"), ("2025-04-01", "2"), ("2026-03-31", "2"), ("2024-03-31", None), (None, None)]
+    df = spark.createDataFrame([("SITE", D(d) if d else None) for d, _ in days], "t string, d date")
+    for bound in (100, 0):  # broadcast, and by month
+        got = coverage.resolve_as_of(df, r, type_col="t", date_col="d", broadcast_rows=bound)
+        assert {(str(x.d) if x.d else None): x.resolved_copy_id for x in got.collect()} == dict(days)
+        gaps = coverage.coverage_gaps(df, r, type_col="t", date_col="d", broadcast_rows=bound)
+        assert {x.d for x in gaps.collect()} == {D("2024-03-31"), None}
+
+
+def test_resolve_checks_double_coverage_first(spark):
+    r = make(spark, entry("1", "2024-04-01", "2025-03-31"), entry("2", "2025-03-31", "2026-03-31"))
+    df = spark.createDataFrame([("SITE", D("2024-05-01"))], "t string, d date")
+    with pytest.raises(coverage.OverlapError):
+        coverage.resolve_as_of(df, r, type_col="t", date_col="d")
+
+
+def test_resolve_plans(spark, small):
+    from ledgerspark.plans import inputs as src
+
+    entries = src.registry(spark, small, src.YEARLY_REGISTRY)
+    orders = src.table(spark, small, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    kind = F.concat(F.lit("ORD_"), F.substring("o_orderpriority", 1, 1))
+    args = dict(type_col=kind, date_col="o_orderdate", validate=False)
+    text = plan(coverage.resolve_as_of(orders, entries, **args))
+    assert "BroadcastHashJoin" in text and "NestedLoop" not in text
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(coverage.resolve_as_of(orders, entries, broadcast_rows=0, **args))
+        assert "SortMergeJoin" in text and "NestedLoop" not in text and "Cartesian" not in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_physical_violations(spark):
+    def p(*v):
+        return entry(v[0], "2024-04-01", "2025-03-31", physical=v[1:])
+
+    r = make(spark,
+             p("ok1", *SEPARATE), p("ok2", "M", "CUBE$B", "TABLE", "SHARED_DISCRIMINATOR", "NAME", "V' OR '1'='1"),
+             p("1", "M", 'T"; DROP', "TABLE", "SEPARATE_OBJECT", None, None), p("2", "9M", "T", "TABLE", "SEPARATE_OBJECT", None, None),
+             p("3", "M", "T", "TABLE", "SHARED_DISCRIMINATOR", None, None), p("4", "M", "T", "TABLE", "SHARED_DISCRIMINATOR", "C", ""),
+             p("5", "M", "T", "TABLE", "SEPARATE_OBJECT", "C", None), p("6", "M", "T", "TABLE", "ODD", None, None),
+             p("7", "M", "T", "TABLE", "SHARED_DISCRIMINATOR", "a b", "v"), p("8", "M", None, "TABLE", "SEPARATE_OBJECT", None, None),
+             entry("none", "2024-04-01", "2025-03-31"))
+    got = {x.registry_key.split("|")[2]: x.violation for x in reg.physical_violations(r).collect()}
+    assert got == {"1": "BAD_OBJECT_NAME", "2": "BAD_OWNER", "3": "DISCRIMINATOR_MISSING", "4": "DISCRIMINATOR_MISSING",
+                   "5": "DISCRIMINATOR_NOT_ALLOWED", "6": "BAD_ACCESS_MODE", "7": "BAD_DISCRIMINATOR_COLUMN", "8": "BAD_OBJECT_NAME"}
+
+
+def test_registry_violations(spark):
+    r = make(spark, entry("1", "2024-04-01", "2025-03-31"), entry("1", "2025-04-01", "2026-03-31"),
+             entry("2", "2024-04-01", "2025-03-31", status="CONFIRMED", kind="X"), entry("3", "2024-04-02", "2024-04-01", kind="Y"))
+    assert rows(reg.registry_violations(r)) == [
+        ("SITE|C|1", "DUPLICATE_KEY", 2), ("X|C|2", "CONFIRMED_WITHOUT_PHYSICAL", 1), ("Y|C|3", "DATES_REVERSED", 1)]
+    with pytest.raises(reg.RegistryError):
+        reg.refuse(reg.registry_violations(r), "bad registry")
+
+
+def test_duplicate_claims_treat_null_as_equal(spark):
+    shared = ("OWN", "T", "TABLE", "SHARED_DISCRIMINATOR", "C", "a")
+    r = make(spark, entry("1", "2024-04-01", "2025-03-31", physical=SEPARATE), entry("2", "2025-04-01", "2026-03-31", physical=SEPARATE),
+             entry("3", "2024-04-01", "2025-03-31", physical=shared), entry("4", "2025-04-01", "2026-03-31", physical=(*shared[:5], "b")),
+             entry("3", "2024-04-01", "2025-03-31", physical=shared))
+    assert rows(reg.duplicate_claims(r)) == [("OWN", "T_1", None, None, 2, "SITE|C|1", "SITE|C|2")]
+
+
+def test_combined_registry_and_refused_addition(spark):
+    seed = make(spark, entry("1", "2024-04-01", "2025-03-31"))
+    good, bad = make(spark, entry("2", "2025-04-01", "2026-03-31")), make(spark, entry("2", "2025-03-01", "2026-03-31"))
+    assert reg.combined_registry(seed, good).count() == 2
+    with pytest.raises(reg.RegistryError):
+        reg.combined_registry(seed, bad)
+    assert reg.add_entries_checked(seed, good).count() == 2
+    with pytest.raises(reg.RegistryError):
+        reg.add_entries_checked(seed, bad)
+    assert [r.registry_key for r in reg.refused_entries(seed, bad).collect()] == ["SITE|C|2"]
