@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.fixed_values import EVIDENCE_ROW_CAP, FINANCE_LIKE, FINANCE_ROW, SENSITIVE_COLUMN
 from ledgerspark.functions.text import any_of, as_text, column, redact_text, string_columns, upper_like
+from ledgerspark.operators.profile import bounded_sample
 
 
 def filter_any_like(df: DataFrame, patterns: Iterable[str] = FINANCE_LIKE, *, estimated_rows: int | None = None) -> DataFrame:
@@ -23,6 +24,18 @@ def filter_any_like(df: DataFrame, patterns: Iterable[str] = FINANCE_LIKE, *, es
     return df.filter(any_of(upper_like(column(c), p) for c in names for p in patterns))
 
 
+def evidence_list(
+    df: DataFrame,
+    patterns: Iterable[str] = FINANCE_LIKE,
+    *,
+    row_index: str,
+    estimated_rows: int | None = None,
+    row_cap: int = EVIDENCE_ROW_CAP,
+) -> DataFrame:
+    """The bounded evidence list: the first matching rows by ``row_index``."""
+    return bounded_sample(filter_any_like(df, patterns, estimated_rows=estimated_rows), row_cap, order_by=(row_index,))
+
+
 def filter_any_regex(df: DataFrame, pattern: str = FINANCE_ROW) -> DataFrame:
     """Rows in which any cell, as text, contains the pattern, blind to case."""
     return df.filter(any_of(as_text(c).rlike(f"(?i){pattern}") for c in df.columns))
@@ -62,7 +75,7 @@ def shareable_view(
         raise ValueError("a row cap needs an order")
     rows = filter_any_regex(df, row_pattern)
     if row_cap is not None:
-        rows = rows.orderBy(*[column(c).asc_nulls_last() for c in order_by]).limit(row_cap)
+        rows = bounded_sample(rows, row_cap, order_by=order_by)
     named = drop_sensitive_columns(rows.select(*[column(c) for c in whitelist]))
     secrets = list(secrets)
     return named.withColumns({c: redact_text(column(c), secrets) for c in string_columns(named)})

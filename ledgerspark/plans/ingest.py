@@ -23,6 +23,8 @@ from ledgerspark.operators.promotion import (
 from ledgerspark.session import written_aside
 from ledgerspark.sources.mart import FactFiles, FactTable, stage_append
 
+MAX_NAMED_SCOPES = 2000  # a scope is one source of the registry, so a batch rarely touches more
+
 
 def fact_schema(rows: DataFrame, payload: Iterable[str]) -> T.StructType:
     """Fact schema of a ledger with these payload columns: typed payload, identity, control."""
@@ -36,7 +38,10 @@ def concerned_facts(facts: DataFrame, batch: DataFrame, scope: dict[str, str] |
     """Facts of the scopes that a batch touches; the partitions of all others are not read."""
     if scope is not None:
         return facts.filter(F.col("scope_id") == scope_id_of(scope))
-    touched = batch.select(scope_id().alias("scope_id")).distinct()  # one row per source in the batch
+    touched = batch.select(scope_id().alias("scope_id")).distinct()
+    ids = [r.scope_id for r in touched.limit(MAX_NAMED_SCOPES + 1).collect()]
+    if len(ids) <= MAX_NAMED_SCOPES:
+        return facts.filter(F.col("scope_id").isin(ids))
     return facts.join(touched, "scope_id", "left_semi")
 
 

@@ -478,6 +478,12 @@ select * from {PART} where regexp_matches(p_name, '(WIDGET|brand#2\d|^7$)', 'i')
     "candidate_rows": f"""
 select * from {PART} where contains(upper(concat_ws('|', p_name, p_brand, p_type)), 'WIDGET')
 order by p_partkey limit 50""",
+    "evidence_list": """
+select * from orders where upper(o_orderpriority) like '%URGENT%' or upper(o_orderpriority) like '5-L_W'
+order by o_orderkey limit 5000""",
+    "shareable_report": """
+select c_custkey, replace(c_mktsegment, 'MACH', '***') as c_mktsegment from customer
+where c_mktsegment ilike '%machinery%' or c_name like 'Customer#%7' order by c_custkey limit 300""",
     "drop_sensitive_columns": "select event_id, ts, event_type, value, props from events",
     "shareable_view": rf"""
 select row_id, regexp_replace(replace(site, 'MART', '***'), 'x^', '') as site,

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.fixed_values import IDENTITY
+from ledgerspark.fixed_values import CANDIDATE_ROW_CAP, IDENTITY, SHARED_ROW_CAP
 from ledgerspark.functions.ageing import age_bucket, age_days
 from ledgerspark.functions.calendar import fiscal_year
 from ledgerspark.functions.hashing import row_hash
@@ -365,27 +367,26 @@ def staging_append(spark, sf):
     return staged.select("extract_batch_id", "source_row_key", "sequence", "amount")
 
 
-def _batches(spark, sf):
-    return {
-        batch_id: promotion.as_batch(rows, payload=src.PAYLOAD, batch_id=batch_id, extracted_at=src.BATCH_TIMES[batch_id])
-        for batch_id, rows in src.ledger_batches(spark, sf).items()
-    }
+def _batch(spark, sf, batch_id: str) -> DataFrame:
+    rows = src.ledger_batch(spark, sf, batch_id)
+    return promotion.as_batch(
+        rows, payload=src.PAYLOAD, batch_id=batch_id, extracted_at=src.BATCH_TIMES[batch_id]
+    )
 
 
 def _promoted(spark, sf, last: str) -> dict[str, DataFrame]:
     """Merged rows after each batch up to ``last``; each is written once and read by the next."""
     merged: dict[str, DataFrame] = {}
     facts = None
-    for batch_id, batch in _batches(spark, sf).items():
+    for batch_id, extracted_at in src.BATCH_TIMES.items():
+        batch = _batch(spark, sf, batch_id)
         facts = promotion.empty_facts(batch) if facts is None else facts
-        result = promotion.promote(
-            facts, batch, extracted_at=src.BATCH_TIMES[batch_id], full_refresh_scope=src.LEDGER_SCOPE
-        )
-        merged[batch_id] = result if batch_id == last else durable(result, "facts")
+        result = promotion.promote(facts, batch, extracted_at=extracted_at, full_refresh_scope=src.LEDGER_SCOPE)
         if batch_id == last:
-            break
+            return {**merged, batch_id: result}
+        merged[batch_id] = durable(result, "facts")
         facts = promotion.facts_after(merged[batch_id])
-    return merged
+    raise LookupError(last)
 
 
 @register
@@ -394,7 +395,7 @@ def promote_counts(spark, sf):
     merged = _promoted(spark, sf, "b3")
     again = promotion.promote(
         promotion.facts_after(merged["b2"]),
-        _batches(spark, sf)["b2"],
+        _batch(spark, sf, "b2"),
         extracted_at=src.BATCH_TIMES["b2"],
         full_refresh_scope=src.LEDGER_SCOPE,
     )
@@ -439,7 +440,7 @@ def promote_shared_object(spark, sf):
 def missing_from_refresh(spark, sf):
     merged = _promoted(spark, sf, "b1")["b1"]
     gone = promotion.missing_from_refresh(
-        promotion.facts_after(merged), _batches(spark, sf)["b2"], src.LEDGER_SCOPE
+        promotion.facts_after(merged), _batch(spark, sf, "b2"), src.LEDGER_SCOPE
     )
     return gone.select("source_row_key")
 
@@ -460,17 +461,18 @@ def recon_totals(spark, sf):
 
 def _reconciled(spark, sf) -> DataFrame:
     """Batch 2 against the facts made from it, with one cent too much on one day of one site, a KPI for
-    the company and the accounts, and an explanation for the site."""
+    the accounts, and an explanation for the site."""
     facts = promotion.facts_after(_promoted(spark, sf, "b2")["b2"])
-    slip = (F.col("site_code") == "N07") & (F.col("entry_date") == F.expr("date '1998-03-15'"))
-    facts = facts.withColumn("debit", (F.col("debit") + F.when(slip, F.lit("0.01").cast("decimal(20,2)")).otherwise(
-        F.lit(0).cast("decimal(20,2)"))).cast("decimal(20,2)"))
-    source = src.ledger_batches(spark, sf)["b2"]
+    slip = (F.col("site_code") == "N07") & (F.col("entry_date") == F.lit(date(1998, 3, 15)))
+    facts = facts.withColumn("debit", money(F.col("debit") + F.when(slip, F.lit(Decimal("0.01"))).otherwise(F.lit(Decimal(0)))))
+    source = durable(
+        src.ledger_batch(spark, sf, "b2").select("site_code", "entry_glcode", "entry_date", "debit", "credit"), "source"
+    )
     kpi = recon.recon_totals(source, {"account": F.col("entry_glcode")}).filter("check_name <> 'rows'")
-    explanations = source.select(
-        F.lit("debit").alias("check_name"), F.concat(F.lit("site:"), "site_code").alias("scope"),
-        F.lit("late posting").alias("explanation"),
-    ).filter("scope = 'site:N07'").distinct()
+    explained = recon.recon_totals(source.filter("site_code = 'N07'"), {"site": F.col("site_code")}).filter(
+        "check_name = 'debit' and scope <> 'company'"
+    )
+    explanations = explained.select("check_name", "scope", F.lit("late posting").alias("explanation"))
     return reconcile(source, facts, kpi, explanations)
 
 
@@ -535,7 +537,13 @@ def candidate_rows(spark, sf):
     """The bounded candidate report: the first 50 rows, by index, that mention a token."""
     part = src.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     found = privacy.filter_any_contains(part, "widget", row_index="p_partkey")
-    return profile.bounded_sample(found, 50, order_by=("p_partkey",))
+    return profile.bounded_sample(found, CANDIDATE_ROW_CAP, order_by=("p_partkey",))
+
+
+@register
+def evidence_list(spark, sf):
+    """The bounded evidence list: the first 5000 matching rows by index."""
+    return privacy.evidence_list(src.table(spark, sf, "orders"), ("%URGENT%", "5-L_W"), row_index="o_orderkey")
 
 
 @register
@@ -551,6 +559,16 @@ def shareable_view(spark, sf):
     )
 
 
+@register
+def shareable_report(spark, sf):
+    """The bounded shareable view: the first 300 relevant rows by key."""
+    customers = src.table(spark, sf, "customer").withColumnRenamed("c_name", "author")
+    return privacy.shareable_view(
+        customers, ["c_custkey", "author", "c_mktsegment"], row_pattern="(machinery|Customer#.*7$)",
+        row_cap=SHARED_ROW_CAP, order_by=["c_custkey"], secrets=["MACH"],
+    )
+
+
 @register
 def redact_documents(spark, sf):
     masked = redact_text(F.col("text"), ["the", "ation", "token", "tokens", "eaux", "é"])

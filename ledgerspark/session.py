@@ -20,6 +20,7 @@ def local_session(app: str = "ledgerspark", cpus: int | str = "*", memory: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack capture per column
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
