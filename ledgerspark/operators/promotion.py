@@ -70,21 +70,30 @@ def check_batch(batch: DataFrame, scope: dict[str, str] | None = None) -> None:
 
 
 def promote(
-    facts: DataFrame, batch: DataFrame, *, extracted_at: datetime, full_refresh_scope: dict[str, str] | None = None
+    facts: DataFrame,
+    batch: DataFrame,
+    *,
+    extracted_at: datetime,
+    full_refresh_scope: dict[str, str] | None = None,
+    small_batch: bool = False,
 ) -> DataFrame:
     """Facts after the batch, with an ``outcome`` per row (NULL: not concerned).
 
     A pure function of its inputs, so a rerun gives the same rows. With a scope, only the facts of
-    that scope take part in the join; the others pass through without a shuffle.
+    that scope take part in the join; the others pass through without a shuffle. ``small_batch`` says
+    that the batch is known to fit a broadcast: then no fact is shuffled at all.
     """
     if full_refresh_scope is None:
-        return _merge(facts, batch, extracted_at, IDENTITY_KEY, complete=False).select(*facts.columns, "outcome")
-    merged = promote_scope(facts, batch, full_refresh_scope, extracted_at=extracted_at)
+        merged = _merge(facts, batch, extracted_at, IDENTITY_KEY, complete=False, small_batch=small_batch)
+        return merged.select(*facts.columns, "outcome")
+    merged = promote_scope(facts, batch, full_refresh_scope, extracted_at=extracted_at, small_batch=small_batch)
     others = facts.filter(~in_scope(full_refresh_scope)).withColumn("outcome", F.lit(None).cast("string"))
     return merged.unionByName(others)
 
 
-def promote_scope(facts: DataFrame, batch: DataFrame, scope: dict[str, str], *, extracted_at: datetime) -> DataFrame:
+def promote_scope(
+    facts: DataFrame, batch: DataFrame, scope: dict[str, str], *, extracted_at: datetime, small_batch: bool = False
+) -> DataFrame:
     """The facts of one scope after a complete extract of it.
 
     Inside a scope the row key alone identifies a row, so the scope columns are neither shuffled nor
@@ -96,15 +105,38 @@ def promote_scope(facts: DataFrame, batch: DataFrame, scope: dict[str, str], *,
         "source_row_key", F.when(F.coalesce(inside, F.lit(False)), F.col("source_row_key")).otherwise(stray)
     )
     merged = _merge(
-        facts.filter(inside).drop(*SCOPE), guarded.drop(*SCOPE), extracted_at, ("source_row_key",), complete=True
+        facts.filter(inside).drop(*SCOPE),
+        guarded.drop(*SCOPE),
+        extracted_at,
+        ("source_row_key",),
+        complete=True,
+        small_batch=small_batch,
     )
     return merged.withColumns({c: F.lit(v) for c, v in scope.items()}).select(*facts.columns, "outcome")
 
 
+def _meet(old: DataFrame, new: DataFrame, key: list[str], small_batch: bool) -> DataFrame:
+    """Full outer join of facts and batch."""
+    if not small_batch:
+        return old.join(new, key, "full_outer")
+    # The same rows without a shuffle of the facts: a broadcast cannot serve a full outer join, so the
+    # new identities are those that a second pass over the keys of the facts does not find.
+    met = old.join(F.broadcast(new), key, "left")
+    known = old.select(*key).join(F.broadcast(new.select(*key)), key, "left_semi")
+    return met.unionByName(new.join(F.broadcast(known), key, "left_anti"), allowMissingColumns=True)
+
+
 def _merge(
-    facts: DataFrame, batch: DataFrame, extracted_at: datetime, key: tuple[str, ...], *, complete: bool
+    facts: DataFrame,
+    batch: DataFrame,
+    extracted_at: datetime,
+    key: tuple[str, ...],
+    *,
+    complete: bool,
+    small_batch: bool,
 ) -> DataFrame:
-    """Full outer join on ``key`` and the five outcomes; ``complete`` batches tombstone what they lack."""
+    """Facts joined with the batch on ``key``, and the five outcomes; a ``complete`` batch tombstones
+    what it lacks."""
     carried = [c for c in facts.columns if c not in key]
     replaced = [c for c in carried if c in batch.columns]
     old = facts.select(*key, *[F.col(c).alias(f"_old_{c}") for c in carried], F.lit(True).alias("_in_facts"))
@@ -127,7 +159,7 @@ def _merge(
         .otherwise(F.col("_old_source_deleted_at"))
     )
     return (
-        old.join(new, list(key), "full_outer")
+        _meet(old, new, list(key), small_batch)
         .withColumn("outcome", outcome)
         .select(*key, *[c.alias(name) for name, c in final.items()], "outcome")
     )
@@ -146,7 +178,8 @@ def promotion_counts(merged: DataFrame) -> DataFrame:
 
 def missing_from_refresh(facts: DataFrame, batch: DataFrame, scope: dict[str, str]) -> DataFrame:
     """Live facts of the scope that a complete extract no longer contains."""
-    return live_facts(facts.filter(in_scope(scope))).join(batch.select(*IDENTITY), list(IDENTITY_KEY), "left_anti")
+    extracted = batch.filter(in_scope(scope)).select("source_row_key")
+    return live_facts(facts.filter(in_scope(scope))).join(extracted, "source_row_key", "left_anti")
 
 
 def live_facts(facts: DataFrame) -> DataFrame:

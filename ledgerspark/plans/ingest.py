@@ -20,9 +20,10 @@ from ledgerspark.operators.promotion import (
     promote_scope,
     promotion_counts,
 )
-from ledgerspark.session import written_aside
+from ledgerspark.session import at_most, written_aside
 from ledgerspark.sources.mart import FactFiles, FactTable, stage_append
 
+BROADCAST_BATCH_ROWS = 50_000  # tens of MB with their payload
 MAX_NAMED_SCOPES = 2000  # a scope is one source of the registry, so a batch rarely touches more
 
 
@@ -60,10 +61,11 @@ def promote_into(
     """
     check_batch(batch, full_refresh_scope)
     facts = concerned_facts(store.read(batch.sparkSession), batch, full_refresh_scope).drop("scope_id")
+    small = at_most(batch, BROADCAST_BATCH_ROWS)
     if full_refresh_scope is None:
-        merged = promote(facts, batch, extracted_at=extracted_at)
+        merged = promote(facts, batch, extracted_at=extracted_at, small_batch=small)
     else:
-        merged = promote_scope(facts, batch, full_refresh_scope, extracted_at=extracted_at)
+        merged = promote_scope(facts, batch, full_refresh_scope, extracted_at=extracted_at, small_batch=small)
     with written_aside(merged, "promotion") as result:
         counts = {r.outcome: r.n for r in promotion_counts(result).collect()}
         store.replace_scopes(facts_after(result))

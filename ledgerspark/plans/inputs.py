@@ -248,7 +248,7 @@ def with_ledger_identity(rows: DataFrame) -> DataFrame:
 
 def ledger_batch(spark: SparkSession, sf_dir: str, batch_id: str) -> DataFrame:
     """One of three extracts of the ledger: rows come, go, change and come back."""
-    rows = with_ledger_identity(ledger(spark, sf_dir))
+    rows = ledger(spark, sf_dir)
     if batch_id == "b1":
         return rows.filter("l_partkey % 10 <> 0")
     raised = "cast(debit + case when l_partkey % 5 = 0 then 1 else 0 end as decimal(20,2))"

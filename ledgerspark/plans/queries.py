@@ -368,9 +368,11 @@ def staging_append(spark, sf):
 
 
 def _batch(spark, sf, batch_id: str) -> DataFrame:
-    rows = src.ledger_batch(spark, sf, batch_id)
+    # Shuffled before it is identified and hashed: the join of the promotion reuses this partitioning, so
+    # neither hashes nor constants travel.
+    rows = src.ledger_batch(spark, sf, batch_id).repartition("source_row_key")
     return promotion.as_batch(
-        rows, payload=src.PAYLOAD, batch_id=batch_id, extracted_at=src.BATCH_TIMES[batch_id]
+        src.with_ledger_identity(rows), payload=src.PAYLOAD, batch_id=batch_id, extracted_at=src.BATCH_TIMES[batch_id]
     )
 
 

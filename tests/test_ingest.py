@@ -33,14 +33,15 @@ def batch(spark, items, batch_id="b", at=T1):
 class Store:
     """Facts carried from batch to batch, checked the way the ingest plan checks them."""
 
-    def __init__(self, spark):
-        self.spark, self.facts = spark, None
+    def __init__(self, spark, small=False):
+        self.spark, self.facts, self.small = spark, None, small
 
     def promote(self, items, batch_id, at=T1, full=None):
         incoming = batch(self.spark, items, batch_id, at)
         self.facts = P.empty_facts(incoming) if self.facts is None else self.facts
         P.check_batch(incoming, scope(full) if full else None)
-        merged = P.promote(self.facts, incoming, extracted_at=at, full_refresh_scope=scope(full) if full else None)
+        merged = P.promote(self.facts, incoming, extracted_at=at, full_refresh_scope=scope(full) if full else None,
+                           small_batch=self.small)
         counts = {r.outcome: r.n for r in P.promotion_counts(merged).collect() if r.n}
         schema = merged.drop("outcome").schema
         self.facts = self.spark.createDataFrame(P.facts_after(merged).collect(), schema)
@@ -187,8 +188,9 @@ def model(facts, items, batch_id, full):
     return counts
 
 
-def test_random_batches_against_a_row_by_row_model(spark):
-    rnd, store, facts = random.Random(11), Store(spark), {}
+@pytest.mark.parametrize("small", [False, True])
+def test_random_batches_against_a_row_by_row_model(spark, small):
+    rnd, store, facts = random.Random(11), Store(spark, small), {}
     for n in range(6):
         full = rnd.choice([None, A, S1])
         pool = [(s, str(k)) for s in (A, B, S1, S2) for k in range(8) if full in (None, s)]
@@ -303,6 +305,15 @@ def test_bucketed_facts_are_not_shuffled(spark, tmp_path):
     assert text.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in text
 
 
+def test_small_batch_shuffles_no_fact(spark, tmp_path):
+    store = mart.FactFiles(str(tmp_path / "facts"), fact_schema(batch(spark, []), ["debit", "credit"]))
+    promote_into(batch(spark, [(B, str(i), "1") for i in range(50)]), store, extracted_at=T1)
+    incoming = batch(spark, [(B, "1", "1")], "b2")
+    facts = concerned_facts(store.read(spark), incoming, None).drop("scope_id")
+    text = plan(P.promote(facts, incoming, extracted_at=T2, small_batch=True), "simple")
+    assert "Exchange hashpartitioning" not in text and text.count("BroadcastHashJoin") == 3
+
+
 def test_fact_versions(spark, tmp_path):
     base = str(tmp_path / "v")
     incoming = batch(spark, [(A, "1", "1"), (S1, "1", "2")])
