@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ledgerspark.fixed_values import RETIRED
 from ledgerspark.functions.calendar import month_of
-from ledgerspark.session import at_most
+from ledgerspark.session import fits_broadcast
 
-BROADCAST_ROWS = 100_000  # about 10 MB of windows
+BROADCAST_ROWS = 100_000
 
 
 class OverlapError(ValueError):
@@ -92,7 +92,7 @@ def _match(
     keyed = rows.withColumns({"_row_type": type_col, "_row_day": date_col.cast("date")})
     same_type = F.col("_row_type") == F.col("_type")
     covered = F.col("_row_day").between(F.col("_from"), F.col("_to"))
-    if at_most(windows, broadcast_rows):
+    if fits_broadcast(windows, broadcast_rows):
         joined = keyed.join(F.broadcast(windows), same_type & covered, how)
     else:
         # Too large to broadcast: meet on (type, month). Windows of a type do not overlap, so a month

@@ -41,14 +41,14 @@ def recon_totals(rows: DataFrame, scopes: Mapping[str, Column], amounts: Sequenc
 def recon_compare(
     source: DataFrame, mart: DataFrame, kpi: DataFrame | None = None, explanations: DataFrame | None = None
 ) -> DataFrame:
-    """One result per check and scope. A side that lacks a total counts as 0; a KPI is optional.
+    """One result per check and scope. Source or mart counts as 0 where it lacks a total; a KPI is optional.
 
     Inputs hold ``check_name, scope, value``; explanations ``check_name, scope, explanation``.
     """
     zero = F.lit(0).cast(TOTAL)
     joined = source.withColumnRenamed("value", "source").join(mart.withColumnRenamed("value", "mart"), ON, "full_outer")
     if kpi is not None:
-        joined = joined.join(kpi.withColumnRenamed("value", "kpi"), ON, "left")
+        joined = joined.join(kpi.withColumnRenamed("value", "kpi"), ON, "full_outer")
     else:
         joined = joined.withColumn("kpi", F.lit(None).cast(TOTAL))
     if explanations is not None:

@@ -20,10 +20,10 @@ from ledgerspark.operators.promotion import (
     promote_scope,
     promotion_counts,
 )
-from ledgerspark.session import at_most, written_aside
+from ledgerspark.session import fits_broadcast, written_aside
 from ledgerspark.sources.mart import FactFiles, FactTable, stage_append
 
-BROADCAST_BATCH_ROWS = 50_000  # tens of MB with their payload
+BROADCAST_BATCH_ROWS = 100_000
 MAX_NAMED_SCOPES = 2000  # a scope is one source of the registry, so a batch rarely touches more
 
 
@@ -61,7 +61,7 @@ def promote_into(
     """
     check_batch(batch, full_refresh_scope)
     facts = concerned_facts(store.read(batch.sparkSession), batch, full_refresh_scope).drop("scope_id")
-    small = at_most(batch, BROADCAST_BATCH_ROWS)
+    small = fits_broadcast(batch, BROADCAST_BATCH_ROWS)
     if full_refresh_scope is None:
         merged = promote(facts, batch, extracted_at=extracted_at, small_batch=small)
     else:

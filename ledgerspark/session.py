@@ -8,6 +8,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(app: str = "ledgerspark", cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -66,6 +69,12 @@ def written_aside(df: DataFrame, label: str) -> Iterator[DataFrame]:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` has no more than ``rows`` rows; reads no further than one row past it."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """True if ``df`` has no more than ``rows`` rows and, written as JSON, no more than ``size`` bytes.
+
+    The count comes first: on files it reads no column, and only a short table is measured.
+    """
+    if df.count() > rows:
+        return False
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return (df.agg(F.sum(F.octet_length(text))).head()[0] or 0) <= size

@@ -14,10 +14,10 @@ from ledgerspark.plans.ingest import concerned_facts, fact_schema, ingest_extrac
 from ledgerspark.sources import mart
 
 T1, T2, T3 = datetime(2025, 1, 1), datetime(2025, 2, 1), datetime(2025, 3, 1)
-A = ("SYS", "OWN", "T_A", "874", "", "")
-B = ("SYS", "OWN", "T_B", "902", "", "")
-S1 = ("SYS", "OWN", "T_ALL", "X", "NAME", "SYN_A")
-S2 = ("SYS", "OWN", "T_ALL", "X", "NAME", "SYN_B")
+A = ("SYS", "OWN", "T_A", "15", "", "")
+B = ("SYS", "OWN", "T_B", "27", "", "")
+S1 = ("SYS", "OWN", "T_ALL", "X", "NAME", "PART_A")
+S2 = ("SYS", "OWN", "T_ALL", "X", "NAME", "PART_B")
 
 
 def scope(values):
@@ -51,7 +51,7 @@ class Store:
         return P.fact_total(self.facts, column).head()[0]
 
 
-def test_rerun_is_idempotent_and_new_batch_does_not_double_count(spark):
+def test_repeated_and_renumbered_batches_change_nothing(spark):
     s = Store(spark)
     items = [(A, str(i), "10") for i in range(5)]
     assert s.promote(items, "b1") == {"inserted": 5}
@@ -134,7 +134,7 @@ def test_identity_violations(spark):
         "BLANK:source_object", "BLANK:source_row_key", "DISCRIMINATOR_HALF_SET", "DISCRIMINATOR_HALF_SET", "DISCRIMINATOR_NULL"]
 
 
-def entry(copy="902", name="T_B", disc=(None, None), status="CONFIRMED", mode="SEPARATE_OBJECT"):
+def entry(copy="27", name="T_B", disc=(None, None), status="CONFIRMED", mode="SEPARATE_OBJECT"):
     physical = Row(owner="OWN", object_name=name, object_type="TABLE", access_mode=mode,
                    discriminator_column=disc[0], discriminator_value=disc[1])
     return Row(source_type="SITE", logical_cube_name="C", copy_id=copy, financial_year="FY24-25", status=status, physical=physical)
@@ -143,8 +143,8 @@ def entry(copy="902", name="T_B", disc=(None, None), status="CONFIRMED", mode="S
 def test_with_identity(spark):
     df = spark.createDataFrame([(7,)], "id int")
     got = identity.with_identity(df, entry(), F.col("id"), "SYS").select(*IDENTITY).head()
-    assert tuple(got) == ("SYS", "OWN", "T_B", "902", "", "", "7")
-    shared = entry("X", "T_ALL", ("NAME", "SYN_A"), mode="SHARED_DISCRIMINATOR")
+    assert tuple(got) == ("SYS", "OWN", "T_B", "27", "", "", "7")
+    shared = entry("X", "T_ALL", ("NAME", "PART_A"), mode="SHARED_DISCRIMINATOR")
     assert identity.scope_of(shared, "SYS") == scope(S1)
     with pytest.raises(UnresolvedSource):
         identity.with_identity(df, entry(status="UNVERIFIED"), F.col("id"), "SYS")
@@ -268,7 +268,7 @@ def test_ingest_end_to_end(spark, tmp_path, kind):
         return P.fact_total(store.read(spark), "debit").head()[0]
 
     assert run(extract, "b1", T1)["inserted"] == 6 and live() == 21
-    other = entry("874", "T_A")
+    other = entry("15", "T_A")
     assert run(ledger(spark, [(1, "100")]), "o1", T1, other, full=False)["inserted"] == 1 and live() == 121
     again = run(extract, "b1", T1)
     assert again["staged"] == 0 and again["unchanged"] == 6 and live() == 121
@@ -314,6 +314,22 @@ def test_small_batch_shuffles_no_fact(spark, tmp_path):
     assert "Exchange hashpartitioning" not in text and text.count("BroadcastHashJoin") == 3
 
 
+def test_a_scope_that_holds_everything_is_split_into_files(spark, tmp_path):
+    payload = spark.range(0, 40000, 1, 8).select(
+        *[F.lit(v).alias(c) for c, v in scope(B).items()], F.col("id").cast("string").alias("source_row_key"),
+        F.lit(D(1)).cast("decimal(20,2)").alias("debit"), F.lit(D(0)).cast("decimal(20,2)").alias("credit"))
+    one = P.as_batch(payload, payload=["debit", "credit"], batch_id="b1", extracted_at=T1)
+    store = mart.FactFiles(str(tmp_path / "facts"), P.empty_facts(one).schema)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "200k")
+    try:
+        store.replace_scopes(P.facts_after(P.promote(P.empty_facts(one), one, extracted_at=T1)))
+    finally:
+        spark.conf.unset(size)
+    stored = store.read(spark)
+    assert len(stored.inputFiles()) > 2 and stored.count() == 40000
+
+
 def test_fact_versions(spark, tmp_path):
     base = str(tmp_path / "v")
     incoming = batch(spark, [(A, "1", "1"), (S1, "1", "2")])

@@ -17,15 +17,15 @@ ROLES = dict(date_col="entrydate", debit_col="debit", credit_col="credit", site_
 
 @pytest.fixture
 def ledger(spark):
-    d = date(2026, 4, 1)
+    d = date(2025, 6, 2)
     return spark.createDataFrame([
-        ("S1", "G1", None, d, D("1.10"), D(0), "R", "x"), ("S1", "G2", "V", date(2026, 9, 30), D("2.20"), D(0), None, "y"),
+        ("S1", "G1", None, d, D("1.10"), D(0), "R", "x"), ("S1", "G2", "V", date(2025, 8, 9), D("2.20"), D(0), None, "y"),
         ("S2", "G1", "V", d, D(0), D("3.30"), "R", None)], SCHEMA)
 
 
 def test_light_profile(ledger):
     p = pr.profile_light(ledger, date_col="ENTRYDATE", debit_col="DEBIT", credit_col="CREDIT", distinct_cols=("SITECODE", "SLCODE")).head()
-    assert p.asDict() == {"N": 3, "DMIN": date(2026, 4, 1), "DMAX": date(2026, 9, 30), "DEBIT": D("3.30"), "CREDIT": D("3.30"),
+    assert p.asDict() == {"N": 3, "DMIN": date(2025, 6, 2), "DMAX": date(2025, 8, 9), "DEBIT": D("3.30"), "CREDIT": D("3.30"),
                           "DISTINCT_SITECODE": 2, "DISTINCT_SLCODE": 1}
     assert pr.profile_light(ledger) is None  # nothing asked, nothing scanned
     assert pr.profile_light(ledger, exact_count=True).columns == ["N"]
@@ -73,7 +73,7 @@ def test_group_profile_truncates_and_says_so(spark):
     assert "TakeOrderedAndProject" in plan(pr.profile_group(df, "g"))
 
 
-@pytest.mark.parametrize("bad", ["A, B", 'A"; DROP', "A B", ["A", "B"], None, ""])
+@pytest.mark.parametrize("bad", ["SITECODE, GLCODE", "SITECODE GLCODE", "no_such", ["SITECODE"], None, ""])
 def test_group_profile_takes_exactly_one_column(ledger, bad):
     with pytest.raises(ValueError):
         pr.profile_group(ledger, bad)

@@ -18,18 +18,18 @@ from ledgerspark.sources import control_files, ledgers, mart
 
 
 def test_age_summary_keeps_the_total_and_all_buckets(spark):
-    items = spark.createDataFrame([(date(2026, 9, 1), D("100.50")), (date(2025, 1, 1), D("200.25")), (date(2026, 12, 1), D("1.00"))],
+    items = spark.createDataFrame([(date(2026, 9, 1), D("73.10")), (date(2025, 1, 1), D("18.40")), (date(2026, 12, 1), D("1.00"))],
                                   "d date, a decimal(20,2)")
-    got = {r.age_bucket: r.amount for r in ageing.age_summary(items, date(2026, 10, 3), basis="d", amount="a").collect()}
-    assert set(got) == set(AGE_BUCKETS) and sum(got.values()) == D("301.75")
-    assert got["31-60"] == D("100.50") and got[">365"] == D("200.25") and got["not-due"] == 1 and got["0-30"] == 0
-    empty = ageing.age_summary(items.limit(0), date(2026, 10, 3), basis="d", amount="a").collect()
+    got = {r.age_bucket: r.amount for r in ageing.age_summary(items, date(2026, 10, 5), basis="d", amount="a").collect()}
+    assert set(got) == set(AGE_BUCKETS) and sum(got.values()) == D("92.50")
+    assert got["31-60"] == D("73.10") and got[">365"] == D("18.40") and got["not-due"] == 1 and got["0-30"] == 0
+    empty = ageing.age_summary(items.limit(0), date(2026, 10, 5), basis="d", amount="a").collect()
     assert len(empty) == 7 and all(r.amount == 0 for r in empty)
 
 
 def test_age_summary_per_group_and_unknown_dates(spark):
     items = spark.createDataFrame([("x", date(2026, 9, 1), D(1)), ("y", None, D(2)), ("y", date(2026, 9, 1), None)], "g string, d date, a decimal(20,2)")
-    got = ageing.age_summary(items, date(2026, 10, 3), basis="d", amount="a", by=("g",)).collect()
+    got = ageing.age_summary(items, date(2026, 10, 5), basis="d", amount="a", by=("g",)).collect()
     assert len(got) == 14 and sum(r.amount for r in got) == 1
     assert ageing.ageing_violations(items, basis="d", amount="a").count() == 2
 
@@ -51,7 +51,7 @@ def test_zero_tolerance(spark):
     source = totals(spark, ("debit", "co", "100.00"), ("credit", "co", "100.00"), ("x", "s", "10"))
     mart_side = totals(spark, ("debit", "co", "100.01"), ("credit", "co", "100.00"), ("x", "s", "9"), ("new", "s", "0"))
     kpi = totals(spark, ("credit", "co", "100.00"))
-    why = spark.createDataFrame([("x", "s", "unreleased entries excluded")], "check_name string, scope string, explanation string")
+    why = spark.createDataFrame([("x", "s", "accrual posted next day")], "check_name string, scope string, explanation string")
     results = recon.recon_compare(source, mart_side, kpi, why)
     got = {r.check_name: r for r in results.collect()}
     assert not got["debit"].passed and got["debit"].variance_mart == D("0.01") and not got["debit"].accepted
@@ -68,6 +68,12 @@ def test_kpi_variance_fails(spark):
     assert not recon.recon_compare(one, one, totals(spark, ("debit", "co", "6"))).head().passed
 
 
+def test_kpi_without_a_mart_total_fails(spark):
+    one = totals(spark, ("debit", "co", "5"))
+    got = {r.check_name: r for r in recon.recon_compare(one, one, totals(spark, ("margin", "co", "6"))).collect()}
+    assert got["debit"].passed and got["margin"].variance_kpi == 6 and not got["margin"].passed
+
+
 def test_gate(spark):
     one = totals(spark, ("debit", "co", "5"))
     assert recon.recon_gate(recon.recon_compare(one, one)).head().gate_passed
@@ -102,14 +108,14 @@ def test_run_is_appended(spark, tmp_path):
 
 # ---- evidence ----
 
-LIST = [{"CUBE_ID": "844", "TBL": "T$FIN_844", "NM": " site reg "}, {"CUBE_ID": "777", "TBL": "CUBE$BILL", "NM": "syn_mop"},
-        {"CUBE_ID": "844", "TBL": "SOMETHING_ELSE", "NM": None}, {"CUBE_ID": "1", "TBL": "own.unrelated", "NM": "  "}]
+LIST = [{"CUBE_ID": "61", "TBL": "T_FIN_61", "NM": " site book "}, {"CUBE_ID": "48", "TBL": "CUBE_POS", "NM": "till_b"},
+        {"CUBE_ID": "61", "TBL": "T_ELSEWHERE", "NM": None}, {"CUBE_ID": "1", "TBL": "own.t_lost", "NM": "  "}]
 
 
 @pytest.fixture
 def captured(spark, tmp_path):
     p = tmp_path / "list.json"
-    p.write_text(json.dumps({"discovered_at": "2026-10-03T00:00:00+00:00", "list": {"rows": LIST}}))
+    p.write_text(json.dumps({"discovered_at": "2026-02-11T08:30:00+00:00", "list": {"rows": LIST}}))
     return str(p)
 
 
@@ -122,10 +128,10 @@ def judge(spark, captured, *claims):
 
 def test_evidence_levels(spark, captured):
     got = judge(spark, captured,
-                ("full", " 844 ", "OWN", "t$fin_844", None, 0), ("shared", "777", "OWN", "CUBE$BILL", "SYN_MOP ", 1),
-                ("no disc", "777", "OWN", "CUBE$BILL", "OTHER", 1), ("copy only", "844", "OWN", "T$FIN_844", None, 2),
-                ("object only", "2", "Own", "Unrelated", None, 3), ("unrelated", "844", "OWN", "T$FIN_844", None, 3),
-                ("out", "844", "OWN", "T$FIN_844", None, 4), ("negative", "844", "OWN", "T$FIN_844", None, -1), ("far", "844", "OWN", "T$FIN_844", None, 99))
+                ("full", " 61 ", "OWN", "t_fin_61", None, 0), ("shared", "48", "OWN", "CUBE_POS", "TILL_B ", 1),
+                ("no disc", "48", "OWN", "CUBE_POS", "OTHER", 1), ("copy only", "61", "OWN", "T_FIN_61", None, 2),
+                ("object only", "2", "Own", "T_Lost", None, 3), ("unrelated", "61", "OWN", "T_FIN_61", None, 3),
+                ("out", "61", "OWN", "T_FIN_61", None, 4), ("negative", "61", "OWN", "T_FIN_61", None, -1), ("far", "61", "OWN", "T_FIN_61", None, 99))
     assert got == {"full": ("MACHINE_VERIFIED", 0, True), "shared": ("MACHINE_VERIFIED", 0, True), "no disc": ("OPERATOR_CONFIRMED", 1, True),
                    "copy only": ("OPERATOR_CONFIRMED", 1, True), "object only": ("OPERATOR_CONFIRMED", 1, True),
                    "unrelated": ("REJECTED", 2, True), "out": ("REJECTED", 2, False), "negative": ("REJECTED", 2, False), "far": ("REJECTED", 2, False)}
@@ -154,12 +160,12 @@ def test_evidence_sink_keeps_nulls(spark, tmp_path):
 
 @pytest.fixture
 def listing(spark):
-    return spark.createDataFrame([("844", "SITE_REG", "T$FIN_844", "alice"), ("5", "UNRELATED", "X", "bob"), ("900", "out", "FINOTSD", "carol"),
+    return spark.createDataFrame([("61", "SITE_REG", "T_FIN_61", "pia.k"), ("5", "CANTEEN", "X", "ravi"), ("93", "out", "FINOTSD", "tomas"),
                                   ("7", None, "plain", "fin_user")], "CUBE_ID string, CUBE_NAME string, TBL string, CREATED_BY string")
 
 
 def test_any_like(listing):
-    assert {r.CUBE_ID for r in privacy.filter_any_like(listing).collect()} == {"844", "900", "7"}
+    assert {r.CUBE_ID for r in privacy.filter_any_like(listing).collect()} == {"61", "93", "7"}
     assert privacy.filter_any_like(listing, estimated_rows=5000).count() == 4  # a small list is kept whole
     assert privacy.filter_any_like(listing, estimated_rows=5001).count() == 3
     numbers = listing.select(F.lit(1).alias("n"))
@@ -167,9 +173,9 @@ def test_any_like(listing):
 
 
 def test_any_regex_and_contains(listing):
-    assert {r.CUBE_ID for r in privacy.filter_any_regex(listing).collect()} == {"844", "900", "7"}
+    assert {r.CUBE_ID for r in privacy.filter_any_regex(listing).collect()} == {"61", "93", "7"}
     found = privacy.filter_any_contains(listing, "finotsd", row_index="CUBE_ID").collect()
-    assert [r.CUBE_ID for r in found] == ["900"]
+    assert [r.CUBE_ID for r in found] == ["93"]
 
 
 def test_sensitive_names():
@@ -178,15 +184,15 @@ def test_sensitive_names():
 
 
 def test_shareable_view_does_not_leak(spark, listing):
-    df = listing.withColumn("NOTE", F.concat(F.lit("DSN=MYDSN;UID=RO_USER;PWD=hunter2 by "), "CREATED_BY"))
-    view = privacy.shareable_view(df, ["CUBE_ID", "CUBE_NAME", "CREATED_BY", "NOTE"], secrets=["alice", "carol", "fin_user", "MYDSN"])
+    df = listing.withColumn("NOTE", F.concat(F.lit("DSN=LAKEDSN;UID=reader1;PWD=gate-77 by "), "CREATED_BY"))
+    view = privacy.shareable_view(df, ["CUBE_ID", "CUBE_NAME", "CREATED_BY", "NOTE"], secrets=["pia.k", "tomas", "fin_user", "LAKEDSN"])
     text = json.dumps([r.asDict() for r in view.collect()])
-    for leak in ("alice", "bob", "carol", "hunter2", "RO_USER", "MYDSN", "fin_user", "T$FIN"):
+    for leak in ("pia.k", "ravi", "tomas", "gate-77", "reader1", "LAKEDSN", "fin_user", "T_FIN_6"):
         assert leak not in text
     assert view.columns == ["CUBE_ID", "CUBE_NAME", "NOTE"]
-    assert {r.CUBE_ID for r in view.collect()} == {"844", "900", "7"}  # judged on all cells, dropped ones too
+    assert {r.CUBE_ID for r in view.collect()} == {"61", "93", "7"}  # judged on all cells, dropped ones too
     capped = privacy.shareable_view(df, ["CUBE_ID"], row_cap=2, order_by=["CUBE_ID"])
-    assert [r.CUBE_ID for r in capped.collect()] == ["7", "844"]
+    assert [r.CUBE_ID for r in capped.collect()] == ["61", "7"]
     with pytest.raises(ValueError):
         privacy.shareable_view(df, ["CUBE_ID"], row_cap=2)
 

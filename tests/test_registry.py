@@ -182,8 +182,8 @@ def test_physical_violations(spark):
         return entry(v[0], "2024-04-01", "2025-03-31", physical=v[1:])
 
     r = make(spark,
-             p("ok1", *SEPARATE), p("ok2", "M", "CUBE$B", "TABLE", "SHARED_DISCRIMINATOR", "NAME", "V' OR '1'='1"),
-             p("1", "M", 'T"; DROP', "TABLE", "SEPARATE_OBJECT", None, None), p("2", "9M", "T", "TABLE", "SEPARATE_OBJECT", None, None),
+             p("ok1", *SEPARATE), p("ok2", "M", "CUBE$X", "TABLE", "SHARED_DISCRIMINATOR", "NAME", "it's \"odd\""),
+             p("1", "M", 'T"; --', "TABLE", "SEPARATE_OBJECT", None, None), p("2", "9M", "T", "TABLE", "SEPARATE_OBJECT", None, None),
              p("3", "M", "T", "TABLE", "SHARED_DISCRIMINATOR", None, None), p("4", "M", "T", "TABLE", "SHARED_DISCRIMINATOR", "C", ""),
              p("5", "M", "T", "TABLE", "SEPARATE_OBJECT", "C", None), p("6", "M", "T", "TABLE", "ODD", None, None),
              p("7", "M", "T", "TABLE", "SHARED_DISCRIMINATOR", "a b", "v"), p("8", "M", None, "TABLE", "SEPARATE_OBJECT", None, None),
