@@ -321,7 +321,7 @@ def test_a_scope_that_holds_everything_is_split_into_files(spark, tmp_path):
     one = P.as_batch(payload, payload=["debit", "credit"], batch_id="b1", extracted_at=T1)
     store = mart.FactFiles(str(tmp_path / "facts"), P.empty_facts(one).schema)
     size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    spark.conf.set(size, "200k")
+    spark.conf.set(size, "50k")
     try:
         store.replace_scopes(P.facts_after(P.promote(P.empty_facts(one), one, extracted_at=T1)))
     finally:
