@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from ledgerspark.llm.common import sized
 
 VOCABULARY = "byte_bpe_50k.json"
-PIECE_CHARS = 1_000_000  # a task holds the words of so many characters at once, or of one text
-CACHED_WORDS = 150_000
+PIECE_CHARS = 4_000_000  # a task holds the words of so many characters at once, or of one text
+CACHED_WORDS = 400_000
+TAIL = 3
 
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -71,9 +72,19 @@ class Bpe:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
         self.raw = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
-        self.longest = max(map(len, self.ids))
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.words: dict[str, tuple[str, int, bytes]] = {}
+        self.whole = {t: i for t, i in self.ids.items() if self.merged(t) == [t]}  # tokens that are their own encoding
+        self.ends: dict[bytes, set[int]] = {}  # lengths of the tokens with that end
+        for t in self.whole:
+            if len(t) >= TAIL:
+                self.ends.setdefault(t[-TAIL:], set()).add(len(t))
+        self.tails: dict[bytes, list[int]] = {}
+        self.sizes = {i: len(t) for t, i in self.ids.items()}
+        self.decimal = {i: str(i) for i in self.raw}
+        self.parts = {a + b: (a, b) for a, b in self.rank}
+        self.spines: tuple[dict, dict] = ({}, {})
+        self.fits: dict[int, bool] = {}
+        self.words: dict[str, str] = {}  # ids in decimal
+        self.data: dict[str, bytes] = {}  # what these ids stand for
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -86,50 +97,97 @@ class Bpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fit(self, before: bytes, token: bytes) -> bool:
-        """True if ``token`` stays apart behind ``before`` (at the start of a word: empty) and is its own encoding."""
-        known = self.fits.get((before, token))
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            parts = self.merged(before + token)
-            known = self.fits[before, token] = parts == ([before, token] if before else [token])
+    def _lengths(self, tail: bytes) -> list[int]:
+        """Lengths, longest first, of the tokens that a prefix with this end may end with."""
+        shorter = {n for n in range(1, min(len(tail), TAIL - 1) + 1) if tail[-n:] in self.whole}
+        found = sorted(shorter | self.ends.get(tail, set()), reverse=True)
+        if len(self.tails) > CACHED_WORDS:
+            self.tails.clear()
+        self.tails[tail] = found
+        return found
+
+    def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """The pieces at the left (0) or right (1) end of the token while its merges run, each with the rank that ends it."""
+        spine = self.spines[side].get(token)
+        if spine is None:
+            below, whole = [], token
+            while len(whole) > 1:
+                pair = self.parts[whole]
+                below.append((pair[side], self.rank[pair]))
+                whole = pair[side]
+            spine = self.spines[side][token] = [*reversed(below), (token, len(self.rank))]
+        return spine
+
+    def fit(self, pair: int) -> bool:
+        """True if the second token of the pair (two ids in one number) stays apart behind the first.
+
+        The ends that meet are followed while the merges run: they join if the rank of their pair comes before the
+        ranks at which either is taken up by its own token. Of equal ranks the one further left goes first.
+        """
+        known, last = True, len(self.rank)
+        before, token = self.raw[pair >> 20], self.raw[pair & 0xFFFFF]
+        left, right, i, j = self._spine(before, 1), self._spine(token, 0), 0, 0
+        while True:
+            (a, a_ends), (b, b_ends) = left[i], right[j]
+            rank = self.rank.get((a, b), last)
+            if rank < a_ends and rank <= b_ends and rank < last:
+                known = False
+                break
+            if a_ends == last and b_ends == last:
+                break
+            if a_ends <= b_ends:
+                i += 1
+            else:
+                j += 1
+        if len(self.fits) > CACHED_WORDS:
+            self.fits.clear()
+        self.fits[pair] = known
         return known
 
     def encode_words(self, words: list[str]) -> None:
-        """Encode words that are not known yet, all in one walk over their trie."""
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for byte in word.encode():
-                node = node.setdefault(byte, {})
-            node[-1] = word
-        path = bytearray()
-        last = [b""]  # by prefix length: the last token of that prefix
-        ids, longest = self.ids, self.longest
-        todo = [(0, byte, child) for byte, child in trie.items() if byte >= 0]
-        while todo:
-            depth, byte, node = todo.pop()
-            del path[depth:], last[depth + 1 :]
-            path.append(byte)
-            depth += 1
-            for start in range(max(0, depth - longest), depth):
-                token = bytes(path[start:])
-                if token in ids and self.fit(last[start], token):
-                    last.append(token)
+        """Encode words that are not known yet, all in one walk over their trie.
+
+        Sorted words are the trie in depth-first order: the beginning that a word shares with the word before it is the
+        path to the node where it branches off. The states of that path stay, those below it are computed.
+        """
+        whole, fits, tails, sizes, decimal, tokens = self.whole, self.fits, self.tails, self.sizes, self.decimal, self.raw
+        last = [0]  # by prefix length: the last token of that prefix
+        before = b""
+        for data in sorted(map(str.encode, words)):
+            shared = 0
+            for x, y in zip(before, data):
+                if x != y:
                     break
-            else:
-                raise ValueError("a byte is not in the vocabulary")
-            for key, child in node.items():
-                if key >= 0:
-                    todo.append((depth, key, child))
+                shared += 1
+            del last[shared + 1 :]
+            before, size = data, len(data)
+            for depth in range(shared + 1, size + 1):
+                tail = data[depth - TAIL : depth] if depth > TAIL else data[:depth]
+                for length in tails.get(tail) or self._lengths(tail):
+                    start = depth - length
+                    if start < 0:
+                        continue
+                    token = whole.get(data[start:depth])
+                    if token is not None:
+                        if not start:
+                            break
+                        pair = last[start] << 20 | token
+                        fit = fits.get(pair)
+                        if fit or fit is None and self.fit(pair):
+                            break
                 else:
-                    found, at = [], depth
-                    while at:
-                        found.append(ids[last[at]])
-                        at -= len(last[at])
-                    found.reverse()
-                    self.words[child] = (",".join(map(str, found)), len(found), b"".join(map(self.raw.__getitem__, found)))
+                    raise ValueError("a byte is not in the vocabulary")
+                last.append(token)
+            token = last[size]
+            ids, text = decimal[token], tokens[token]
+            size -= sizes[token]
+            while size:
+                token = last[size]
+                ids, text = f"{decimal[token]},{ids}", tokens[token] + text
+                size -= sizes[token]
+            word = data.decode()
+            self.words[word] = ids
+            self.data[word] = text
 
     def split(self, text: str) -> list[str]:
         """The words of the pre-tokenizer; added tokens are words of their own."""
@@ -143,13 +201,14 @@ class Bpe:
         split = [self.split(t) for t in texts]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
+            self.data.clear()
         for token, i in self.added.items():
-            self.words[token] = (str(i), 1, self.raw[i])
+            self.words[token], self.data[token] = str(i), self.raw[i]
         self.encode_words([w for w in set().union(*split) if w not in self.words])
         out = []
         for words in split:
-            found = list(map(self.words.__getitem__, words))
-            out.append((",".join([f[0] for f in found]), sum(f[1] for f in found), b"".join([f[2] for f in found])))
+            ids = ",".join(map(self.words.__getitem__, words))
+            out.append((ids, ids.count(",") + 1 if ids else 0, b"".join(map(self.data.__getitem__, words))))
         return out
 
     def decode(self, ids: list[int]) -> str:

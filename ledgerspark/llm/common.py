@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import tempfile
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +18,25 @@ ALNUM = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER)
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per session, so that their Python finds it wherever they run."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(context, "ledgerspark_shipped", False) or not os.path.isdir(root):
+        return
+    archive = os.path.join(tempfile.mkdtemp(), "ledgerspark_code.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context.ledgerspark_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,10 +8,25 @@ from ledgerspark.llm.bpe import token_digests
 from ledgerspark.llm.chat import chat_digests
 from ledgerspark.llm.common import table
 from ledgerspark.llm.decontaminate import contamination_report
+from ledgerspark.llm.html_text import extract
+from ledgerspark.llm.langid import language_report
+from ledgerspark.llm.pii import pii_report
 
 EXTRA_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
@@ -25,6 +40,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(turns.unionByName(spark.createDataFrame(EXTRA_CONVERSATION, turns.schema)))
 
 
-LLM_QUERIES = {"op6_bpe": op6_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
+LLM_QUERIES = {"op3_language": op3_language, "op4_pii": op4_pii, "op5_html": op5_html, "op6_bpe": op6_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
 
 LLM_ORACLES: dict[str, str] = {}
