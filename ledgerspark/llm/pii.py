@@ -331,7 +331,8 @@ def pii_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     found = find_pii(docs.select("doc_id", "text"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["first"], s["end"])), ",")
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(text("base_spans"), 256).alias("base_sha256"), text("pii_spans").alias("spans"))
 
 

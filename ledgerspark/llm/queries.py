@@ -3,18 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerspark.llm.bpe import token_digests
 from ledgerspark.llm.chat import chat_digests
 from ledgerspark.llm.common import table
 from ledgerspark.llm.decontaminate import contamination_report
 from ledgerspark.llm.html_text import extract
+from ledgerspark.llm.jaccard import jaccard_components
 from ledgerspark.llm.langid import language_report
+from ledgerspark.llm.lm import likelihood_report
 from ledgerspark.llm.pii import pii_report
+from ledgerspark.llm.topk import search
+from ledgerspark.llm.warc import archive_report
 
 EXTRA_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op2_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood_report(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
@@ -31,6 +44,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +62,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(turns.unionByName(spark.createDataFrame(EXTRA_CONVERSATION, turns.schema)))
 
 
-LLM_QUERIES = {"op3_language": op3_language, "op4_pii": op4_pii, "op5_html": op5_html, "op6_bpe": op6_bpe, "op9_decontaminate": op9_decontaminate, "op10_chat": op10_chat}
+LLM_QUERIES = {
+    "op1_jaccard": op1_jaccard,
+    "op2_likelihood": op2_likelihood,
+    "op3_language": op3_language,
+    "op4_pii": op4_pii,
+    "op5_html": op5_html,
+    "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
+    "op8_topk": op8_topk,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_chat": op10_chat,
+}
 
 LLM_ORACLES: dict[str, str] = {}
