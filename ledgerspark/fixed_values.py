@@ -57,10 +57,7 @@ SECRET_ASSIGNMENT = r"\b(password|pwd|uid)\s*=\s*[^;\s]+"
 MASK = "***"
 MIN_SECRET_LENGTH = 3
 
-# --- fixed values: row caps and sample size of the bounded reports -------------------------------
-EVIDENCE_ROW_CAP = 5000
-SHARED_ROW_CAP = 300
-CANDIDATE_ROW_CAP = 50
+# --- fixed values: size of the bounded reports -------------------------------
 GROUP_CAP = 100
 SAMPLE_ROWS = 5
 

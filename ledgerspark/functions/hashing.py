@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-TEXTUAL = (T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType)
+TEXTUAL = (T.DecimalType, T.DateType, T.TimestampNTZType)
 
 
 def _marked_value(name: str, kind: T.DataType) -> list[Column]:
-    """Name with its mark (``=`` text, ``#`` whole number or flag, ``~`` NULL), then the value."""
+    """Name with its mark (``=`` text, ``#`` whole number or flag, ``@`` instant, ``~`` NULL), then the value."""
     value = F.col(f"`{name}`")
     mark, text = "=", value.cast("string")
     if isinstance(kind, T.StringType):
@@ -21,6 +21,8 @@ def _marked_value(name: str, kind: T.DataType) -> list[Column]:
         text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
     elif isinstance(kind, (T.IntegralType, T.BooleanType)):
         mark = "#"
+    elif isinstance(kind, T.TimestampType):
+        mark, text = "@", F.unix_micros(value).cast("string")  # the instant, whatever the session's time zone
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         raise TypeError(f"column {name!r} is a float; cast it to a decimal before hashing")
     elif not isinstance(kind, TEXTUAL):

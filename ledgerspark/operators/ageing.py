@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.fixed_values import AGE_BUCKETS, MONEY, TOTAL
+from ledgerspark.fixed_values import AGE_BUCKETS
+from ledgerspark.functions.money import total_type
 from ledgerspark.functions.ageing import age_bucket, age_days
 
 
@@ -17,10 +18,11 @@ def age_summary(items: DataFrame, as_of: date, *, basis: str, amount: str, by: t
     Seven conditional sums in one aggregation, then one row per bucket: no bucket table to join, and
     a group of any size is summed before the shuffle.
     """
+    kind = total_type(items.schema[amount].dataType)
     aged = items.select(
         *by,
         age_bucket(age_days(F.col(basis).cast("date"), F.lit(as_of))).alias("_bucket"),
-        F.col(amount).cast(MONEY).alias("_amount"),
+        F.col(amount).alias("_amount"),
     )
     sums = aged.groupBy(*by).agg(
         *[F.sum(F.when(F.col("_bucket") == b, F.col("_amount"))).alias(f"_{i}") for i, b in enumerate(AGE_BUCKETS)]
@@ -29,7 +31,7 @@ def age_summary(items: DataFrame, as_of: date, *, basis: str, amount: str, by: t
         *[
             F.struct(
                 F.lit(b).alias("age_bucket"),
-                F.coalesce(F.col(f"_{i}").cast(TOTAL), F.lit(0).cast(TOTAL)).alias("amount"),
+                F.coalesce(F.col(f"_{i}").cast(kind), F.lit(0).cast(kind)).alias("amount"),
             )
             for i, b in enumerate(AGE_BUCKETS)
         ]

@@ -113,12 +113,10 @@ def resolve_as_of(
     *,
     type_col: str | Column,
     date_col: str | Column,
-    validate: bool = True,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the one authoritative source that covers each row; NULL where there is none."""
-    if validate:
-        _check(registry)
+    _check(registry)
     return _match(rows, registry, "left", _column(type_col), _column(date_col), broadcast_rows)
 
 

@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from ledgerspark.fixed_values import IDENTITY, IDENTITY_KEY, SCOPE
 from ledgerspark.functions.text import BLANKS
-from ledgerspark.operators.registry import confirmed_only, require_physical
+from ledgerspark.operators.registry import confirmed_only, registry_key, require_physical
 
 REQUIRED = tuple(c for c in IDENTITY if "discriminator" not in c)
+#: Field of a registry entry or of its physical object that each scope column shows.
+SCOPE_FIELDS = {c: c if c == "source_system" else {"source_object": "object_name"}.get(c, c.removeprefix("source_")) for c in SCOPE}
 
 
 def scope_of(entry: Row, source_system: str) -> dict[str, str]:
     """The six scope values of a confirmed registry entry."""
-    p = require_physical(entry)
-    values = (
-        source_system, p.owner, p.object_name, entry.copy_id,
-        p.discriminator_column or "", p.discriminator_value or "",
-    )
-    return dict(zip(SCOPE, values))
+    physical = require_physical(entry).asDict()
+    given = {"copy_id": entry.copy_id, "source_system": source_system}
+    return {c: given[c] if c in given else given.get(f, physical.get(f)) or "" for c, f in SCOPE_FIELDS.items()}
 
 
 def with_identity(rows: DataFrame, entry: Row, row_key: Column, source_system: str) -> DataFrame:
@@ -29,23 +28,24 @@ def with_identity(rows: DataFrame, entry: Row, row_key: Column, source_system: s
 
 
 def with_identity_from_registry(
-    rows: DataFrame, registry: DataFrame, row_key: Column, source_system: str, *, on: str = "source_registry_key"
+    rows: DataFrame, registry: DataFrame, row_key: Column, source_system: str, *, on: str = "source_registry_key", strict: bool = False
 ) -> DataFrame:
-    """Add the identity of many sources at once; rows of unconfirmed sources drop out.
+    """Add the identity of many sources at once.
 
+    Every row stays: ``unresolved`` tells why one has no identity (``NO_SOURCE``: no registry key, ``NOT_CONFIRMED``: its entry has
+    no confirmed physical object) and is NULL for the others. ``strict`` fails the job at the first such row instead.
     The join carries no hint: Spark broadcasts the registry when its size allows.
     """
-    p = F.col("physical")
+    shown = {"source_system": F.lit(source_system), "source_copy_id": F.col("copy_id")}
     scopes = confirmed_only(registry).select(
-        F.concat_ws("|", "source_type", "logical_cube_name", "copy_id").alias(on),
-        F.lit(source_system).alias("source_system"),
-        p["owner"].alias("source_owner"),
-        p["object_name"].alias("source_object"),
-        F.col("copy_id").alias("source_copy_id"),
-        F.coalesce(p["discriminator_column"], F.lit("")).alias("source_discriminator_column"),
-        F.coalesce(p["discriminator_value"], F.lit("")).alias("source_discriminator_value"),
+        registry_key().alias(on),
+        *[shown.get(c, F.coalesce(F.col(f"physical.{f}"), F.lit(""))).alias(c) for c, f in SCOPE_FIELDS.items() if f != "copy_id" or c in shown],
     )
-    return rows.withColumn("source_row_key", row_key.cast("string")).join(scopes, on)
+    out = rows.withColumn("source_row_key", row_key.cast("string")).join(scopes, on, "left")
+    reason = F.when(F.col(on).isNull(), "NO_SOURCE").when(F.col("source_owner").isNull(), "NOT_CONFIRMED")
+    if strict:
+        reason = F.when(reason.isNotNull(), F.raise_error(F.concat(reason, F.lit(" for row "), F.coalesce("source_row_key", F.lit("NULL")))))
+    return out.withColumn("unresolved", reason.cast("string"))
 
 
 def scope_columns() -> Column:

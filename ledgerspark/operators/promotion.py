@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerspark.fixed_values import IDENTITY, IDENTITY_KEY, MONEY, OUTCOMES, SCOPE, TOTAL
+from ledgerspark.functions.money import total_of, total_type
 from ledgerspark.functions.hashing import row_hash
 from ledgerspark.operators.identity import batch_duplicates, identity_violations, in_scope, stray_rows
 
@@ -58,15 +59,15 @@ def _reject_if_any(violations: DataFrame, message: str) -> None:
 
 def check_identities(rows: DataFrame, scope: dict[str, str] | None = None) -> None:
     """Reject rows that cannot be traced to their source or lie outside the scope of a full refresh."""
-    _reject_if_any(identity_violations(rows), "unusable source identity")
+    _reject_if_any(identity_violations(rows), "rows without a usable identity")
     if scope is not None:
-        _reject_if_any(stray_rows(rows, scope), "full-refresh batch contains rows outside its scope")
+        _reject_if_any(stray_rows(rows, scope), "a complete extract has rows of another scope")
 
 
 def check_batch(batch: DataFrame, scope: dict[str, str] | None = None) -> None:
     """Reject a batch as a whole, before anything is written. Reads identity columns only."""
     check_identities(batch, scope)
-    _reject_if_any(batch_duplicates(batch), "duplicate source identity within one batch")
+    _reject_if_any(batch_duplicates(batch), "an identity occurs more than once in the batch")
 
 
 def promote(
@@ -136,11 +137,22 @@ def _merge(
     small_batch: bool,
 ) -> DataFrame:
     """Facts joined with the batch on ``key``, and the five outcomes; a ``complete`` batch tombstones
-    what it lacks."""
+    what it lacks.
+
+    A changed row takes the whole payload of the batch: what the batch lacks becomes NULL. A batch column that the
+    facts lack is refused, and a key that the batch repeats fails the job.
+    """
+    unknown = [c for c in batch.columns if c not in facts.columns]
+    if unknown:
+        raise BatchRejected(f"the facts have no column for {', '.join(unknown)}")
     carried = [c for c in facts.columns if c not in key]
     replaced = [c for c in carried if c in batch.columns]
     old = facts.select(*key, *[F.col(c).alias(f"_old_{c}") for c in carried], F.lit(True).alias("_in_facts"))
-    new = batch.select(*key, *[F.col(c).alias(f"_new_{c}") for c in replaced], F.lit(True).alias("_in_batch"))
+    # The count runs in the partitioning and order that the join needs anyway.
+    copies = F.count(F.lit(1)).over(W.partitionBy(*key))
+    repeated = F.raise_error(F.concat(F.lit("an identity occurs more than once in the batch: "), F.col(key[0])))
+    once = batch.withColumn("_copies", copies).withColumn("_in_batch", F.when(F.col("_copies") == 1, F.lit(True)).otherwise(repeated))
+    new = once.select(*key, *[F.col(c).alias(f"_new_{c}") for c in replaced], "_in_batch")
     in_facts, in_batch = F.col("_in_facts").isNotNull(), F.col("_in_batch").isNotNull()
     deleted = F.col("_old_source_deleted_at").isNotNull()
     outcome = (
@@ -151,7 +163,7 @@ def _merge(
         .when(F.lit(complete) & ~deleted, "tombstoned")
     )
     takes_new = F.coalesce(F.col("outcome").isin("inserted", "updated", "revived"), F.lit(False))
-    final = {c: F.col(f"_old_{c}") for c in carried}
+    final = {c: F.when(~takes_new, F.col(f"_old_{c}")) for c in carried}
     final |= {c: F.when(takes_new, F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")) for c in replaced}
     final["source_deleted_at"] = (
         F.when(takes_new, F.lit(None).cast("timestamp"))
@@ -189,13 +201,9 @@ def live_facts(facts: DataFrame) -> DataFrame:
 def fact_total(facts: DataFrame, *columns: str) -> DataFrame:
     """Exact sum of each column over live facts; a column that is absent counts as 0."""
     present = set(facts.columns)
-    zero = F.lit(0).cast(TOTAL)
-    sums = [
-        F.coalesce(F.sum(F.col(c).cast(MONEY)).cast(TOTAL), zero).alias(c) if c in present else F.max(zero).alias(c)
-        for c in columns
-    ]
-    totals = live_facts(facts).agg(*sums)
-    return totals.select(*[F.coalesce(F.col(c), zero).alias(c) for c in columns])
+    kinds = {c: total_type(facts.schema[c].dataType) if c in present else TOTAL for c in columns}
+    totals = live_facts(facts).agg(F.count(F.lit(1)), *[total_of(facts, c).alias(c) for c in columns if c in present])
+    return totals.select(*[F.coalesce(F.col(c) if c in present else F.lit(None), F.lit(0)).cast(kinds[c]).alias(c) for c in columns])
 
 
 def fact_violations(facts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.fixed_values import TOTAL
-from ledgerspark.functions.money import total, variance
+from ledgerspark.functions.money import total_of, total_type, variance
 
 ON = ["check_name", "scope"]
 
@@ -17,49 +17,58 @@ def recon_totals(rows: DataFrame, scopes: Mapping[str, Column], amounts: Sequenc
     """Totals and row count for the whole company and for each value of each scope.
 
     The ledger is first summed by all scopes together, which its map side does almost completely;
-    the grouping sets then expand only that small table.
+    the grouping sets then expand only that small table. Amounts keep their own scale. A scope is named
+    ``name:value``, and ``name~`` where the value is NULL, which no value can imitate.
     """
+    kind = max((total_type(rows.schema[a].dataType) for a in amounts), key=lambda t: t.scale)
     names = list(scopes)
     base = (
         rows.select(*[c.cast("string").alias(n) for n, c in scopes.items()], *amounts)
         .groupBy(*names)
-        .agg(F.count(F.lit(1)).cast(TOTAL).alias("rows"), *[total(F.col(a)).alias(a) for a in amounts])
+        .agg(F.count(F.lit(1)).alias("rows"), *[total_of(rows, a).alias(a) for a in amounts])
     )
     measures = [*amounts, "rows"]
     totals = base.groupingSets([[], *[[F.col(n)] for n in names]], *[F.col(n) for n in names]).agg(
         *[(F.grouping(F.col(n)) == 0).alias(f"_by_{n}") for n in names],
-        *[F.sum(m).cast(TOTAL).alias(m) for m in measures],
+        *[F.sum(m).cast(kind).alias(m) for m in measures],
     )
     scope = F.coalesce(
-        *[F.when(F.col(f"_by_{n}"), F.concat(F.lit(f"{n}:"), F.coalesce(F.col(n), F.lit("-")))) for n in names],
+        *[F.when(F.col(f"_by_{n}"), F.coalesce(F.concat(F.lit(f"{n}:"), F.col(n)), F.lit(f"{n}~"))) for n in names],
         F.lit("company"),
     )
     per_measure = F.array(*[F.struct(F.lit(m).alias("check_name"), F.col(m).alias("value")) for m in measures])
     return totals.select(scope.alias("scope"), F.inline(per_measure)).select("check_name", "scope", "value")
 
 
+def _once(totals: DataFrame, value: str, what: str) -> DataFrame:
+    """One value per check and scope; a repeat fails the job. The join needs this shuffle anyway."""
+    repeated = F.raise_error(F.concat(F.lit(f"more than one {what} for "), F.concat_ws(" of ", *ON)))
+    return totals.groupBy(*ON).agg(F.when(F.count(F.lit(1)) == 1, F.first(value)).otherwise(repeated).alias(what))
+
+
 def recon_compare(
     source: DataFrame, mart: DataFrame, kpi: DataFrame | None = None, explanations: DataFrame | None = None
 ) -> DataFrame:
     """One result per check and scope. Source or mart counts as 0 where it lacks a total; a KPI is optional.
 
-    Inputs hold ``check_name, scope, value``; explanations ``check_name, scope, explanation``.
+    Inputs hold ``check_name, scope, value``; explanations ``check_name, scope, explanation``. Each names a check and
+    scope once at most. Values are compared at the wider of their scales.
     """
     zero = F.lit(0).cast(TOTAL)
-    joined = source.withColumnRenamed("value", "source").join(mart.withColumnRenamed("value", "mart"), ON, "full_outer")
+    joined = _once(source, "value", "source").join(_once(mart, "value", "mart"), ON, "full_outer")
     if kpi is not None:
-        joined = joined.join(kpi.withColumnRenamed("value", "kpi"), ON, "full_outer")
+        joined = joined.join(_once(kpi, "value", "kpi"), ON, "full_outer")
     else:
         joined = joined.withColumn("kpi", F.lit(None).cast(TOTAL))
     if explanations is not None:
-        joined = joined.join(explanations, ON, "left")
+        joined = joined.join(_once(explanations, "explanation", "explanation"), ON, "left")
     else:
         joined = joined.withColumn("explanation", F.lit(""))
     amounts = joined.select(
         *ON,
-        F.coalesce(F.col("source"), zero).cast(TOTAL).alias("source"),
-        F.coalesce(F.col("mart"), zero).cast(TOTAL).alias("mart"),
-        F.col("kpi").cast(TOTAL).alias("kpi"),
+        F.coalesce(F.col("source"), zero).alias("source"),
+        F.coalesce(F.col("mart"), zero).alias("mart"),
+        "kpi",
         F.coalesce(F.col("explanation"), F.lit("")).alias("explanation"),
     )
     judged = amounts.withColumns(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -85,7 +87,7 @@ def find_entry(
         hits = hits.filter("is_current")
     found = hits.limit(2).collect()
     if not found:
-        raise LookupError(f"no registry entry for {source_type} copy={copy_id}")
+        raise LookupError(f"{source_type} is not registered with copy {copy_id}")
     if len(found) > 1:
         raise LookupError(f"{source_type}: several copies, for example {[r.copy_id for r in found]}; name one")
     return found[0]
@@ -94,11 +96,28 @@ def find_entry(
 def require_physical(entry: Row) -> Row:
     """The physical object of a confirmed entry; a hint is never used in its place."""
     if entry.status != CONFIRMED or entry.physical is None:
-        key = f"{entry.source_type}|{entry.logical_cube_name}|{entry.copy_id}"
-        raise UnresolvedSource(f"{key} has no confirmed physical object (status={entry.status})")
+        raise UnresolvedSource(f"{entry.source_type} copy {entry.copy_id}: status {entry.status}, nothing to read")
     return entry.physical
 
 
+def require_names(physical: Row, *, files: bool = False) -> None:
+    """Refuse a physical object that breaks the rules of ``physical_violations`` before a name is used.
+
+    ``files``: the object name may be a file name with dots, but no path.
+    """
+    name = r"^[A-Za-z][A-Za-z0-9_$#]*(\.[A-Za-z0-9_$#]+)*$" if files else IDENTIFIER_PATTERN
+    column, value = physical.discriminator_column or "", physical.discriminator_value or ""
+    mode = physical.access_mode or SEPARATE_OBJECT
+    faults = [f for f, bad in {
+        "owner": not re.match(IDENTIFIER_PATTERN, physical.owner or ""),
+        "object name": not re.match(name, physical.object_name or ""),
+        "access mode": mode not in (SEPARATE_OBJECT, SHARED_DISCRIMINATOR),
+        "discriminator": bool(column or value) if mode == SEPARATE_OBJECT else not (value and re.match(IDENTIFIER_PATTERN, column)),
+    }.items() if bad]
+    if faults:
+        raise RegistryError(f"malformed physical object: {', '.join(faults)}")
+
+
 # ---- checks: rows that break a rule -----------------------------------------------------------
 
 
@@ -185,6 +204,10 @@ def apply_overlay(registry: DataFrame, overlay: DataFrame) -> DataFrame:
         F.col("registry_key").alias("_key"),
         *[F.col(c).alias(f"_{c}") for c in ("status", "physical", "last_refresh_at")],
     )
+    kind = overlay.schema["physical"].dataType
+    mode = F.coalesce(F.col("_physical.access_mode"), F.lit(SEPARATE_OBJECT))
+    fields = [(mode if f == "access_mode" else F.col(f"_physical.{f}")).alias(f) for f in kind.names]
+    won = won.withColumn("_physical", F.when(F.col("_physical").isNotNull(), F.struct(*fields)))
     joined = registry.join(won, registry_key() == F.col("_key"), "left")
     return joined.select(
         *[

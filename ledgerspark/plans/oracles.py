@@ -150,7 +150,7 @@ OUTCOMES = "(select unnest(['inserted', 'updated', 'unchanged', 'tombstoned', 'r
 
 def _totals(rows: str, scopes: dict[str, str]) -> str:
     parts = []
-    for scope in ["'company'", *[f"'{n}:' || coalesce(cast({e} as varchar), '-')" for n, e in scopes.items()]]:
+    for scope in ["'company'", *[f"coalesce('{n}:' || cast({e} as varchar), '{n}~')" for n, e in scopes.items()]]:
         for check, value in (("debit", "sum(debit)"), ("credit", "sum(credit)"), ("rows", "count(*)")):
             parts.append(
                 f"select '{check}' as check_name, {scope} as scope, cast({value} as decimal(24,2)) as value "
@@ -182,7 +182,7 @@ results as (
 """
 FLAWED_ITEMS = f"flawed as ({_plain(src.FLAWED_ITEMS)})"
 SHARED = f"shared as ({_plain(src.SHARED_IDENTITIES)})"
-PART = "(select p_partkey, p_name, p_brand, p_type, p_size from part) p"
+PART = "(select p_partkey, p_name, p_brand, p_type, p_size, cast(p_retailprice as decimal(20,2)) as p_retailprice from part) p"
 MASKED = (
     r"regexp_replace(replace(replace(replace(replace(replace(text, 'tokens', '***'), 'ation', '***'), 'token', '***'), "
     r"'eaux', '***'), 'the', '***'), '\b(password|pwd|uid)\s*=\s*[^;\s]+', '\1=***', 'gi')"
@@ -312,7 +312,7 @@ from registry where status = 'CONFIRMED' and owner is not null""",
 with {REGISTRY} select status, count(*) as n, min(date_from) as date_from, max(date_to) as date_to
 from registry where authoritative and status <> 'RETIRED' group by 1""",
     "find_entry": f"""
-with {REGISTRY}, best as (select l_suppkey from lineitem where l_shipdate >= timestamp '2001-04-01'
+with {REGISTRY}, best as (select l_suppkey from lineitem
                           group by 1 order by count(*) desc, 1 limit 1)
 select {STATUS_COLUMNS} from registry
 where is_current and source_type = (select 'SUP_' || cast(l_suppkey as varchar) from best)""",
@@ -351,13 +351,17 @@ select event_id as "EVENT_ID", user_id as "USER_ID", event_type as "EVENT_TYPE",
 from events where event_type = 'error'""",
     "trim_char_columns": "select c_custkey, c_name as name, c_mktsegment as segment from customer",
     "ledger_identities": f"""
-with {LEDGER}, {REGISTRY}
-select 'LAKE' as source_system, r.owner as source_owner, r.object_name as source_object, r.copy_id as source_copy_id,
-       coalesce(r.discriminator_column, '') as source_discriminator_column,
-       coalesce(r.discriminator_value, '') as source_discriminator_value, l.source_row_key
-from ledger l join registry r on r.source_type = 'SUP_' || cast(l.l_suppkey as varchar)
-  and r.authoritative and r.status = 'CONFIRMED' and r.owner is not null and month(r.date_to) = 3
-  and l.entry_date between r.date_from and r.date_to""",
+with {LEDGER}, {REGISTRY}, found as (
+  select l.source_row_key, r.registry_key, r.copy_id, r.owner, r.object_name, r.discriminator_column, r.discriminator_value,
+         coalesce(r.status = 'CONFIRMED' and r.owner is not null, false) as usable
+  from ledger l left join registry r on r.source_type = 'SUP_' || cast(l.l_suppkey as varchar)
+    and r.authoritative and r.status <> 'RETIRED' and month(r.date_to) = 3 and l.entry_date between r.date_from and r.date_to)
+select case when usable then 'LAKE' end as source_system, case when usable then owner end as source_owner,
+       case when usable then object_name end as source_object, case when usable then copy_id end as source_copy_id,
+       case when usable then coalesce(discriminator_column, '') end as source_discriminator_column,
+       case when usable then coalesce(discriminator_value, '') end as source_discriminator_value, source_row_key,
+       case when registry_key is null then 'NO_SOURCE' when not usable then 'NOT_CONFIRMED' end as unresolved
+from found""",
     "scope_totals": f"""
 with {SHARED}
 select source_system, source_owner, source_object, source_copy_id, source_discriminator_column,
@@ -471,19 +475,15 @@ select * from {PART} where upper(p_name) like '%RING%' or upper(p_brand) like '%
   or upper(p_name) like 'BRAND#1_' or upper(p_brand) like 'BRAND#1_' or upper(p_type) like 'BRAND#1_'
   or upper(p_name) like '%ECO%Y' or upper(p_brand) like '%ECO%Y' or upper(p_type) like '%ECO%Y'""",
     "filter_any_regex": rf"""
-select * from {PART} where regexp_matches(p_name, '(WIDGET|brand#2\d|^7$)', 'i')
-  or regexp_matches(p_brand, '(WIDGET|brand#2\d|^7$)', 'i') or regexp_matches(p_type, '(WIDGET|brand#2\d|^7$)', 'i')
-  or p_partkey = 7 or p_size = 7""",
+select * from {PART} where regexp_matches(concat_ws(chr(10), p_name, p_brand, p_type, cast(p_retailprice as varchar)),
+                                          '(WIDGET|brand#2\d|77\.)', 'i') or p_partkey = 7 or p_size = 7""",
     "filter_any_contains": f"select * from {PART} where contains(upper(concat_ws('|', p_name, p_brand, p_type)), 'WIDGET')",
-    "candidate_rows": f"""
-select * from {PART} where contains(upper(concat_ws('|', p_name, p_brand, p_type)), 'WIDGET')
-order by p_partkey limit 50""",
+    "candidate_rows": f"select * from {PART} where contains(concat_ws('|', p_name, p_brand, p_type, p_size, p_retailprice), '9.5')",
     "evidence_list": """
-select * from orders where upper(o_orderpriority) like '%URGENT%' or upper(o_orderpriority) like '5-L_W'
-order by o_orderkey limit 5000""",
+select * from orders where upper(o_orderpriority) like '%URGENT%' or upper(o_orderpriority) like '5-L_W'""",
     "shareable_report": """
 select c_custkey, replace(c_mktsegment, 'MACH', '***') as c_mktsegment from customer
-where c_mktsegment ilike '%machinery%' or c_name like 'Customer#%7' order by c_custkey limit 300""",
+where c_mktsegment ilike '%machinery%' or c_name like 'Customer#%7'""",
     "drop_sensitive_columns": "select event_id, ts, event_type, value, props from events",
     "shareable_view": rf"""
 select row_id, regexp_replace(replace(site, 'MART', '***'), 'x^', '') as site,

@@ -9,7 +9,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.fixed_values import CANDIDATE_ROW_CAP, IDENTITY, SHARED_ROW_CAP
+from ledgerspark.fixed_values import IDENTITY
 from ledgerspark.functions.ageing import age_bucket, age_days
 from ledgerspark.functions.calendar import fiscal_year
 from ledgerspark.functions.hashing import row_hash
@@ -173,7 +173,6 @@ def find_entry(spark, sf):
     """The current copy of the best-selling supplier, looked up and shown with its status line."""
     best = (
         src.table(spark, sf, "lineitem")
-        .filter("l_shipdate >= timestamp '2001-04-01'")
         .groupBy("l_suppkey")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "l_suppkey")
@@ -276,7 +275,7 @@ def trim_char_columns(spark, sf):
 
 @register
 def ledger_identities(spark, sf):
-    """Identity of every ledger row from the confirmed source of its supplier and fiscal year."""
+    """Identity of every ledger row from the confirmed source of its supplier and fiscal year, or why it has none."""
     entries = durable(src.registry(spark, sf).filter("month(date_to) = 3 and date_from <= date_to"), "registry")
     rows = src.ledger(spark, sf).select("source_row_key", "entry_date", "l_suppkey")
     resolved = coverage.resolve_as_of(
@@ -284,12 +283,9 @@ def ledger_identities(spark, sf):
         entries,
         type_col=F.concat(F.lit("SUP_"), F.col("l_suppkey").cast("string")),
         date_col="entry_date",
-        validate=False,
     )
-    identified = identity.with_identity_from_registry(
-        resolved.filter(F.col("source_registry_key").isNotNull()), entries, F.col("row_key"), src.SOURCE_SYSTEM
-    )
-    return identified.select(*IDENTITY)
+    identified = identity.with_identity_from_registry(resolved, entries, F.col("row_key"), src.SOURCE_SYSTEM)
+    return identified.select(*IDENTITY, "unresolved")
 
 
 @register
@@ -516,35 +512,34 @@ def evidence_cells(spark, sf):
     return rows.select("row_index", F.concat_ws(",", F.array_sort(found)).alias("cells"))
 
 
+def _parts(spark, sf) -> DataFrame:
+    return src.table(spark, sf, "part").withColumn("p_retailprice", money(F.col("p_retailprice")))
+
+
 @register
 def filter_any_like(spark, sf):
-    part = src.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return privacy.filter_any_like(part, ("%RING%", "BRAND#1_", "%ECO%Y"))
+    return privacy.filter_any_like(_parts(spark, sf), ("%RING%", "BRAND#1_", "%ECO%Y"))
 
 
 @register
 def filter_any_regex(spark, sf):
-    part = src.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return privacy.filter_any_regex(part, r"(WIDGET|brand#2\d|^7$)")
+    return privacy.filter_any_regex(_parts(spark, sf), r"(WIDGET|brand#2\d|^7$|77\.)")
 
 
 @register
 def filter_any_contains(spark, sf):
-    part = src.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return privacy.filter_any_contains(part, "widget", row_index="p_partkey")
+    return privacy.filter_any_contains(_parts(spark, sf), "widget", row_index="p_partkey")
 
 
 @register
 def candidate_rows(spark, sf):
-    """The bounded candidate report: the first 50 rows, by index, that mention a token."""
-    part = src.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    found = privacy.filter_any_contains(part, "widget", row_index="p_partkey")
-    return profile.bounded_sample(found, CANDIDATE_ROW_CAP, order_by=("p_partkey",))
+    """All rows that mention a number, in any cell."""
+    return privacy.filter_any_contains(_parts(spark, sf), "9.5", row_index="p_partkey")
 
 
 @register
 def evidence_list(spark, sf):
-    """The bounded evidence list: the first 5000 matching rows by index."""
+    """The whole evidence list."""
     return privacy.evidence_list(src.table(spark, sf, "orders"), ("%URGENT%", "5-L_W"), row_index="o_orderkey")
 
 
@@ -563,11 +558,11 @@ def shareable_view(spark, sf):
 
 @register
 def shareable_report(spark, sf):
-    """The bounded shareable view: the first 300 relevant rows by key."""
+    """The shareable view of all relevant rows."""
     customers = src.table(spark, sf, "customer").withColumnRenamed("c_name", "author")
     return privacy.shareable_view(
         customers, ["c_custkey", "author", "c_mktsegment"], row_pattern="(machinery|Customer#.*7$)",
-        row_cap=SHARED_ROW_CAP, order_by=["c_custkey"], secrets=["MACH"],
+        secrets=["MACH"],
     )
 
 

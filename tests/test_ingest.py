@@ -210,6 +210,28 @@ def test_missing_column_counts_as_zero_and_empty_total_is_zero(spark):
     assert tuple(P.fact_total(P.empty_facts(incoming), "debit", "tax").head()) == (D(0), D(0))
 
 
+def test_payload_is_replaced_as_a_whole(spark):
+    first = batch(spark, [(A, "1", "5")]).withColumn("note", F.lit("old"))
+    facts = P.facts_after(P.promote(P.empty_facts(first), first, extracted_at=T1))
+    changed = batch(spark, [(A, "1", "6")])
+    assert P.facts_after(P.promote(facts, changed, extracted_at=T2)).head().note is None
+    with pytest.raises(P.BatchRejected, match="colour"):
+        P.promote(facts, changed.withColumn("colour", F.lit("red")), extracted_at=T2)
+    with pytest.raises(Exception, match="more than once"):
+        P.promote(facts, changed.union(changed), extracted_at=T2).collect()
+
+
+def test_unresolved_sources_keep_their_rows(spark):
+    from ledgerspark import schemas
+
+    registry = spark.createDataFrame([], schemas.REGISTRY)
+    rows = spark.createDataFrame([("S|C|1", 1), (None, 2)], "source_registry_key string, id int")
+    got = identity.with_identity_from_registry(rows, registry, F.col("id"), "SYS")
+    assert {(r.source_row_key, r.unresolved) for r in got.collect()} == {("1", "NOT_CONFIRMED"), ("2", "NO_SOURCE")}
+    with pytest.raises(Exception, match="NOT_CONFIRMED|NO_SOURCE"):
+        identity.with_identity_from_registry(rows, registry, F.col("id"), "SYS", strict=True).collect()
+
+
 # ---- staging ----
 
 

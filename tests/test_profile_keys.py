@@ -38,7 +38,7 @@ def test_light_profile_approximate(ledger):
 
 
 def test_light_profile_is_one_scan_of_the_needed_columns(spark, small):
-    lineitem = src.table(spark, small, "lineitem")
+    lineitem = src.table(spark, small, "lineitem").withColumn("l_tax", F.col("l_tax").cast("decimal(20,4)"))
     text = plan(pr.profile_light(lineitem, date_col="l_shipdate", debit_col="l_tax", distinct_cols=("l_suppkey", "l_partkey", "l_returnflag")))
     assert text.count("Scan parquet") == 2  # once in the tree, once in the list of nodes
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_tax:double,l_returnflag:string,l_shipdate:timestamp_ntz>" in text
@@ -86,12 +86,20 @@ def test_sample(spark):
 
 
 def test_roles(ledger):
-    required, optional = ("date_col", "debit_col"), ("sl_col",)
-    assert pr.resolve_roles(ledger, ROLES, required, optional) == {"date_col": "ENTRYDATE", "debit_col": "DEBIT", "sl_col": "SLCODE"}
-    with pytest.raises(ValueError, match="needed"):
-        pr.resolve_roles(ledger, {"date_col": "ENTRYDATE"}, required)
-    with pytest.raises(ValueError, match="not a column"):
-        pr.resolve_roles(ledger, {"date_col": "ENTRYDATE", "debit_col": "NOPE"}, required)
+    roles = (pr.Role("date_col"), pr.Role("debit_col"), pr.Role("sl_col", needed=False))
+    given = {k: v for k, v in ROLES.items() if k in ("date_col", "debit_col", "sl_col")}
+    assert pr.resolve_roles(ledger, given, roles) == {"date_col": "ENTRYDATE", "debit_col": "DEBIT", "sl_col": "SLCODE"}
+    with pytest.raises(ValueError) as all_faults:  # one error names every fault
+        pr.resolve_roles(ledger, {"date_col": "NOPE", "colour_col": "X"}, roles)
+    for part in ("NOPE", "debit_col is not assigned", "colour_col is no role"):
+        assert part in str(all_faults.value)
+
+
+def test_amounts_keep_their_scale(spark):
+    df = spark.sql("select stack(3, 1.0049, 1.0049, 1.0049) as amount").withColumn("f", F.col("amount").cast("double"))
+    assert str(pr.profile_light(df, debit_col="amount").head().DEBIT) == "3.0147"
+    with pytest.raises(TypeError):
+        pr.profile_light(df, debit_col="f")
 
 
 def test_discovery(ledger):

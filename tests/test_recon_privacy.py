@@ -85,7 +85,7 @@ def test_totals_of_all_scopes(spark):
                                "site string, acc string, debit decimal(20,2), credit decimal(20,2)")
     got = rows(recon.recon_totals(df, {"site": F.col("site"), "account": F.col("acc")}).filter("check_name = 'debit'"))
     assert got == [("debit", "account:A", D(1)), ("debit", "account:B", D(2)), ("debit", "company", D(3)),
-                   ("debit", "site:-", D(0)), ("debit", "site:S1", D(3))]
+                   ("debit", "site:S1", D(3)), ("debit", "site~", D(0))]
 
 
 def test_totals_expand_only_the_summed_table(spark, small):
@@ -166,8 +166,10 @@ def listing(spark):
 
 def test_any_like(listing):
     assert {r.CUBE_ID for r in privacy.filter_any_like(listing).collect()} == {"61", "93", "7"}
-    assert privacy.filter_any_like(listing, estimated_rows=5000).count() == 4  # a small list is kept whole
-    assert privacy.filter_any_like(listing, estimated_rows=5001).count() == 3
+    assert privacy.evidence_list(listing, row_index="CUBE_ID").count() == 3
+    capped = privacy.evidence_list(listing, row_index="CUBE_ID", row_cap=2).collect()
+    assert [(r.CUBE_ID, r.truncated) for r in capped] == [("61", True), ("7", True)]
+    assert not any(r.truncated for r in privacy.evidence_list(listing, row_index="CUBE_ID", row_cap=3).collect())
     numbers = listing.select(F.lit(1).alias("n"))
     assert privacy.filter_any_like(numbers).count() == 4
 
@@ -192,11 +194,58 @@ def test_shareable_view_does_not_leak(spark, listing):
     assert view.columns == ["CUBE_ID", "CUBE_NAME", "NOTE"]
     assert {r.CUBE_ID for r in view.collect()} == {"61", "93", "7"}  # judged on all cells, dropped ones too
     capped = privacy.shareable_view(df, ["CUBE_ID"], row_cap=2, order_by=["CUBE_ID"])
-    assert [r.CUBE_ID for r in capped.collect()] == ["61", "7"]
+    assert [(r.CUBE_ID, r.truncated) for r in capped.collect()] == [("61", True), ("7", True)]
     with pytest.raises(ValueError):
         privacy.shareable_view(df, ["CUBE_ID"], row_cap=2)
 
 
+def test_nested_values_do_not_leak(spark):
+    df = spark.sql("""select 'FIN' as k, named_struct('note', 'pwd=abc', 'user_email', 'x@y', 'deep', array(named_struct('author', 'ravi', 't', 'uid=7 secret9'))) as s,
+                      array('pwd=def', null) as a, map('author', 'ravi', 'n', 'secret9') as m, cast(null as struct<note:string,user_email:string>) as z""")
+    view = privacy.shareable_view(df, ["k", "s", "a", "m", "z"], secrets=["secret9"])
+    row = view.head()
+    assert json.loads(view.select(F.to_json(F.struct("*"))).head()[0]) == {"k": "FIN", "s": {"note": "pwd=***", "deep": [{"t": "uid=*** ***"}]}, "a": ["pwd=***", None], "m": {"n": "***"}}
+    assert row.z is None and row.s.asDict().keys() == {"note", "deep"}
+
+
+def test_exact_reconciliation(spark):
+    from ledgerspark.operators import recon
+
+    source = spark.sql("select stack(3, 1.0049, 1.0049, 1.0049) as debit, 'a' as site")
+    mart = spark.sql("select cast(1.00 as decimal(20,2)) as debit, 'a' as site from range(3)")
+    scopes = {"site": F.col("site")}
+    results = recon.recon_compare(recon.recon_totals(source, scopes, ("debit",)), recon.recon_totals(mart, scopes, ("debit",)))
+    off = {r.scope: str(r.variance_mart) for r in results.filter("check_name = 'debit'").collect()}
+    assert off == {"company": "-0.0147", "site:a": "-0.0147"} and not recon.recon_gate(results).head().gate_passed
+
+
+def test_null_scopes_and_repeats(spark):
+    from ledgerspark.operators import recon
+
+    rows = spark.createDataFrame([(None, 1), ("-", 2), ("~", 3)], "site string, debit int")
+    totals = recon.recon_totals(rows, {"site": F.col("site")}, ("debit",))
+    assert {r.scope for r in totals.collect()} == {"company", "site~", "site:-", "site:~"}
+    results = recon.recon_compare(totals, totals)
+    assert results.count() == 8 and recon.recon_gate(results).head().gate_passed
+    twice = spark.createDataFrame([("debit", "site:-", "x"), ("debit", "site:-", "y")], "check_name string, scope string, explanation string")
+    with pytest.raises(Exception, match="more than one explanation"):
+        recon.recon_compare(totals, totals, explanations=twice).collect()
+
+
+def test_row_hash_is_blind_to_the_time_zone(spark):
+    from ledgerspark.functions.hashing import row_hash
+
+    df = spark.createDataFrame([(1_700_000_000,)], "s long").select(F.timestamp_seconds("s").alias("t"))
+    kept, found = spark.conf.get("spark.sql.session.timeZone"), set()
+    try:
+        for zone in ("UTC", "Asia/Kolkata", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            found.add(df.select(row_hash(df, ["t"]).alias("h")).head().h)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+    assert len(found) == 1
+
+
 # ---- sources ----
 
 
@@ -234,6 +283,11 @@ def test_jdbc_options_split_the_read():
     p = entry("LEDGER", owner="FIN").physical
     o = ledgers.jdbc_options("jdbc:x:", p, partition_column="ID", lower=0, upper=10**9, partitions=400, driver="d")
     assert o["dbtable"] == "FIN.LEDGER" and o["numPartitions"] == "400" and o["upperBound"] == "1000000000" and o["driver"] == "d"
-    assert "partitionColumn" not in ledgers.jdbc_options("jdbc:x:", p)
+    assert "partitionColumn" not in ledgers.jdbc_options("jdbc:x:", p, single_task=True)
+    for odd in (entry("(select * from secrets) x"), entry("../T"), entry("T`", ("A", "1")), entry("T", owner="a b")):
+        with pytest.raises(ValueError):
+            ledgers.jdbc_options("jdbc:x:", odd.physical, single_task=True)
+    with pytest.raises(ValueError):
+        ledgers.jdbc_options("jdbc:x:", p)
     with pytest.raises(ValueError):
         ledgers.jdbc_options("jdbc:x:", p, partition_column="ID")

@@ -166,7 +166,7 @@ def test_resolve_plans(spark, small):
     entries = src.registry(spark, small, src.YEARLY_REGISTRY)
     orders = src.table(spark, small, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     kind = F.concat(F.lit("ORD_"), F.substring("o_orderpriority", 1, 1))
-    args = dict(type_col=kind, date_col="o_orderdate", validate=False)
+    args = dict(type_col=kind, date_col="o_orderdate")
     text = plan(coverage.resolve_as_of(orders, entries, **args))
     assert "BroadcastHashJoin" in text and "NestedLoop" not in text
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
