@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 from ledgerspark.llm.common import mix64, shingle_set
 from ledgerspark.session import durable
 
-FREQUENT = 32  # a shingle seen so often within tasks comes last in the orders
-MOST_FREQUENT = 1 << 16  # so many at most are sent to the tasks; which ones is only a matter of speed
+FREQUENT = 6  # a shingle seen so often within tasks comes last in the orders
+MOST_FREQUENT = 1 << 18  # so many at most are sent to the tasks; which ones is only a matter of speed
 SALTS = (0x1F3D5B79, 0x2A4C6E80, 0x35577991)
 LEADERS = 16  # members of a large group that each document is compared with in one round of stars
 COUNTED = 1 << 21  # shingles that a task counts at a time
 CACHED_SETS = 200
+SENT_IDS = 500_000  # ids (16 bytes each) up to which they are broadcast
+PAIRS = 2  # tests per posting up to which all pairs between components are tested at once
+FEW = 100_000  # tests that are never worth a round of stars
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -101,26 +104,27 @@ def filtered_sets(docs: DataFrame, k: int, percent: int, text_col: str = "text")
     return docs.select("doc_id", text_col).mapInPandas(sets, schema)
 
 
-def components(links: DataFrame, label: str = "component") -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component: all nodes of the links (a, b), with the same value for nodes that are connected.
 
     In each round every node takes the name of the neighbour (or itself) whose hash is smallest, and links between equal
     names vanish. With a new hash in each round the number of names falls by a constant factor, whatever the shape.
     """
-    edges = durable(links.select("a", "b").filter("a <> b").dropDuplicates(), "jaccard-edges")
-    names = edges.select(F.explode(F.array("a", "b")).alias("node")).dropDuplicates().withColumn(label, F.col("node"))
-    turn = 0
+    first = edges = durable(links.select("a", "b").filter("a <> b").dropDuplicates(), "jaccard-edges")
+    renamings = []
     while edges.head() is not None:
-        both = edges.select("a", "b").union(edges.select("b", "a"))
+        turn = len(renamings)
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("node"))  # noqa: E731, B023
-        chosen = both.groupBy("a").agg(F.min(rank("b")).alias("best")).select("a", F.least("best", rank("a"))["node"].alias("to"))
-        chosen = durable(chosen, "jaccard-chosen")
-        names = durable(names.join(chosen, names[label] == chosen["a"], "left").select("node", F.coalesce("to", label).alias(label)), "jaccard-names")
-        left = edges.join(chosen, "a").select(F.col("to").alias("x"), "b").join(chosen.withColumnRenamed("a", "b").withColumnRenamed("to", "y"), "b")
-        ends = left.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).dropDuplicates()
-        edges = durable(ends, "jaccard-edges")
-        turn += 1
-    return names
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        chosen = both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("old"), F.least("best", rank("a"))["node"].alias("new"))
+        renamings.append(chosen := durable(chosen, "jaccard-chosen"))
+        named = lambda c, to: chosen.select(F.col("old").alias(c), F.col("new").alias(to))  # noqa: E731, B023
+        ends = edges.join(named("a", "x"), "a").join(named("b", "y"), "b").filter("x <> y")
+        edges = durable(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).dropDuplicates(), "jaccard-edges")
+    out = first.select(F.explode(F.array("a", "b")).alias("node")).dropDuplicates().withColumn("component", F.col("node"))
+    for r in renamings:  # a name that a round no longer has stays as it is
+        out = out.join(r, out["component"] == r["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+    return out
 
 
 def _near_in_size(n: str, m: str, percent: int) -> Column:
@@ -128,7 +132,7 @@ def _near_in_size(n: str, m: str, percent: int) -> Column:
 
 
 class _Join:
-    """The tables of one join: postings under the first order, filters under the others, and texts."""
+    """The tables of one join: postings under the first order and filters under the others."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int, text_col: str):
         self.k, self.percent = k, percent
@@ -137,24 +141,29 @@ class _Join:
         shared = entries.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi").select("token")
         entries = durable(entries.join(durable(shared, "jaccard-shared"), "token"), "jaccard-entries")
         self.postings = durable(entries.dropDuplicates(), "jaccard-postings")
-        self.n_postings = self.postings.count()
-        first = self.sets.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-        self.firsts = durable(first, "jaccard-firsts")
+        self.firsts = self.sets.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
         wanted = durable(self.firsts.join(self.postings.select("set_id").dropDuplicates(), "set_id"), "jaccard-wanted")
         same = lambda left, right: left["doc_id"].eqNullSafe(right["doc_id"])
         rows = self.sets.join(wanted.withColumnRenamed("set_id", "wanted"), same(self.sets, wanted))
         self.filters = durable(rows.filter("set_id = wanted").select("set_id", "p2", "p3"), "jaccard-filters")
-        found = docs.select("doc_id", F.col(text_col).alias("text"))
-        found = found.join(wanted, same(found, wanted)).select("set_id", "text")
-        self.texts = durable(found.mapInPandas(_of_set(k), "set_id long, text string"), "jaccard-texts")
+        self.docs = docs.select("doc_id", F.col(text_col).alias("text"))
+
+    def texts(self, pairs: DataFrame) -> DataFrame:
+        """set_id, text of the sets in the pairs. Ids of a counted, bounded number are sent to the texts, others meet them by shuffle."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).dropDuplicates()
+        ids = durable(ids.join(self.firsts, "set_id"), "jaccard-wanted")
+        few = ids.count() <= SENT_IDS
+        rows = self.docs.join(F.broadcast(ids) if few else ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("set_id", "text")
+        return durable(rows.mapInPandas(_of_set(self.k), "set_id long, text string"), "jaccard-texts")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the candidate pairs (a, b) that pass the other orders' filters and the verification."""
-        pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates(), "jaccard-pairs")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates()
         side = lambda t, c: t.select(F.col("set_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in t.columns[1:]])
         passed = pairs.join(side(self.filters, "a"), "a").join(side(self.filters, "b"), "b")
         passed = durable(passed.filter(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b"), "jaccard-passed")
-        both = passed.join(side(self.texts, "a"), "a").join(side(self.texts, "b"), "b")
+        texts = self.texts(passed)
+        both = passed.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
         return durable(both.select("a", "b", "text_a", "text_b").mapInPandas(_verified(self.k, self.percent), "a long, b long"), "jaccard-links")
 
     def stars(self, members: DataFrame, turn: int) -> DataFrame:
@@ -176,33 +185,46 @@ class _Join:
         return left.join(right, on).select("a", "b")
 
     def components(self) -> DataFrame:
-        """set_id, component of every set that has a link."""
+        """set_id, component of every set that has a link.
+
+        Rounds of stars come first, while testing all pairs between components would cost more than ``PAIRS`` tests per
+        posting and the last round joined something; the final round tests all of them.
+        """
         spark = self.postings.sparkSession
-        names = durable(spark.createDataFrame([], "set_id long, component long"), "jaccard-names")
-        for turn in range(1 << 10):
-            members = self.postings.join(names, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-            members = durable(members, "jaccard-members")
+        names = spark.createDataFrame([], "set_id long, component long")
+        turn, found = 0, True
+        while True:
+            members = self.postings
+            if turn:
+                members = members.join(names, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+            else:
+                members = members.withColumn("component", F.col("set_id"))
             sizes = members.groupBy("token", "component").agg(F.count("*").alias("size"))
             largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.max("size").alias("most"))
-            largest = durable(largest.filter("all > most"), "jaccard-largest")
-            tests = largest.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).head()[0] or 0
-            last = turn > 0 and (tests <= self.n_postings or not found)  # noqa: F821
-            mixed = durable(members.join(largest.select("token"), "token"), "jaccard-mixed")
-            links = self.linked(self.crossing(mixed, largest.select("token", "top")) if last else self.stars(mixed, turn))
+            largest = durable(largest, "jaccard-largest")
+            tests, postings = largest.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")), F.sum("all")).head()
+            last = (tests or 0) <= max(PAIRS * (postings or 0), FEW) or not found
+            mixed = largest.filter("all > most").select("token", "top")
+            if last:
+                links = self.linked(self.crossing(members, mixed))
+            else:
+                links = self.linked(self.stars(durable(members.join(mixed.drop("top"), "token"), "jaccard-mixed"), turn))
             found = links.head() is not None
             if found:
                 names = self._joined(names, links)
             if last:
                 return names
+            turn += 1
 
     def _joined(self, names: DataFrame, links: DataFrame) -> DataFrame:
         """``names`` after the links joined components; sets that had no link before come in."""
         named = lambda c: names.select(F.col("set_id").alias(c), F.col("component").alias(f"of_{c}"))
         ends = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
-        ends = durable(ends.select("a", "b", F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y")), "jaccard-ends")
-        renamed = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "old").withColumnRenamed("component", "new")
-        new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("set_id"), F.col("x").alias("component")), F.struct(F.col("b").alias("set_id"), F.col("y").alias("component")))).alias("e"))
-        every = names.union(new.select("e.*")).dropDuplicates()
+        ends = ends.select("a", "b", F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y"))
+        renamed = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("old", "new")
+        entry = lambda i, c: F.struct(F.col(i).alias("set_id"), F.col(c).alias("component"))
+        new = ends.select(F.explode(F.array(entry("a", "x"), entry("b", "y"))).alias("e")).select("e.*")
+        every = names.union(new).dropDuplicates()
         out = every.join(renamed, every["component"] == renamed["old"], "left").select("set_id", F.coalesce("new", "component").alias("component"))
         return durable(out, "jaccard-names")
 
