@@ -169,16 +169,19 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
+    prefix: str = "",
 ) -> DataFrame:
     """The rows of ``docs`` with ``n_words``, ``hit_runs`` (word positions, end exclusive) and ``hit_items``.
 
     A window is ``window`` consecutive words of an item; an item with fewer words is one window. Items without words
     have none. A null or empty text has no words; a null item id counts as the text ``null``; rows of ``items`` with one
-    id are one item. Existing columns named like the results are replaced.
+    id are one item. ``prefix`` is put before the names of the results; existing columns of these names are replaced.
     """
     spark = docs.sparkSession
-    result = {"n_words": "long", "hit_runs": "array<struct<first:int,end:int>>", "hit_items": "array<string>"}
+    kinds = ("long", "array<struct<first:int,end:int>>", "array<string>")
+    result = dict(zip([prefix + c for c in ("n_words", "hit_runs", "hit_items")], kinds))
+    n_words, hit_runs, hit_items = result
     kept = docs.drop(*[c for c in docs.columns if c.lower() in result])
     out = kept.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in result.items()])
     schema = T.StructType([*kept.schema.fields, *[out.schema[c] for c in result]])
@@ -188,7 +191,7 @@ def find_contamination(
             machine = automaton.value if automaton is not None else None
             for batch in batches:
                 counts, runs, names = [], [], []
-                for text, old_runs, old_names in zip(batch[text_col], batch["hit_runs"], batch["hit_items"], strict=True):
+                for text, old_runs, old_names in zip(batch[text_col], batch[hit_runs], batch[hit_items], strict=True):
                     words = alnum_words(text)
                     new_runs, new_names = machine.scan(words) if machine is not None else ([], set())
                     if not first:
@@ -197,7 +200,7 @@ def find_contamination(
                     counts.append(len(words))
                     runs.append([{"first": a, "end": b} for a, b in new_runs])
                     names.append(sorted(new_names))
-                yield batch.assign(n_words=counts, hit_runs=runs, hit_items=names)
+                yield batch.assign(**{n_words: counts, hit_runs: runs, hit_items: names})
 
         return run
 
@@ -241,19 +244,21 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
     A document of whose words more than ``max_coverage`` are hit goes. Documents without hits stay as they are,
     null and empty texts among them.
     """
-    found = find_contamination(docs, items, window=window)
+    prefix = max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0) * "_" + "_"
+    found = find_contamination(docs, items, window=window, prefix=prefix)
+    n_words, hit_runs, hit_items = (prefix + c for c in ("n_words", "hit_runs", "hit_items"))
     schema = docs.schema
     sizes = "n_chars" in docs.columns
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hit = [sum(r["end"] - r["first"] for r in runs) for runs in batch["hit_runs"]]
-            keep = [h <= max_coverage * n for h, n in zip(hit, batch["n_words"], strict=True)]
-            texts = [_without(t, r) if k and len(r) else t for t, r, k in zip(batch["text"], batch["hit_runs"], keep, strict=True)]
+            hit = [sum(r["end"] - r["first"] for r in runs) for runs in batch[hit_runs]]
+            keep = [h <= max_coverage * n for h, n in zip(hit, batch[n_words], strict=True)]
+            texts = [_without(t, r) if k and len(r) else t for t, r, k in zip(batch["text"], batch[hit_runs], keep, strict=True)]
             batch = batch.assign(text=texts)[keep]
-            yield batch.drop(columns=["n_words", "hit_runs", "hit_items"])
+            yield batch.drop(columns=[n_words, hit_runs, hit_items])
 
-    out = found.select(*docs.columns, "n_words", "hit_runs", "hit_items").mapInPandas(cut, schema)
+    out = found.mapInPandas(cut, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if sizes else out
 
 

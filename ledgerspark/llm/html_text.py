@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,10 +53,11 @@ _space = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.children: list = []  # nodes and strings
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -75,6 +77,7 @@ def parse(source: str) -> Node:
     """The tree of a page. Missing end tags are supplied, stray ones ignored, a tag cut off at the end is left out."""
     root = Node("#root", None)
     at, top, end = root, 0, len(source)
+    opened: Counter = Counter()  # open elements by tag
 
     def text(piece: str) -> None:
         if piece:
@@ -82,13 +85,16 @@ def parse(source: str) -> Node:
 
     def close(tags: tuple[str, ...], scope: tuple[str, ...] = ()) -> None:
         nonlocal at
+        if not any(opened[t] for t in tags):
+            return
         node = at
-        while node.parent is not None and node.tag not in tags:
+        while node.tag not in tags:
             if node.tag in scope:
                 return
             node = node.parent
-        if node.parent is not None:
-            at = node.parent
+        while at is not node.parent:
+            opened[at.tag] -= 1
+            at = at.parent
 
     while top < end:
         m = _token.search(source, top)
@@ -108,10 +114,9 @@ def parse(source: str) -> Node:
         if tag in SIBLINGS:
             for _ in range(2 if tag == "tr" else 1):
                 close(SIBLINGS[tag], SCOPE[tag])
-        if tag in ("html", "body") and any(c.tag == tag for c in _line(at)):
+        if tag in ("html", "body") and opened[tag]:
             continue
-        inside_article = any(c.tag in ("article", "main") for c in _line(at))
-        dropped = tag in DROPPED or tag == "header" and not inside_article or tag not in ("html", "body", "article", "main") and _is_marked(attributes)
+        dropped = tag in DROPPED or tag == "header" and not at.inside or tag not in ("html", "body", "article", "main") and _is_marked(attributes)
         node = Node(tag, at, dropped)
         at.children.append(node)
         if tag in VOID:
@@ -123,6 +128,7 @@ def parse(source: str) -> Node:
             top = stop.end() if stop else end
         elif not attributes.rstrip().endswith("/") or tag in BLOCK:
             at = node
+            opened[tag] += 1
     return root
 
 
@@ -143,7 +149,8 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def _measure(root: Node, body: Node) -> list[Node]:
+def _measure(root: Node, body: Node) -> None:
+    """Counts, densities and density sums of all nodes that are not dropped."""
     nodes = _order(root)
     for node in reversed(nodes):
         linked = node.tag == "a"
@@ -167,20 +174,20 @@ def _measure(root: Node, body: Node) -> list[Node]:
     for node in nodes:
         node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.dropped)
         node.total += sum(len(_space.sub("", c)) for c in node.children if isinstance(c, str)) if node.tag in BLOCK else 0.0
-    return nodes
 
 
 def _chosen(root: Node) -> list[Node]:
     """The article subtrees in page order, none inside another."""
     body = next((n for n in _order(root) if n.tag == "body"), root)
-    nodes = [n for n in _measure(root, body) if body in _line(n)]
+    _measure(root, body)
+    nodes = _order(body)
     if not body.chars:
         return []
     main = max(nodes, key=lambda n: n.total)  # the first of equals
     if not main.chars:
         main = body
-    path = [n for n in _line(main) if body in _line(n)]
-    threshold = min(n.density for n in path)
+    line = list(_line(main))
+    threshold = min(n.density for n in line[: line.index(body) + 1])
     marked: set[int] = set()
     best: dict[int, Node] = {}
     for node in reversed(nodes):
@@ -190,12 +197,16 @@ def _chosen(root: Node) -> list[Node]:
         if node is not body and node.chars and node.density >= threshold or node is main:
             top = best[id(node)]
             marked.add(id(top if top.chars else node))
+    holds: set[int] = set()  # nodes with something marked in them
+    for node in reversed(nodes):
+        if id(node) in marked or id(node) in holds:
+            holds |= {id(node), id(node.parent)}
     out: list[Node] = []
     taken: set[int] = set()
     for node in nodes:
-        if any(id(n) in taken for n in _line(node)):
-            continue
-        if id(node) in marked or node.tag in ("article", "main") and any(id(n) in marked for n in _order(node)):
+        if id(node.parent) in taken:
+            taken.add(id(node))
+        elif id(node) in marked or node.tag in ("article", "main") and id(node) in holds:
             out.append(node)
             taken.add(id(node))
     return out

@@ -132,6 +132,21 @@ def span_features(text: str, start: int, end: int, n_words: int, before: str) ->
     )
 
 
+def possible(text: str, start: int, end: int) -> np.ndarray:
+    """Whether the segment may be each kind at all, however it scores: what can only be something else is nothing."""
+    s = text[start:end]
+    digits = "".join(_digits.findall(s))
+    low, bare = s.lower(), not any(c.isalpha() for c in s)
+    return np.array(
+        [
+            "@" in s or " at " in low or "(at)" in low or "[at]" in low,
+            bare and len(_digits.findall(s)) == 4 and len(digits) <= 12 and all(int(g) <= 255 for g in _digits.findall(s)),
+            bare and 12 <= len(digits) <= 19 and luhn(digits),
+            bare and 9 <= len(digits) <= 15,
+        ]
+    )
+
+
 class SemiCrf:
     """Weights of whole-span features per label and of neighbouring labels."""
 
@@ -139,25 +154,27 @@ class SemiCrf:
         self.weights = np.zeros((NOTHING + 1, FEATURES))
         self.moves = np.zeros((NOTHING + 1, NOTHING + 1))
 
-    def segments(self, text: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
-        """Features of the candidate segments, by first word and end; longer ones must hold a trace of personal data."""
+    def segments(self, text: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """Features and possible kinds of the candidate segments, by first word and end; longer ones must hold a trace of personal data."""
         out = {}
         for i in range(len(words)):
             for j in range(i + 1, min(len(words), i + MAX_CHUNKS) + 1):
                 start, end = _trim(text, words[i][0], words[j - 1][1])
                 if j > i + 1 and (end - start > MAX_CHARS or not _hint(text, start, end)):
                     continue
-                out[i, j] = span_features(text, start, min(end, start + 4 * MAX_CHARS), j - i, text[max(0, words[i][0] - 4) : words[i][0]])
+                features = span_features(text, start, min(end, start + 4 * MAX_CHARS), j - i, text[max(0, words[i][0] - 4) : words[i][0]])
+                kinds = possible(text, start, end) if end - start <= MAX_CHARS else np.zeros(NOTHING, bool)
+                if j == i + 1 or kinds.any():
+                    out[i, j] = features, kinds
         return out
 
     def scores(self, segments: dict) -> dict[tuple[int, int], np.ndarray]:
         out = {}
-        for (i, j), f in segments.items():
+        for (i, j), (f, kinds) in segments.items():
             s = self.weights @ f
+            s[:NOTHING][~kinds] = -np.inf
             if j > i + 1:
                 s[NOTHING] = -np.inf  # what is nothing stands word by word
-            if f[FEATURES - 2] > 0:
-                s[:NOTHING] = -np.inf  # longer than any entity
             out[i, j] = s
         return out
 
@@ -176,13 +193,13 @@ class SemiCrf:
             backward[i] = np.logaddexp.reduce(terms, axis=0)
         total = np.logaddexp.reduce(forward[n])
         grad_w, grad_m = np.zeros_like(self.weights), np.zeros_like(self.moves)
-        for (i, j), f in segments.items():
+        for (i, j), (f, _) in segments.items():
             joint = np.exp(np.minimum(0, forward[i][:, None] + self.moves + (scores[i, j] + backward[j])[None] - total))
             grad_m -= joint
             grad_w -= joint.sum(0)[:, None] * f[None]
         label = NOTHING
         for i, j, y in truth:
-            grad_w[y] += segments[i, j]
+            grad_w[y] += segments[i, j][0]
             grad_m[label, y] += 1
             label = y
         self.weights += rate * (grad_w - 1e-3 * self.weights)
@@ -260,8 +277,9 @@ def fit(samples: list[str]) -> SemiCrf:
         for text, found in versions:
             words = [m.span() for m in _word.finditer(text)][:40]
             truth = _truth(text, words, [s for s in found if words and s[1] <= words[-1][1]])
-            if words and truth is not None:
-                cases.append((len(words), model.segments(text, words), truth))
+            segments = model.segments(text, words)
+            if words and truth is not None and all((i, j) in segments and (y == NOTHING or segments[i, j][1][y]) for i, j, y in truth):
+                cases.append((len(words), segments, truth))
     order = np.random.default_rng(7)
     for turn in range(ROUNDS):
         for k in order.permutation(len(cases)):
