@@ -35,12 +35,14 @@ DIM = 16
 PLACES = (-2, -1, 1, 2)
 EVERY = 8
 ROUNDS = 2
-BATCH = 2048
+BATCH = 4096
 RATE = 0.3
 PIECE_ROWS = 64
 SALTS = 64
 COUNTED_WORDS = 500_000
-SCORED = 1 << 15  # positions scored at once
+SCORED = 1 << 13  # positions scored at once
+REMEMBERED = 300_000
+LARGEST = np.float32(80)  # logits beyond it count as it, so that no exponential overflows
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
@@ -64,10 +66,22 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
     return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
 
 
+class WordIds(dict):
+    """Ids of words; a word without id of its own has one of the shared ids, by its hash, and is remembered for a while."""
+
+    def __missing__(self, word: bytes) -> int:
+        shared = WORDS + zlib.crc32(word) % SHARED
+        if len(self) < REMEMBERED:
+            self[word] = shared
+        return shared
+
+    def __reduce__(self):
+        return WordIds, ({w: i for w, i in self.items() if i < WORDS},)
+
+
 def word_ids(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
-    """Ids of the words; a word without id of its own has one of the shared ids, by its hash."""
-    found = [ids.get(w, -1) for w in words]
-    return np.array([i if i >= 0 else WORDS + zlib.crc32(w) % SHARED for i, w in zip(found, words)], np.int64)
+    ids = ids if isinstance(ids, WordIds) else WordIds(ids)
+    return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
 
 
 class Network:
@@ -98,8 +112,12 @@ class Network:
         return np.stack([padded[at + p] + k * (PAD + 1) for k, p in enumerate(PLACES)], axis=1)
 
     def hidden(self, rows: np.ndarray) -> np.ndarray:
-        h = np.tanh(self.embeddings[rows].sum(1))
-        return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+        out = np.ones((len(rows), DIM + 1), np.float32)
+        h = self.embeddings[rows[:, 0]]
+        for place in range(1, len(PLACES)):
+            h += self.embeddings[rows[:, place]]
+        np.tanh(h, out=out[:, :DIM])
+        return out
 
     def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log-probability of the word at each position, given its neighbours."""
@@ -149,16 +167,17 @@ class Network:
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(1)
-    return top + np.log(np.exp(logits - top[:, None]).sum(1))
+    e = np.exp(np.minimum(logits, LARGEST))
+    return np.log(e @ np.ones(e.shape[1], np.float32))
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    e = np.exp(np.minimum(logits, LARGEST))
+    e /= (e @ np.ones(e.shape[1], np.float32))[:, None]
+    return e
 
 
-def _texts(batches: Iterator[pd.DataFrame], text_col: str, ids: dict, size: int) -> Iterator[tuple[list[int], np.ndarray]]:
+def _texts(batches: Iterator[pd.DataFrame], text_col: str, ids: WordIds, size: int) -> Iterator[tuple[list[int], np.ndarray]]:
     """Row numbers and words of consecutive texts, about ``size`` words at a time, with two pads around each text."""
     for batch in batches:
         numbers, parts, held = [], [], 0
@@ -179,7 +198,7 @@ def _padded(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([x for p in parts for x in (pad, p)] + [pad])
 
 
-def _round(docs: DataFrame, network: Network, ids: dict[bytes, int], turn: int, text_col: str) -> Network:
+def _round(docs: DataFrame, network: Network, ids: WordIds, turn: int, text_col: str) -> Network:
     """Train a copy in every task and average the changes."""
     shared = docs.sparkSession.sparkContext.broadcast((network, ids))
 
@@ -219,15 +238,15 @@ def _round(docs: DataFrame, network: Network, ids: dict[bytes, int], turn: int,
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Network, dict[bytes, int]]:
-    ids = {w: i for i, w in enumerate(vocabulary(docs, text_col))}
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Network, WordIds]:
+    ids = WordIds({w: i for i, w in enumerate(vocabulary(docs, text_col))})
     network = Network.fresh()
     for turn in range(rounds):
         network = _round(docs, network, ids, turn, text_col)
     return network, ids
 
 
-def score(docs: DataFrame, network: Network, ids: dict[bytes, int], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, network: Network, ids: WordIds, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with n_words, log_likelihood (sum) and mean_log_likelihood; columns of these names are replaced.
 
     Whole texts are scored. A text without words (null, empty) has the sum 0 and no mean.
