@@ -33,7 +33,8 @@ LEADERS = 16  # members of a large group that each document is compared with in
 COUNTED = 1 << 21  # shingles that a task counts at a time
 CACHED_SETS = 200
 SENT_IDS = 500_000  # ids (16 bytes each) up to which they are broadcast
-PAIRS = 2  # tests per posting up to which all pairs between components are tested at once
+PAIRS = 4  # tests per posting up to which all pairs between components are tested at once
+GAIN = 0.8  # what a round of stars must bring the tests down to for another one
 FEW = 100_000  # tests that are never worth a round of stars
 
 
@@ -188,11 +189,11 @@ class _Join:
         """set_id, component of every set that has a link.
 
         Rounds of stars come first, while testing all pairs between components would cost more than ``PAIRS`` tests per
-        posting and the last round joined something; the final round tests all of them.
+        posting and the last round made that cheaper; the final round tests all of them.
         """
         spark = self.postings.sparkSession
         names = spark.createDataFrame([], "set_id long, component long")
-        turn, found = 0, True
+        turn, before = 0, float("inf")
         while True:
             members = self.postings
             if turn:
@@ -203,14 +204,14 @@ class _Join:
             largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.max("size").alias("most"))
             largest = durable(largest, "jaccard-largest")
             tests, postings = largest.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")), F.sum("all")).head()
-            last = (tests or 0) <= max(PAIRS * (postings or 0), FEW) or not found
+            last = (tests or 0) <= max(PAIRS * (postings or 0), FEW) or tests > GAIN * before
+            before = tests
             mixed = largest.filter("all > most").select("token", "top")
             if last:
                 links = self.linked(self.crossing(members, mixed))
             else:
                 links = self.linked(self.stars(durable(members.join(mixed.drop("top"), "token"), "jaccard-mixed"), turn))
-            found = links.head() is not None
-            if found:
+            if links.head() is not None:
                 names = self._joined(names, links)
             if last:
                 return names

@@ -75,4 +75,73 @@ LLM_QUERIES = {
     "op10_chat": op10_chat,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHA1_BITS = (
+    "list_aggregate(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001',"
+    "'1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', sha1(payload)[i])]), 'string_agg', '')"
+)
+_ESCAPED = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '###', chr(92) || '###'), '</turn>', chr(92) || '</turn>')"
+
+#: Expected results in SQL, for the operators that SQL can express. The others are tested against brute force.
+LLM_ORACLES: dict[str, str] = {
+    "op1_jaccard": rf"""
+with recursive words as materialized (
+  select doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+sets as materialized (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+                      else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as s from words),
+classes as materialized (select s, min(doc_id) as rep from sets where len(s) > 0 group by s),
+tokens as materialized (select rep, len(s) as n, unnest(s) as t from classes),
+pairs as materialized (
+  select a.rep as x, b.rep as y from tokens a join tokens b on a.t = b.t and a.rep < b.rep and a.n * 10 >= b.n * 9 and b.n * 10 >= a.n * 9
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links as materialized (select x, y from pairs union all select y, x from pairs),
+reach as (select rep as x, rep as y from classes union select r.x, l.y from reach r join links l on l.x = r.y),
+component as (select x, min(y) as c from reach group by x)
+select d.doc_id, cast(len(d.s) as bigint) as n_shingles, coalesce(c.c, d.doc_id) as component_id
+from sets d left join classes k on k.s = d.s and len(d.s) > 0 left join component c on c.x = k.rep""",
+    "op7_warc": f"""
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, cast(strlen(payload) as bigint) as payload_bytes, min(page_id) over (partition by payload) as first, {_SHA1_BITS} as bits from p)
+select page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * cast(bits[5*i+1] as int) + 8 * cast(bits[5*i+2] as int) + 4 * cast(bits[5*i+3] as int) + 2 * cast(bits[5*i+4] as int)
+         + cast(bits[5*i+5] as int), 1)), 'string_agg', '') as payload_digest,
+       case when first < page_id then 'revisit' else 'response' end as record_type, case when first < page_id then first end as refers_to
+from d""",
+    "op8_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""",
+    "op9_decontaminate": rf"""
+with texts as (
+  select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+words as materialized (
+  select kind, id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from texts),
+windows as materialized (
+  select distinct id as item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as win
+  from (select id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from words where kind = 'b' and len(w) > 0)),
+sizes as (select distinct n from windows),
+grams as materialized (
+  select id, n, i, array_to_string(w[i:i + n - 1], ' ') as win
+  from (select id, w, n, unnest(range(1, len(w) - n + 2)) as i from words, sizes where kind = 'd' and len(w) >= n)),
+found as materialized (select g.id, g.i, g.n, b.item_id from grams g join windows b on b.n = g.n and b.win = g.win),
+hits as (select id, count(distinct p) as n_hit from (select id, unnest(range(i, i + n)) as p from found) group by id),
+items as (select id, count(*) as n_items, string_agg(item, ',' order by item) as l
+          from (select distinct id, cast(item_id as varchar) as item from found) group by id)
+select w.id as doc_id, cast(len(w.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words w left join hits h on h.id = w.id left join items i on i.id = w.id where w.kind = 'd'""",
+    "op10_chat": f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', chr(92) || '### Assistant: </turn> ok' union all select -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + {len('### ' + ': ' + ' </turn>') + 1}) as bigint) as formatted_chars
+from turns group by conv_id""",
+}
