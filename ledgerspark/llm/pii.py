@@ -48,6 +48,10 @@ def _octets(text: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in text.split("."))
 
 
+def _place(span: tuple[int, int, int]) -> tuple[int, int]:
+    return span[0], span[2]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) in code points of the plain spellings, by start and then kind. Linear in the text."""
     if not text or not _trigger(text):
@@ -70,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             digits = "".join(_digits.findall(m.group()))
             if least <= len(digits) <= most and (kind == 3 or luhn(digits)):
                 found.append((m.start(), m.end(), kind))
-    return sorted(found)
+    return sorted(found, key=_place)
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
@@ -321,7 +325,7 @@ def all_spans(text: str | None, model: SemiCrf | None) -> tuple[list[tuple[int,
         for a, b, kind in model.best(text, words):
             if all(b <= x or a >= y for x, y, _ in base):
                 added.append((a, b, kind))
-    return base, sorted(base + added)
+    return base, sorted(base + added, key=_place)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

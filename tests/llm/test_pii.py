@@ -25,7 +25,12 @@ def valid(kind, s):
 
 
 def brute(text):
-    return sorted((m.start(), m.end(), k) for k, p in enumerate(PATTERNS) for m in re.finditer(p, text or "") if valid(k, m.group()))
+    found = [(m.start(), m.end(), k) for k, p in enumerate(PATTERNS) for m in re.finditer(p, text or "") if valid(k, m.group())]
+    return sorted(found, key=lambda s: (s[0], s[2]))
+
+
+def test_order_is_by_start_and_then_kind():
+    assert P.joined(P.base_spans("1.2.3.4@x.com 1.2.3.4")) == "email:0:13,ip:0:7,ip:14:21"
 
 
 def test_base_spans_against_the_patterns():
