@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import mix64, shingle_set
+from ledgerspark.llm.common import shingle_set
 from ledgerspark.session import durable
 
 FREQUENT = 6  # a shingle seen so often within tasks comes last in the orders
 MOST_FREQUENT = 1 << 18  # so many at most are sent to the tasks; which ones is only a matter of speed
-SALTS = (0x1F3D5B79, 0x2A4C6E80, 0x35577991)
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)  # odd: each puts the hashes into another order
 LEADERS = 16  # members of a large group that each document is compared with in one round of stars
 COUNTED = 1 << 21  # shingles that a task counts at a time
 CACHED_SETS = 200
@@ -76,8 +76,9 @@ def _prefixes(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> list[np
     at = np.searchsorted(frequent, tokens)
     last = (at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == tokens) if len(frequent) else np.zeros(len(tokens), bool)
     out = []
-    for salt in SALTS:
-        place = (mix64(tokens ^ np.uint64(salt)) >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))
+    last = last.astype(np.uint64) << np.uint64(63)
+    for factor in FACTORS:
+        place = (tokens * np.uint64(factor)) >> np.uint64(1) | last
         out.append(tokens[np.argpartition(place, size - 1)[:size]] if size < len(tokens) else tokens)
     return out
 
@@ -150,12 +151,12 @@ class _Join:
         self.docs = docs.select("doc_id", F.col(text_col).alias("text"))
 
     def texts(self, pairs: DataFrame) -> DataFrame:
-        """set_id, text of the sets in the pairs. Ids of a counted, bounded number are sent to the texts, others meet them by shuffle."""
+        """set_id, sketch, text of the sets in the pairs. Ids of a counted, bounded number are sent to the texts, others meet them by shuffle."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).dropDuplicates()
         ids = durable(ids.join(self.firsts, "set_id"), "jaccard-wanted")
         few = ids.count() <= SENT_IDS
         rows = self.docs.join(F.broadcast(ids) if few else ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("set_id", "text")
-        return durable(rows.mapInPandas(_of_set(self.k), "set_id long, text string"), "jaccard-texts")
+        return durable(rows.mapInPandas(_of_set(self.k), "set_id long, sketch binary, text string"), "jaccard-texts")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the candidate pairs (a, b) that pass the other orders' filters and the verification."""
@@ -164,7 +165,10 @@ class _Join:
         passed = pairs.join(side(self.filters, "a"), "a").join(side(self.filters, "b"), "b")
         passed = durable(passed.filter(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b"), "jaccard-passed")
         texts = self.texts(passed)
-        both = passed.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
+        sketches, texts = texts.select("set_id", "sketch"), texts.select("set_id", "text")
+        both = passed.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").select("a", "b", "sketch_a", "sketch_b")
+        close = durable(both.mapInPandas(_close(self.percent), "a long, b long"), "jaccard-close")
+        both = close.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
         return durable(both.select("a", "b", "text_a", "text_b").mapInPandas(_verified(self.k, self.percent), "a long, b long"), "jaccard-links")
 
     def stars(self, members: DataFrame, turn: int) -> DataFrame:
@@ -230,12 +234,44 @@ class _Join:
         return durable(out, "jaccard-names")
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """The size of a set and its sorted distinct 16-bit ends of hashes."""
+    return np.uint64(len(tokens)).tobytes() + np.unique(tokens.astype(np.uint16)).tobytes()
+
+
+def most_common(a: bytes, b: bytes) -> tuple[int, int, int]:
+    """Sizes of two sets and the most that they can have in common, from their sketches.
+
+    Tokens with equal ends count once in a sketch; the smaller set of those left out is added.
+    """
+    (n, x), (m, y) = ((int(np.frombuffer(s, np.uint64, 1)[0]), np.frombuffer(s, np.uint16, offset=8)) for s in (a, b))
+    return n, m, len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y))
+
+
 def _of_set(k: int):
-    """Keep the texts that have the set they were looked up for, as an id may occur with other texts."""
+    """Sketch and text of those that have the set they were looked up for, as an id may occur with other texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000]
+                sets = [shingle_set(t, k) for t in part["text"]]
+                keep = [set_id(t) == s for s, t in zip(part["set_id"], sets, strict=True)]
+                yield part.assign(sketch=[sketch(t) for t in sets])[keep][["set_id", "sketch", "text"]]
+
+    return run
+
+
+def _close(percent: int):
+    """Keep the pairs whose sketches do not rule the threshold out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[set_id(shingle_set(t, k)) == s for s, t in zip(batch["set_id"], batch["text"], strict=True)]]
+            keep = []
+            for a, b in zip(batch["sketch_a"], batch["sketch_b"], strict=True):
+                n, m, common = most_common(a, b)
+                keep.append(100 * common >= percent * (n + m - common))
+            yield batch.loc[keep, ["a", "b"]]
 
     return run
 
@@ -284,7 +320,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, text_col:
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one of smallest id; documents without words all stay.
 
-    Of rows that repeat an id, one stays.
+    Of rows that repeat an id, one stays; rows without id count as one id.
     """
     found = durable(jaccard_components(docs, k, percent), "jaccard-report")
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("kept")).dropDuplicates()
