@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import shingle_set
-from ledgerspark.session import durable
+from ledgerspark import session
 
 FREQUENT = 6  # a shingle seen so often within tasks comes last in the orders
 MOST_FREQUENT = 1 << 18  # so many at most are sent to the tasks; which ones is only a matter of speed
@@ -35,7 +35,13 @@ CACHED_SETS = 200
 SENT_IDS = 500_000  # ids (16 bytes each) up to which they are broadcast
 PAIRS = 4  # tests per posting up to which all pairs between components are tested at once
 GAIN = 0.8  # what a round of stars must bring the tests down to for another one
-FEW = 100_000  # tests that are never worth a round of stars
+
+
+def durable(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder, small shuffle partitions put together: the tables are many and mostly small."""
+    spark = df.sparkSession
+    most = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    return session.durable(df.coalesce(most), label)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -192,7 +198,7 @@ class _Join:
     def components(self) -> DataFrame:
         """set_id, component of every set that has a link.
 
-        Rounds of stars come first, while testing all pairs between components would cost more than ``PAIRS`` tests per
+        One round of stars comes first, and more while testing all pairs between components would cost more than ``PAIRS`` tests per
         posting and the last round made that cheaper; the final round tests all of them.
         """
         spark = self.postings.sparkSession
@@ -208,7 +214,7 @@ class _Join:
             largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.max("size").alias("most"))
             largest = durable(largest, "jaccard-largest")
             tests, postings = largest.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")), F.sum("all")).head()
-            last = (tests or 0) <= max(PAIRS * (postings or 0), FEW) or tests > GAIN * before
+            last = turn > 0 and ((tests or 0) <= PAIRS * (postings or 0) or tests > GAIN * before)
             before = tests
             mixed = largest.filter("all > most").select("token", "top")
             if last:

@@ -66,7 +66,6 @@ def variants(rnd, base, n, edits):
 def test_groups_of_near_copies(spark, monkeypatch, k, percent, stars):
     """Groups whose members are linked only through each other, a passage that all share, exact copies."""
     if stars:
-        monkeypatch.setattr(J, "FEW", 0)
         monkeypatch.setattr(J, "PAIRS", 0)
         monkeypatch.setattr(J, "LEADERS", 2)
     rnd = random.Random(k)
