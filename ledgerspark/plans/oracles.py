@@ -433,6 +433,13 @@ with {PROMOTION}
 select cast(sum(debit) as decimal(24,2)) as debit, cast(sum(credit) as decimal(24,2)) as credit,
        cast(0 as decimal(24,2)) as tax from f2 where not deleted""",
     "recon_totals": f"with {LEDGER} {_totals('ledger', SCOPES)}",
+    "recon_runs": f"""
+with {LEDGER}, t as ({_totals('ledger', SCOPES)})
+select scope, check_name, value as source_value, value as mart_value, cast(null as decimal(24,2)) as kpi_value,
+       '' as explanation, true as passed from t""",
+    "registry_from_csv": f"""
+with {REGISTRY} select source_type, logical_cube_name, copy_id, financial_year, date_from, date_to, is_current, is_auto_refresh,
+                       status, authoritative, physical_hint from registry""",
     "recon_report": f"""
 with {RECONCILED}
 select check_name, scope, cast(source as decimal(24,2)) as source, cast(mart as decimal(24,2)) as mart,

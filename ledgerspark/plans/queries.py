@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from decimal import Decimal
@@ -19,8 +20,10 @@ from ledgerspark.operators import ageing, coverage, evidence, identity, keys, pr
 from ledgerspark.operators import registry as reg
 from ledgerspark.plans import inputs as src
 from ledgerspark.plans.reconcile import ledger_scopes, reconcile
-from ledgerspark.session import durable
+from ledgerspark.session import durable, shared_dir
+from ledgerspark.sources.control_files import read_registry
 from ledgerspark.sources.ledgers import files_under, read_source
+from ledgerspark.sources.mart import append_recon_run, read_recon_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -122,6 +125,14 @@ def registry_status(spark, sf):
     return reg.registry_status(src.registry(spark, sf))
 
 
+@register
+def registry_from_csv(spark, sf):
+    """The supplier registry written as a CSV seed and read back."""
+    path = f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}"
+    src.registry(spark, sf).drop("physical", "last_refresh_at").write.csv(path, header=True)
+    return read_registry(spark, path).drop("physical", "last_refresh_at")
+
+
 @register
 def registry_overlaps(spark, sf):
     return coverage.overlapping_sources(src.registry(spark, sf))
@@ -457,6 +468,15 @@ def recon_totals(spark, sf):
     return recon.recon_totals(src.ledger(spark, sf), ledger_scopes())
 
 
+@register
+def recon_runs(spark, sf):
+    """The ledger reconciled with itself, appended to a run table and read back."""
+    path = f"{shared_dir(spark)}/recon-runs-{uuid.uuid4().hex}"
+    totals = durable(recon.recon_totals(src.ledger(spark, sf), ledger_scopes()), "totals")
+    append_recon_run(recon.recon_compare(totals, totals), path, src.BATCH_TIMES["b1"])
+    return read_recon_runs(spark, path).drop("run_at")
+
+
 def _reconciled(spark, sf) -> DataFrame:
     """Batch 2 against the facts made from it, with one cent too much on one day of one site, a KPI for
     the accounts, and an explanation for the site."""

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,14 +173,19 @@ def read_fact_version(spark: SparkSession, base: str, number: int | None = None,
 
 
 def append_recon_run(results: DataFrame, path: str, run_at: datetime) -> None:
-    """Append reconciliation results in the fixed schema of the run table."""
+    """Append reconciliation results in the fixed schema of the run table. A total that does not fit it exactly fails the job."""
+
+    def exact(name: str) -> Column:
+        value, stored = F.col(name), F.col(name).cast(TOTAL)
+        return F.when(value.isNull() | (value == stored), stored).otherwise(F.raise_error(F.lit(f"{name} has more than two decimals")))
+
     results.select(
         F.lit(run_at).cast("timestamp").alias("run_at"),
         "scope",
         "check_name",
-        F.col("source").cast(TOTAL).alias("source_value"),
-        F.col("mart").cast(TOTAL).alias("mart_value"),
-        F.col("kpi").cast(TOTAL).alias("kpi_value"),
+        exact("source").alias("source_value"),
+        exact("mart").alias("mart_value"),
+        exact("kpi").alias("kpi_value"),
         "explanation",
         "passed",
     ).write.mode("append").parquet(path)
