@@ -77,13 +77,17 @@ def promote(
     extracted_at: datetime,
     full_refresh_scope: dict[str, str] | None = None,
     small_batch: bool = False,
+    checked: bool = False,
 ) -> DataFrame:
     """Facts after the batch, with an ``outcome`` per row (NULL: not concerned).
 
+    A batch that repeats an identity is refused at once, unless ``checked`` says that ``check_batch`` has passed it.
     A pure function of its inputs, so a rerun gives the same rows. With a scope, only the facts of
     that scope take part in the join; the others pass through without a shuffle. ``small_batch`` says
     that the batch is known to fit a broadcast: then no fact is shuffled at all.
     """
+    if not checked:
+        _reject_if_any(batch_duplicates(batch), "an identity occurs more than once in the batch")
     if full_refresh_scope is None:
         merged = _merge(facts, batch, extracted_at, IDENTITY_KEY, complete=False, small_batch=small_batch)
         return merged.select(*facts.columns, "outcome")
@@ -140,7 +144,7 @@ def _merge(
     what it lacks.
 
     A changed row takes the whole payload of the batch: what the batch lacks becomes NULL. A batch column that the
-    facts lack is refused, and a key that the batch repeats fails the job.
+    facts lack is refused.
     """
     unknown = [c for c in batch.columns if c not in facts.columns]
     if unknown:
@@ -148,11 +152,7 @@ def _merge(
     carried = [c for c in facts.columns if c not in key]
     replaced = [c for c in carried if c in batch.columns]
     old = facts.select(*key, *[F.col(c).alias(f"_old_{c}") for c in carried], F.lit(True).alias("_in_facts"))
-    # The count runs in the partitioning and order that the join needs anyway.
-    copies = F.count(F.lit(1)).over(W.partitionBy(*key))
-    repeated = F.raise_error(F.concat(F.lit("an identity occurs more than once in the batch: "), F.col(key[0])))
-    once = batch.withColumn("_copies", copies).withColumn("_in_batch", F.when(F.col("_copies") == 1, F.lit(True)).otherwise(repeated))
-    new = once.select(*key, *[F.col(c).alias(f"_new_{c}") for c in replaced], "_in_batch")
+    new = batch.select(*key, *[F.col(c).alias(f"_new_{c}") for c in replaced], F.lit(True).alias("_in_batch"))
     in_facts, in_batch = F.col("_in_facts").isNotNull(), F.col("_in_batch").isNotNull()
     deleted = F.col("_old_source_deleted_at").isNotNull()
     outcome = (

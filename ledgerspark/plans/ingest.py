@@ -63,7 +63,7 @@ def promote_into(
     facts = concerned_facts(store.read(batch.sparkSession), batch, full_refresh_scope).drop("scope_id")
     small = fits_broadcast(batch, BROADCAST_BATCH_ROWS)
     if full_refresh_scope is None:
-        merged = promote(facts, batch, extracted_at=extracted_at, small_batch=small)
+        merged = promote(facts, batch, extracted_at=extracted_at, small_batch=small, checked=True)
     else:
         merged = promote_scope(facts, batch, full_refresh_scope, extracted_at=extracted_at, small_batch=small)
     with written_aside(merged, "promotion") as result:
