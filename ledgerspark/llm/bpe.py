@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ledgerspark.llm.common import sized
 
 VOCABULARY = "byte_bpe_50k.json"
-PIECE_CHARS = 4_000_000  # a task holds the words of so many characters at once, or of one text
-CACHED_WORDS = 400_000
+PIECE_CHARS = 2_000_000  # a task holds the words of so many characters at once, or of one text
+CACHED_WORDS = 120_000
 TAIL = 3
 
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary's format.
