@@ -42,7 +42,6 @@ SALTS = 64
 COUNTED_WORDS = 500_000
 SCORED = 1 << 13  # positions scored at once
 REMEMBERED = 300_000
-LARGEST = np.float32(80)  # logits beyond it count as it, so that no exponential overflows
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
@@ -167,12 +166,13 @@ class Network:
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(np.minimum(logits, LARGEST))
-    return np.log(e @ np.ones(e.shape[1], np.float32))
+    """Never below the largest logit of the row, so that no log-probability is above 0."""
+    top = logits.max(axis=1)
+    return top + np.log(np.exp(logits - top[:, None]) @ np.ones(logits.shape[1], np.float32))
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(np.minimum(logits, LARGEST))
+    e = np.exp(logits - logits.max(axis=1, keepdims=True))
     e /= (e @ np.ones(e.shape[1], np.float32))[:, None]
     return e
 

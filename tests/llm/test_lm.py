@@ -66,3 +66,19 @@ def test_query_and_odd_rows(spark, small, documents):
     assert [r.log_likelihood for r in out[:3]] == [0.0] * 3 and [r.mean_log_likelihood for r in out[:3]] == [None] * 3
     assert abs(out[3].log_likelihood - out[4].log_likelihood) < 1e-4 and out[5].log_likelihood < 0
     assert M.likelihood_report(docs.limit(0)).count() == 0
+
+
+def test_log_probabilities_stay_finite_and_at_most_0():
+    for seed in range(4):
+        net, rnd = M.Network.fresh(), np.random.default_rng(seed)
+        word = int(rnd.integers(M.PAD))
+        padded = M._padded([np.full(3000, word)])
+        at = np.flatnonzero(padded != M.PAD)
+        for scale, shift in ((1, 0), (300, 0), (1, 200), (1, -200)):  # weights as far as long steps may lead
+            far = M.Network(net.embeddings, net.classes * scale, net.members * scale)
+            far.classes[:, -1] += shift
+            far.members[:, -1] += shift
+            for _ in range(3):
+                logs = far.log_probabilities(padded, at)
+                assert np.isfinite(logs).all() and logs.max() <= 0
+                far.step(padded, at, [np.zeros(len(t)) for t in far.tables])
