@@ -6,10 +6,11 @@ tangent, and predicts first the class of the middle word and then the word withi
 of all words add up to one at the cost of two small softmaxes. A document's score is the sum of the log-probabilities
 of its words, each given its neighbours.
 
-Training covers the corpus: every task trains a copy of the network in numpy on one position in ``EVERY`` of all of its
-documents, and the copies' changes are averaged, row by row of each parameter table, with the number of times the row was
+Training covers the corpus: every task trains a copy of the network in numpy on all of its documents, and the copies'
+changes are averaged, row by row of each parameter table, with the number of times the row was
 used as weight. The averages are summed on the executors in two levels, so neither a task nor the driver holds more than
-one model and a bounded number of pieces; what is shuffled grows with the corpus. ``ROUNDS`` such rounds follow each other.
+one model and a bounded number of pieces; what is shuffled grows with the corpus. ``ROUNDS`` such rounds follow each other; each takes every ``ROUNDS``-th word of each
+document, another residue each time, so that every word of the corpus is predicted in one of them.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ WORDS = CLASSES * MEMBERS - SHARED
 PAD = CLASSES * MEMBERS
 DIM = 16
 PLACES = (-2, -1, 1, 2)
-EVERY = 8
 ROUNDS = 2
+EVERY = ROUNDS  # a round trains on one position in so many; the rounds together on all
 BATCH = 4096
 RATE = 0.3
 PIECE_ROWS = 64
@@ -198,6 +199,13 @@ def _padded(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([x for p in parts for x in (pad, p)] + [pad])
 
 
+def targets(numbers: list[int], padded: np.ndarray, turn: int) -> np.ndarray:
+    """The positions that a round predicts: one word in ``EVERY`` of each text. Rounds that follow each other take different ones."""
+    at = np.flatnonzero(padded != PAD)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(numbers) - numbers, numbers)
+    return at[place % EVERY == turn % EVERY]
+
+
 def _round(docs: DataFrame, network: Network, ids: WordIds, turn: int, text_col: str) -> Network:
     """Train a copy in every task and average the changes."""
     shared = docs.sparkSession.sparkContext.broadcast((network, ids))
@@ -206,10 +214,11 @@ def _round(docs: DataFrame, network: Network, ids: WordIds, turn: int, text_col:
         start, words = shared.value
         mine = start.copy()
         used = [np.zeros(len(t)) for t in mine.tables]
-        for _, padded in _texts(batches, text_col, words, BATCH * EVERY):
-            at = np.flatnonzero(padded != PAD)[turn % EVERY :: EVERY]
-            for k in range(0, len(at), BATCH):
-                mine.step(padded, at[k : k + BATCH], used)
+        for numbers, padded in _texts(batches, text_col, words, BATCH * EVERY):
+            at = targets(numbers, padded, turn)
+            for part in np.array_split(at, max(1, round(len(at) / BATCH))):
+                if len(part):
+                    mine.step(padded, part, used)
         salt = TaskContext.get().partitionId() % SALTS
         for which, (new, old, times) in enumerate(zip(mine.tables, start.tables, used, strict=True)):
             sums = (new - old) * times[:, None]

@@ -82,3 +82,16 @@ def test_log_probabilities_stay_finite_and_at_most_0():
                 logs = far.log_probabilities(padded, at)
                 assert np.isfinite(logs).all() and logs.max() <= 0
                 far.step(padded, at, [np.zeros(len(t)) for t in far.tables])
+
+
+def test_every_word_is_predicted_in_training(spark, documents):
+    words = [f"w{i}" for i in range(16)]
+    docs = documents([" ".join(words)] * 4 + ["single"])  # each word always stands at the same place
+    net, ids = M.train(docs)
+    fresh = M.Network.fresh()
+    for word in [*words, "single"]:
+        own = slice(ids[word.encode()] % M.CLASSES, None, M.CLASSES)
+        assert np.abs(net.members[own] - fresh.members[own]).max() > 0, word
+    padded = M._padded([np.arange(n) for n in (5, 0, 1, 8)])
+    found = np.concatenate([M.targets([5, 0, 1, 8], padded, turn) for turn in range(M.ROUNDS)])
+    assert sorted(found) == list(np.flatnonzero(padded != M.PAD))
