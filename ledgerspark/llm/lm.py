@@ -1,9 +1,9 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from the words on both of its sides.
 
-Words are lower-cased runs of letters and digits. The most frequent of the corpus have ids of their own, the others share
-ids by hash. The network adds up one embedding per neighbour (a table for each of the four places), takes the hyperbolic
+Words are lower-cased runs of letters and digits. The ``WORDS`` most frequent of the corpus have ids of their own, the others share
+``SHARED`` ids by hash, and the probability of a shared id is dealt out among its words by their counts (``shares``). The network adds up one embedding per neighbour (a table for each of the four places), takes the hyperbolic
 tangent, and predicts first the class of the middle word and then the word within its class, so that the probabilities
-of all words add up to one at the cost of two small softmaxes. A document's score is the sum of the log-probabilities
+of all ids add up to one at the cost of two small softmaxes. The shares of an id's words and of all unseen words add up to one too. A document's score is the sum of the log-probabilities
 of its words, each given its neighbours.
 
 Training covers the corpus: every task trains a copy of the network in numpy on all of its documents, and the copies'
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import alnum_words
+from ledgerspark.session import durable
 
 CLASSES = 64
 MEMBERS = 64
@@ -45,8 +46,8 @@ SCORED = 1 << 13  # positions scored at once
 REMEMBERED = 300_000
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
-    """The ``WORDS`` most frequent words of all documents; equal counts go by the word."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, n: how often each word occurs in all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
@@ -62,7 +63,12 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> list[bytes]:
                     found.clear()
         yield frame()
 
-    counts = docs.select(text_col).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> list[bytes]:
+    """The ``WORDS`` most frequent words of all documents; equal counts go by the word."""
+    counts = word_counts(docs, text_col) if counts is None else counts
     return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
 
 
@@ -79,6 +85,19 @@ class WordIds(dict):
         return WordIds, ({w: i for w, i in self.items() if i < WORDS},)
 
 
+def shares(counts: DataFrame, ids: WordIds) -> tuple[DataFrame, list[float]]:
+    """word, share of the words that share ids, and the share of unseen words by shared id, both as logarithms.
+
+    A word has its count over that of its id plus one; this one is the share of all words that were not counted.
+    """
+    own = counts.sparkSession.createDataFrame([(w,) for w, i in ids.items() if i < WORDS], "word binary")
+    rest = counts.join(F.broadcast(own), "word", "left_anti").withColumn("shared", (F.crc32("word") % SHARED).cast("int"))
+    sums = {r["shared"]: r["n"] for r in rest.groupBy("shared").agg(F.sum("n").alias("n")).collect()}
+    unseen = [-float(np.log1p(sums.get(k, 0))) for k in range(SHARED)]
+    of_id = F.element_at(F.array(*map(F.lit, unseen)), F.col("shared") + 1)
+    return rest.select("word", (F.log("n") + of_id).alias("share")), unseen
+
+
 def word_ids(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
     ids = ids if isinstance(ids, WordIds) else WordIds(ids)
     return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
@@ -247,40 +266,59 @@ def _round(docs: DataFrame, network: Network, ids: WordIds, turn: int, text_col:
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Network, WordIds]:
-    ids = WordIds({w: i for i, w in enumerate(vocabulary(docs, text_col))})
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[Network, WordIds]:
+    ids = WordIds({w: i for i, w in enumerate(vocabulary(docs, text_col, counts))})
     network = Network.fresh()
     for turn in range(rounds):
         network = _round(docs, network, ids, turn, text_col)
     return network, ids
 
 
-def score(docs: DataFrame, network: Network, ids: WordIds, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, network: Network, ids: WordIds, text_col: str = "text", counts: DataFrame | None = None, keep_text: bool = True) -> DataFrame:
     """The rows of ``docs`` with n_words, log_likelihood (sum) and mean_log_likelihood; columns of these names are replaced.
 
-    Whole texts are scored. A text without words (null, empty) has the sum 0 and no mean.
+    Whole texts are scored. A text without words (null, empty) has the sum 0 and no mean. With the ``counts`` of the corpus
+    the likelihood is that of the words, without them that of their ids, which the less frequent words share.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((network, ids))
+    shared = docs.sparkSession.sparkContext.broadcast((network, ids, counts is not None))
 
-    @F.pandas_udf("n_words long, log_likelihood double")
+    @F.pandas_udf("n_words long, log_likelihood double, rest array<binary>")
     def likelihood(texts: pd.Series) -> pd.DataFrame:
-        model, words = shared.value
-        counts, sums = [], []
+        model, words, listed = shared.value
+        lengths, sums = [], []
         for numbers, padded in _texts([pd.DataFrame({"text": texts})], "text", words, SCORED):
             at = np.flatnonzero(padded != PAD)
             logs = [model.log_probabilities(padded, at[k : k + SCORED]) for k in range(0, len(at), SCORED)]
             total = np.concatenate([[0.0], np.cumsum(np.concatenate(logs), dtype=np.float64)]) if logs else np.zeros(1)
             ends = np.cumsum(numbers)
-            counts += numbers
+            lengths += numbers
             sums += list(total[ends] - total[ends - np.array(numbers)])
-        return pd.DataFrame({"n_words": counts, "log_likelihood": sums})
+        rest = [[w for w in alnum_words(t) if words[w] >= WORDS] for t in texts] if listed else [None] * len(texts)
+        return pd.DataFrame({"n_words": lengths, "log_likelihood": sums, "rest": rest})
 
     kept = docs.drop("n_words", "log_likelihood", "mean_log_likelihood")
-    out = kept.withColumn("_scored", likelihood(F.col(text_col))).select(*kept.columns, "_scored.*")
+    names = [c for c in kept.columns if keep_text or c != text_col]
+    out = kept.withColumn("_scored", likelihood(F.col(text_col))).select(*names, "_scored.*")
+    if counts is not None:
+        out = _with_shares(out, *shares(counts, ids))
+    out = out.select(*names, "n_words", "log_likelihood")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
+def _with_shares(scored: DataFrame, known: DataFrame, unseen: list[float]) -> DataFrame:
+    """``scored`` with the shares of the words in ``rest`` in log_likelihood. Rows are numbered and written, as ids may repeat."""
+    scored = durable(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
+    words = scored.select("_row", F.explode("rest").alias("word"))
+    otherwise = F.element_at(F.array(*map(F.lit, unseen)), (F.crc32("word") % SHARED).cast("int") + 1)
+    found = words.join(known, "word", "left").select("_row", F.coalesce("share", otherwise).alias("share"))
+    sums = found.groupBy("_row").agg(F.sum("share").alias("_share"))
+    out = scored.drop("rest").join(sums, "_row", "left")
+    return out.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_share", F.lit(0.0)))
+
+
 def likelihood_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, log_likelihood, mean_log_likelihood, from a network trained on all of them."""
     docs = docs.select("doc_id", "text")
-    return score(docs, *train(docs)).drop("text")
+    counts = durable(word_counts(docs), "lm-counts")
+    network, ids = train(docs, counts=counts)
+    return score(docs, network, ids, counts=counts, keep_text=False)

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -95,3 +97,23 @@ def test_every_word_is_predicted_in_training(spark, documents):
     padded = M._padded([np.arange(n) for n in (5, 0, 1, 8)])
     found = np.concatenate([M.targets([5, 0, 1, 8], padded, turn) for turn in range(M.ROUNDS)])
     assert sorted(found) == list(np.flatnonzero(padded != M.PAD))
+
+
+def test_words_that_share_an_id_are_told_apart(spark, documents, monkeypatch):
+    monkeypatch.setattr(M, "vocabulary", lambda docs, text_col="text", counts=None: [b"a", b"b"])
+    alike = {}
+    for i in range(2000):
+        alike.setdefault(zlib.crc32(b"w%d" % i) % M.SHARED, []).append(f"w{i}")
+    often, seldom, never = next(x for x in alike.values() if len(x) >= 3)[:3]
+    docs = documents([f"a {often} b"] * 30 + [f"a {seldom} b", "a b", None], 0)
+    counts = M.word_counts(docs)
+    net, ids = M.train(docs, counts=counts)
+    plain = {r.doc_id: r.log_likelihood for r in M.score(docs, net, ids).collect()}
+    got = {r.doc_id: r.log_likelihood for r in M.likelihood_report(docs).collect()}
+    for doc, share in ((0, 30 / 32), (29, 30 / 32), (30, 1 / 32), (31, 1), (32, 1)):
+        assert abs(got[doc] - plain[doc] - np.log(share)) < 1e-3, doc
+    other = documents([f"a {never} b"] * 2).withColumn("doc_id", F.lit(None).cast("long"))
+    out = M.score(other, net, ids, counts=counts).collect()
+    assert len(out) == 2 and all(abs(r.log_likelihood - plain[0] - np.log(1 / 32)) < 1e-3 for r in out)
+    known, unseen = M.shares(counts, ids)  # the shares of an id's words and of unseen ones add up to one
+    assert abs(sum(np.exp(r.share) for r in known.collect()) + np.exp(min(unseen)) - 1) < 1e-9
