@@ -34,9 +34,9 @@ BLOCK = frozenset(
     "html body address article blockquote center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
-#: Words of class, id or role that mark such parts.
+#: Words that mark such parts as a whole name of class or id, or as its first part: ``header-top``, but not ``article-header`` or ``with-sidebar``.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|footer|foot|header|masthead"
+    r"(?:^|\s)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|footer|foot|header|masthead"
     r"|comments?|respond|replies|reply|disqus|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login"
     r"|share|sharing|social|related|recommended|widget|pagination|pager|copyright|toolbar|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
@@ -53,22 +53,27 @@ _space = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "named", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.named = False  # dropped only for a name of class or id
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.children: list = []  # nodes and strings
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
+def _is_named(attributes: str) -> bool:
+    return any(name.lower() in ("class", "id") and MARKED.search(value.strip("\"'")) for name, value in _attribute.findall(attributes))
+
+
 def _is_marked(attributes: str) -> bool:
     for name, value in _attribute.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and MARKED.search(value):
+        if name == "role" and value.lower() in ROLES:
             return True
     return False
 
@@ -116,8 +121,11 @@ def parse(source: str) -> Node:
                 close(SIBLINGS[tag], SCOPE[tag])
         if tag in ("html", "body") and opened[tag]:
             continue
-        dropped = tag in DROPPED or tag == "header" and not at.inside or tag not in ("html", "body", "article", "main") and _is_marked(attributes)
+        own = tag in ("html", "body", "article", "main")
+        dropped = tag in DROPPED or tag == "header" and not at.inside or not own and _is_marked(attributes)
         node = Node(tag, at, dropped)
+        if not dropped and not own and _is_named(attributes):
+            node.dropped = node.named = True
         at.children.append(node)
         if tag in VOID:
             continue
@@ -153,6 +161,8 @@ def _measure(root: Node, body: Node) -> None:
     """Counts, densities and density sums of all nodes that are not dropped."""
     nodes = _order(root)
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
         linked = node.tag == "a"
         for child in node.children:
             if isinstance(child, str):
@@ -176,8 +186,47 @@ def _measure(root: Node, body: Node) -> None:
         node.total += sum(len(_space.sub("", c)) for c in node.children if isinstance(c, str)) if node.tag in BLOCK else 0.0
 
 
+def _keep_main_part(root: Node) -> None:
+    """Take back the marks by name around the main part of the page.
+
+    That is the node of the largest density sum, if it is larger than all sums outside of marked parts. As reader comments can be
+    longer than the article, a marked part must also hold the headline or the ``article``, unless no part of the page does.
+    """
+    named, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.named:
+            named.append(node)
+        if not node.dropped or node.named:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    if not named:
+        return
+    body = lambda: next((n for n in _order(root) if n.tag == "body"), root)
+    _measure(root, body())
+    most = max(n.total for n in _order(body()))
+    for node in named:
+        node.dropped = False
+    _measure(root, top := body())
+    nodes = _order(top)
+    around: dict[int, Node | None] = {}  # the nearest marked part of each node
+    for node in nodes:
+        around[id(node)] = node if node.named else around.get(id(node.parent))
+    heads = {id(around[id(n)]) for n in nodes if n.tag in ("h1", "article", "main") and n.chars}
+    inside = [n for n in nodes if n.chars and (part := around[id(n)]) is not None and (not heads or id(part) in heads)]
+    for node in named:
+        node.dropped = True
+    main = max(inside, key=lambda n: n.total, default=None)
+    if main is not None and main.total > most:
+        while len(only := [c for c in main.children if isinstance(c, Node) and c.chars == main.chars]) == 1:
+            main = only[0]
+        for node in _line(main):
+            if node.named:
+                node.dropped = False
+
+
 def _chosen(root: Node) -> list[Node]:
     """The article subtrees in page order, none inside another."""
+    _keep_main_part(root)
     body = next((n for n in _order(root) if n.tag == "body"), root)
     _measure(root, body)
     nodes = _order(body)

@@ -61,3 +61,18 @@ def test_odd_pages():
     assert main_text(deep) == "deep"
     assert main_text("<article>" + "<p>word word</p>" * 5000 + "</article>") == "\n".join(["word word"] * 5000)
     assert parse("<p>a<p>b").children[1].tag == "p"
+
+
+def test_names_of_layout_do_not_take_the_article_away():
+    around, after = PARTS["nav"] + PARTS["ad"] + PARTS["cookie"], PARTS["comments"] + PARTS["footer"]
+    for name in ("content with-sidebar", "no-sidebar", "overflow-hidden", "has-banner", "page has-cookies", "sidebar-layout", "header-fixed content"):
+        for inside in (BODY, f"<article>{BODY}</article>"):
+            assert main_text(f'<html><body>{around}<div class="{name}">{inside}</div>{after}</body></html>') == TEXT, name
+            assert main_text(f'<html><body><div id="{name}">{around}{inside}{after}</div></body></html>') == TEXT, name
+    head, rest = BODY.split("</h1>")
+    assert main_text(f'<body>{around}<article><div class="article-header">{head}</h1></div>{rest}</article>{after}</body>') == TEXT
+    assert main_text(f'<div class="banner-wrap"><div class="header-wrap">{BODY}</div></div>') == TEXT
+    long = '<div class="comments">' + "<p>I do not agree with any of this, and here is why.</p>" * 40 + "</div>"
+    assert main_text(f"<html><body><div>{BODY}</div>{long}</body></html>") == TEXT
+    assert main_text(f'<html><body><div class="sidebar-layout">{BODY}{long}</div></body></html>') == TEXT
+    assert main_text('<div class="menu">' * 3000 + "<p>deep</p>" + "</div>" * 3000) == "deep"
