@@ -37,6 +37,13 @@ _digits = re.compile("[0-9]+")
 _trigger = re.compile("[0-9@]").search
 _hint = re.compile(r"[0-9@]|\b[Aa][Tt]\b|\([Aa][Tt]\)|\[[Aa][Tt]\]").search
 _word = re.compile(r"\S+")
+_dot_word = re.compile(r"\W*dot\W*", re.IGNORECASE).fullmatch
+_dot_inside = re.compile(r"[(\[]dot[)\]]", re.IGNORECASE).search
+_at_host = re.compile(r"(?:[(\[]at[)\]]|(?<!\w)at(?!\w))[)\]\s]*[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}", re.IGNORECASE).search
+_spelled = re.compile(
+    r"[a-z0-9._%+-]+(?:\s+at\s+|\s*[(\[]\s*at\s*[)\]]\s*)[a-z0-9-]+"
+    r"(?:(?:\s+dot\s+|\s*[(\[]\s*dot\s*[)\]]\s*|\.)[a-z0-9-]+)*(?:\s+dot\s+|\s*[(\[]\s*dot\s*[)\]]\s*|\.)[a-z]{2,}"
+).fullmatch
 
 
 def luhn(digits: str) -> bool:
@@ -96,9 +103,11 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
 
 
 def _dots(text: str, words: list[tuple[int, int]], i: int) -> bool:
-    """True if a spelled-out dot follows word ``i`` closely: the word "at" alone is no trace of an address."""
-    nearby = words[i + 1 : i + MAX_CHUNKS]
-    return any(re.search(r"^\W*dot\W*$|[(\[]dot[)\]]", text[a:b], re.IGNORECASE) for a, b in nearby)
+    """True if a spelled-out dot is in word ``i`` or follows it closely, or a dotted host follows its "at": "at" alone is no trace of an address."""
+    start = words[i][0]
+    if _dot_inside(text, *words[i]) or _at_host(text[start : min(words[min(i + 2, len(words) - 1)][1], start + 4 * MAX_CHARS)]):
+        return True
+    return any(_dot_word(text, a, b) or _dot_inside(text, a, b) for a, b in words[i + 1 : i + MAX_CHUNKS])
 
 
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
@@ -111,6 +120,7 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 FEATURES = 30
+SPELLED = 6  # the feature of a spelled-out address
 
 
 def span_features(text: str, start: int, end: int, n_words: int, before: str) -> np.ndarray:
@@ -120,7 +130,7 @@ def span_features(text: str, start: int, end: int, n_words: int, before: str) ->
     n, letters = len(digits), sum(c.isalpha() for c in s)
     groups = [len(g) for g in _digits.findall(s)]
     low = s.lower()
-    spelled = bool(re.fullmatch(r"[a-z0-9._%+-]+\s*[(\[]?\s*at\s*[)\]]?\s*[a-z0-9-]+(\s*[(\[]?\s*dot\s*[)\]]?\s*[a-z0-9-]+)+", low))
+    spelled = bool(_spelled(low))
     plain = "@" in s and bool(re.fullmatch(r"[a-z0-9._%+-]+@[a-z0-9-]+(\.[a-z0-9-]+)+", low))
     quad = bool(re.fullmatch(r"[0-9]{1,9}(\.[0-9]{1,9}){3}", s)) and _octets(s)
     bracketed = bool(re.fullmatch(r"\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}", s))
@@ -222,6 +232,8 @@ class SemiCrf:
                     continue
                 s = scores[i, j].copy()
                 plain = sum(scores[k, k + 1][NOTHING] for k in range(i, j))
+                if segments[i, j][0][SPELLED]:  # of many words: what their moves cost counts as well
+                    plain += (j - i - 1) * self.moves[NOTHING, NOTHING]
                 s[:NOTHING][s[:NOTHING] < plain + CLEAR] = -np.inf
                 reach = value[i][:, None] + self.moves + s[None]
                 came = reach.argmax(0)
@@ -238,11 +250,15 @@ class SemiCrf:
         return out[::-1]
 
 
+#: of the at sign and of the dots of an address
+SPELLINGS = ((" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", "."), ("[at]", "."), (" at ", "."))
+
+
 def _rewritten(s: str, kind: int, way: int) -> str | None:
     """Another spelling of a plain span."""
     if kind == 0:
         name, _, host = s.partition("@")
-        at, dot = ((" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "))[way % 3]
+        at, dot = SPELLINGS[way % len(SPELLINGS)]
         return name + at + host.replace(".", dot)
     if kind == 3:
         rest = re.sub(r"^\+[0-9]{1,3}[\x20.-]*", "", s)
@@ -267,6 +283,11 @@ def _truth(text: str, words, spans) -> list[tuple[int, int, int]] | None:
     return out + [(k, k + 1, NOTHING) for k in range(i, len(words))]
 
 
+def _unlabelled(segments: dict, truth: list[tuple[int, int, int]]) -> bool:
+    """True if a segment is spelled like an address and no pattern could label it: such a window is no example of nothing."""
+    return any(f[SPELLED] and not any(a <= i and j <= b for a, b, y in truth if y != NOTHING) for (i, j), (f, _) in segments.items())
+
+
 def fit(samples: list[str]) -> SemiCrf:
     """Train on window texts; each is taken as it is and with its first span written otherwise."""
     model, cases = SemiCrf(), []
@@ -282,6 +303,8 @@ def fit(samples: list[str]) -> SemiCrf:
             words = [m.span() for m in _word.finditer(text)][:40]
             truth = _truth(text, words, [s for s in found if words and s[1] <= words[-1][1]])
             segments = model.segments(text, words)
+            if _unlabelled(segments, truth or []):
+                continue
             if words and truth is not None and all((i, j) in segments and (y == NOTHING or segments[i, j][1][y]) for i, j, y in truth):
                 cases.append((len(words), segments, truth))
     order = np.random.default_rng(7)

@@ -91,3 +91,19 @@ def test_odd_rows(spark, documents):
     assert [r.text for r in masked] == [None, "", "mail [EMAIL] now", "mail [EMAIL] now", "x " * 60_000 + "[IP]", "no data"]
     assert masked[2].n_chars == len("mail [EMAIL] now") and P.mask_pii(docs).columns == docs.columns
     assert P.pii_report(docs.limit(0)).count() == 0
+
+
+def test_every_trained_spelling_of_an_address_is_found(spark, documents):
+    plain = ("jane.roe@example.org", "jane@mail.example.com")
+    spelled = [P._rewritten(s, 0, way) for s in plain for way in range(6)] + ["jane.roe(at)example(dot)org", "jane (at) example.com", "jane at example.com"]
+    texts = [f"please write to {s} before the end of the week" for s in spelled]
+    for text in texts:
+        assert len(P.windows(text)) == 1, text
+    docs = documents(training_texts()).union(documents(texts, 1000)).union(documents(["we look at the house. then we go", "noon at last"], 2000))
+    got = {r.doc_id: r.spans for r in P.pii_report(docs).collect()}
+    for k, s in enumerate(spelled):
+        assert got[1000 + k] == f"email:16:{16 + len(s)}", s
+    assert got[2000] == got[2001] == ""
+    masked = {r.doc_id: r.text for r in P.mask_pii(docs).collect()}
+    assert {masked[1000 + k] for k in range(len(spelled))} == {"please write to [EMAIL] before the end of the week"}
+    P.windows("at-" * 100_000)
