@@ -313,7 +313,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, text_col:
     Sets are of 64-bit hashes of the shingles.
     """
     join = _Join(docs, k, percent, text_col)
-    names = join.components()
+    return _report(join, join.components())
+
+
+def _report(join: _Join, names: DataFrame) -> DataFrame:
     named = join.firsts.join(names, "set_id", "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
     named = durable(named, "jaccard-named")
     least = durable(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
@@ -326,10 +329,33 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, text_col:
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one of smallest id; documents without words all stay.
 
-    Of rows that repeat an id, one stays; rows without id count as one id.
+    Ids that repeat or are null do not make rows alike: the texts decide. Of a component's rows of the same or no id, the one of
+    the smallest hashes stays. Of rows without words that repeat id and text, one stays.
     """
-    found = durable(jaccard_components(docs, k, percent), "jaccard-report")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("kept")).dropDuplicates()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").head() is not None
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    join = _Join(docs, k, percent, "text")
+    names = join.components()
+    if join.sets.groupBy("doc_id").count().filter("count > 1").head() is not None:
+        return _one_row_of_each(docs, names, k)
+    found = durable(_report(join, names), "jaccard-report")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("kept"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
+
+
+def _one_row_of_each(docs: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    """The same by rows, which are numbered and written, as their ids do not tell them apart."""
+
+    @F.pandas_udf("long")
+    def set_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_id(tokens) if len(tokens := shingle_set(t, k)) else None for t in texts], dtype="Int64")
+
+    rows = docs.withColumns({"_set": set_of("text"), "_row": F.monotonically_increasing_id()})
+    whole = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256)
+    rows = durable(rows.withColumns({"_text": F.sha2(F.coalesce("text", F.lit("")), 256), "_whole": whole}), "jaccard-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_whole", "_row")).getField("_row").alias("_row")
+    keys = rows.select("doc_id", "_set", "_text", "_whole", "_row", F.col("text").isNull().alias("_null"))
+    named = keys.filter("_set is not null").join(names.withColumnRenamed("set_id", "_set"), "_set", "left")
+    kept = named.groupBy(F.coalesce("component", "_set").alias("component")).agg(first).select("_row")
+    empty = keys.filter("_set is null")
+    kept = kept.union(empty.filter("doc_id is null").select("_row"))
+    kept = kept.union(empty.filter("doc_id is not null").groupBy("doc_id", "_null", "_text").agg(first).select("_row"))
+    return rows.join(durable(kept, "jaccard-kept"), "_row", "left_semi").select(*docs.columns)

@@ -143,3 +143,13 @@ def test_hashes_do_not_depend_on_pieces(monkeypatch):
     monkeypatch.setattr(common, "PIECE", 7)
     assert (word_hashes(text) == whole).all()
     assert len(shingle_set("a b", 3)) == 1 and len(shingle_set("a", 3)) == 1 and len(shingle_set(" ", 3)) == 0
+
+
+def test_rows_without_id_or_of_one_id_stay_if_their_texts_differ(spark):
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, "a b c"), (None, "d e f"), (None, "g h i"), (7, "j k l"), (7, "m n o"), (7, near), (3, near + " end"), (None, near)]
+    rows += [(None, ""), (None, ""), (8, None), (8, ""), (8, ""), (None, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.text) for r in J.keep_one_of_each(df).collect()]
+    expected = [(None, "a b c"), (None, "d e f"), (None, "g h i"), (7, "j k l"), (7, "m n o"), (3, near + " end"), (None, ""), (None, ""), (8, None), (8, "")]
+    assert sorted(found, key=str) == sorted(expected, key=str)
