@@ -179,5 +179,12 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that are in no language (``und``); nothing else changes."""
-    return identify(docs, train(docs.filter(~is_held_out()))).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """``docs`` without those that are in no language (``und``); nothing else changes.
+
+    If no label allows to fit a model, those without any letter go.
+    """
+    model = train(docs.filter(~is_held_out()))
+    if model is None:
+        lettered = F.pandas_udf(lambda texts: texts.map(has_letter).astype(bool), "boolean")
+        return docs.filter(lettered(F.col("text")))
+    return identify(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)

@@ -48,3 +48,10 @@ def test_odd_rows(spark, documents):
 
     unlabelled = L.language_report(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"} and {r.score for r in unlabelled} == {0.0}
+
+
+def test_documents_stay_if_nothing_is_labelled(spark, documents):
+    from pyspark.sql import functions as F
+
+    docs = documents([None, "", "12 !?", "the cat", "Ж"]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in L.keep_identified(docs).collect()) == [3, 4]
