@@ -21,13 +21,3 @@ def spark():
 @pytest.fixture(scope="session")
 def small():
     return SMALL
-
-
-def rows(df):
-    """Rows as a sorted list of tuples; NULL sorts first."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: [(v is not None, str(v)) for v in r])
-
-
-def plan(df, mode="formatted"):
-    spark = df.sparkSession
-    return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)

@@ -2,7 +2,7 @@ from datetime import date, timedelta
 from decimal import Decimal as D
 
 import pytest
-from conftest import rows
+from helpers import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

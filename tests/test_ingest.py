@@ -3,7 +3,7 @@ from datetime import date, datetime
 from decimal import Decimal as D
 
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 

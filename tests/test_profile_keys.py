@@ -2,7 +2,7 @@ from datetime import date
 from decimal import Decimal as D
 
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import profile as pr
