@@ -20,6 +20,14 @@ SCOPE = (
     "source_discriminator_column",
     "source_discriminator_value",
 )
+# Where an entry of the registry shows the scope columns; source_system is given by the caller.
+SCOPE_IN_ENTRY = (
+    ("source_owner", "physical.owner"),
+    ("source_object", "physical.object_name"),
+    ("source_copy_id", "copy_id"),
+    ("source_discriminator_column", "physical.discriminator_column"),
+    ("source_discriminator_value", "physical.discriminator_value"),
+)
 IDENTITY = (*SCOPE, "source_row_key")
 # The same columns in the order to shuffle and sort by: the selective one first.
 IDENTITY_KEY = ("source_row_key", *SCOPE)

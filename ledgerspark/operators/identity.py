@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerspark.fixed_values import IDENTITY, IDENTITY_KEY, SCOPE
+from ledgerspark import schemas
+from ledgerspark.fixed_values import IDENTITY, IDENTITY_KEY, SCOPE, SCOPE_IN_ENTRY
 from ledgerspark.functions.text import BLANKS
-from ledgerspark.operators.registry import confirmed_only, registry_key, require_physical
+from ledgerspark.operators.registry import UnresolvedSource, confirmed_only, registry_key, require_physical
 
 REQUIRED = tuple(c for c in IDENTITY if "discriminator" not in c)
-#: Field of a registry entry or of its physical object that each scope column shows.
-SCOPE_FIELDS = {c: c if c == "source_system" else {"source_object": "object_name"}.get(c, c.removeprefix("source_")) for c in SCOPE}
+
+
+def entry_scope(source_system: str) -> list[Column]:
+    """The scope columns of registry entries. Without a discriminator its two columns are empty; all others stay NULL if missing."""
+    unused = F.lit("")
+    columns = {name: F.col(path) for name, path in SCOPE_IN_ENTRY}
+    columns |= {name: F.coalesce(c, unused) for name, c in columns.items() if name not in REQUIRED}
+    columns["source_system"] = F.lit(source_system)
+    return [columns[name].alias(name) for name in SCOPE]
 
 
 def scope_of(entry: Row, source_system: str) -> dict[str, str]:
-    """The six scope values of a confirmed registry entry."""
+    """The scope values of a confirmed registry entry; one that lacks an owner, object or copy is refused."""
     physical = require_physical(entry).asDict()
-    given = {"copy_id": entry.copy_id, "source_system": source_system}
-    return {c: given[c] if c in given else given.get(f, physical.get(f)) or "" for c, f in SCOPE_FIELDS.items()}
+    one = SparkSession.active().createDataFrame(
+        [(entry.copy_id, [physical.get(f) for f in schemas.PHYSICAL.names])], T.StructType().add("copy_id", "string").add("physical", schemas.PHYSICAL)
+    )
+    values = one.select(*entry_scope(source_system)).head().asDict()
+    missing = [name for name, value in values.items() if value is None]
+    if missing:
+        raise UnresolvedSource(f"{entry.source_type} copy {entry.copy_id}: no {', '.join(missing)}")
+    return values
 
 
 def with_identity(rows: DataFrame, entry: Row, row_key: Column, source_system: str) -> DataFrame:
@@ -36,11 +51,7 @@ def with_identity_from_registry(
     no confirmed physical object) and is NULL for the others. ``strict`` fails the job at the first such row instead.
     The join carries no hint: Spark broadcasts the registry when its size allows.
     """
-    shown = {"source_system": F.lit(source_system), "source_copy_id": F.col("copy_id")}
-    scopes = confirmed_only(registry).select(
-        registry_key().alias(on),
-        *[shown.get(c, F.coalesce(F.col(f"physical.{f}"), F.lit(""))).alias(c) for c, f in SCOPE_FIELDS.items() if f != "copy_id" or c in shown],
-    )
+    scopes = confirmed_only(registry).select(registry_key().alias(on), *entry_scope(source_system))
     out = rows.withColumn("source_row_key", row_key.cast("string")).join(scopes, on, "left")
     reason = F.when(F.col(on).isNull(), "NO_SOURCE").when(F.col("source_owner").isNull(), "NOT_CONFIRMED")
     if strict:

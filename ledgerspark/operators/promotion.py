@@ -67,7 +67,10 @@ def check_identities(rows: DataFrame, scope: dict[str, str] | None = None) -> No
 def check_batch(batch: DataFrame, scope: dict[str, str] | None = None) -> None:
     """Reject a batch as a whole, before anything is written. Reads identity columns only."""
     check_identities(batch, scope)
-    _reject_if_any(batch_duplicates(batch), "an identity occurs more than once in the batch")
+    _reject_if_any(batch_duplicates(batch), REPEATED)
+
+
+REPEATED = "an identity occurs more than once in the batch"
 
 
 def promote(
@@ -77,17 +80,14 @@ def promote(
     extracted_at: datetime,
     full_refresh_scope: dict[str, str] | None = None,
     small_batch: bool = False,
-    checked: bool = False,
 ) -> DataFrame:
     """Facts after the batch, with an ``outcome`` per row (NULL: not concerned).
 
-    A batch that repeats an identity is refused at once, unless ``checked`` says that ``check_batch`` has passed it.
-    A pure function of its inputs, so a rerun gives the same rows. With a scope, only the facts of
-    that scope take part in the join; the others pass through without a shuffle. ``small_batch`` says
-    that the batch is known to fit a broadcast: then no fact is shuffled at all.
+    A pure function of its inputs: no job runs here, and a rerun gives the same rows. A batch that repeats an identity fails
+    the job that computes the result; the copies are counted in the order that the join needs anyway. With a scope, only the
+    facts of that scope take part in the join; the others pass through without a shuffle. ``small_batch`` says that the
+    batch is known to fit a broadcast: then no fact is shuffled at all.
     """
-    if not checked:
-        _reject_if_any(batch_duplicates(batch), "an identity occurs more than once in the batch")
     if full_refresh_scope is None:
         merged = _merge(facts, batch, extracted_at, IDENTITY_KEY, complete=False, small_batch=small_batch)
         return merged.select(*facts.columns, "outcome")
@@ -120,6 +120,18 @@ def promote_scope(
     return merged.withColumns({c: F.lit(v) for c, v in scope.items()}).select(*facts.columns, "outcome")
 
 
+def _marked_once(batch: DataFrame, key: tuple[str, ...], small_batch: bool) -> DataFrame:
+    """The batch with a mark ``_in_batch``; to mark a second row of a key fails the job.
+
+    Rows are numbered within their key: partitioned and sorted by the key as the join needs them, so nothing moves twice, and
+    streamed, so a key with very many rows needs no memory. A small batch is numbered in one task.
+    """
+    numbered = F.row_number().over(W.partitionBy(*key).orderBy(*key))
+    rows = (batch.repartition(1) if small_batch else batch).withColumn("_copy", numbered)
+    repeated = F.raise_error(F.concat(F.lit(f"{REPEATED}: "), F.concat_ws("|", *key)))
+    return rows.withColumn("_in_batch", F.when(F.col("_copy") == 1, True).otherwise(repeated)).drop("_copy")
+
+
 def _meet(old: DataFrame, new: DataFrame, key: list[str], small_batch: bool) -> DataFrame:
     """Full outer join of facts and batch."""
     if not small_batch:
@@ -152,7 +164,7 @@ def _merge(
     carried = [c for c in facts.columns if c not in key]
     replaced = [c for c in carried if c in batch.columns]
     old = facts.select(*key, *[F.col(c).alias(f"_old_{c}") for c in carried], F.lit(True).alias("_in_facts"))
-    new = batch.select(*key, *[F.col(c).alias(f"_new_{c}") for c in replaced], F.lit(True).alias("_in_batch"))
+    new = _marked_once(batch.select(*key, *[F.col(c).alias(f"_new_{c}") for c in replaced]), key, small_batch)
     in_facts, in_batch = F.col("_in_facts").isNotNull(), F.col("_in_batch").isNotNull()
     deleted = F.col("_old_source_deleted_at").isNotNull()
     outcome = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +13,10 @@ from pyspark.sql import types as T
 from ledgerspark import schemas
 from ledgerspark.operators.identity import scope_id, scope_id_of, scope_of, with_identity
 from ledgerspark.operators.promotion import (
+    REPEATED,
+    BatchRejected,
     as_batch,
-    check_batch,
     check_identities,
-    facts_after,
     promote,
     promote_scope,
     promotion_counts,
@@ -52,23 +53,33 @@ def promote_into(
     *,
     extracted_at: datetime,
     full_refresh_scope: dict[str, str] | None = None,
+    identified: bool = False,
 ) -> dict[str, int]:
     """Promote a batch into the stored facts and return the counts per outcome.
 
-    Only the scopes concerned are read and rewritten. The merged rows are written aside first, so
-    counts and facts come from one computation and the store is never read while it is replaced. If
-    the job dies, running it again reaches the same facts.
+    Only the scopes concerned are read and rewritten. The merged rows are written once, beside the current ones; they carry
+    their outcome, so the counts come from what was written. Then the store switches to them. A repeated identity stops the
+    job before the switch, as does any other death, and running it again reaches the same facts. ``identified`` says that
+    ``check_identities`` has passed the batch.
     """
-    check_batch(batch, full_refresh_scope)
-    facts = concerned_facts(store.read(batch.sparkSession), batch, full_refresh_scope).drop("scope_id")
+    spark = batch.sparkSession
+    if not identified:
+        check_identities(batch, full_refresh_scope)
+    version = store.current(spark)
+    facts = concerned_facts(store.read(spark, version), batch, full_refresh_scope).drop("scope_id")
     small = fits_broadcast(batch, BROADCAST_BATCH_ROWS)
     if full_refresh_scope is None:
-        merged = promote(facts, batch, extracted_at=extracted_at, small_batch=small, checked=True)
+        merged = promote(facts, batch, extracted_at=extracted_at, small_batch=small)
     else:
         merged = promote_scope(facts, batch, full_refresh_scope, extracted_at=extracted_at, small_batch=small)
-    with written_aside(merged, "promotion") as result:
-        counts = {r.outcome: r.n for r in promotion_counts(result).collect()}
-        store.replace_scopes(facts_after(result))
+    try:
+        generation = store.write_aside(merged)
+    except PySparkException as error:
+        if REPEATED in str(error):
+            raise BatchRejected(REPEATED) from error
+        raise
+    counts = {r.outcome: r.n for r in promotion_counts(store.written(spark, generation, "outcome")).collect()}
+    store.switch(spark, generation, based_on=version)
     return counts
 
 
@@ -104,12 +115,13 @@ def ingest_extract(
         keep=["source_financial_year", *order_by],
     )
     with written_aside(extract, "extract") as batch:
-        check_identities(batch)
+        check_identities(batch)  # they come from one entry, so none can be of another scope
         staged = stage_append(batch, staging_path, payload=payload, order_by=order_by)
         counts = promote_into(
             batch,
             store,
             extracted_at=extracted_at,
             full_refresh_scope=scope_of(entry, source_system) if full_refresh else None,
+            identified=True,
         )
     return {"staged": staged, **counts}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark import schemas
 from ledgerspark.fixed_values import UNVERIFIED
+from ledgerspark.sources.folders import exists
 
 
 def _conform(df: DataFrame) -> DataFrame:
@@ -89,8 +90,3 @@ def artifact_digests(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of the bytes of every file."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.sha2("content", 256).alias("artifact_sha256"), "length")
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

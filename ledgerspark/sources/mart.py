@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime
@@ -14,7 +16,7 @@ from ledgerspark import schemas
 from ledgerspark.fixed_values import IDENTITY, TOTAL
 from ledgerspark.operators.identity import scope_id
 from ledgerspark.operators.promotion import new_staging_rows
-from ledgerspark.sources.control_files import exists
+from ledgerspark.sources.folders import age_seconds, exists, names_in, read_small, remove, rename_new, write_small
 
 
 def read_staging(spark: SparkSession, path: str) -> DataFrame:
@@ -61,36 +63,130 @@ def _with_scope_id(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("scope_id", T.StringType())])
 
 
-def _read_facts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    full = _with_scope_id(schema)
-    return spark.read.schema(full).parquet(path) if exists(spark, path) else spark.createDataFrame([], full)
+class ConcurrentChange(RuntimeError):
+    """Another job has replaced one of the same scopes since the facts were read; nothing was changed."""
+
+
+def _scopes_in(spark: SparkSession, folder: str) -> list[str]:
+    return [n.removeprefix("scope_id=") for n in names_in(spark, folder) if n.startswith("scope_id=")]
 
 
 @dataclass(frozen=True)
 class FactFiles:
-    """Facts as Parquet files under ``path``, one folder per scope."""
+    """Facts as Parquet files, and a manifest that says which files count.
+
+    ``data/generation=<id>/scope_id=<id>`` holds what one job wrote for one scope and is never changed. ``manifest/<n>.json``
+    names the generation of every scope; the highest number is the current version. A job writes its generation aside, then
+    renames one small manifest into place: readers see all of its scopes or none, and a death before that leaves the
+    facts as they were. A reader pins a version, so that writers do not disturb it. Two jobs that started from the same
+    version both come through if they touched other scopes; else the later one fails with ``ConcurrentChange``.
+    A manifest has one short line per scope, and a scope is one source of the registry.
+    """
 
     path: str
     schema: T.StructType = schemas.FACT
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """All facts with their ``scope_id``; none if nothing was written yet."""
-        return _read_facts(spark, self.path, self.schema)
+    def _manifest(self, number: int) -> str:
+        return f"{self.path}/manifest/{number:010d}.json"
+
+    def versions(self, spark: SparkSession) -> list[int]:
+        found = (n.removesuffix(".json") for n in names_in(spark, f"{self.path}/manifest") if n.endswith(".json"))
+        return sorted(int(n) for n in found if n.isdigit())
+
+    def current(self, spark: SparkSession) -> int:
+        """Number of the current version, 0 before the first."""
+        return max(self.versions(spark), default=0)
+
+    def pointers(self, spark: SparkSession, version: int) -> dict[str, str]:
+        """Generation of each scope in a version."""
+        return json.loads(read_small(spark, self._manifest(version))) if version else {}
+
+    def read(self, spark: SparkSession, version: int | None = None) -> DataFrame:
+        """All facts of a version (the current one, if none is named) with their ``scope_id``."""
+        if version and version not in self.versions(spark):
+            raise LookupError(f"no fact version {version}")
+        pinned = self.pointers(spark, self.current(spark) if version is None else version)
+        return self._files(spark, [f"generation={g}/scope_id={s}" for s, g in sorted(pinned.items())])
+
+    def _files(self, spark: SparkSession, folders: list[str]) -> DataFrame:
+        full = _with_scope_id(self.schema)
+        if not folders:
+            return spark.createDataFrame([], full)
+        reader = spark.read.schema(full).option("basePath", f"{self.path}/data")
+        return reader.parquet(*[f"{self.path}/data/{f}" for f in folders]).select(*full.names)
 
-    def replace_scopes(self, facts: DataFrame) -> None:
-        """Replace the scopes that occur in ``facts`` and leave all others alone.
+    def write_aside(self, facts: DataFrame) -> str:
+        """Write facts, and any further columns, as a new generation that no manifest names yet.
 
-        ``facts`` must not read from this store. The rebalance keeps files near the advisory size: it
-        splits a scope that holds much of the data and joins small ones.
+        The rebalance keeps files near the advisory size: it splits a scope that holds much of the data and joins small ones.
         """
+        generation = uuid.uuid4().hex
         (
             facts.withColumn("scope_id", scope_id())
             .hint("rebalance", "scope_id")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("scope_id")
-            .parquet(self.path)
+            .write.partitionBy("scope_id")
+            .parquet(f"{self.path}/data/generation={generation}")
         )
+        return generation
+
+    def written(self, spark: SparkSession, generation: str, column: str) -> DataFrame:
+        """One text column of a generation, also one that the facts do not have."""
+        folder = f"{self.path}/data/generation={generation}"
+        return spark.read.schema(f"`{column}` string").parquet(folder).select(column)
+
+    def switch(self, spark: SparkSession, generation: str, *, based_on: int | None = None, whole: bool = False) -> int:
+        """Make the scopes of a generation current by one rename, and return the number of the new version.
+
+        ``based_on`` is the version that the facts were made from. ``whole`` drops every scope that the generation lacks.
+        """
+        scopes = _scopes_in(spark, f"{self.path}/data/generation={generation}")
+        start = self.current(spark) if based_on is None else based_on
+        known = self.pointers(spark, start)
+        while True:
+            latest = self.current(spark)
+            pointers = self.pointers(spark, latest)
+            moved = [s for s in (pointers.keys() | known.keys() if whole else scopes) if pointers.get(s) != known.get(s)]
+            if moved:
+                raise ConcurrentChange(f"version {latest} has other rows than version {start} for scope {moved[0]}")
+            aside = f"{self.path}/manifest/_{generation}-{latest}"
+            new = {} if whole else pointers
+            write_small(spark, aside, json.dumps({**new, **dict.fromkeys(scopes, generation)}, indent=0, sort_keys=True))
+            if rename_new(spark, aside, self._manifest(latest + 1)):
+                return latest + 1
+            remove(spark, aside)  # another job was faster: look at what it did
+
+    def replace_scopes(self, facts: DataFrame, *, based_on: int | None = None) -> int:
+        """Replace the scopes that occur in ``facts`` and leave all others alone. ``facts`` may read from this store."""
+        spark = facts.sparkSession
+        start = self.current(spark) if based_on is None else based_on
+        return self.switch(spark, self.write_aside(facts), based_on=start)
+
+    def replace_all(self, facts: DataFrame) -> int:
+        """A whole new version: scopes that ``facts`` lacks are gone from it."""
+        spark = facts.sparkSession
+        start = self.current(spark)
+        return self.switch(spark, self.write_aside(facts), based_on=start, whole=True)
+
+    def vacuum(self, spark: SparkSession, *, keep: int = 2, older_than: float = 86_400) -> list[str]:
+        """Remove old manifests but the last ``keep``, and scopes that none of those names; returns what was removed.
+
+        Generations changed within ``older_than`` seconds stay, as a running job may be about to switch to them.
+        """
+        versions = self.versions(spark)
+        kept = versions[max(0, len(versions) - max(1, keep)) :]
+        named = {(g, s) for v in kept for s, g in self.pointers(spark, v).items()}
+        gone = [self._manifest(v) for v in versions if v not in kept]
+        for folder in names_in(spark, f"{self.path}/data"):
+            at = f"{self.path}/data/{folder}"
+            if age_seconds(spark, at) < older_than:
+                continue
+            generation = folder.removeprefix("generation=")
+            scopes = _scopes_in(spark, at)
+            unused = [s for s in scopes if (generation, s) not in named]
+            gone += [at] if len(unused) == len(scopes) else [f"{at}/scope_id={s}" for s in unused]
+        for path in gone:
+            remove(spark, path)
+        return gone
 
 
 @dataclass(frozen=True)
@@ -100,6 +196,9 @@ class FactTable:
     Promotion within a scope joins on the row key, so the stored facts, by far the larger side, are
     read in place: only the batch is shuffled. Row keys are unique, so buckets stay even however much
     of the data one scope holds. Choose the number of buckets for the largest scope.
+
+    A job writes a generation of bucketed files aside and then points the partition of each scope to it in the catalog: a
+    scope has its old rows or its new ones, never a part of them. Many scopes are switched one after the other.
     """
 
     name: str
@@ -115,61 +214,61 @@ class FactTable:
             f"location '{self.path}'"
         )
 
-    def read(self, spark: SparkSession) -> DataFrame:
+    def current(self, spark: SparkSession) -> None:
+        """The catalog keeps no versions."""
+        return None
+
+    def read(self, spark: SparkSession, version: None = None) -> DataFrame:
         self.create(spark)
         return spark.table(self.name)
 
-    def replace_scopes(self, facts: DataFrame) -> None:
-        """Replace the scopes that occur in ``facts``; one task writes one bucket."""
-        spark = facts.sparkSession
+    def write_aside(self, facts: DataFrame) -> str:
+        """Write facts, and any further columns, as bucketed files outside the table; one task writes one bucket."""
+        spark, generation = facts.sparkSession, uuid.uuid4().hex
         self.create(spark)
-        mode = "spark.sql.sources.partitionOverwriteMode"
-        before = spark.conf.get(mode)
-        spark.conf.set(mode, "dynamic")
-        try:
-            (
-                facts.withColumn("scope_id", scope_id())
-                .select(*_with_scope_id(self.schema).names)
-                .repartition(self.buckets, "source_row_key")
-                .write.insertInto(self.name, overwrite=True)
-            )
-        finally:
-            spark.conf.set(mode, before)
+        aside = f"{self.name}_{generation}"
+        (
+            facts.withColumn("scope_id", scope_id())
+            .repartition(self.buckets, "source_row_key")
+            .write.partitionBy("scope_id")
+            .bucketBy(self.buckets, "source_row_key")
+            .sortBy("source_row_key")
+            .option("path", f"{self.path}-data/generation={generation}")
+            .saveAsTable(aside)
+        )
+        spark.sql(f"drop table {aside}")  # an external table: its files stay
+        return generation
+
+    def written(self, spark: SparkSession, generation: str, column: str) -> DataFrame:
+        """One text column of a generation, also one that the facts do not have."""
+        return spark.read.schema(f"`{column}` string").parquet(f"{self.path}-data/generation={generation}").select(column)
+
+    def switch(self, spark: SparkSession, generation: str, *, based_on: None = None) -> None:
+        """Point the partitions of the scopes of a generation to it."""
+        folder = f"{self.path}-data/generation={generation}"
+        for scope in _scopes_in(spark, folder):
+            where = f"partition (scope_id = '{scope}')"
+            spark.sql(f"alter table {self.name} add if not exists {where} location '{folder}/scope_id={scope}'")
+            spark.sql(f"alter table {self.name} {where} set location '{folder}/scope_id={scope}'")
+
+    def replace_scopes(self, facts: DataFrame, *, based_on: None = None) -> None:
+        """Replace the scopes that occur in ``facts`` and leave all others alone."""
+        self.switch(facts.sparkSession, self.write_aside(facts))
 
 
 def fact_versions(spark: SparkSession, base: str) -> list[int]:
-    """Numbers of the complete versions under ``base``; an unfinished one has no success marker."""
-    if not exists(spark, base):
-        return []
-    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
-    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    names = [s.getPath().getName() for s in listed]
-    numbers = sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
-    return [n for n in numbers if exists(spark, f"{base}/v={n}/_SUCCESS")]
+    """Numbers of the versions under ``base``; what an unfinished job wrote is none."""
+    return FactFiles(base).versions(spark)
 
 
 def write_fact_version(facts: DataFrame, base: str) -> int:
-    """Write a whole new version aside; it becomes current the moment its success marker appears."""
-    spark = facts.sparkSession
-    number = max(fact_versions(spark, base), default=0) + 1
-    (
-        facts.withColumn("scope_id", scope_id())
-        .hint("rebalance", "scope_id")
-        .write.mode("overwrite")
-        .partitionBy("scope_id")
-        .parquet(f"{base}/v={number}")
-    )
-    return number
+    """Write a whole new version aside; it becomes current the moment its manifest is renamed into place."""
+    return FactFiles(base, facts.schema).replace_all(facts)
 
 
 def read_fact_version(spark: SparkSession, base: str, number: int | None = None, schema=schemas.FACT) -> DataFrame:
     """The current version, or the one asked for."""
-    complete = fact_versions(spark, base)
-    if number is not None and number not in complete:
-        raise LookupError(f"no complete fact version {number}")
-    if not complete:
-        return spark.createDataFrame([], _with_scope_id(schema))
-    return _read_facts(spark, f"{base}/v={complete[-1] if number is None else number}", schema)
+    return FactFiles(base, schema).read(spark, number)
 
 
 def append_recon_run(results: DataFrame, path: str, run_at: datetime) -> None:

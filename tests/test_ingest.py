@@ -342,12 +342,14 @@ def test_a_scope_that_holds_everything_is_split_into_files(spark, tmp_path):
         F.lit(D(1)).cast("decimal(20,2)").alias("debit"), F.lit(D(0)).cast("decimal(20,2)").alias("credit"))
     one = P.as_batch(payload, payload=["debit", "credit"], batch_id="b1", extracted_at=T1)
     store = mart.FactFiles(str(tmp_path / "facts"), P.empty_facts(one).schema)
-    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    size, floor = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
     spark.conf.set(size, "50k")
+    spark.conf.set(floor, "20k")  # all sizes are scaled down: a rebalance splits by the tasks that feed it
     try:
         store.replace_scopes(P.facts_after(P.promote(P.empty_facts(one), one, extracted_at=T1)))
     finally:
         spark.conf.unset(size)
+        spark.conf.unset(floor)
     stored = store.read(spark)
     assert len(stored.inputFiles()) > 2 and stored.count() == 40000
 
@@ -370,6 +372,98 @@ def test_fact_versions(spark, tmp_path):
     assert discriminators == {"", "NAME"}  # the sentinel survives the files
 
 
+def fact_store(spark, tmp_path):
+    return mart.FactFiles(str(tmp_path / "facts"), fact_schema(batch(spark, []), ["debit", "credit"]))
+
+
+def test_a_death_between_writing_and_switching_leaves_the_old_scope(spark, tmp_path, monkeypatch):
+    store = fact_store(spark, tmp_path)
+    promote_into(batch(spark, [(A, "1", "1"), (B, "1", "5")], "b1"), store, extracted_at=T1)
+    before = rows(store.read(spark))
+    second = batch(spark, [(A, "1", "2"), (A, "2", "3")], "b2", T2)
+
+    def die(self, *args, **more):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(mart.FactFiles, "switch", die)
+        with pytest.raises(KeyboardInterrupt):
+            promote_into(second, store, extracted_at=T2, full_refresh_scope=scope(A))
+    assert rows(store.read(spark)) == before and store.versions(spark) == [1]
+    assert promote_into(second, store, extracted_at=T2, full_refresh_scope=scope(A))["updated"] == 1  # run again
+    assert P.fact_total(store.read(spark), "debit").head()[0] == D(10)
+    assert rows(store.read(spark, 1)) == before  # who pinned the first version still reads it
+
+
+def test_a_manifest_appears_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    store = fact_store(spark, tmp_path)
+    promote_into(batch(spark, [(A, "1", "1")], "b1"), store, extracted_at=T1)
+    with monkeypatch.context() as m:
+        m.setattr(mart, "rename_new", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+        with pytest.raises(OSError):
+            promote_into(batch(spark, [(A, "1", "9"), (B, "1", "9")], "b2"), store, extracted_at=T2)
+    assert store.current(spark) == 1 and P.fact_total(store.read(spark), "debit").head()[0] == D(1)
+
+
+def test_jobs_on_other_scopes_both_come_through_and_on_the_same_scope_one(spark, tmp_path):
+    store = fact_store(spark, tmp_path)
+    promote_into(batch(spark, [(A, "1", "1"), (B, "1", "1")], "b1"), store, extracted_at=T1)
+    facts = store.read(spark, 1).drop("scope_id")
+    raised = facts.withColumn("debit", (F.col("debit") + 1).cast("decimal(20,2)"))
+    first = store.write_aside(raised.filter("source_object = 'T_A'"))
+    second = store.write_aside(raised.filter("source_object = 'T_B'"))
+    third = store.write_aside(facts.filter("source_object = 'T_A'"))
+    assert store.switch(spark, first, based_on=1) == 2 and store.switch(spark, second, based_on=1) == 3
+    with pytest.raises(mart.ConcurrentChange):
+        store.switch(spark, third, based_on=1)
+    assert P.fact_total(store.read(spark), "debit").head()[0] == D(4) and store.current(spark) == 3
+
+
+def test_vacuum_keeps_what_the_last_versions_name(spark, tmp_path):
+    store = fact_store(spark, tmp_path)
+    for n, items in enumerate([[(A, "1", "1"), (B, "1", "1")], [(A, "1", "2")], [(A, "1", "3")]]):
+        promote_into(batch(spark, items, f"b{n}"), store, extracted_at=T1)
+    store.write_aside(store.read(spark).drop("scope_id"))  # of a job that died
+    assert store.vacuum(spark) == [store._manifest(1)]  # everything is younger than a day
+    gone = store.vacuum(spark, keep=1, older_than=-1)
+    assert len(gone) == 4  # a manifest, scope A of the first generation, the second, and the one of the dead job
+    assert store.versions(spark) == [3] and P.fact_total(store.read(spark), "debit").head()[0] == D(4)
+
+
+def test_repeats_are_found_in_the_merge_and_nothing_is_switched(spark, tmp_path):
+    store = fact_store(spark, tmp_path)
+    promote_into(batch(spark, [(A, "1", "1")], "b1"), store, extracted_at=T1)
+    twice = batch(spark, [(A, "2", "1"), (A, "3", "1"), (A, "2", "7")], "b2")
+    for full in (None, scope(A)):
+        with pytest.raises(P.BatchRejected, match="more than once"):
+            promote_into(twice, store, extracted_at=T2, full_refresh_scope=full)
+    assert store.versions(spark) == [1] and store.read(spark).count() == 1
+
+
+def test_one_shuffle_of_the_batch_counts_copies_and_joins(spark, tmp_path):
+    big = spark.range(1000).select(*[F.lit(v).alias(c) for c, v in scope(B).items()], F.col("id").cast("string").alias("source_row_key"),
+                                   F.col("id").cast("decimal(20,2)").alias("debit"), F.lit(D(0)).cast("decimal(20,2)").alias("credit"))
+    incoming = P.as_batch(big, payload=["debit", "credit"], batch_id="b", extracted_at=T1)
+    P.empty_facts(incoming).unionByName(incoming, allowMissingColumns=True).write.parquet(str(tmp_path / "f"))
+    facts = spark.read.parquet(str(tmp_path / "f"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(P.promote_scope(facts, incoming, scope(B), extracted_at=T2), "simple")
+        whole = plan(P.promote(facts, incoming, extracted_at=T2), "simple")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for t in (text, whole):
+        assert t.count("Exchange hashpartitioning") == 2 and t.count("Window [") == 1 and "SortMergeJoin" in t  # facts and batch
+        assert t.count("Sort [") == 2
+
+
+def test_an_entry_without_owner_has_no_scope(spark):
+    e = entry()
+    broken = Row(**{**e.asDict(), "physical": Row(**{**e.physical.asDict(), "owner": None})})
+    with pytest.raises(UnresolvedSource, match="source_owner"):
+        identity.scope_of(broken, "SYS")
+
+
 def test_stream_feeds_the_same_plan(spark, tmp_path):
     from ledgerspark.streaming.feed import ingest_stream
 
