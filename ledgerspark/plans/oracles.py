@@ -409,6 +409,16 @@ s2 as (select * from r where l_partkey % 2 = 0
 select 's1' as extract_batch_id, source_row_key, sequence, amount from s1
 union all select 's1', source_row_key, sequence, amount from s1_more
 union all select 's2', source_row_key, sequence, amount from s2""",
+    "ingest_batches": f"""
+with {PROMOTION}, runs as (
+  select 1 as version, 'b1' as batch, (select count(*) from b1) as staged, * from f1 union all
+  select 2, 'b2', (select count(*) from b2), * from f2 union all
+  select 3, 'b2', 0, * from f2b union all
+  select 4, 'b3', (select count(*) from b3), * from f3)
+select version, batch, staged, {", ".join(f"count(*) filter (outcome = '{o}') as {o}" for o in ("inserted", "updated", "unchanged", "tombstoned", "revived"))},
+       count(*) filter (not deleted) as live, cast(sum(debit) filter (not deleted) as decimal(24,2)) as debit,
+       cast(sum(credit) filter (not deleted) as decimal(24,2)) as credit
+from runs group by 1, 2, 3""",
     "promote_counts": f"""
 with {PROMOTION}, runs as (
   select '1 b1' as run, outcome from f1 union all select '2 b2', outcome from f2

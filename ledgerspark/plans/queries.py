@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -10,7 +11,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.fixed_values import IDENTITY
+from ledgerspark.fixed_values import CONFIRMED, IDENTITY, SEPARATE_OBJECT
 from ledgerspark.functions.ageing import age_bucket, age_days
 from ledgerspark.functions.calendar import fiscal_year
 from ledgerspark.functions.hashing import row_hash
@@ -19,11 +20,12 @@ from ledgerspark.functions.text import redact_text, trim_char
 from ledgerspark.operators import ageing, coverage, evidence, identity, keys, privacy, profile, promotion, recon
 from ledgerspark.operators import registry as reg
 from ledgerspark.plans import inputs as src
+from ledgerspark.plans.ingest import fact_schema, ingest_extract
 from ledgerspark.plans.reconcile import ledger_scopes, reconcile
 from ledgerspark.session import durable, shared_dir
 from ledgerspark.sources.control_files import read_registry
 from ledgerspark.sources.ledgers import files_under, read_source
-from ledgerspark.sources.mart import append_recon_run, read_recon_runs
+from ledgerspark.sources.mart import FactFiles, append_recon_run, read_recon_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -374,21 +376,23 @@ def staging_append(spark, sf):
     return staged.select("extract_batch_id", "source_row_key", "sequence", "amount")
 
 
-def _batch(spark, sf, batch_id: str) -> DataFrame:
-    # Shuffled before it is identified and hashed: the join of the promotion reuses this partitioning, so
-    # neither hashes nor constants travel.
+def _batch(spark, sf, batch_id: str, columns: tuple[str, ...] = src.PAYLOAD) -> DataFrame:
+    """One batch with the hash of its whole payload, of which ``columns`` are kept."""
+    # Shuffled before it is identified and hashed: the promotion reuses this partitioning, so neither hashes nor
+    # constants travel.
     rows = src.ledger_batch(spark, sf, batch_id).repartition("source_row_key")
-    return promotion.as_batch(
+    batch = promotion.as_batch(
         src.with_ledger_identity(rows), payload=src.PAYLOAD, batch_id=batch_id, extracted_at=src.BATCH_TIMES[batch_id]
     )
+    return batch.drop(*[c for c in src.PAYLOAD if c not in columns])
 
 
-def _promoted(spark, sf, last: str) -> dict[str, DataFrame]:
+def _promoted(spark, sf, last: str, columns: tuple[str, ...] = src.PAYLOAD) -> dict[str, DataFrame]:
     """Merged rows after each batch up to ``last``; each is written once and read by the next."""
     merged: dict[str, DataFrame] = {}
     facts = None
     for batch_id, extracted_at in src.BATCH_TIMES.items():
-        batch = _batch(spark, sf, batch_id)
+        batch = _batch(spark, sf, batch_id, columns)
         facts = promotion.empty_facts(batch) if facts is None else facts
         result = promotion.promote(facts, batch, extracted_at=extracted_at, full_refresh_scope=src.LEDGER_SCOPE)
         if batch_id == last:
@@ -398,6 +402,33 @@ def _promoted(spark, sf, last: str) -> dict[str, DataFrame]:
     raise LookupError(last)
 
 
+@register
+def ingest_batches(spark, sf):
+    """Three complete extracts through the whole ingest path, the second sent twice: what was staged, the outcomes, and the
+    live facts of the version that each run made, read after all of them."""
+    folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    system, owner, name, copy_id = list(src.LEDGER_SCOPE.values())[:4]
+    physical = Row(owner=owner, object_name=name, object_type="TABLE", access_mode=SEPARATE_OBJECT,
+                   discriminator_column=None, discriminator_value=None)
+    entry = Row(source_type="LEDGER", logical_cube_name="CUBE_LEDGER", copy_id=copy_id, financial_year="FY01-02",
+                status=CONFIRMED, physical=physical)
+    store = FactFiles(f"{folder}/facts", fact_schema(src.ledger(spark, sf), src.PAYLOAD))
+    runs = []
+    for batch_id in ("b1", "b2", "b2", "b3"):
+        counts = ingest_extract(
+            src.ledger_batch(spark, sf, batch_id), entry, source_system=system, row_key=F.col("source_row_key"),
+            payload=src.PAYLOAD, batch_id=batch_id, extracted_at=src.BATCH_TIMES[batch_id], order_by=["source_row_key"],
+            staging_path=f"{folder}/staging", store=store, full_refresh=True,
+        )
+        version = store.current(spark)
+        live = promotion.live_facts(store.read(spark, version)).agg(
+            F.count(F.lit(1)).alias("live"), total(F.col("debit")).alias("debit"), total(F.col("credit")).alias("credit")
+        )
+        shown = {"version": version, "batch": batch_id, **counts}
+        runs.append(live.select(*[F.lit(v).alias(k) for k, v in shown.items()], "live", "debit", "credit"))
+    return functools.reduce(DataFrame.unionByName, runs)
+
+
 @register
 def promote_counts(spark, sf):
     """Outcomes of three batches; the second is sent twice, which changes nothing."""
@@ -419,7 +450,7 @@ def promote_counts(spark, sf):
 @register
 def promote_facts(spark, sf):
     """The facts after batch 3, whole rows."""
-    facts = promotion.facts_after(_promoted(spark, sf, "b3")["b3"])
+    facts = promotion.facts_after(_promoted(spark, sf, "b3", ("site_code", "debit", "credit"))["b3"])
     return facts.select(
         "source_row_key", "site_code", "debit", "credit", "row_hash", "extract_batch_id",
         F.col("source_deleted_at").isNotNull().alias("deleted"),
@@ -447,16 +478,16 @@ def promote_shared_object(spark, sf):
 
 @register
 def missing_from_refresh(spark, sf):
-    merged = _promoted(spark, sf, "b1")["b1"]
+    merged = _promoted(spark, sf, "b1", ())["b1"]
     gone = promotion.missing_from_refresh(
-        promotion.facts_after(merged), _batch(spark, sf, "b2"), src.LEDGER_SCOPE
+        promotion.facts_after(merged), _batch(spark, sf, "b2", ()), src.LEDGER_SCOPE
     )
     return gone.select("source_row_key")
 
 
 @register
 def fact_total(spark, sf):
-    facts = promotion.facts_after(_promoted(spark, sf, "b2")["b2"])
+    facts = promotion.facts_after(_promoted(spark, sf, "b2", ("debit", "credit"))["b2"])
     return promotion.fact_total(facts, "debit", "credit", "tax")
 
 
@@ -480,12 +511,11 @@ def recon_runs(spark, sf):
 def _reconciled(spark, sf) -> DataFrame:
     """Batch 2 against the facts made from it, with one cent too much on one day of one site, a KPI for
     the accounts, and an explanation for the site."""
-    facts = promotion.facts_after(_promoted(spark, sf, "b2")["b2"])
+    needed = ("site_code", "entry_glcode", "entry_date", "debit", "credit")
+    facts = promotion.facts_after(_promoted(spark, sf, "b2", needed)["b2"])
     slip = (F.col("site_code") == "N07") & (F.col("entry_date") == F.lit(date(1998, 3, 15)))
     facts = facts.withColumn("debit", money(F.col("debit") + F.when(slip, F.lit(Decimal("0.01"))).otherwise(F.lit(Decimal(0)))))
-    source = durable(
-        src.ledger_batch(spark, sf, "b2").select("site_code", "entry_glcode", "entry_date", "debit", "credit"), "source"
-    )
+    source = durable(src.ledger_batch(spark, sf, "b2").select(*needed), "source")
     kpi = recon.recon_totals(source, {"account": F.col("entry_glcode")}).filter("check_name <> 'rows'")
     explained = recon.recon_totals(source.filter("site_code = 'N07'"), {"site": F.col("site_code")}).filter(
         "check_name = 'debit' and scope <> 'company'"
