@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerspark.fixed_values import RETIRED
-from ledgerspark.functions.calendar import month_of
 from ledgerspark.session import fits_broadcast
 
 BROADCAST_ROWS = 100_000
+BROADCAST_PER_TYPE = 500
 
 
 class OverlapError(ValueError):
     """Two live authoritative sources of one type cover the same day."""
 
 
-def _windows(registry: DataFrame) -> DataFrame:
+def _windows(registry: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Live authoritative windows that cover at least one day."""
     return registry.filter(
         F.col("authoritative") & (F.col("status") != RETIRED) & (F.col("date_from") <= F.col("date_to"))
@@ -27,6 +29,7 @@ def _windows(registry: DataFrame) -> DataFrame:
         "copy_id",
         "date_from",
         "date_to",
+        *carry,
     )
 
 
@@ -74,37 +77,65 @@ def _check(registry: DataFrame) -> None:
         raise OverlapError(f"double coverage: {example[0].asDict()}")
 
 
-def _match(
-    rows: DataFrame,
-    registry: DataFrame,
-    how: str,
-    type_col: Column,
-    date_col: Column,
-    broadcast_rows: int,
-) -> DataFrame:
-    windows = _windows(registry).select(
-        F.col("source_type").alias("_type"),
-        F.col("date_from").alias("_from"),
-        F.col("date_to").alias("_to"),
-        F.col("registry_key").alias("source_registry_key"),
-        F.col("copy_id").alias("resolved_copy_id"),
+def coverage_timeline(registry: DataFrame, *, carry: Sequence[str] = ()) -> DataFrame:
+    """Disjoint stretches of covered days: ``source_type, date_from, date_to, sources, source``.
+
+    ``sources`` counts the live authoritative windows over a stretch; ``source`` is the one of them (its registry key, copy
+    and the columns ``carry``), NULL where there are several. Windows may overlap and end as late as they like: only their
+    ends are looked at. Both ends of all windows are summed by (type, day), then one ordered pass carries the number of open
+    windows and the exclusive-or of their ids, which is the id of the only one. A type has no more ends than the calendar days.
+    """
+    live = _windows(registry, carry).withColumn("_id", F.xxhash64("source_type", "registry_key", "date_from", "date_to"))
+    ends = live.select(
+        "source_type",
+        "_id",
+        F.inline(F.array(
+            F.struct(F.col("date_from").alias("_day"), F.lit(1).cast("bigint").alias("_step")),
+            F.struct(F.date_add("date_to", 1).alias("_day"), F.lit(-1).cast("bigint").alias("_step")),
+        )),
+    )
+    changes = ends.groupBy("source_type", "_day").agg(F.sum("_step").alias("_step"), F.bit_xor("_id").alias("_id"))
+    by_day = W.partitionBy("source_type").orderBy("_day")
+    stretches = changes.select(
+        "source_type",
+        F.col("_day").alias("date_from"),
+        F.date_sub(F.lead("_day").over(by_day), 1).alias("date_to"),
+        F.sum("_step").over(by_day).alias("sources"),
+        F.bit_xor("_id").over(by_day).alias("_only"),
+    ).filter("sources > 0")
+    single = live.select(F.col("source_type").alias("_type"), "_id", F.struct("registry_key", "copy_id", *carry).alias("source"))
+    found = stretches.join(
+        single, (F.col("sources") == 1) & (F.col("source_type") == F.col("_type")) & (F.col("_only") == F.col("_id")), "left"
     )
+    return found.select("source_type", "date_from", "date_to", "sources", "source")
+
+
+def _small(stretches: DataFrame, rows: int) -> bool:
+    """True if the stretches may be broadcast: bounded in rows and bytes, and few for each type, as a row tries all of its type."""
+    if not fits_broadcast(stretches, rows):
+        return False
+    most = stretches.groupBy("source_type").count().agg(F.max("count")).head()[0]
+    return (most or 0) <= BROADCAST_PER_TYPE
+
+
+def _match(rows: DataFrame, stretches: DataFrame, how: str, type_col: Column, date_col: Column, broadcast_rows: int) -> DataFrame:
+    """Rows with the stretch of their type that covers their day, as column ``_stretch``."""
     keyed = rows.withColumns({"_row_type": type_col, "_row_day": date_col.cast("date")})
-    same_type = F.col("_row_type") == F.col("_type")
-    covered = F.col("_row_day").between(F.col("_from"), F.col("_to"))
-    if fits_broadcast(windows, broadcast_rows):
-        joined = keyed.join(F.broadcast(windows), same_type & covered, how)
-    else:
-        # Too large to broadcast: meet on (type, month). Windows of a type do not overlap, so a month
-        # holds few of them, and a type with many rows is spread over its months; AQE splits what is
-        # still too large, as the window side has few rows per key.
-        monthly = windows.withColumn(
-            "_month", F.explode(F.sequence(month_of(F.col("_from")), F.col("_to"), F.expr("interval 1 month")))
-        )
-        keyed = keyed.withColumn("_row_month", month_of(F.col("_row_day")))
-        joined = keyed.join(monthly, same_type & (F.col("_row_month") == F.col("_month")) & covered, how)
-    added = [c for c in ("source_registry_key", "resolved_copy_id") if c in joined.columns]
-    return joined.select(*rows.columns, *added)
+    stretch = F.struct("date_to", *[c for c in stretches.columns if c not in ("source_type", "date_from", "date_to")])
+    marks = stretches.select(F.col("source_type").alias("_type"), F.col("date_from").alias("_day"), stretch.alias("_stretch"))
+    if _small(stretches, broadcast_rows):
+        covered = (F.col("_row_type") == F.col("_type")) & F.col("_row_day").between(F.col("_day"), F.col("_stretch.date_to"))
+        return keyed.join(F.broadcast(marks), covered, how)
+    # Too large to broadcast. The days that occur are resolved, not the rows: distinct (type, day) pairs are sorted among the
+    # starts of the stretches, and the last start is carried on. A type has no more of them than the calendar has days,
+    # however many rows it holds. The rows then meet their day by equality, where AQE splits a day with very many rows.
+    days = keyed.select(F.col("_row_type").alias("_type"), F.col("_row_day").alias("_day")).dropna().distinct()
+    in_order = W.partitionBy("_type").orderBy("_day")
+    both = marks.withColumn("_asked", F.lit(False)).unionByName(days.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    carried = both.withColumn("_stretch", F.last("_stretch", ignorenulls=True).over(in_order))
+    resolved = carried.filter("_asked and _stretch.date_to >= _day").select("_type", "_day", "_stretch")
+    same_day = (F.col("_row_type") == F.col("_type")) & (F.col("_row_day") == F.col("_day"))
+    return keyed.join(resolved, same_day, how)
 
 
 def resolve_as_of(
@@ -114,10 +145,25 @@ def resolve_as_of(
     type_col: str | Column,
     date_col: str | Column,
     broadcast_rows: int = BROADCAST_ROWS,
+    strict: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Add the one authoritative source that covers each row; NULL where there is none."""
-    _check(registry)
-    return _match(rows, registry, "left", _column(type_col), _column(date_col), broadcast_rows)
+    """Add the one authoritative source that covers each row; NULL where there is none.
+
+    ``strict`` refuses a registry with double coverage. Without it every registry will do: ``sources`` tells how many cover
+    the row, and the source is NULL if it is not exactly one. ``carry`` names columns of the registry that are added as the
+    fields of ``source_entry``.
+    """
+    if strict:
+        _check(registry)
+    found = _match(rows, coverage_timeline(registry, carry=carry), "left", _column(type_col), _column(date_col), broadcast_rows)
+    source = F.col("_stretch.source")
+    added = [source["registry_key"].alias("source_registry_key"), source["copy_id"].alias("resolved_copy_id")]
+    if not strict:
+        added.append(F.coalesce("_stretch.sources", F.lit(0)).alias("sources"))
+    if carry:
+        added.append(F.struct(*[source[c].alias(c) for c in carry]).alias("source_entry"))
+    return found.select(*rows.columns, *added)
 
 
 def coverage_gaps(
@@ -128,8 +174,9 @@ def coverage_gaps(
     date_col: str | Column,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Rows that no authoritative source covers."""
-    return _match(rows, registry, "left_anti", _column(type_col), _column(date_col), broadcast_rows)
+    """Rows that no authoritative source covers. Double coverage is coverage here; ``overlapping_sources`` reports it."""
+    stretches = coverage_timeline(registry).select("source_type", "date_from", "date_to")
+    return _match(rows, stretches, "left_anti", _column(type_col), _column(date_col), broadcast_rows).select(*rows.columns)
 
 
 def _column(c: str | Column) -> Column:

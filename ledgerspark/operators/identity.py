@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from ledgerspark import schemas
 from ledgerspark.fixed_values import IDENTITY, IDENTITY_KEY, SCOPE, SCOPE_IN_ENTRY
 from ledgerspark.functions.text import BLANKS
-from ledgerspark.operators.registry import UnresolvedSource, confirmed_only, registry_key, require_physical
+from ledgerspark.operators.coverage import BROADCAST_ROWS, resolve_as_of
+from ledgerspark.operators.registry import UnresolvedSource, confirmed_only, is_confirmed, registry_key, require_physical
 
 REQUIRED = tuple(c for c in IDENTITY if "discriminator" not in c)
 
@@ -59,6 +60,41 @@ def with_identity_from_registry(
     return out.withColumn("unresolved", reason.cast("string"))
 
 
+def with_identity_as_of(
+    rows: DataFrame,
+    registry: DataFrame,
+    row_key: Column,
+    source_system: str,
+    *,
+    type_col: str | Column,
+    date_col: str | Column,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Add the identity of the source that covers each row's day; the registry is met once.
+
+    Every row stays, whatever the state of the registry. ``unresolved`` tells why a row has no identity: ``NO_SOURCE`` covers
+    it, ``SEVERAL_SOURCES`` do, or the one that does is ``NOT_CONFIRMED``; NULL for the others.
+    """
+    known = registry.withColumn("scope", F.when(is_confirmed(), F.struct(*entry_scope(source_system))))
+    found = resolve_as_of(
+        rows.withColumn("source_row_key", row_key.cast("string")),
+        known,
+        type_col=type_col,
+        date_col=date_col,
+        broadcast_rows=broadcast_rows,
+        strict=False,
+        carry=("scope",),
+    )
+    scope = F.col("source_entry.scope")
+    reason = (
+        F.when(F.col("sources") == 0, "NO_SOURCE")
+        .when(F.col("sources") > 1, "SEVERAL_SOURCES")
+        .when(scope["source_owner"].isNull(), "NOT_CONFIRMED")
+    )
+    identity = {c: scope[c] for c in SCOPE} | {"unresolved": reason}
+    return found.withColumns(identity).drop("source_entry", "sources")
+
+
 def scope_columns() -> Column:
     """The scope as one comparable struct."""
     return F.struct(*SCOPE)

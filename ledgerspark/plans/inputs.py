@@ -111,6 +111,15 @@ select concat('UNKNOWN|', copy_id), 'CONFIRMED', null, null, null, null, null, n
 from ({registry}) r where is_current
 """
 
+# The same, and entries that reach into the next year are retired.
+OVERLAY_WITH_RETIRED = """
+select o.* from (""" + OVERLAY + """) o
+where o.registry_key not in (select concat_ws('|', source_type, logical_cube_name, copy_id) from ({registry}) r where month(date_to) = 5)
+union all
+select concat_ws('|', source_type, logical_cube_name, copy_id), 'RETIRED', null, null, null, null, null, null, null
+from ({registry}) r where month(date_to) = 5
+"""
+
 CLAIMS = """
 select concat('SUP|', cast(s_suppkey as string)) as registry_key,
        case when s_suppkey % 3 = 2 then 'no such copy'

@@ -57,8 +57,8 @@ STATUS_COLUMNS = (
     f"coalesce(case when owner is not null then {DISPLAY} end, '-') as physical, "
     "coalesce(physical_hint, '-') as hint, authoritative"
 )
-OVERLAID = f"""
-overlay as ({_plain(src.OVERLAY)}),
+OVERLAY = f"overlay as ({_plain(src.OVERLAY)})"
+OVERLAID = """
 overlaid as (
   select r.source_type, r.logical_cube_name, r.registry_key, r.financial_year, r.authoritative,
          coalesce(o.status, r.status) as status,
@@ -98,6 +98,18 @@ overlapping as (
 """
 
 
+# Ledger rows with the number of live windows that cover them and the fields of one of those.
+COVERED = """
+covered as (
+  select l.source_row_key, l.l_suppkey, count(r.registry_key) as sources, any_value(r.copy_id) as copy_id, any_value(r.status) as status,
+         any_value(r.owner) as owner, any_value(r.object_name) as object_name,
+         any_value(r.discriminator_column) as discriminator_column, any_value(r.discriminator_value) as discriminator_value
+  from ledger l left join registry r on r.source_type = 'SUP_' || cast(l.l_suppkey as varchar)
+    and r.authoritative and r.status <> 'RETIRED' and l.entry_date between r.date_from and r.date_to
+  group by 1, 2)
+"""
+
+
 IDENTITY_COLUMNS = (
     "source_system, source_owner, source_object, source_copy_id, source_discriminator_column, "
     "source_discriminator_value, source_row_key"
@@ -279,7 +291,7 @@ qualify row_number() over (order by "N" desc, "GRP" nulls last) <= 20""",
     "registry_status": f"with {REGISTRY} select {STATUS_COLUMNS} from registry",
     "registry_overlaps": f"with {REGISTRY}, {_overlaps('registry')} select * from overlapping",
     "registry_overlay": f"""
-with {REGISTRY}, base as (select * from registry), {OVERLAID}
+with {REGISTRY}, base as (select * from registry), {OVERLAY}, {OVERLAID}
 select {STATUS_COLUMNS} from (select * replace (coalesce(last_refresh_at, physical_hint) as physical_hint) from overlaid) o""",
     "registry_violations": f"""
 with {REGISTRY}, doubled as (select * from registry union all
@@ -317,17 +329,17 @@ with {REGISTRY}, best as (select l_suppkey from lineitem
 select {STATUS_COLUMNS} from registry
 where is_current and source_type = (select 'SUP_' || cast(l_suppkey as varchar) from best)""",
     "combined_registry": f"""
-with {REGISTRY}, {YEARLY}, base as (select * from yearly union all select * from registry), {OVERLAID}
+with {REGISTRY}, {YEARLY}, base as (select * from yearly union all select * from registry),
+overlay as ({_plain(src.OVERLAY_WITH_RETIRED)}), {OVERLAID}
 select logical_cube_name, status, count(*) as n, count(owner) as mapped, count(last_refresh_at) as refreshed
 from overlaid group by 1, 2""",
     "refused_entries": f"""
-with {REGISTRY}, clean as (select * from registry where month(date_to) = 3 and date_from <= date_to),
-candidates as (
+with {REGISTRY}, candidates as (
   select * replace ('new-' || copy_id as copy_id, date '2002-09-30' as date_to,
                     case when is_auto_refresh then date '2001-10-01' else date '2002-04-01' end as date_from,
                     concat_ws('|', source_type, logical_cube_name, 'new-' || copy_id) as registry_key)
-  from clean where is_current),
-everything as (select * from clean union all select * from candidates), {_overlaps('everything')}
+  from registry where is_current),
+everything as (select * from registry union all select * from candidates), {_overlaps('everything')}
 select * from overlapping where registry_key in (select registry_key from candidates)""",
     "resolve_as_of": f"""
 with {YEARLY}
@@ -335,11 +347,19 @@ select o.o_orderkey, y.registry_key as source_registry_key, y.copy_id as resolve
 from orders o left join yearly y on y.source_type = 'ORD_' || substr(o.o_orderpriority, 1, 1)
   and y.authoritative and y.status <> 'RETIRED' and cast(o.o_orderdate as date) between y.date_from and y.date_to""",
     "resolve_as_of_many_sources": f"""
-with {LEDGER}, {REGISTRY}
-select l.source_row_key, r.copy_id as resolved_copy_id
-from ledger l left join registry r on r.source_type = 'SUP_' || cast(l.l_suppkey as varchar)
-  and r.authoritative and r.status <> 'RETIRED' and month(r.date_to) = 3
-  and l.entry_date between r.date_from and r.date_to""",
+with {LEDGER}, {REGISTRY}, {COVERED}
+select source_row_key, case when sources = 1 then copy_id end as resolved_copy_id, sources from covered""",
+    "coverage_timeline": f"""
+with {REGISTRY}, live as (select * from registry where authoritative and status <> 'RETIRED' and date_from <= date_to),
+ends as (select source_type, date_from as day from live union select source_type, cast(date_to + 1 as date) from live),
+stretches as (select source_type, day as date_from, cast(lead(day) over (partition by source_type order by day) - 1 as date) as date_to
+              from ends)
+select s.source_type, s.date_from, s.date_to, count(*) as sources, case when count(*) = 1 then min(l.registry_key) end as registry_key
+from stretches s join live l on l.source_type = s.source_type and l.date_from <= s.date_from and s.date_from <= l.date_to
+group by 1, 2, 3""",
+    "coverage_gaps_many_sources": f"""
+with {LEDGER}, {REGISTRY}, {COVERED}
+select l_suppkey, count(*) as n, min(source_row_key) as first_key from covered where sources = 0 group by 1""",
     "coverage_gaps": f"""
 with {YEARLY}
 select o_orderkey, o_orderpriority from orders o where not exists (
@@ -351,16 +371,14 @@ select event_id as "EVENT_ID", user_id as "USER_ID", event_type as "EVENT_TYPE",
 from events where event_type = 'error'""",
     "trim_char_columns": "select c_custkey, c_name as name, c_mktsegment as segment from customer",
     "ledger_identities": f"""
-with {LEDGER}, {REGISTRY}, found as (
-  select l.source_row_key, r.registry_key, r.copy_id, r.owner, r.object_name, r.discriminator_column, r.discriminator_value,
-         coalesce(r.status = 'CONFIRMED' and r.owner is not null, false) as usable
-  from ledger l left join registry r on r.source_type = 'SUP_' || cast(l.l_suppkey as varchar)
-    and r.authoritative and r.status <> 'RETIRED' and month(r.date_to) = 3 and l.entry_date between r.date_from and r.date_to)
+with {LEDGER}, {REGISTRY}, {COVERED},
+found as (select *, sources = 1 and status = 'CONFIRMED' and owner is not null as usable from covered)
 select case when usable then 'LAKE' end as source_system, case when usable then owner end as source_owner,
        case when usable then object_name end as source_object, case when usable then copy_id end as source_copy_id,
        case when usable then coalesce(discriminator_column, '') end as source_discriminator_column,
        case when usable then coalesce(discriminator_value, '') end as source_discriminator_value, source_row_key,
-       case when registry_key is null then 'NO_SOURCE' when not usable then 'NOT_CONFIRMED' end as unresolved
+       case when sources = 0 then 'NO_SOURCE' when sources > 1 then 'SEVERAL_SOURCES' when not usable then 'NOT_CONFIRMED' end
+         as unresolved
 from found""",
     "scope_totals": f"""
 with {SHARED}

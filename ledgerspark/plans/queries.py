@@ -200,10 +200,11 @@ def find_entry(spark, sf):
 
 @register
 def combined_registry(spark, sf):
-    """Yearly sources plus supplier sources as additions, overlaid; overlaps are reported elsewhere."""
+    """Yearly sources plus supplier sources as additions, overlaid. The overlay also retires the entries that reach into the
+    next year, so that the whole passes the check for double coverage."""
     seed = src.registry(spark, sf, src.YEARLY_REGISTRY)
-    found = src.nest_physical(src.derive(spark, sf, src.OVERLAY))
-    both = reg.combined_registry(seed, src.registry(spark, sf), found, validate=False)
+    found = src.nest_physical(src.derive(spark, sf, src.OVERLAY_WITH_RETIRED))
+    both = reg.combined_registry(seed, src.registry(spark, sf), found)
     return both.groupBy("logical_cube_name", "status").agg(
         F.count(F.lit(1)).alias("n"), F.count("physical").alias("mapped"), F.count("last_refresh_at").alias("refreshed")
     )
@@ -212,7 +213,7 @@ def combined_registry(spark, sf):
 @register
 def refused_entries(spark, sf):
     """Half-year candidates for every supplier: those inside covered years are refused."""
-    entries = src.registry(spark, sf).filter("month(date_to) = 3 and date_from <= date_to")
+    entries = src.registry(spark, sf)
     candidates = entries.filter("is_current").withColumns(
         {
             "copy_id": F.concat(F.lit("new-"), "copy_id"),
@@ -239,18 +240,32 @@ def resolve_as_of(spark, sf):
     return found.select("o_orderkey", "source_registry_key", "resolved_copy_id")
 
 
+def _supplier_source() -> dict:
+    return dict(type_col=F.concat(F.lit("SUP_"), F.col("l_suppkey").cast("string")), date_col="entry_date")
+
+
 @register
 def resolve_as_of_many_sources(spark, sf):
-    """Every ledger row to the source of its supplier; windows grow with the suppliers, so no broadcast."""
-    entries = durable(src.registry(spark, sf).filter("month(date_to) = 3 and date_from <= date_to"), "registry")
+    """Every ledger row to the source of its supplier, by the whole flawed registry; windows grow with the suppliers, so no broadcast."""
+    entries = durable(src.registry(spark, sf), "registry")
     rows = src.ledger(spark, sf).select("source_row_key", "entry_date", "l_suppkey")
-    return coverage.resolve_as_of(
-        rows,
-        entries,
-        type_col=F.concat(F.lit("SUP_"), F.col("l_suppkey").cast("string")),
-        date_col="entry_date",
-        broadcast_rows=0,
-    ).select("source_row_key", "resolved_copy_id")
+    found = coverage.resolve_as_of(rows, entries, broadcast_rows=0, strict=False, **_supplier_source())
+    return found.select("source_row_key", "resolved_copy_id", "sources")
+
+
+@register
+def coverage_timeline(spark, sf):
+    """Stretches of days by number of sources, for the whole flawed registry."""
+    found = coverage.coverage_timeline(src.registry(spark, sf))
+    return found.select("source_type", "date_from", "date_to", "sources", F.col("source.registry_key").alias("registry_key"))
+
+
+@register
+def coverage_gaps_many_sources(spark, sf):
+    """Ledger rows that no source covers in the whole flawed registry, by supplier."""
+    rows = src.ledger(spark, sf).select("source_row_key", "entry_date", "l_suppkey")
+    gaps = coverage.coverage_gaps(rows, durable(src.registry(spark, sf), "registry"), broadcast_rows=0, **_supplier_source())
+    return gaps.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.min("source_row_key").alias("first_key"))
 
 
 @register
@@ -289,16 +304,10 @@ def trim_char_columns(spark, sf):
 @register
 def ledger_identities(spark, sf):
     """Identity of every ledger row from the confirmed source of its supplier and fiscal year, or why it has none."""
-    entries = durable(src.registry(spark, sf).filter("month(date_to) = 3 and date_from <= date_to"), "registry")
-    rows = src.ledger(spark, sf).select("source_row_key", "entry_date", "l_suppkey")
-    resolved = coverage.resolve_as_of(
-        rows.withColumnRenamed("source_row_key", "row_key"),
-        entries,
-        type_col=F.concat(F.lit("SUP_"), F.col("l_suppkey").cast("string")),
-        date_col="entry_date",
-    )
-    identified = identity.with_identity_from_registry(resolved, entries, F.col("row_key"), src.SOURCE_SYSTEM)
-    return identified.select(*IDENTITY, "unresolved")
+    rows = src.ledger(spark, sf).select(F.col("source_row_key").alias("row_key"), "entry_date", "l_suppkey")
+    entries = durable(src.registry(spark, sf), "registry")
+    found = identity.with_identity_as_of(rows, entries, F.col("row_key"), src.SOURCE_SYSTEM, **_supplier_source())
+    return found.select(*IDENTITY, "unresolved")
 
 
 @register

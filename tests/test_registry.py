@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerspark import schemas
-from ledgerspark.operators import coverage, registry as reg
+from ledgerspark.operators import coverage, identity, registry as reg
 from ledgerspark.sources.control_files import read_overlay, read_registry, read_registry_additions
 
 D = date.fromisoformat
@@ -160,6 +160,71 @@ def test_resolve_checks_double_coverage_first(spark):
         coverage.resolve_as_of(df, r, type_col="t", date_col="d")
 
 
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_as_of_against_brute_force_with_overlaps_and_open_ends(spark, bound):
+    import random
+
+    rnd = random.Random(17)
+    entries = []
+    for i in range(60):
+        start = date(2020, 1, 1).toordinal() + rnd.randrange(900)
+        end = "9999-12-31" if rnd.random() < 0.1 else str(date.fromordinal(start + rnd.randrange(-3, 60)))
+        entries.append(entry(str(i), str(date.fromordinal(start)), end, kind=f"T{i % 7}",
+                             status=rnd.choice(["CONFIRMED", "RETIRED", "BLOCKED"]), authoritative=rnd.random() < 0.8))
+    entries += [entries[3], entries[3]]  # repeated rows count as several sources
+    asked = [(f"T{rnd.choice([0, 0, 0, 1, 2, 3, 4, 5, 6, 9])}", date.fromordinal(date(2019, 12, 1).toordinal() + rnd.randrange(1100)))
+             for _ in range(300)] + [(None, date(2020, 5, 1)), ("T1", None), ("T0", date(9999, 12, 31))]
+    df = spark.createDataFrame([(i, t, d) for i, (t, d) in enumerate(asked)], "id int, t string, d date")
+    registry = make(spark, *entries)
+    got = coverage.resolve_as_of(df, registry, type_col="t", date_col="d", broadcast_rows=bound, strict=False, carry=["status"])
+    found = {r.id: (r.sources, r.resolved_copy_id, r.source_entry.status) for r in got.collect()}
+    gaps = {r.id for r in coverage.coverage_gaps(df, registry, type_col="t", date_col="d", broadcast_rows=bound).collect()}
+    for i, (t, d) in enumerate(asked):
+        hits = [e for e in entries if t == e[0] and d and e[10] and e[9] != "RETIRED" and e[4] <= d <= e[5]]
+        only = hits[0] if len(hits) == 1 else None
+        assert found[i] == (len(hits), only and only[2], only and only[9])
+        assert (i in gaps) == (not hits)
+
+
+def test_timeline_of_windows_that_touch_repeat_and_never_end(spark):
+    r = make(spark, entry("1", "2024-01-01", "2024-01-31"), entry("2", "2024-02-01", "9999-12-31"), entry("3", "2024-03-01", "2024-03-31"))
+    got = coverage.coverage_timeline(r).select(
+        F.col("date_from").cast("string"), F.col("date_to").cast("string"), "sources", "source.copy_id")
+    assert rows(got) == [("2024-01-01", "2024-01-31", 1, "1"), ("2024-02-01", "2024-02-29", 1, "2"),
+                         ("2024-03-01", "2024-03-31", 2, None), ("2024-04-01", "9999-12-31", 1, "2")]
+    assert coverage.coverage_timeline(r.limit(0)).count() == 0
+
+
+def test_days_are_resolved_not_rows_and_no_window_is_exploded(spark, tmp_path):
+    """A type with nearly all rows sends one row per day to the ordered pass; no window becomes months or days."""
+    entry_rows = make(spark, *[entry(str(y), f"{y}-01-01", f"{y}-12-31", kind="HOT") for y in range(1990, 2020)],
+                      entry("open", "2020-01-01", "9999-12-31", kind="HOT"))
+    entry_rows.write.parquet(str(tmp_path / "r"))
+    registry = spark.read.parquet(str(tmp_path / "r"))
+    many = spark.range(20000).select(F.lit("HOT").alias("t"), F.date_add(F.lit(D("2019-12-01")), (F.col("id") % 60).cast("int")).alias("d"))
+    got = coverage.resolve_as_of(many, registry, type_col="t", date_col="d", broadcast_rows=0)
+    assert {(r.resolved_copy_id, r.n) for r in got.groupBy("resolved_copy_id").agg(F.count("*").alias("n")).collect()} == {
+        ("2019", 20000 // 60 * 31 + 20), ("open", 20000 - 20000 // 60 * 31 - 20)}
+    text = plan(got, "simple")
+    assert "explode" not in text and "sequence(" not in text and "NestedLoop" not in text
+    assert text.count("HashAggregate") == 4  # ends of windows and distinct days, each combined before its shuffle
+
+
+def test_identity_and_as_of_meet_the_registry_once(spark):
+    shared = ("OWN", "T_ALL", "TABLE", "SHARED_DISCRIMINATOR", "CUBE_ID", "2")
+    r = make(spark, entry("1", "2024-01-01", "2024-12-31", status="CONFIRMED", physical=SEPARATE),
+             entry("2", "2025-01-01", "2025-12-31", status="CONFIRMED", physical=shared),
+             entry("3", "2026-01-01", "2026-12-31"), entry("4", "2026-06-01", "2026-12-31"))
+    days = ["2024-05-01", "2025-05-01", "2026-05-01", "2026-07-01", "2030-01-01"]
+    df = spark.createDataFrame([(i, "SITE", D(d)) for i, d in enumerate(days)], "id int, t string, d date")
+    for bound in (0, 100):
+        got = identity.with_identity_as_of(df, r, F.col("id"), "SYS", type_col="t", date_col="d", broadcast_rows=bound).orderBy("id").collect()
+        assert [x.unresolved for x in got] == [None, None, "NOT_CONFIRMED", "SEVERAL_SOURCES", "NO_SOURCE"]
+        assert [x.source_copy_id for x in got] == ["1", "2", None, None, None]
+        assert [x.source_discriminator_value for x in got] == ["", "2", None, None, None]
+        assert got[0].source_row_key == "0" and got[1].source_system == "SYS"
+
+
 def test_resolve_plans(spark, small):
     from ledgerspark.plans import inputs as src
 
