@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerspark.llm.bpe import token_digests
 from ledgerspark.llm.chat import chat_digests
 from ledgerspark.llm.common import table
+from ledgerspark.llm.convtrie import prefix_trie
 from ledgerspark.llm.decontaminate import contamination_report
 from ledgerspark.llm.html_text import extract
 from ledgerspark.llm.jaccard import jaccard_components
@@ -15,10 +16,23 @@ from ledgerspark.llm.langid import language_report
 from ledgerspark.llm.lm import likelihood_report
 from ledgerspark.llm.pii import pii_report
 from ledgerspark.llm.topk import search
+from ledgerspark.llm.urlfilter import judge, listed_keys
 from ledgerspark.llm.warc import archive_report
+from ledgerspark.llm.whiten import whiten
 
 EXTRA_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
+#: Verdict, host and path of the rules of op13.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+#: Host and path of the keys that op13 blocks where no rule fits.
+LISTED_URLS = tuple((f"{name}.example.{end}", "") for name in ("cheap-pills", "spam-farm") for end in ("com", "net", "org"))
+
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -62,6 +76,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(turns.unionByName(spark.createDataFrame(EXTRA_CONVERSATION, turns.schema)))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), URL_RULES, listed_keys(spark, LISTED_URLS))
+
+
 LLM_QUERIES = {
     "op1_jaccard": op1_jaccard,
     "op2_likelihood": op2_likelihood,
@@ -73,6 +99,9 @@ LLM_QUERIES = {
     "op8_topk": op8_topk,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,
+    "op11_whiten": op11_whiten,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_urls": op13_urls,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -82,6 +111,12 @@ _SHA1_BITS = (
 )
 _ESCAPED = "replace(replace(replace({}, chr(92), chr(92) || chr(92)), '###', chr(92) || '###'), '</turn>', chr(92) || '</turn>')"
 
+_WORDS = r"cast(len(list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')) as bigint)"
+_CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, length({0}) + 1), lambda i: cast(ascii({0}[i]) as bigint))), "
+    "lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"
+)
+
 #: Expected results in SQL, for the operators that SQL can express. The others are tested against brute force.
 LLM_ORACLES: dict[str, str] = {
     "op1_jaccard": rf"""
@@ -144,4 +179,44 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + {len('### ' + ': ' + ' </turn>') + 1}) as bigint) as formatted_chars
 from turns group by conv_id""",
+    "op12_prefix_trie": f"""
+with own as materialized (
+  select conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) order by turn nulls first) as turns,
+         {_CRC32.format("cast(conv_id as varchar)")} % 4 as h
+  from conversations where conv_id is not null group by conv_id),
+rebuilt as materialized (
+  select o.conv_id, coalesce(b.turns[1:o.h], []) || o.turns[o.h + 1:] as path
+  from own o left join own b on b.conv_id = o.conv_id - o.conv_id % 20),
+prefixes as materialized (select conv_id, unnest(range(0, len(path) + 1)) as depth, path from rebuilt),
+members as materialized (select conv_id, depth, path[1:depth] as node, len(path) = depth as ends from prefixes),
+nodes as materialized (
+  select node, depth, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256,
+         case when depth = 0 then 0 else (count(*) - 1) * {_WORDS.format("any_value(node[depth].t)")} end as saved
+  from members group by node, depth),
+linked as materialized (
+  select n.*, p.conv_id as parent_conv_id from nodes n left join nodes p on p.depth = n.depth - 1 and p.node = n.node[1:n.depth - 1]),
+family as materialized (select parent_conv_id as conv_id, depth - 1 as depth, count(*) as n_children from linked where depth > 0 group by 1, 2),
+above as (  -- each node with all nodes over it
+  select n.conv_id as low, n.depth as low_depth, m.depth, m.node from linked n, lateral (select unnest(range(0, n.depth + 1)) as depth) d
+  join nodes m on m.depth = d.depth and m.node = n.node[1:d.depth]),
+sums as (
+  select a.node, a.depth, count(*) filter (f.n_children is null) as n_leaves, sum(l.saved) as saved_tokens
+  from above a join linked l on l.conv_id = a.low and l.depth = a.low_depth
+  left join family f on f.conv_id = l.conv_id and f.depth = l.depth group by 1, 2)
+select l.conv_id, l.depth, l.parent_conv_id, l.n_convs, coalesce(f.n_children, 0) as n_children, s.n_leaves,
+       cast(s.saved_tokens as bigint) as saved_tokens, l.ends_sha256
+from linked l join sums s on s.node = l.node and s.depth = l.depth left join family f on f.conv_id = l.conv_id and f.depth = l.depth""",
+    "op13_urls": rf"""
+with cut as (select page_id, case when strpos(url, '://') > 0 then url[strpos(url, '://') + 3:] else '' end as rest from pages),
+host as (select page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) as host from cut),
+urls as (select page_id, {_LOWER.format("host")} as host, regexp_extract(rest[length(host) + 1:], '^([^?#]*)', 1) as path from host),
+rules(verdict, h, p) as (values {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}),
+listed(h) as (values {", ".join(f"('{h}')" for h, _ in LISTED_URLS)}),
+fits as (select u.page_id, r.h || r.p as rule, r.verdict from urls u join rules r
+         on (u.host = r.h or ends_with(u.host, '.' || r.h)) and starts_with(u.path, r.p)),
+best as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from fits group by 1)
+select u.page_id, u.host, u.path, b.rule,
+       coalesce(b.verdict, case when exists (select 1 from listed l where u.host = l.h or ends_with(u.host, '.' || l.h)) then 'block' else 'allow' end) as verdict
+from urls u left join best b on b.page_id = u.page_id""",
 }

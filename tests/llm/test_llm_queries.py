@@ -20,7 +20,7 @@ def con(small):
 
 def test_one_query_for_each_operator():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in contract.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in contract.queries()
     assert set(LLM_ORACLES) <= set(LLM_QUERIES) <= set(contract.queries())
 
 
