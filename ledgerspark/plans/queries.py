@@ -113,12 +113,19 @@ def sample_ordered(spark, sf):
 @register
 def rank_keys_lineitem(spark, sf):
     ranked = keys.rank_keys(
-        src.derive(spark, sf, src.KEY_TEST), src.KEY_CANDIDATES, discriminator_column="l_suppkey"
+        src.derive(spark, sf, src.KEY_TEST), src.KEY_CANDIDATES, discriminator_column="l_suppkey", prune=True
     )
     lists = ("columns", "sources", "nullable_columns", "reasons")
     return ranked.withColumns({c: F.concat_ws(";", c) for c in lists})
 
 
+@register
+def rank_keys_labels(spark, sf):
+    """Labels alone: sets that a sketch rules out are not counted."""
+    ranked = keys.rank_keys(src.derive(spark, sf, src.KEY_TEST), src.KEY_CANDIDATES, count_repeats=False)
+    return ranked.select(F.concat_ws(";", "columns").alias("columns"), "rows", "null_rows", "recommendation", "overall")
+
+
 # ---- registry -------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import profile as pr
+from ledgerspark.operators import keys
 from ledgerspark.operators.keys import rank_keys
 from ledgerspark.plans import inputs as src
 from ledgerspark.plans.discovery import discover_source
@@ -139,3 +140,46 @@ def test_key_ranking_is_one_scan(spark, small):
     lineitem = src.table(spark, small, "lineitem")
     text = plan(rank_keys(lineitem, {"a": ["l_orderkey", "l_linenumber"], "b": ["l_partkey"], "c": ["l_suppkey", "l_orderkey"]}))
     assert text.count("Scan parquet") == 2 and "Expand" in text
+
+
+def spied_sets(monkeypatch):
+    """The sets of columns that are expanded, in the order of the jobs."""
+    waves, exact = [], keys._surplus_rows
+
+    def spy(df, sets):
+        waves.append(sorted(tuple(sorted(s)) for s in sets))
+        return exact(df, sets)
+
+    monkeypatch.setattr(keys, "_surplus_rows", spy)
+    return waves
+
+
+def test_pruned_key_ranking_gives_the_same_rows_from_fewer_sets(spark, monkeypatch):
+    waves = spied_sets(monkeypatch)
+    df = spark.range(5000).selectExpr("id as a", "id % 50 as b", "if(id % 3 = 0, null, id) as c", "id div 2 as d", "id % 7 as e", "cast(null as int) as f")
+    candidates = {"a": ["a"], "ab": ["a", "b"], "ba": ["b", "a"], "abc": ["a", "b", "c"], "b": ["b"], "be": ["b", "e"], "c": ["c"], "cd": ["d", "c"],
+                  "ce": ["c", "e", "b"], "d": ["d"], "de": ["d", "e"], "f": ["f"], "af": ["a", "f"]}
+    whole = rows(rank_keys(df, candidates, discriminator_column="b"))
+    assert rows(rank_keys(df, candidates, discriminator_column="b", prune=True)) == whole
+    # (a, b), (a, b, c), (c, d) and (b, c, e) contain a unique set; of (f) and (a, f) no row is free of NULL
+    assert waves == [[("a",), ("b",), ("b", "e"), ("c",), ("d",), ("d", "e")]]
+    waves.clear()
+    labels = rank_keys(df, candidates, discriminator_column="b", count_repeats=False)
+    position = labels.columns.index("recommendation")
+    assert {(tuple(r[0]), r[position]) for r in labels.collect()} == {(tuple(r[0]), r[position]) for r in whole}
+    assert waves == [[("a",), ("c",), ("d", "e")]]  # the sketch rules out b, (b, e) and d
+    assert all(r.surplus_rows is None and "rows repeat a key" in r.reasons for r in labels.filter("columns[0] = 'd' and size(columns) = 1").collect())
+
+
+def test_a_larger_set_is_counted_after_a_smaller_one_that_only_looks_unique(spark, monkeypatch):
+    waves = spied_sets(monkeypatch)
+    df = spark.range(3000).selectExpr("if(id = 7, 8, id) as a", "id % 2 as b", "id as c")
+    got = {tuple(r["columns"]): r for r in rank_keys(df, {"a": ["a"], "ab": ["a", "b"], "abc": ["a", "b", "c"]}, prune=True).collect()}
+    assert waves == [[("a",)], [("a", "b")]]
+    assert got["a",].surplus_rows == 1 and got["a", "b"].recommendation == "STRONG_CANDIDATE" == got["a", "b", "c"].recommendation
+
+
+def test_pruned_ranking_of_nothing(spark):
+    df = spark.createDataFrame([], "a int, b int")
+    got = rank_keys(df, {"a": ["a"], "ab": ["a", "b"]}, prune=True).collect()
+    assert {r.recommendation for r in got} == {"NO_KEY"} and got[0].reasons == ["no rows to test"]
