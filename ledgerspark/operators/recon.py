@@ -13,8 +13,13 @@ from ledgerspark.functions.money import total_of, total_type, variance
 ON = ["check_name", "scope"]
 
 
-def recon_totals(rows: DataFrame, scopes: Mapping[str, Column], amounts: Sequence[str] = ("debit", "credit")) -> DataFrame:
-    """Totals and row count for the whole company and for each value of each scope.
+def recon_totals(
+    rows: DataFrame, scopes: Mapping[str, Column], amounts: Sequence[str] = ("debit", "credit"), *, apart: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Totals and row count for the whole company and for each value of each scope, and of each scope in ``apart``.
+
+    Scopes with very many values (vendors) belong in ``apart``: each is summed by itself, since together with the others they would
+    leave nearly as many groups as rows.
 
     The ledger is first summed by all scopes together, which its map side does almost completely;
     the grouping sets then expand only that small table. Amounts keep their own scale. A scope is named
@@ -37,7 +42,10 @@ def recon_totals(rows: DataFrame, scopes: Mapping[str, Column], amounts: Sequenc
         F.lit("company"),
     )
     per_measure = F.array(*[F.struct(F.lit(m).alias("check_name"), F.col(m).alias("value")) for m in measures])
-    return totals.select(scope.alias("scope"), F.inline(per_measure)).select("check_name", "scope", "value")
+    found = totals.select(scope.alias("scope"), F.inline(per_measure)).select("check_name", "scope", "value")
+    for name, value in (apart or {}).items():
+        found = found.unionByName(recon_totals(rows, {name: value}, amounts).filter("scope <> 'company'").select("check_name", "scope", F.col("value").cast(kind).alias("value")))
+    return found
 
 
 def _once(totals: DataFrame, value: str, what: str) -> DataFrame:

@@ -172,6 +172,27 @@ def _totals(rows: str, scopes: dict[str, str]) -> str:
 
 
 SCOPES = {"site": "site_code", "month": "cast(date_trunc('month', entry_date) as date)", "account": "entry_glcode"}
+VENDOR = {"vendor": "entry_slcode"}
+
+
+def _settled(rows: str, name: str = "settled") -> str:
+    """Row by row: each debit keeps what the vendor's credits leave of it, oldest first."""
+    return f"""
+{name} as (
+  select entry_slcode, entry_date as day, debit,
+         greatest(0, least(debit, sum(debit) over (partition by entry_slcode order by entry_date, source_row_key)
+                                  - sum(credit) over (partition by entry_slcode))) as open,
+         sum(credit) over (partition by entry_slcode) as paid
+  from {rows})"""
+
+
+OUTSTANDING = f"""
+select 'outstanding' as check_name, 'company' as scope, cast(sum(open) as decimal(24,2)) as value from settled
+union all select 'outstanding', 'vendor:' || entry_slcode, cast(sum(open) as decimal(24,2)) from settled group by entry_slcode
+union all select 'outstanding', 'age:' || {_bucket(f"date_diff('day', day, {AS_OF})")}, cast(sum(open) as decimal(24,2)) from settled group by 2
+union all select 'advances', 'vendor:' || entry_slcode, cast(greatest(max(paid) - sum(debit), 0) as decimal(24,2)) from settled group by entry_slcode
+union all select 'advances', 'company', cast(sum(a) as decimal(24,2))
+          from (select greatest(max(paid) - sum(debit), 0) as a from settled group by entry_slcode) x"""
 RECONCILED = f"""
 {PROMOTION},
 mart_rows as (select f.source_row_key, b.entry_date, b.entry_glcode, f.site_code, f.credit,
@@ -462,10 +483,31 @@ with {PROMOTION}
 select cast(sum(debit) as decimal(24,2)) as debit, cast(sum(credit) as decimal(24,2)) as credit,
        cast(0 as decimal(24,2)) as tax from f2 where not deleted""",
     "recon_totals": f"with {LEDGER} {_totals('ledger', SCOPES)}",
+    "recon_totals_vendors": f"with {LEDGER} {_totals('ledger', SCOPES)} union all select * from ({_totals('ledger', VENDOR)}) v where scope <> 'company'",
     "recon_runs": f"""
-with {LEDGER}, t as ({_totals('ledger', SCOPES)})
-select scope, check_name, value as source_value, value as mart_value, cast(null as decimal(24,2)) as kpi_value,
-       '' as explanation, true as passed from t""",
+with {PROMOTION}, s as ({_totals('ledger', SCOPES)}), m as ({_totals('b2', SCOPES)}), runs as (
+  select date '2001-07-01' as run_at, coalesce(s.scope, m.scope) as scope, coalesce(s.check_name, m.check_name) as check_name,
+         coalesce(s.value, 0) as source_value, coalesce(m.value, 0) as mart_value
+  from s full outer join m on m.scope = s.scope and m.check_name = s.check_name
+  union all select date '2001-08-01', scope, check_name, value, value from m)
+select *, cast(null as decimal(24,2)) as kpi_value, '' as explanation, source_value = mart_value as passed from runs""",
+    "open_items": f"""
+with {LEDGER}, {_settled('ledger')}
+select entry_slcode, {_bucket(f"date_diff('day', day, {AS_OF})")} as age_bucket, cast(sum(open) as decimal(24,2)) as open
+from settled group by 1, 2 having sum(open) <> 0""",
+    "outstanding_totals": f"with {LEDGER}, {_settled('ledger')} {OUTSTANDING}",
+    "recon_creditors": f"""
+with {PROMOTION}, live as (
+  select f.source_row_key, f.site_code, f.debit, f.credit, l.entry_date, l.entry_glcode, l.entry_slcode
+  from f2 f join ledger l on l.source_row_key = f.source_row_key where not f.deleted),
+{_settled('b1')}, s as ({_totals('b1', SCOPES)} union all select * from ({_totals('b1', VENDOR)}) v where scope <> 'company' union all {OUTSTANDING}),
+{_settled('live', 'settled_live')}, m as ({_totals('live', SCOPES)} union all select * from ({_totals('live', VENDOR)}) v where scope <> 'company'
+  union all {OUTSTANDING.replace('settled', 'settled_live')})
+select check_name, scope, cast(source as decimal(24,2)) as source, cast(mart as decimal(24,2)) as mart,
+       cast(mart - source as decimal(24,2)) as variance_mart, case when mart = source then 'PASS' else 'FAIL' end as status
+from (select coalesce(s.check_name, m.check_name) as check_name, coalesce(s.scope, m.scope) as scope, coalesce(s.value, 0) as source,
+             coalesce(m.value, 0) as mart
+      from s full outer join m on m.scope = s.scope and m.check_name = s.check_name) j""",
     "registry_from_csv": f"""
 with {REGISTRY} select source_type, logical_cube_name, copy_id, financial_year, date_from, date_to, is_current, is_auto_refresh,
                        status, authoritative, physical_hint from registry""",

@@ -17,11 +17,11 @@ from ledgerspark.functions.calendar import fiscal_year
 from ledgerspark.functions.hashing import row_hash
 from ledgerspark.functions.money import money, total
 from ledgerspark.functions.text import redact_text, trim_char
-from ledgerspark.operators import ageing, coverage, evidence, identity, keys, privacy, profile, promotion, recon
+from ledgerspark.operators import ageing, coverage, evidence, identity, keys, privacy, profile, promotion, recon, settlement
 from ledgerspark.operators import registry as reg
 from ledgerspark.plans import inputs as src
 from ledgerspark.plans.ingest import fact_schema, ingest_extract
-from ledgerspark.plans.reconcile import ledger_scopes, reconcile
+from ledgerspark.plans.reconcile import ledger_scopes, reconcile, vendor_scope
 from ledgerspark.session import durable, shared_dir
 from ledgerspark.sources.control_files import read_registry
 from ledgerspark.sources.ledgers import files_under, read_source
@@ -515,13 +515,45 @@ def recon_totals(spark, sf):
     return recon.recon_totals(src.ledger(spark, sf), ledger_scopes())
 
 
+@register
+def recon_totals_vendors(spark, sf):
+    """Totals by site, month and account, and by vendor."""
+    return recon.recon_totals(src.ledger(spark, sf), ledger_scopes(), apart=vendor_scope())
+
+
 @register
 def recon_runs(spark, sf):
-    """The ledger reconciled with itself, appended to a run table and read back."""
+    """Two runs stored: the ledger against its second batch, sent twice, and the second batch against itself."""
     path = f"{shared_dir(spark)}/recon-runs-{uuid.uuid4().hex}"
-    totals = durable(recon.recon_totals(src.ledger(spark, sf), ledger_scopes()), "totals")
-    append_recon_run(recon.recon_compare(totals, totals), path, src.BATCH_TIMES["b1"])
-    return read_recon_runs(spark, path).drop("run_at")
+    scopes = ledger_scopes()
+    source = durable(recon.recon_totals(src.ledger(spark, sf), scopes), "totals")
+    mart = durable(recon.recon_totals(src.ledger_batch(spark, sf, "b2"), scopes), "totals")
+    for _ in range(2):
+        append_recon_run(recon.recon_compare(source, mart), path, src.BATCH_TIMES["b1"])
+    append_recon_run(recon.recon_compare(mart, mart), path, src.BATCH_TIMES["b2"])
+    return read_recon_runs(spark, path).withColumn("run_at", F.col("run_at").cast("date"))
+
+
+@register
+def open_items(spark, sf):
+    """What is open of each vendor's debits after its credits have settled the oldest ones, by ageing bucket."""
+    settled = settlement.settle(src.ledger(spark, sf), by=["entry_slcode"], day="entry_date")
+    return settlement.open_items(settled, src.AS_OF, by=["entry_slcode"])
+
+
+@register
+def outstanding_totals(spark, sf):
+    """Outstanding and advances of the company, of every vendor and by age."""
+    return settlement.outstanding_totals(src.ledger(spark, sf), src.AS_OF, party="entry_slcode", day="entry_date")
+
+
+@register
+def recon_creditors(spark, sf):
+    """All required checks of batch 1 against the facts of batch 2: totals, vendors, outstanding and advances."""
+    needed = ("site_code", "entry_glcode", "entry_slcode", "entry_date", "debit", "credit")
+    source = durable(src.ledger_batch(spark, sf, "b1").select(*needed), "source")
+    facts = durable(promotion.facts_after(_promoted(spark, sf, "b2", needed)["b2"]), "facts")
+    return recon.recon_report(reconcile(source, facts, vendors=True, as_of=src.AS_OF)).drop("kpi", "explanation", "variance_kpi")
 
 
 def _reconciled(spark, sf) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -271,13 +272,23 @@ def read_fact_version(spark: SparkSession, base: str, number: int | None = None,
     return FactFiles(base, schema).read(spark, number)
 
 
-def append_recon_run(results: DataFrame, path: str, run_at: datetime) -> None:
-    """Append reconciliation results in the fixed schema of the run table. A total that does not fit it exactly fails the job."""
+def append_recon_run(results: DataFrame, path: str, run_at: datetime, run_id: str | None = None) -> None:
+    """Add reconciliation results to the run table in its fixed schema. A total that does not fit it exactly fails the job.
+
+    A run is one folder, named by ``run_id`` (its time, if none is given). It is written aside and renamed into place as a whole, so a
+    reader sees all of it or nothing. A run that is done again, after a failure or with other results, becomes the next attempt of
+    the same run: readers go from the old one to the new one, and never see both or neither.
+    """
+    spark = results.sparkSession
+    run_id = run_id or run_at.strftime("%Y%m%dT%H%M%S%f")
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", run_id):
+        raise ValueError(f"not a run id: {run_id!r}")
 
     def exact(name: str) -> Column:
         value, stored = F.col(name), F.col(name).cast(TOTAL)
         return F.when(value.isNull() | (value == stored), stored).otherwise(F.raise_error(F.lit(f"{name} has more than two decimals")))
 
+    aside = f"{path}/_writing-{uuid.uuid4().hex}"
     results.select(
         F.lit(run_at).cast("timestamp").alias("run_at"),
         "scope",
@@ -287,11 +298,30 @@ def append_recon_run(results: DataFrame, path: str, run_at: datetime) -> None:
         exact("kpi").alias("kpi_value"),
         "explanation",
         "passed",
-    ).write.mode("append").parquet(path)
-
-
-def read_recon_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RECON_RUN).parquet(path)
+    ).write.parquet(aside)
+    number = _attempts(spark, path).get(run_id, 0) + 1
+    while not rename_new(spark, aside, f"{path}/{run_id}@{number}"):
+        number += 1  # the same run in another job
+    for old in range(1, number):
+        remove(spark, f"{path}/{run_id}@{old}")
+
+
+def _attempts(spark: SparkSession, path: str) -> dict[str, int]:
+    """Last attempt of each stored run; folders are named ``run@attempt``."""
+    found: dict[str, int] = {}
+    for name in names_in(spark, path):
+        run_id, _, number = name.rpartition("@")
+        if number.isdigit() and not name.startswith("_"):
+            found[run_id] = max(found.get(run_id, 0), int(number))
+    return found
+
+
+def read_recon_runs(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """All runs, or one of them: the last attempt of each. What an unfinished job wrote is not read."""
+    runs = {k: n for k, n in _attempts(spark, path).items() if run_id in (None, k)}
+    if not runs:
+        return spark.createDataFrame([], schemas.RECON_RUN)
+    return spark.read.schema(schemas.RECON_RUN).parquet(*[f"{path}/{k}@{n}" for k, n in sorted(runs.items())])
 
 
 def write_evidence(rows: DataFrame, path: str) -> None:

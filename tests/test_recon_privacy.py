@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerspark.fixed_values import AGE_BUCKETS
-from ledgerspark.operators import ageing, evidence, privacy, recon
+from ledgerspark.operators import ageing, evidence, privacy, recon, settlement
 from ledgerspark.plans import inputs as src
 from ledgerspark.plans.reconcile import run_reconciliation
 from ledgerspark.sources import control_files, ledgers, mart
@@ -106,6 +106,94 @@ def test_run_is_appended(spark, tmp_path):
     assert set(runs.columns) == {"run_at", "scope", "check_name", "source_value", "mart_value", "kpi_value", "explanation", "passed"}
 
 
+def some_results(spark, value):
+    totals = spark.createDataFrame([("debit", "company", D(value))], "check_name string, scope string, value decimal(24,2)")
+    return recon.recon_compare(totals, totals)
+
+
+def test_a_repeated_run_is_stored_once_and_replaces_itself(spark, tmp_path, monkeypatch):
+    path, at = str(tmp_path / "runs"), datetime(2025, 1, 1)
+    assert mart.read_recon_runs(spark, path).count() == 0
+    for value in (1, 1, 2):
+        mart.append_recon_run(some_results(spark, value), path, at)
+    mart.append_recon_run(some_results(spark, 5), path, at, run_id="evening")
+    assert sorted(r.source_value for r in mart.read_recon_runs(spark, path).collect()) == [D(2), D(5)]
+    assert mart.read_recon_runs(spark, path, "evening").count() == 1 and mart.read_recon_runs(spark, path, "morning").count() == 0
+
+    def die(*args):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:  # a death before the rename changes nothing
+        m.setattr(mart, "rename_new", die)
+        with pytest.raises(OSError):
+            mart.append_recon_run(some_results(spark, 9), path, at)
+    assert sorted(r.source_value for r in mart.read_recon_runs(spark, path).collect()) == [D(2), D(5)]
+    for bad in ("../x", "", "a@1", "_a"):
+        with pytest.raises(ValueError):
+            mart.append_recon_run(some_results(spark, 1), path, at, run_id=bad or "@")
+
+
+# ---- settlement ----
+
+
+def fifo(items, payments):
+    """One charge after the other, oldest first, by hand."""
+    left, out = sum(payments), []
+    for day, amount in sorted(items, key=lambda i: (i[0] is None, i[0] or date.min)):
+        paid = min(left, amount)
+        left -= paid
+        out.append((day, amount - paid))
+    return out, left
+
+
+def test_settlement_against_a_hand_made_fifo(spark):
+    import random
+
+    rnd = random.Random(8)
+    rows_, by = [], {}
+    for v in ("V1", "V2", "V3", "V4", None):
+        items, payments = [], []
+        for _ in range(60):
+            day = date(2024, 1, 1 + rnd.randrange(28)) if rnd.random() < 0.95 else None
+            charge, payment = (D(rnd.randrange(-500, 4000)) / 100, D(0)) if rnd.random() < 0.6 else (D(0), D(rnd.randrange(-300, 6000)) / 100)
+            rows_.append((v, day, charge, payment))
+            up, down = max(charge, D(0)) + max(-payment, D(0)), max(payment, D(0)) + max(-charge, D(0))
+            items.append((day, up))
+            payments.append(down)
+        by[v] = fifo(items, payments)
+    df = spark.createDataFrame(rows_, "vendor string, day date, debit decimal(20,2), credit decimal(20,2)")
+    settled = settlement.settle(df, by=["vendor"], day="day")
+    got = {(r.vendor, r.day): r.open for r in settled.collect()}
+    ahead = {r.vendor: r.advance for r in settlement.advances(settled, by=["vendor"]).collect()}
+    for v, (items, left) in by.items():
+        expected = {}
+        for day, rest in items:
+            expected[v, day] = expected.get((v, day), D(0)) + rest
+        assert {k: n for k, n in got.items() if k[0] == v} == expected and ahead[v] == left
+    totals = {(r.check_name, r.scope): r.value for r in settlement.outstanding_totals(df, date(2024, 2, 1), party="vendor", day="day").collect()}
+    balance = sum(c - p for _, _, c, p in rows_)
+    assert totals["outstanding", "company"] - totals["advances", "company"] == balance
+    assert totals["advances", "vendor~"] == by[None][1] and sum(n for (c, s), n in totals.items() if s.startswith("age")) == totals["outstanding", "company"]
+
+
+def test_settlement_sorts_days_not_rows(spark):
+    df = spark.range(1000).selectExpr("'HOT' as vendor", "date_add(date'2024-01-01', cast(id % 5 as int)) as day",
+                                      "cast(1 as decimal(20,2)) as debit", "cast(0.25 as decimal(20,2)) as credit")
+    settled = settlement.settle(df, by=["vendor"], day="day")
+    assert settled.count() == 5 and [r.open for r in settled.orderBy("day").collect()] == [D(0), D(150), D(200), D(200), D(200)]
+    text = plan(settled, "simple")
+    below = text.split("Window [")[-1]
+    assert "HashAggregate" in below and settled.schema["open"].dataType.simpleString() == "decimal(24,2)"
+
+
+def test_vendors_are_summed_apart(spark):
+    df = spark.createDataFrame([("S1", "V1", D(1)), ("S1", "V2", D(2)), ("S2", None, D(4))], "site string, vendor string, debit decimal(20,2)")
+    got = {(r.check_name, r.scope): r.value for r in recon.recon_totals(df, {"site": F.col("site")}, ("debit",), apart={"vendor": F.col("vendor")}).collect()}
+    assert got == {("debit", "company"): D(7), ("debit", "site:S1"): D(3), ("debit", "site:S2"): D(4), ("debit", "vendor:V1"): D(1),
+                   ("debit", "vendor:V2"): D(2), ("debit", "vendor~"): D(4), ("rows", "company"): 3, ("rows", "site:S1"): 2,
+                   ("rows", "site:S2"): 1, ("rows", "vendor:V1"): 1, ("rows", "vendor:V2"): 1, ("rows", "vendor~"): 1}
+
+
 # ---- evidence ----
 
 LIST = [{"CUBE_ID": "61", "TBL": "T_FIN_61", "NM": " site book "}, {"CUBE_ID": "48", "TBL": "CUBE_POS", "NM": "till_b"},
