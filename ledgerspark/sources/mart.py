@@ -324,6 +324,13 @@ def read_recon_runs(spark: SparkSession, path: str, run_id: str | None = None) -
     return spark.read.schema(schemas.RECON_RUN).parquet(*[f"{path}/{k}@{n}" for k, n in sorted(runs.items())])
 
 
-def write_evidence(rows: DataFrame, path: str) -> None:
-    """Captured rows or a profile as JSON lines, NULL fields kept."""
-    rows.write.option("ignoreNullFields", "false").json(path)
+def write_evidence(rows: DataFrame, path: str, *, order_by: Iterable[str] = (), discovered_at: datetime | None = None) -> None:
+    """Captured rows or a profile as JSON lines, NULL fields kept.
+
+    ``order_by`` sorts the rows over all files, so that ``read_evidence_lines`` gives them the index of their rank. ``discovered_at`` is
+    written into each line.
+    """
+    if discovered_at is not None:
+        rows = rows.withColumn("discovered_at", F.lit(discovered_at.isoformat()))
+    order_by = list(order_by)
+    (rows.orderBy(*order_by) if order_by else rows).write.option("ignoreNullFields", "false").json(path)

@@ -243,6 +243,46 @@ def test_evidence_sink_keeps_nulls(spark, tmp_path):
     assert json.loads(line) == {"CUBE_ID": "1", "NM": None}
 
 
+@pytest.mark.parametrize("size", ["128m", "200b"])
+def test_evidence_lines_keep_their_index_however_they_are_split(spark, tmp_path, size):
+    path = tmp_path / "e"
+    mart.write_evidence(spark.range(0, 300, 1, 3).selectExpr("id", "concat('name ', id) as name", "cast(null as string) as note").repartition(3),
+                        str(path), order_by=["id"], discovered_at=datetime(2026, 2, 11))
+    files = sorted(path.glob("part-*"))
+    extra = path / "part-99999.json"
+    extra.write_text('{"id": "300", "name": "last", "discovered_at": null}\n\n  \nnot json\n["list"]\n{"id": "303"}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = control_files.read_evidence_lines(spark, str(path), ["id", "name", "note"])
+        got = {r.row_index: r for r in lines.collect()}
+        tasks = spark.read.text(str(path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert files and (size == "128m" or tasks > 30)
+    assert sorted(got) == list(range(304)) and all(got[i].id == str(i) for i in [*range(301), 303])
+    assert got[7].name == "name 7" and got[7].note is None and got[7].discovered_at == "2026-02-11T00:00:00"
+    assert got[301].corrupt == "not json" and got[301].id is None and got[302].corrupt == '["list"]' and got[0].corrupt is None
+
+
+@pytest.mark.parametrize("content", [b"a\nb\n", b"a\nb", b"\n", b"\n\n", b"x", b"\xef\xbb\xbfa\nb\n", b"\xef\xbb\xbfa", b"a\r\nb\r\n\r",
+                                     bytes(range(256)) * 40, b"\xff\xfe\n\x00" * 500])
+def test_files_hashed_in_pieces_have_the_digest_of_their_bytes(spark, tmp_path, content):
+    (tmp_path / "one.bin").write_bytes(content)
+    (tmp_path / "two.bin").write_bytes(content * 3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    try:
+        got = control_files.artifact_digests(spark, str(tmp_path), whole_bytes=0).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.path.split("/")[-1]: (r.artifact_sha256, r.length) for r in got} == {
+        name: (hashlib.sha256(data).hexdigest(), len(data)) for name, data in (("one.bin", content), ("two.bin", content * 3))}
+    mixed = control_files.artifact_digests(spark, str(tmp_path), whole_bytes=len(content))
+    assert sorted((r.path.split("/")[-1], r.artifact_sha256, r.length) for r in mixed.collect()) == sorted(
+        (r.path.split("/")[-1], r.artifact_sha256, r.length) for r in got)
+
+
 # ---- privacy ----
 
 

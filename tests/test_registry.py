@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from ledgerspark import schemas
 from ledgerspark.operators import coverage, identity, registry as reg
-from ledgerspark.sources.control_files import read_overlay, read_registry, read_registry_additions
+from ledgerspark.sources.control_files import (
+    read_additions_lines,
+    read_overlay,
+    read_overlay_lines,
+    read_registry,
+    read_registry_additions,
+)
 
 D = date.fromisoformat
 SEPARATE = ("OWN", "T_1", "TABLE", "SEPARATE_OBJECT", None, None)
@@ -285,3 +291,29 @@ def test_combined_registry_and_refused_addition(spark):
     with pytest.raises(reg.RegistryError):
         reg.add_entries_checked(seed, bad)
     assert [r.registry_key for r in reg.refused_entries(seed, bad).collect()] == ["SITE|C|2"]
+
+
+def test_additions_as_lines_route_faults_aside(spark, tmp_path):
+    p = tmp_path / "added.jsonl"
+    fine = {"source_type": "SITE", "logical_cube_name": "C", "copy_id": "9", "date_from": "2024-04-01", "date_to": "2025-03-31", "status": "CONFIRMED"}
+    lines = [json.dumps(fine), "{broken", json.dumps({**fine, "copy_id": None}), json.dumps({**fine, "date_to": "2025-02-31"}), "",
+             json.dumps({**fine, "copy_id": "10", "is_current": True, "financial_year": "FY24-25"})]
+    p.write_text("\n".join(lines))
+    entries, faults = read_additions_lines(spark, str(p))
+    got = {r.copy_id: r for r in entries.collect()}
+    assert sorted(got) == ["10", "9"] and got["10"].is_current and not got["9"].is_current and entries.schema.names == schemas.REGISTRY.names
+    assert {(r.status, r.authoritative) for r in got.values()} == {("UNVERIFIED", True)} and got["9"].date_to == D("2025-03-31")
+    assert {(r.row_index, r.violation) for r in faults.collect()} == {(1, "CORRUPT"), (2, "MISSING:copy_id"), (3, "BAD_DATE:date_to")}
+
+
+def test_overlay_as_lines_equals_the_single_object(spark, tmp_path):
+    physical = {"owner": "OWN", "object_name": "T", "object_type": "TABLE", "access_mode": "SEPARATE_OBJECT"}
+    records = {"A|C|1": {"status": "CONFIRMED", "physical": physical}, "A|C|2": {"last_refresh_at": "x", "evidence": {"row": 3}}}
+    (tmp_path / "o.json").write_text(json.dumps(records))
+    more = ["nonsense", json.dumps({"status": "CONFIRMED"}), json.dumps({"registry_key": "A|C|3"}), json.dumps({"registry_key": "A|C|3", "status": "RETIRED"})]
+    (tmp_path / "o.jsonl").write_text("\n".join([json.dumps({"registry_key": k, **v}) for k, v in records.items()] + more))
+    overlay, faults = read_overlay_lines(spark, str(tmp_path / "o.jsonl"))
+    assert rows(overlay.select("registry_key", "status", "physical", "last_refresh_at", "evidence")) == rows(
+        read_overlay(spark, str(tmp_path / "o.json")).select("registry_key", "status", "physical", "last_refresh_at", "evidence"))
+    assert {(r.row_index, r.violation) for r in faults.collect()} == {
+        (2, "CORRUPT"), (3, "MISSING:registry_key"), (4, "REPEATED_KEY"), (5, "REPEATED_KEY")}
