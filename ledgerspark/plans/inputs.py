@@ -120,6 +120,17 @@ select concat_ws('|', source_type, logical_cube_name, copy_id), 'RETIRED', null,
 from ({registry}) r where month(date_to) = 5
 """
 
+# Lines of added entries, one per supplier and year; some are cut off, lack a copy, or have a day that does not exist.
+ADDED_LINES = """
+select case when k % 13 = 5 then substr(line, 1, 40) else line end as line
+from (select k, concat(chr(123), '"source_type":"', source_type, '","logical_cube_name":"', logical_cube_name, '",',
+                       case when k % 13 = 7 then '' else concat('"copy_id":"', copy_id, '",') end,
+                       '"date_from":"', cast(date_from as string), '","date_to":"',
+                       case when k % 13 = 9 then '2001-02-30' else cast(date_to as string) end,
+                       '","is_current":', case when is_current then 'true' else 'false' end, ',"status":"CONFIRMED"', chr(125)) as line
+      from (select *, cast(substr(source_type, 5) as int) as k from ({registry}) r) x) y
+"""
+
 CLAIMS = """
 select concat('SUP|', cast(s_suppkey as string)) as registry_key,
        case when s_suppkey % 3 = 2 then 'no such copy'

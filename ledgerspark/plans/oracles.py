@@ -266,6 +266,27 @@ def _deep() -> str:
     )
 
 
+def _matched(rows: str) -> str:
+    return f"""
+with claims as ({_plain(src.CLAIMS)}), evidence as ({rows}), judged as (
+  select c.registry_key, c.evidence_row_index, e.row_index is not null as row_exists,
+         coalesce(upper(trim(c.copy_id)) in (upper(name), nation, upper(segment), object), false) as has_copy,
+         coalesce(upper(c.object_name) in (upper(name), nation, upper(segment), object)
+               or upper(c.owner || '.' || c.object_name) in (upper(name), nation, upper(segment), object), false) as has_object,
+         coalesce(c.discriminator_value is null
+               or upper(trim(c.discriminator_value)) in (upper(name), nation, upper(segment), object), false)
+           as has_discriminator
+  from claims c left join evidence e on e.row_index = c.evidence_row_index)
+select *, case when not row_exists or not (has_copy or has_object) then 'REJECTED'
+               when has_copy and has_object and has_discriminator then 'MACHINE_VERIFIED'
+               else 'OPERATOR_CONFIRMED' end as verification,
+       concat_ws('; ', case when not has_copy then 'copy id not found as a cell value in evidence row' end,
+                 case when not has_object then 'object name not found as a cell value in evidence row' end,
+                 case when not has_discriminator then 'discriminator value not found as a cell value in evidence row' end)
+         as notes
+from judged"""
+
+
 ORACLES: dict[str, str] = {
     "age_summary": f"""
 with {LEDGER}, sums as (
@@ -293,6 +314,18 @@ select count(*) as "N", min(entry_date) as "DMIN", max(entry_date) as "DMAX",
        cast(sum(debit) as decimal(24,2)) as "DEBIT", cast(sum(credit) as decimal(24,2)) as "CREDIT",
        count(distinct site_code) as "DISTINCT_SITE_CODE", count(distinct entry_glcode) as "DISTINCT_ENTRY_GLCODE",
        count(distinct entry_slcode) as "DISTINCT_ENTRY_SLCODE", count(distinct release_status) as "DISTINCT_RELEASE_STATUS"
+from ledger""",
+    "profile_light_integers": """
+select count(*) as "N", min(cast(l_shipdate as date)) as "DMIN", max(cast(l_shipdate as date)) as "DMAX",
+       cast(sum(cast(l_extendedprice as decimal(20,2))) as decimal(24,2)) as "DEBIT",
+       count(distinct l_linenumber) as "DISTINCT_L_LINENUMBER", count(distinct l_suppkey) as "DISTINCT_L_SUPPKEY",
+       count(distinct l_partkey) as "DISTINCT_L_PARTKEY", count(distinct cast(l_shipdate as date)) as "DISTINCT_L_SHIPDATE"
+from lineitem""",
+    "profile_assigned_roles": f"""
+with {LEDGER}
+select count(*) as "N", min(entry_date) as "DMIN", max(entry_date) as "DMAX",
+       cast(sum(debit) as decimal(24,2)) as "DEBIT", cast(sum(credit) as decimal(24,2)) as "CREDIT",
+       count(distinct site_code) as "DISTINCT_SITE_CODE", count(distinct entry_glcode) as "DISTINCT_ENTRY_GLCODE"
 from ledger""",
     "profile_deep_orders": _deep(),
     "profile_group_release": f"""
@@ -315,6 +348,16 @@ qualify row_number() over (order by "N" desc, "GRP" nulls last) <= 20""",
     "registry_overlay": f"""
 with {REGISTRY}, base as (select * from registry), {OVERLAY}, {OVERLAID}
 select {STATUS_COLUMNS} from (select * replace (coalesce(last_refresh_at, physical_hint) as physical_hint) from overlaid) o""",
+    "registry_overlay_lines": f"""
+with {REGISTRY}, base as (select * from registry), every as ({_plain(src.OVERLAY)}),
+overlay as (select * from every where registry_key not like '%5'), {OVERLAID}
+select {STATUS_COLUMNS} from (select * replace (coalesce(last_refresh_at, physical_hint) as physical_hint) from overlaid) o""",
+    "registry_additions": f"""
+with {REGISTRY}, numbered as (select *, cast(substr(source_type, 5) as int) as k from registry)
+select 'ADDED' as outcome, registry_key, date_from, date_to, is_current, 'UNVERIFIED' as status, true as authoritative
+from numbered where k % 13 not in (5, 7, 9)
+union all select case k % 13 when 5 then 'CORRUPT' when 7 then 'MISSING:copy_id' else 'BAD_DATE:date_to' end, null, null, null, null, null, null
+from numbered where k % 13 in (5, 7, 9)""",
     "registry_violations": f"""
 with {REGISTRY}, doubled as (select * from registry union all
   select * from registry where source_type like '%2' and financial_year = 'FY99-00')
@@ -527,24 +570,12 @@ from results where not passed""",
 with {RECONCILED}
 select count(*) as checks, count(*) filter (not passed) as failed, coalesce(bool_and(passed), false) as gate_passed
 from results""",
-    "match_evidence": f"""
-with claims as ({_plain(src.CLAIMS)}), evidence as ({_plain(src.EVIDENCE)}), judged as (
-  select c.registry_key, c.evidence_row_index, e.row_index is not null as row_exists,
-         coalesce(upper(trim(c.copy_id)) in (upper(name), nation, upper(segment), object), false) as has_copy,
-         coalesce(upper(c.object_name) in (upper(name), nation, upper(segment), object)
-               or upper(c.owner || '.' || c.object_name) in (upper(name), nation, upper(segment), object), false) as has_object,
-         coalesce(c.discriminator_value is null
-               or upper(trim(c.discriminator_value)) in (upper(name), nation, upper(segment), object), false)
-           as has_discriminator
-  from claims c left join evidence e on e.row_index = c.evidence_row_index)
-select *, case when not row_exists or not (has_copy or has_object) then 'REJECTED'
-               when has_copy and has_object and has_discriminator then 'MACHINE_VERIFIED'
-               else 'OPERATOR_CONFIRMED' end as verification,
-       concat_ws('; ', case when not has_copy then 'copy id not found as a cell value in evidence row' end,
-                 case when not has_object then 'object name not found as a cell value in evidence row' end,
-                 case when not has_discriminator then 'discriminator value not found as a cell value in evidence row' end)
-         as notes
-from judged""",
+    "match_evidence": _matched(_plain(src.EVIDENCE)),
+    "evidence_lines": _matched(_plain(src.EVIDENCE).replace("c_custkey as row_index", "row_number() over (order by c_custkey) - 1 as row_index")),
+    "artifact_digests": """
+select c_nationkey as nation, sha256(string_agg(line || chr(10), '' order by c_custkey)) as artifact_sha256,
+       cast(sum(strlen(line) + 1) as bigint) as length
+from (select c_nationkey, c_custkey, concat_ws('|', c_custkey, c_name, c_mktsegment) as line from customer) c group by 1""",
     "evidence_cells": f"""
 select row_index, array_to_string(list_sort([upper(name), nation, upper(segment), object]), ',') as cells
 from ({_plain(src.EVIDENCE)}) e""",
@@ -559,6 +590,9 @@ select * from {PART} where regexp_matches(concat_ws(chr(10), p_name, p_brand, p_
     "candidate_rows": f"select * from {PART} where contains(concat_ws('|', p_name, p_brand, p_type, p_size, p_retailprice), '9.5')",
     "evidence_list": """
 select * from orders where upper(o_orderpriority) like '%URGENT%' or upper(o_orderpriority) like '5-L_W'""",
+    "evidence_list_capped": """
+with found as (select * from orders where upper(o_orderpriority) like '%URGENT%' or upper(o_orderpriority) like '5-L_W')
+select *, (select count(*) > 50 from found) as truncated from found order by o_orderkey limit 50""",
     "shareable_report": """
 select c_custkey, replace(c_mktsegment, 'MACH', '***') as c_mktsegment from customer
 where c_mktsegment ilike '%machinery%' or c_name like 'Customer#%7'""",

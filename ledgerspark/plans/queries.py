@@ -20,12 +20,14 @@ from ledgerspark.functions.text import redact_text, trim_char
 from ledgerspark.operators import ageing, coverage, evidence, identity, keys, privacy, profile, promotion, recon, settlement
 from ledgerspark.operators import registry as reg
 from ledgerspark.plans import inputs as src
+from ledgerspark.plans.discovery import LEDGER_ROLES
 from ledgerspark.plans.ingest import fact_schema, ingest_extract
 from ledgerspark.plans.reconcile import ledger_scopes, reconcile, vendor_scope
 from ledgerspark.session import durable, shared_dir
-from ledgerspark.sources.control_files import read_registry
+from ledgerspark.sources.control_files import artifact_digests as digests_of_files
+from ledgerspark.sources.control_files import read_additions_lines, read_evidence_lines, read_overlay_lines, read_registry
 from ledgerspark.sources.ledgers import files_under, read_source
-from ledgerspark.sources.mart import FactFiles, append_recon_run, read_recon_runs
+from ledgerspark.sources.mart import FactFiles, append_recon_run, read_recon_runs, write_evidence
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -90,6 +92,33 @@ def profile_light_lineitem(spark, sf):
     )
 
 
+@register
+def profile_light_integers(spark, sf):
+    """Distinct numbers and days of all order lines, counted in bitmaps, beside the other metrics."""
+    rows = src.table(spark, sf, "lineitem").withColumns(
+        {"l_shipdate": F.to_date("l_shipdate"), "l_extendedprice": money(F.col("l_extendedprice"))}
+    )
+    counted = ("l_linenumber", "l_suppkey", "l_partkey", "l_shipdate")
+    return profile.profile_light(
+        rows, date_col="l_shipdate", debit_col="l_extendedprice", distinct_cols=counted, ranges=profile.integer_ranges(rows, counted)
+    )
+
+
+@register
+def profile_assigned_roles(spark, sf):
+    """The light profile of the ledger by roles that were assigned in another case; one of them it does not have."""
+    rows = src.ledger(spark, sf)
+    real = profile.resolve_roles(
+        rows,
+        {"date_col": "Entry_Date", "debit_col": "DEBIT", "credit_col": "credit", "site_col": "SITE_CODE", "gl_col": "Entry_GLcode", "sl_col": None},
+        LEDGER_ROLES,
+    )
+    return profile.profile_light(
+        rows, date_col=real["date_col"], debit_col=real["debit_col"], credit_col=real["credit_col"],
+        distinct_cols=[real[r.name] for r in LEDGER_ROLES if r.counted and r.name in real], exact_count=True,
+    )
+
+
 @register
 def profile_deep_orders(spark, sf):
     return profile.profile_deep(src.derive(spark, sf, src.DEEP_ORDERS))
@@ -142,6 +171,31 @@ def registry_from_csv(spark, sf):
     return read_registry(spark, path).drop("physical", "last_refresh_at")
 
 
+@register
+def registry_additions(spark, sf):
+    """Added entries written as lines and read back: the entries, and the faults of the lines that are none."""
+    path = f"{shared_dir(spark)}/additions-{uuid.uuid4().hex}"
+    src.derive(spark, sf, src.ADDED_LINES).write.text(path)
+    entries, faults = read_additions_lines(spark, path)
+    shown = entries.select(
+        F.lit("ADDED").alias("outcome"), reg.registry_key().alias("registry_key"), "date_from", "date_to", "is_current", "status", "authoritative"
+    )
+    return shown.unionByName(faults.select(F.col("violation").alias("outcome")), allowMissingColumns=True)
+
+
+@register
+def registry_overlay_lines(spark, sf):
+    """The overlay written as lines, some of them twice, read back and applied."""
+    path = f"{shared_dir(spark)}/overlay-{uuid.uuid4().hex}"
+    records = src.nest_physical(src.derive(spark, sf, src.OVERLAY))
+    twice = records.filter("registry_key like '%5'")
+    write_evidence(records.unionByName(twice), path)
+    overlay, _ = read_overlay_lines(spark, path)
+    return reg.registry_status(reg.apply_overlay(src.registry(spark, sf), overlay).withColumn(
+        "physical_hint", F.coalesce("last_refresh_at", "physical_hint")
+    ))
+
+
 @register
 def registry_overlaps(spark, sf):
     return coverage.overlapping_sources(src.registry(spark, sf))
@@ -594,15 +648,39 @@ def recon_gate(spark, sf):
 
 @register
 def match_evidence(spark, sf):
-    judged = evidence.match_evidence(
-        src.derive(spark, sf, src.CLAIMS), src.derive(spark, sf, src.EVIDENCE), row_index="row_index"
-    )
+    return _judged(src.derive(spark, sf, src.CLAIMS), src.derive(spark, sf, src.EVIDENCE))
+
+
+def _judged(claims, listed) -> DataFrame:
+    judged = evidence.match_evidence(claims, listed, row_index="row_index")
     return judged.select(
         "registry_key", "evidence_row_index", "row_exists", "has_copy", "has_object", "has_discriminator",
         "verification", F.concat_ws("; ", "notes").alias("notes"),
     )
 
 
+@register
+def evidence_lines(spark, sf):
+    """Evidence written as lines in the order of its index and read back by many tasks, then the claims that cite it."""
+    path = f"{shared_dir(spark)}/evidence-{uuid.uuid4().hex}"
+    rows = src.derive(spark, sf, src.EVIDENCE)
+    write_evidence(rows.withColumnRenamed("row_index", "at"), path, order_by=["at"], discovered_at=src.BATCH_TIMES["b1"])
+    listed = read_evidence_lines(spark, path, [c for c in rows.columns if c != "row_index"])
+    return _judged(src.derive(spark, sf, src.CLAIMS), listed.drop("discovered_at", "corrupt"))
+
+
+@register
+def artifact_digests(spark, sf):
+    """Customers written as one file per nation, and the digests of the files: small ones as a value, larger ones in pieces."""
+    path = f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    lines = src.table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment").alias("line"))
+    ordered = lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    ordered.select("c_nationkey", "line").write.partitionBy("c_nationkey").text(path)
+    found = digests_of_files(spark, path, whole_bytes=2200)
+    nation = F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int")
+    return found.select(nation.alias("nation"), "artifact_sha256", "length")
+
+
 @register
 def evidence_cells(spark, sf):
     rows = src.derive(spark, sf, src.EVIDENCE)
@@ -641,6 +719,12 @@ def evidence_list(spark, sf):
     return privacy.evidence_list(src.table(spark, sf, "orders"), ("%URGENT%", "5-L_W"), row_index="o_orderkey")
 
 
+@register
+def evidence_list_capped(spark, sf):
+    """A report that may have 50 rows: the first ones, and whether there are more."""
+    return privacy.evidence_list(src.table(spark, sf, "orders"), ("%URGENT%", "5-L_W"), row_index="o_orderkey", row_cap=50)
+
+
 @register
 def drop_sensitive_columns(spark, sf):
     return privacy.drop_sensitive_columns(src.table(spark, sf, "events"))

@@ -142,6 +142,23 @@ def test_key_ranking_is_one_scan(spark, small):
     assert text.count("Scan parquet") == 2 and "Expand" in text
 
 
+def test_bitmaps_count_distinct_values_without_expanding_rows(spark):
+    df = spark.range(200_000).selectExpr("cast(id % 70000 - 35000 as int) as a", "date_add(date'1960-01-01', cast(id % 9000 as int)) as d",
+                                         "if(id % 3 = 0, null, id % 11) as n", "cast(null as bigint) as none", "id * 1000000000 as wide")
+    counted = ("a", "d", "n", "none", "wide")
+    ranges = pr.integer_ranges(df, counted)
+    assert ranges["a"] == (-35000, 34999) and ranges["n"] == (0, 10) and "none" not in ranges
+    exact = pr.profile_light(df, distinct_cols=counted).head().asDict()
+    got = pr.profile_light(df, distinct_cols=counted, ranges=ranges)
+    assert got.head().asDict() == exact == {"N": 200_000, "DISTINCT_A": 70000, "DISTINCT_D": 9000, "DISTINCT_N": 11, "DISTINCT_NONE": 0, "DISTINCT_WIDE": 200_000}
+    text = plan(pr.profile_light(df, distinct_cols=("a", "d", "n"), ranges=ranges), "simple")
+    assert "Expand" not in text and text.count("Exchange") == 1 and text.count("Range (") == 1
+    with pytest.raises(Exception, match="outside of its range"):
+        pr.profile_light(df, distinct_cols=("a",), ranges={"a": (0, 50)}).head()
+    with pytest.raises(TypeError):
+        pr.integer_ranges(spark.createDataFrame([("x",)], "s string"), ["s"])
+
+
 def spied_sets(monkeypatch):
     """The sets of columns that are expanded, in the order of the jobs."""
     waves, exact = [], keys._surplus_rows
