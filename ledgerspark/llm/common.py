@@ -40,6 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_names(docs: DataFrame, *kept: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with names for all columns but ``kept`` that clash with nothing, and the list of them; ``toDF`` gives the old ones back."""
+    names = [c if c in kept else f"_column_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def alnum_words(text: str | None) -> list[bytes]:
     """Runs of a-z, 0-9 and non-ASCII characters of the lower-cased text, as UTF-8."""
     return text.encode().translate(ALNUM).split() if text else []

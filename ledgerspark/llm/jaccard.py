@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import shingle_set
+from ledgerspark.llm.common import plain_names, shingle_set
 from ledgerspark import session
 
 FREQUENT = 6  # a shingle seen so often within tasks comes last in the orders
@@ -334,11 +334,12 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """
     join = _Join(docs, k, percent, "text")
     names = join.components()
+    plain, shown = plain_names(docs, "doc_id", "text")
     if join.sets.groupBy("doc_id").count().filter("count > 1").head() is not None:
-        return _one_row_of_each(docs, names, k)
+        return _one_row_of_each(plain, names, k).select(*shown).toDF(*docs.columns)
     found = durable(_report(join, names), "jaccard-report")
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
+    return plain.join(kept, plain["doc_id"].eqNullSafe(F.col("kept")), "left_semi").select(*shown).toDF(*docs.columns)
 
 
 def _one_row_of_each(docs: DataFrame, names: DataFrame, k: int) -> DataFrame:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.common import plain_names
+
 BUCKETS = 1 << 12
 TRAINING_DOCS = 400  # of each language at most: a bounded sample, as large as that whatever the corpus
 EXHAUSTIVE = 6
@@ -64,6 +66,7 @@ class Model:
     weights: np.ndarray  # buckets x bits
     bias: np.ndarray
     trust: np.ndarray  # languages x bits
+    doubtful: float = 0.0  # below it, and ambiguous, a text is in none of the languages
 
     def outputs(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights + self.bias
@@ -111,7 +114,12 @@ def fit(x: np.ndarray, languages: np.ndarray) -> Model:
     right = (target * (x @ w + b) > 0).astype(float)
     hits = np.array([right[which == i].mean(0) for i in range(len(names))])
     trust = hits / hits.sum(1, keepdims=True) * code.shape[1] if code.shape[1] else hits
-    return Model(names, code, w.astype(np.float32), b.astype(np.float32), trust)
+    model = Model(names, code, w.astype(np.float32), b.astype(np.float32), trust)
+    if len(names) > 1:  # half way between chance and the least sure of the labelled texts that are told rightly
+        told, scores, _ = model.predict(x)
+        fine = scores[np.array(told) == np.asarray(languages)]
+        model.doubtful = float((1 / len(names) + fine.min(initial=1.0)) / 2)
+    return model
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -179,12 +187,16 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that are in no language (``und``); nothing else changes.
+    """``docs`` without those that are in no language; nothing else changes, whatever the columns are called.
 
-    If no label allows to fit a model, those without any letter go.
+    A text goes if it is ``und`` (null, or no letter), or if its two nearest codewords are about equally near and even the nearest is farther than
+    it was for any labelled text (``Model.doubtful``). If no label allows to fit a model, those without any letter go.
     """
     model = train(docs.filter(~is_held_out()))
     if model is None:
         lettered = F.pandas_udf(lambda texts: texts.map(has_letter).astype(bool), "boolean")
         return docs.filter(lettered(F.col("text")))
-    return identify(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    plain, names = plain_names(docs, "text")
+    told = identify(plain, model)
+    unsure = F.col("ambiguous") & (F.col("score") < model.doubtful)
+    return told.filter((F.col("lang_pred") != UNKNOWN) & ~unsure).select(*names).toDF(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import alnum_words
+from ledgerspark.llm.common import alnum_words, plain_names
 from ledgerspark.session import durable
 
 CLASSES = 64
@@ -282,7 +282,7 @@ def score(docs: DataFrame, network: Network, ids: WordIds, text_col: str = "text
     """
     shared = docs.sparkSession.sparkContext.broadcast((network, ids, counts is not None))
 
-    @F.pandas_udf("n_words long, log_likelihood double, rest array<binary>")
+    @F.pandas_udf("n_words long, log_likelihood double, _rest array<binary>")
     def likelihood(texts: pd.Series) -> pd.DataFrame:
         model, words, listed = shared.value
         lengths, sums = [], []
@@ -294,25 +294,27 @@ def score(docs: DataFrame, network: Network, ids: WordIds, text_col: str = "text
             lengths += numbers
             sums += list(total[ends] - total[ends - np.array(numbers)])
         rest = [[w for w in alnum_words(t) if words[w] >= WORDS] for t in texts] if listed else [None] * len(texts)
-        return pd.DataFrame({"n_words": lengths, "log_likelihood": sums, "rest": rest})
+        return pd.DataFrame({"n_words": lengths, "log_likelihood": sums, "_rest": rest})
 
     kept = docs.drop("n_words", "log_likelihood", "mean_log_likelihood")
-    names = [c for c in kept.columns if keep_text or c != text_col]
+    shown = [c for c in kept.columns if keep_text or c != text_col]
+    kept, plain = plain_names(kept, text_col)
+    names = [n for n in plain if keep_text or n != text_col]
     out = kept.withColumn("_scored", likelihood(F.col(text_col))).select(*names, "_scored.*")
     if counts is not None:
         out = _with_shares(out, *shares(counts, ids))
-    out = out.select(*names, "n_words", "log_likelihood")
+    out = out.select(*names, "n_words", "log_likelihood").toDF(*shown, "n_words", "log_likelihood")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def _with_shares(scored: DataFrame, known: DataFrame, unseen: list[float]) -> DataFrame:
-    """``scored`` with the shares of the words in ``rest`` in log_likelihood. Rows are numbered and written, as ids may repeat."""
+    """``scored`` with the shares of the words in ``_rest`` in log_likelihood. Rows are numbered and written, as ids may repeat."""
     scored = durable(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
-    words = scored.select("_row", F.explode("rest").alias("word"))
+    words = scored.select("_row", F.explode("_rest").alias("word"))
     otherwise = F.element_at(F.array(*map(F.lit, unseen)), (F.crc32("word") % SHARED).cast("int") + 1)
     found = words.join(known, "word", "left").select("_row", F.coalesce("share", otherwise).alias("share"))
     sums = found.groupBy("_row").agg(F.sum("share").alias("_share"))
-    out = scored.drop("rest").join(sums, "_row", "left")
+    out = scored.drop("_rest").join(sums, "_row", "left")
     return out.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_share", F.lit(0.0)))
 
 

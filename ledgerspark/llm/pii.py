@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.common import plain_names
+
 KINDS = ("email", "ip", "card", "phone")
 NOTHING = len(KINDS)
 MAX_CHUNKS = 7
@@ -392,11 +394,12 @@ def _masked(text: str, spans) -> str:
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets and ``n_chars`` renewed; other texts stay as they are."""
-    found = find_pii(docs)
+    plain, names = plain_names(docs, "text")
+    found = find_pii(plain)
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_masked(t, s) if s is not None and len(s) else t for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    out = found.withColumn("text", mask("text", "pii_spans")).select(*docs.columns)
+    out = found.withColumn("text", mask("text", "pii_spans")).select(*names).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
