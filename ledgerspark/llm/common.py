@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import os
 import re
@@ -40,6 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system. Python workers live on from task to task, and what a task freed would stay theirs."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def plain_names(docs: DataFrame, *kept: str) -> tuple[DataFrame, list[str]]:
     """``docs`` with names for all columns but ``kept`` that clash with nothing, and the list of them; ``toDF`` gives the old ones back."""
     names = [c if c in kept else f"_column_{i}" for i, c in enumerate(docs.columns)]
