@@ -37,6 +37,19 @@ def ship(spark: SparkSession) -> None:
     context.ledgerspark_shipped = True
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of ``BATCH_ROWS`` from now on, unless the session has a size of its own.
+
+    Spark's default of 10,000 rows is meant for numbers; that many texts are held several times over, in the executor and in Python.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

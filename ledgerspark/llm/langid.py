@@ -115,10 +115,12 @@ def fit(x: np.ndarray, languages: np.ndarray) -> Model:
     hits = np.array([right[which == i].mean(0) for i in range(len(names))])
     trust = hits / hits.sum(1, keepdims=True) * code.shape[1] if code.shape[1] else hits
     model = Model(names, code, w.astype(np.float32), b.astype(np.float32), trust)
-    if len(names) > 1:  # half way between chance and the least sure of the labelled texts that are told rightly
+    if len(names) > 1:
+        # half way between chance and the least sure of the labelled texts that are told rightly; a text in two of the
+        # languages, which has a score of one half, stays in any case
         told, scores, _ = model.predict(x)
         fine = scores[np.array(told) == np.asarray(languages)]
-        model.doubtful = float((1 / len(names) + fine.min(initial=1.0)) / 2)
+        model.doubtful = float((1 / len(names) + fine.min(initial=0.5)) / 2)
     return model
 
 
@@ -189,8 +191,8 @@ def language_report(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without those that are in no language; nothing else changes, whatever the columns are called.
 
-    A text goes if it is ``und`` (null, or no letter), or if its two nearest codewords are about equally near and even the nearest is farther than
-    it was for any labelled text (``Model.doubtful``). If no label allows to fit a model, those without any letter go.
+    A text goes if it is ``und`` (null, or no letter), or if its nearest codewords are about equally near and even the nearest has a score
+    below ``Model.doubtful``: it is told neither as one language nor as a mixture of two. If no label allows to fit a model, those without any letter go.
     """
     model = train(docs.filter(~is_held_out()))
     if model is None:
