@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,33 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage between batches, lets several consumers share one computation, and survives
     the loss of executors. Parquet keeps column pruning for the readers.
     """
-    return _write_aside(df, label)[0]
+    table, path = _write_aside(df, label)
+    held = _held.get()
+    if held is not None:
+        held.append(path)
+    return table
+
+
+_held: ContextVar[list[str] | None] = ContextVar("tables to remove", default=None)
+
+
+@contextmanager
+def temporary_tables() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Removes at its end every table that ``durable`` wrote inside it. Gives a function like ``durable`` whose tables stay: what
+    is returned may read only those."""
+    paths: list[str] = []
+    token = _held.set(paths)
+    try:
+        yield lambda df, label: _write_aside(df, label)[0]
+    finally:
+        _held.reset(token)
+        for path in paths:
+            _remove(SparkSession.active(), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @contextmanager
@@ -65,8 +92,7 @@ def written_aside(df: DataFrame, label: str) -> Iterator[DataFrame]:
     try:
         yield table
     finally:
-        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        _remove(df.sparkSession, path)
 
 
 def fits_broadcast(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:

@@ -486,6 +486,18 @@ def test_stream_feeds_the_same_plan(spark, tmp_path):
     assert mart.read_staging(spark, str(tmp_path / "stg")).select("extract_batch_id").distinct().count() == 2
 
 
+def test_temporary_tables_go_and_kept_ones_stay(spark):
+    from ledgerspark import session
+
+    with session.temporary_tables() as keep:
+        first = session.durable(spark.range(3), "t")
+        kept = keep(first.filter("id > 0"), "t")
+        gone = first.inputFiles()
+    assert kept.count() == 2 and session.durable(spark.range(1), "t").count() == 1
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        spark.read.parquet(*gone).count()
+
+
 def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     from ledgerspark import session
 
