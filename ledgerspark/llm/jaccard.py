@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -332,17 +332,21 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     Ids that repeat or are null do not make rows alike: the texts decide. Of a component's rows of the same or no id, the one of
     the smallest hashes stays. Of rows without words that repeat id and text, one stays.
     """
-    join = _Join(docs, k, percent, "text")
-    names = join.components()
     plain, shown = plain_names(docs, "doc_id", "text")
-    if join.sets.groupBy("doc_id").count().filter("count > 1").head() is not None:
-        return _one_row_of_each(plain, names, k).select(*shown).toDF(*docs.columns)
-    found = durable(_report(join, names), "jaccard-report")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("kept"))
-    return plain.join(kept, plain["doc_id"].eqNullSafe(F.col("kept")), "left_semi").select(*shown).toDF(*docs.columns)
-
-
-def _one_row_of_each(docs: DataFrame, names: DataFrame, k: int) -> DataFrame:
+    with session.temporary_tables() as keep:
+        join = _Join(docs, k, percent, "text")
+        names = join.components()
+        if join.sets.groupBy("doc_id").count().filter("count > 1").head() is not None:
+            left = _one_row_of_each(plain, names, k, keep)
+        else:
+            found = durable(_report(join, names), "jaccard-report")
+            single = F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)
+            kept = keep(found.filter(single).select(F.col("doc_id").alias("kept")), "jaccard-kept")
+            left = plain.join(kept, plain["doc_id"].eqNullSafe(F.col("kept")), "left_semi")
+    return left.select(*shown).toDF(*docs.columns)
+
+
+def _one_row_of_each(docs: DataFrame, names: DataFrame, k: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The same by rows, which are numbered and written, as their ids do not tell them apart."""
 
     @F.pandas_udf("long")
@@ -351,7 +355,7 @@ def _one_row_of_each(docs: DataFrame, names: DataFrame, k: int) -> DataFrame:
 
     rows = docs.withColumns({"_set": set_of("text"), "_row": F.monotonically_increasing_id()})
     whole = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256)
-    rows = durable(rows.withColumns({"_text": F.sha2(F.coalesce("text", F.lit("")), 256), "_whole": whole}), "jaccard-rows")
+    rows = keep(rows.withColumns({"_text": F.sha2(F.coalesce("text", F.lit("")), 256), "_whole": whole}), "jaccard-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_whole", "_row")).getField("_row").alias("_row")
     keys = rows.select("doc_id", "_set", "_text", "_whole", "_row", F.col("text").isNull().alias("_null"))
     named = keys.filter("_set is not null").join(names.withColumnRenamed("set_id", "_set"), "_set", "left")
@@ -359,4 +363,4 @@ def _one_row_of_each(docs: DataFrame, names: DataFrame, k: int) -> DataFrame:
     empty = keys.filter("_set is null")
     kept = kept.union(empty.filter("doc_id is null").select("_row"))
     kept = kept.union(empty.filter("doc_id is not null").groupBy("doc_id", "_null", "_text").agg(first).select("_row"))
-    return rows.join(durable(kept, "jaccard-kept"), "_row", "left_semi").select(*docs.columns)
+    return rows.join(keep(kept, "jaccard-kept"), "_row", "left_semi").select(*docs.columns)
