@@ -211,12 +211,6 @@ class Bpe:
             out.append((ids, ids.count(",") + 1 if ids else 0, b"".join(map(self.data.__getitem__, words))))
         return out
 
-    def forget(self) -> None:
-        """Drop the words found so far and give their memory back; the vocabulary and what was found of its pairs stay."""
-        for found in (self.words, self.data, *self.spines):
-            found.clear()
-        release_memory()
-
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, added tokens included; bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -269,7 +263,7 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].reset_index(drop=True))
             yield out
-        model.forget()  # the worker goes on to other tasks
+        release_memory()  # the worker goes on to other tasks
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
