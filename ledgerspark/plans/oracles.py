@@ -534,7 +534,7 @@ with {PROMOTION}, s as ({_totals('ledger', SCOPES)}), m as ({_totals('b2', SCOPE
   from s full outer join m on m.scope = s.scope and m.check_name = s.check_name
   union all select date '2001-08-01', scope, check_name, value, value from m)
 select *, cast(null as decimal(24,2)) as kpi_value, '' as explanation, source_value = mart_value as passed from runs""",
-    "open_items": f"""
+    "settled_open_items": f"""
 with {LEDGER}, {_settled('ledger')}
 select entry_slcode, {_bucket(f"date_diff('day', day, {AS_OF})")} as age_bucket, cast(sum(open) as decimal(24,2)) as open
 from settled group by 1, 2 having sum(open) <> 0""",

@@ -589,7 +589,7 @@ def recon_runs(spark, sf):
 
 
 @register
-def open_items(spark, sf):
+def settled_open_items(spark, sf):
     """What is open of each vendor's debits after its credits have settled the oldest ones, by ageing bucket."""
     settled = settlement.settle(src.ledger(spark, sf), by=["entry_slcode"], day="entry_date")
     return settlement.open_items(settled, src.AS_OF, by=["entry_slcode"])
