@@ -342,6 +342,7 @@ select *, cast(row_number() over (order by "N" desc, "GRP" nulls last) as intege
 qualify row_number() over (order by "N" desc, "GRP" nulls last) <= 20""",
     "sample_ordered": "select * from orders order by o_orderkey limit 5",
     "rank_keys_lineitem": _rank_keys(),
+    "rank_keys_pruned": _rank_keys(),
     "rank_keys_labels": f"select columns, rows, null_rows, recommendation, overall from ({_rank_keys()}) r",
     "registry_status": f"with {REGISTRY} select {STATUS_COLUMNS} from registry",
     "registry_overlaps": f"with {REGISTRY}, {_overlaps('registry')} select * from overlapping",

@@ -139,15 +139,24 @@ def sample_ordered(spark, sf):
     return profile.bounded_sample(src.table(spark, sf, "orders"), 5, order_by=("o_orderkey",))
 
 
-@register
-def rank_keys_lineitem(spark, sf):
-    ranked = keys.rank_keys(
-        src.derive(spark, sf, src.KEY_TEST), src.KEY_CANDIDATES, discriminator_column="l_suppkey", prune=True
-    )
+def _ranked(spark, sf, **how) -> DataFrame:
+    ranked = keys.rank_keys(src.derive(spark, sf, src.KEY_TEST), src.KEY_CANDIDATES, discriminator_column="l_suppkey", **how)
     lists = ("columns", "sources", "nullable_columns", "reasons")
     return ranked.withColumns({c: F.concat_ws(";", c) for c in lists})
 
 
+@register
+def rank_keys_lineitem(spark, sf):
+    """All sets counted in one job."""
+    return _ranked(spark, sf)
+
+
+@register
+def rank_keys_pruned(spark, sf):
+    """The same from fewer counted sets, at the price of a pass before."""
+    return _ranked(spark, sf, prune=True)
+
+
 @register
 def rank_keys_labels(spark, sf):
     """Labels alone: sets that a sketch rules out are not counted."""
