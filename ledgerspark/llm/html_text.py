@@ -4,12 +4,17 @@ A page becomes a tree. Parts that are never article text (navigation, headers of
 adverts, reader comments, scripts) are taken out by element and by class name. For every node left, the composite density
 is its characters per tag, adjusted by the share of linked characters and tags:
 
-    (C / T) * log(C * T / (LC * LT)) / log(ln(C / (C - LC) * LC + LCb / Cb * C + e))
+    (C / T) * log(max(1, C * T / (LC * LT))) / max(1, log(e - 1 + log(C / (C - LC) * LC + LCb / Cb * C + e)))
 
-with C characters, T tags, LC linked characters and LT linked tags below the node, and LCb, Cb those of the body. A node's
-density sum adds up the densities of its children. The node of the largest sum is the main part; the lowest density
-on its path from the body is the threshold, and below every node that reaches it the subtree of the largest sum is
-article text. An ``article`` or ``main`` element around such a subtree is taken whole.
+with C characters, T tags, LC linked characters and LT linked tags below the node, and LCb, Cb those of the body; counts in
+denominators are 1 at least. Both bounds keep a density from being negative or infinite where a node is all links or has none.
+A node's density sum adds up the densities of its children and, in blocks, the characters that stand in the node itself, which have
+no child to count them. The node of the largest sum is the main part; the lowest density on its path from the body is the
+threshold, and below every node that reaches it the subtree of the largest sum is article text. An ``article`` or ``main``
+element around such a subtree is taken whole. Without one, headings before and paragraphs on either side of the main part's
+containers belong to it, and so does a page header that only holds the headline.
+
+A form or a set of fields is taken out unless it is the layout around the main part; a label goes with its control.
 """
 
 from __future__ import annotations
@@ -27,13 +32,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements whose text is no article text.
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea input label iframe object"
-    " embed svg canvas audio video menu dialog noframes noembed xmp datalist fieldset legend".split()
+    "script style noscript template head title nav footer aside button select option textarea input iframe object"
+    " embed svg canvas audio video menu dialog noframes noembed xmp datalist".split()
 )
 BLOCK = frozenset(
     "html body address article blockquote center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " header hgroup hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    " header hgroup hr legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+CONTROLS = frozenset("input select textarea button".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p blockquote pre".split())
+CHARS_PER_CONTROL = 25  # a form with less text for each of its controls and one more is not the layout of a page
 #: Words that mark such parts as a whole name of class or id, or as its first part: ``header-top``, but not ``article-header`` or ``with-sidebar``.
 MARKED = re.compile(
     r"(?:^|\s)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side-?bar|footer|foot|header|masthead"
@@ -48,18 +57,20 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>?|</?[A-Za-z][^>]*\Z", re.DOTALL)
-_attribute = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+_attribute = re.compile(r"(class|id|role|hidden|aria-hidden|for|type)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+_rights = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.IGNORECASE).match
 _space = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "named", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "named", "inside", "controls", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.named = False  # dropped only for a name of class or id
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.children: list = []  # nodes and strings
+        self.controls = 0  # of forms, in the node and below it
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -78,6 +89,27 @@ def _is_marked(attributes: str) -> bool:
     return False
 
 
+def _settle_forms(root: Node) -> None:
+    """Forms and sets of fields are marked like parts with a name, so that the main part can take them back."""
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.controls += node.controls
+    block: dict[int, Node] = {}  # the nearest block of each node
+    for node in nodes:
+        block[id(node)] = node if node.tag in BLOCK else block.get(id(node.parent), root)
+        if node.dropped:
+            continue
+        if node.tag == "form" or node.tag == "fieldset" and node.controls:
+            node.dropped = node.named = True
+        elif node.tag == "label":
+            node.dropped = bool(node.controls or block[id(node)].controls)
+
+
 def parse(source: str) -> Node:
     """The tree of a page. Missing end tags are supplied, stray ones ignored, a tag cut off at the end is left out."""
     root = Node("#root", None)
@@ -126,6 +158,11 @@ def parse(source: str) -> Node:
         node = Node(tag, at, dropped)
         if not dropped and not own and _is_named(attributes):
             node.dropped = node.named = True
+        if tag == "label" and any(name.lower() == "for" for name, _ in _attribute.findall(attributes)):
+            node.dropped = True
+        if tag in CONTROLS:
+            kinds = [value.strip("\"'").lower() for name, value in _attribute.findall(attributes) if name.lower() == "type"]
+            node.controls = int(kinds[:1] != ["hidden"])
         at.children.append(node)
         if tag in VOID:
             continue
@@ -137,6 +174,7 @@ def parse(source: str) -> Node:
         elif not attributes.rstrip().endswith("/") or tag in BLOCK:
             at = node
             opened[tag] += 1
+    _settle_forms(root)
     return root
 
 
@@ -187,10 +225,11 @@ def _measure(root: Node, body: Node) -> None:
 
 
 def _keep_main_part(root: Node) -> None:
-    """Take back the marks by name around the main part of the page.
+    """Take back the marks by name, and those of forms, around the main part of the page.
 
     That is the node of the largest density sum, if it is larger than all sums outside of marked parts. As reader comments can be
-    longer than the article, a marked part must also hold the headline or the ``article``, unless no part of the page does.
+    longer than the article, a marked part must also hold the headline or the ``article``, unless no part of the page does. A form
+    must hold text for its controls.
     """
     named, todo = [], [root]
     while todo:
@@ -211,8 +250,9 @@ def _keep_main_part(root: Node) -> None:
     around: dict[int, Node | None] = {}  # the nearest marked part of each node
     for node in nodes:
         around[id(node)] = node if node.named else around.get(id(node.parent))
+    bare = {id(n) for n in named if n.controls and n.chars < CHARS_PER_CONTROL * (n.controls + 1) and n.tag in ("form", "fieldset")}
     heads = {id(around[id(n)]) for n in nodes if n.tag in ("h1", "article", "main") and n.chars}
-    inside = [n for n in nodes if n.chars and (part := around[id(n)]) is not None and (not heads or id(part) in heads)]
+    inside = [n for n in nodes if n.chars and (part := around[id(n)]) is not None and id(part) not in bare and (not heads or id(part) in heads)]
     for node in named:
         node.dropped = True
     main = max(inside, key=lambda n: n.total, default=None)
@@ -258,9 +298,70 @@ def _chosen(root: Node) -> list[Node]:
         elif id(node) in marked or node.tag in ("article", "main") and id(node) in holds:
             out.append(node)
             taken.add(id(node))
+    if any(n.tag in ("article", "main") for n in line):
+        beside = []
+    else:
+        beside = _beside(line[: line.index(body)], taken, holds, _has_headline(nodes, taken))
+    head = None if beside and any(n.tag in HEADINGS for n in beside) or _has_headline(nodes, taken) else _header_before(root, body, out[0])
+    if not beside and head is None:
+        return out
+    if head is not None:
+        head.dropped = False
+    place = {id(node): i for i, node in enumerate(_order(root))}
+    return sorted([*out, *beside, *([head] if head is not None else [])], key=lambda n: place[id(n)])
+
+
+def _own_text(node: Node) -> bool:
+    return any(isinstance(c, str) and c.strip() for c in node.children)
+
+
+def _has_headline(nodes: list[Node], taken: set[int]) -> bool:
+    """True if the taken subtrees hold the page's headline or begin with a heading. ``nodes`` are in page order."""
+    if any(n.tag == "h1" and n.chars and id(n) in taken for n in nodes):
+        return True
+    first = next((n for n in nodes if id(n) in taken and _own_text(n)), None)
+    return first is not None and next((n.tag for n in _line(first) if n.tag in BLOCK), "") in HEADINGS
+
+
+def _beside(line: list[Node], taken: set[int], holds: set[int], has_headline: bool) -> list[Node]:
+    """Blocks next to the containers of the main part: headings before them, and paragraphs that are mostly no links."""
+    out = []
+    for node in line:
+        if id(node) in taken and id(node.parent) in taken:
+            continue
+        before = True
+        for other in node.parent.children:
+            if other is node:
+                before = False
+            elif not isinstance(other, Node) or other.dropped or not other.chars or id(other) in taken or id(other) in holds:
+                continue
+            elif other.tag in HEADINGS and before and not has_headline:
+                out.append(other)
+            elif other.tag in PARAGRAPHS and 2 * other.link_chars <= other.chars and not _rights(" ".join(_blocks([other]))):
+                out.append(other)
     return out
 
 
+def _header_before(root: Node, body: Node, first: Node) -> Node | None:
+    """A header of the page before ``first`` that holds a headline and no menus, pictures, controls or mere links."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node is first:
+            return None
+        if node.tag == "header" and node.dropped:
+            node.dropped = False
+            _measure(node, body)
+            below = _order(node)
+            node.dropped = True
+            tags = {c.tag for n in below for c in n.children if isinstance(c, Node)}
+            if "h1" in tags and not node.controls and not tags & {"nav", "form", "img", "svg", "ul", "ol"} and 2 * node.link_chars <= node.chars:
+                return node
+        elif not node.dropped:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return None
+
+
 def _blocks(nodes: list[Node]) -> list[str]:
     blocks: list[str] = []
     now: list[str] = []

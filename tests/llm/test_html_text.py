@@ -76,3 +76,31 @@ def test_names_of_layout_do_not_take_the_article_away():
     assert main_text(f"<html><body><div>{BODY}</div>{long}</body></html>") == TEXT
     assert main_text(f'<html><body><div class="sidebar-layout">{BODY}{long}</div></body></html>') == TEXT
     assert main_text('<div class="menu">' * 3000 + "<p>deep</p>" + "</div>" * 3000) == "deep"
+
+
+def test_forms_field_sets_and_labels():
+    around = "".join(PARTS[k] for k in ("nav", "header", "cookie", "ad", "form"))
+    after = "".join(PARTS[k] for k in ("aside", "comments", "footer"))
+    state = "<input type=hidden name=__STATE value=abc>"
+    for inside in (BODY, f"<article>{BODY}</article>", f"<div>{BODY}</div>"):
+        assert main_text(f"<html><body><form method=post action=/>{state}{around}{inside}{after}</form></body></html>") == TEXT, inside
+        assert main_text(f"<html><body>{around}<fieldset><legend></legend>{inside}</fieldset>{after}</body></html>") == TEXT, inside
+    assert main_text("<article><p>Press <label>Start</label> now.</p><p><label for=a>Name</label><input id=a></p></article>") == "Press Start now."
+    assert main_text("<article><p>Text.</p><div><label>Mail <input></label></div><form><p>Comment</p><textarea></textarea></form></article>") == "Text."
+    assert main_text("<article><fieldset><legend>Note</legend><p>Part of it.</p></fieldset><p>More.</p></article>") == "Note\nPart of it.\nMore."
+    assert main_text("<body><form><p>Log in</p><input name=a><input name=b><button>Go</button></form></body>") == ""
+
+
+def test_blocks_beside_the_container_of_the_paragraphs():
+    part = "".join(f"<p>Paragraph {i} has a good many words in it, as they have.</p>" for i in range(4))
+    text = "\n".join(f"Paragraph {i} has a good many words in it, as they have." for i in range(4))
+    whole = f"Title\n{text}\nClosing words."
+    notes = PARTS["footer"] + "<p>&copy; 2020 Someone</p><p><a href=/x>Terms of use and so on</a></p><h2>Read also</h2><ul><li><a href=/y>This</a></li></ul>"
+    assert main_text(f"<body><h1>Title</h1><div>{part}</div><p>Closing words.</p></body>") == whole
+    assert main_text(f"<body>{PARTS['nav']}<div><h1>Title</h1><div>{part}</div><p>Closing words.</p></div>{notes}</body>") == whole
+    assert main_text(f"<body><header><h1>Title</h1></header><div>{part}<p>Closing words.</p></div>{notes}</body>") == whole
+    assert main_text(f"<body><header><h1>Title</h1></header><article>{part}<p>Closing words.</p></article></body>") == whole
+    for head in ("<header><h1>Site</h1><nav><a href=/>Home</a></nav></header>", "<header><h1><a href=/>Site</a></h1></header>", "<header><h1>Site</h1></header>"):
+        assert main_text(f"<body>{head}<div><h2>Title</h2>{part}<p>Closing words.</p></div></body>") == whole, head
+    assert main_text(f"<body><p>Outside.</p><article>{part}</article><p>Outside.</p></body>") == text
+    assert main_text("<label>" * 50_000 + "text") == "text"
