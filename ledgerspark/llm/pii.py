@@ -2,10 +2,13 @@
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers in plain spelling. The field adds spans that
 they miss: it cuts the text around digits and at signs into segments of at most ``MAX_CHUNKS`` words, scores every
-segment as a whole (its features see the entire span) and chooses boundaries and types together by dynamic programming.
+segment as a whole (its features see the entire span) and chooses boundaries and types together by dynamic programming,
+which holds the scores of the last ``MAX_CHUNKS`` words only. A spelled-out address that the field has found goes on as long as
+dots and labels follow, so hosts may have any number of labels.
 It is trained here by gradient ascent on the likelihood of a bounded sample of windows: those that the patterns label,
 and copies in which the labelled spans are written otherwise (``name at host dot org``, a phone number without its
-country code). Digits that no pattern accepts are examples of "nothing".
+country code) or give way to dates, times, numbers of orders and versions, and hosts behind an ordinary "at". These, and digits that no
+pattern accepts, are examples of "nothing". Kinds of spans are trained in equal parts, whatever their shares of the sample are.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import plain_names
@@ -24,9 +27,9 @@ from ledgerspark.llm.common import plain_names
 KINDS = ("email", "ip", "card", "phone")
 NOTHING = len(KINDS)
 MAX_CHUNKS = 7
-MAX_CHARS = 80
+MAX_CHARS = 320  # an address: 64 characters before the at sign, 255 behind it
 AROUND = 6  # words on either side of a digit or at sign that a window takes in
-TRAINING_WINDOWS = 600
+TRAINING_WINDOWS = 320
 ROUNDS = 10
 CLEAR = 2.0  # a segment is taken only if its score beats "nothing" by so much
 
@@ -42,6 +45,15 @@ _word = re.compile(r"\S+")
 _dot_word = re.compile(r"\W*dot\W*", re.IGNORECASE).fullmatch
 _dot_inside = re.compile(r"[(\[]dot[)\]]", re.IGNORECASE).search
 _at_host = re.compile(r"(?:[(\[]at[)\]]|(?<!\w)at(?!\w))[)\]\s]*[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}", re.IGNORECASE).search
+_more_host = re.compile(r"(?:\s+dot\s+|\s*[(\[]\s*dot\s*[)\]]\s*)[a-z0-9-]+", re.IGNORECASE).match
+_date = re.compile(r"(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?![0-9])").search
+_plain_at = re.compile(r"([a-z]+)\s+at\s").match
+#: Words that stand before "at" in prose about a place on the web, and are no names of mailboxes there. Fixed values.
+BEFORE_AT = frozenset(
+    "look looked looking looks see seen read found find visit visited meet met meets us me is are was were be hosted available online"
+    " here site page pages more website published posted listed located shown them it buy sold live lives stay home arrive arrived"
+    " left work works order ordered start starts started aimed back and or not".split()
+)
 _spelled = re.compile(
     r"[a-z0-9._%+-]+(?:\s+at\s+|\s*[(\[]\s*at\s*[)\]]\s*)[a-z0-9-]+"
     r"(?:(?:\s+dot\s+|\s*[(\[]\s*dot\s*[)\]]\s*|\.)[a-z0-9-]+)*(?:\s+dot\s+|\s*[(\[]\s*dot\s*[)\]]\s*|\.)[a-z]{2,}"
@@ -121,7 +133,7 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-FEATURES = 30
+FEATURES = 36
 SPELLED = 6  # the feature of a spelled-out address
 
 
@@ -135,6 +147,8 @@ def span_features(text: str, start: int, end: int, n_words: int, before: str) ->
     spelled = bool(_spelled(low))
     plain = "@" in s and bool(re.fullmatch(r"[a-z0-9._%+-]+@[a-z0-9-]+(\.[a-z0-9-]+)+", low))
     quad = bool(re.fullmatch(r"[0-9]{1,9}(\.[0-9]{1,9}){3}", s)) and _octets(s)
+    at = _plain_at(low) if spelled else None
+    parted = ":" in s or "/" in s and groups != [4, 4, 4, 4]
     bracketed = bool(re.fullmatch(r"\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}", s))
     return np.array(
         [
@@ -143,6 +157,8 @@ def span_features(text: str, start: int, end: int, n_words: int, before: str) ->
             12 <= n <= 19 and letters == 0 and not luhn(digits), s.startswith("+"), s.startswith("+") and 9 <= n <= 15 and letters == 0,
             bracketed, groups[-3:] == [3, 3, 4] and letters == 0, groups in ([4, 4, 4, 4], [16]) and letters == 0, letters > 0,
             letters > 0 and n > 4, low == "", '"' in before or "=" in before, before.endswith("+"), end - start > MAX_CHARS, len(s) > 40,
+            spelled and at is None, at is not None and at[1] in BEFORE_AT, at is not None and at[1] not in BEFORE_AT, parted and letters == 0,
+            letters == 0 and n > 0 and bool(_date(s)), groups == [4, 4, 4, 4] and "/" in s and luhn(digits),
         ],
         np.float64,
     )
@@ -170,29 +186,30 @@ class SemiCrf:
         self.weights = np.zeros((NOTHING + 1, FEATURES))
         self.moves = np.zeros((NOTHING + 1, NOTHING + 1))
 
+    def segment(self, text: str, words: list[tuple[int, int]], i: int, j: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Features and possible kinds of the words from i to before j; None if more than one word cannot be any kind."""
+        start, end = _trim(text, words[i][0], words[j - 1][1])
+        kinds = np.zeros(NOTHING, bool)
+        if end - start <= MAX_CHARS and (j == i + 1 or _hint(text, start, end)):
+            kinds = possible(text, start, end)
+        if j > i + 1 and not kinds.any():
+            return None
+        return span_features(text, start, min(end, start + 4 * MAX_CHARS), j - i, text[max(0, words[i][0] - 4) : words[i][0]]), kinds
+
     def segments(self, text: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """Features and possible kinds of the candidate segments, by first word and end; longer ones must hold a trace of personal data."""
-        out = {}
-        for i in range(len(words)):
-            for j in range(i + 1, min(len(words), i + MAX_CHUNKS) + 1):
-                start, end = _trim(text, words[i][0], words[j - 1][1])
-                if j > i + 1 and (end - start > MAX_CHARS or not _hint(text, start, end)):
-                    continue
-                features = span_features(text, start, min(end, start + 4 * MAX_CHARS), j - i, text[max(0, words[i][0] - 4) : words[i][0]])
-                kinds = possible(text, start, end) if end - start <= MAX_CHARS else np.zeros(NOTHING, bool)
-                if j == i + 1 or kinds.any():
-                    out[i, j] = features, kinds
-        return out
+        """Features and possible kinds of all candidate segments, by first word and end."""
+        all_of = {(i, j): self.segment(text, words, i, j) for i in range(len(words)) for j in range(i + 1, min(len(words), i + MAX_CHUNKS) + 1)}
+        return {place: found for place, found in all_of.items() if found is not None}
+
+    def score(self, n_words: int, features: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        s = self.weights @ features
+        s[:NOTHING][~kinds] = -np.inf
+        if n_words > 1:
+            s[NOTHING] = -np.inf  # what is nothing stands word by word
+        return s
 
     def scores(self, segments: dict) -> dict[tuple[int, int], np.ndarray]:
-        out = {}
-        for (i, j), (f, kinds) in segments.items():
-            s = self.weights @ f
-            s[:NOTHING][~kinds] = -np.inf
-            if j > i + 1:
-                s[NOTHING] = -np.inf  # what is nothing stands word by word
-            out[i, j] = s
-        return out
+        return {(i, j): self.score(j - i, *found) for (i, j), found in segments.items()}
 
     def likelihood_step(self, n: int, segments: dict, truth: list[tuple[int, int, int]], rate: float) -> None:
         """One step up the gradient of the log-likelihood: features of the truth minus expected features."""
@@ -223,29 +240,31 @@ class SemiCrf:
 
     def best(self, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """The best segmentation's entities as (start, end, kind) in code points."""
-        n, segments = len(words), self.segments(text, words)
-        scores = self.scores(segments)
+        n = len(words)
         value = np.full((n + 1, NOTHING + 1), -np.inf)
         value[0, NOTHING] = 0
-        back: list[dict] = [{} for _ in range(n + 1)]
+        first, label = np.zeros((2, n + 1, NOTHING + 1), np.int32)  # of the segment that ends here, and the label before it
+        alone: list[float] = []  # what each word scores as nothing
         for j in range(1, n + 1):
-            for i in range(max(0, j - MAX_CHUNKS), j):
-                if (i, j) not in scores:
+            for i in range(j - 1, max(0, j - MAX_CHUNKS) - 1, -1):
+                found = self.segment(text, words, i, j)
+                if found is None:
                     continue
-                s = scores[i, j].copy()
-                plain = sum(scores[k, k + 1][NOTHING] for k in range(i, j))
-                if segments[i, j][0][SPELLED]:  # of many words: what their moves cost counts as well
+                s = self.score(j - i, *found)
+                if i == j - 1:
+                    alone.append(s[NOTHING])
+                plain = sum(alone[i:j])
+                if found[0][SPELLED]:  # of many words: what their moves cost counts as well
                     plain += (j - i - 1) * self.moves[NOTHING, NOTHING]
                 s[:NOTHING][s[:NOTHING] < plain + CLEAR] = -np.inf
                 reach = value[i][:, None] + self.moves + s[None]
                 came = reach.argmax(0)
                 for y in range(NOTHING + 1):
                     if reach[came[y], y] > value[j, y]:
-                        value[j, y] = reach[came[y], y]
-                        back[j][y] = (i, int(came[y]))
+                        value[j, y], first[j, y], label[j, y] = reach[came[y], y], i, came[y]
         out, j, y = [], n, int(value[n].argmax())
         while j > 0:
-            i, before = back[j][y]
+            i, before = int(first[j, y]), int(label[j, y])
             if y != NOTHING:
                 out.append((*_trim(text, words[i][0], words[j - 1][1]), y))
             j, y = i, before
@@ -256,10 +275,22 @@ class SemiCrf:
 SPELLINGS = ((" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", "."), ("[at]", "."), (" at ", "."))
 
 
+#: What looks like personal data and is none. Fixed values; ``0`` stands for any digit.
+HARMLESS = ("0000-00-00", "0000-00-00 00:00:00", "00:00:00", "00.00.0000 00:00", "00/00/0000", "0000-00-00T00:00:00", "0.00.000", "0 000 000 000",
+            "no. 0000000000", "000-00-00000-00-0", "000,000,000.00", "0000000000000", "0000-0000 and 0000", "00 000 000", "000/000/0000", "00 00 00 00 00 00")
+
+
+def _without_digits(address: str, turn: int) -> str:
+    """In every second turn the address with a name of one word and in letters alone, if any are left on both sides: corpora may number all mailboxes."""
+    name, _, host = re.sub("[^A-Za-z@.]", "", address).partition("@")
+    bare = max(name.split("."), key=len), ".".join(filter(None, host.split(".")))
+    return "@".join(bare) if turn % 2 and all(bare) else address
+
+
 def _rewritten(s: str, kind: int, way: int) -> str | None:
     """Another spelling of a plain span."""
     if kind == 0:
-        name, _, host = s.partition("@")
+        name, _, host = _without_digits(s, way // len(SPELLINGS)).partition("@")
         at, dot = SPELLINGS[way % len(SPELLINGS)]
         return name + at + host.replace(".", dot)
     if kind == 3:
@@ -271,6 +302,16 @@ def _rewritten(s: str, kind: int, way: int) -> str | None:
     return None
 
 
+def _harmless(s: str, kind: int, way: int) -> str:
+    """What may stand in the place of a span without being personal data."""
+    if kind == 0 and way % 3:
+        at, dot = SPELLINGS[0] if way % 2 else SPELLINGS[-1]
+        words = sorted(BEFORE_AT)
+        return words[way % len(words)] + at + _without_digits(s, way // 6).partition("@")[2].replace(".", dot)
+    digits = iter(str(7**40 + way * 7**39))
+    return "".join(next(digits) if c == "0" else c for c in HARMLESS[way % len(HARMLESS)])
+
+
 def _truth(text: str, words, spans) -> list[tuple[int, int, int]] | None:
     """The segmentation that the spans give, or None if their borders are inside words."""
     out, i = [], 0
@@ -290,25 +331,42 @@ def _unlabelled(segments: dict, truth: list[tuple[int, int, int]]) -> bool:
     return any(f[SPELLED] and not any(a <= i and j <= b for a, b, y in truth if y != NOTHING) for (i, j), (f, _) in segments.items())
 
 
+VERSIONS = 120  # rewritten and harmless spans of each kind to train on
+
+
+def _versions(samples: list[str]) -> Iterator[tuple[str, list[tuple[int, int, int]], bool]]:
+    """Texts with their spans, and whether a span that is no example of the patterns' was put there.
+
+    Each sample stands as it is. The samples of each kind then take turns, so that rare kinds have as many versions as frequent ones.
+    """
+    of_kind: list[list[tuple[str, tuple[int, int, int], list]]] = [[] for _ in KINDS]
+    for sample in samples:
+        spans = base_spans(sample)
+        yield sample, spans, False
+        for k, span in enumerate(spans):
+            if all(other == span or other[0] >= span[1] or other[1] <= span[0] for other in spans):
+                of_kind[span[2]].append((sample, span, spans[:k] + spans[k + 1 :]))
+    for found in of_kind:
+        for way in range(VERSIONS if found else 0):
+            sample, (a, b, kind), rest = found[way * 7919 % len(found)]
+            for other, is_span in ((_rewritten(sample[a:b], kind, way), True), (_harmless(sample[a:b], kind, way), False)):
+                if other is not None:
+                    shift = len(other) - (b - a)
+                    spans = [(x + shift * (x >= b), y + shift * (x >= b), z) for x, y, z in rest]
+                    yield sample[:a] + other + sample[b:], sorted([*spans, *([(a, a + len(other), kind)] if is_span else [])]), True
+
+
 def fit(samples: list[str]) -> SemiCrf:
-    """Train on window texts; each is taken as it is and with its first span written otherwise."""
+    """Train on window texts as they are, and with spans written otherwise or put in the place of others."""
     model, cases = SemiCrf(), []
-    for k, sample in enumerate(samples):
-        spans = base_spans(sample)
-        versions = [(sample, spans)]
-        if spans and (other := _rewritten(sample[spans[0][0] : spans[0][1]], spans[0][2], k)):
-            a, b, kind = spans[0]
-            shift = len(other) - (b - a)
-            rest = [(x + shift, y + shift, z) for x, y, z in spans[1:] if x >= b]
-            versions.append((sample[:a] + other + sample[b:], [(a, a + len(other), kind), *rest]))
-        for text, found in versions:
-            words = [m.span() for m in _word.finditer(text)][:40]
-            truth = _truth(text, words, [s for s in found if words and s[1] <= words[-1][1]])
-            segments = model.segments(text, words)
-            if _unlabelled(segments, truth or []):
-                continue
-            if words and truth is not None and all((i, j) in segments and (y == NOTHING or segments[i, j][1][y]) for i, j, y in truth):
-                cases.append((len(words), segments, truth))
+    for text, found, made in _versions(samples):
+        words = [m.span() for m in _word.finditer(text)][:40]
+        truth = _truth(text, words, [s for s in found if words and s[1] <= words[-1][1]])
+        segments = model.segments(text, words)
+        if not made and _unlabelled(segments, truth or []):
+            continue
+        if words and truth is not None and all((i, j) in segments and (y == NOTHING or segments[i, j][1][y]) for i, j, y in truth):
+            cases.append((len(words), segments, truth))
     order = np.random.default_rng(7)
     for turn in range(ROUNDS):
         for k in order.permutation(len(cases)):
@@ -333,22 +391,32 @@ def train(docs: DataFrame, n_windows: int = TRAINING_WINDOWS, text_col: str = "t
             yield pd.DataFrame(kept, columns=["place", "labelled", "piece"])
 
     drawn = docs.select(text_col).mapInPandas(draw, "place string, labelled boolean, piece string")
-    found = []
-    parts = drawn.dropDuplicates(["place"]).orderBy("place")
-    for labelled in (True, False):
-        found += [r["piece"] for r in parts.filter(F.col("labelled") == labelled).limit(n_windows // 2).collect()]
+    place = F.row_number().over(Window.partitionBy("labelled").orderBy("place"))  # Spark cuts each task's rows before it shuffles them
+    rows = drawn.dropDuplicates(["place"]).withColumn("n", place).filter(F.col("n") <= n_windows // 2).collect()
+    found = [r["piece"] for r in sorted(rows, key=lambda r: (not r["labelled"], r["place"]))]
     return fit(found) if found else None
 
 
+def _whole_host(text: str, start: int, end: int) -> int:
+    """The end of a spelled-out address with all labels that follow."""
+    while "@" not in text[start:end] and (more := _more_host(text, end)):
+        end = more.end()
+    return end
+
+
 def all_spans(text: str | None, model: SemiCrf | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Pattern spans, and with them the field's spans that touch none of them."""
     base = base_spans(text or "")
     if model is None or not text:
         return base, base
-    added = []
+    added: list[tuple[int, int, int]] = []
+    near = 0
     for words in windows(text):
         for a, b, kind in model.best(text, words):
-            if all(b <= x or a >= y for x, y, _ in base):
+            b = _whole_host(text, a, b) if kind == 0 else b
+            while near < len(base) and base[near][1] <= a:
+                near += 1
+            if (not added or added[-1][1] <= a) and all(b <= x or a >= y for x, y, _ in base[near:]):
                 added.append((a, b, kind))
     return base, sorted(base + added, key=_place)
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from ledgerspark.llm import pii as P
 from ledgerspark.llm.common import table
 from ledgerspark.llm.queries import LLM_QUERIES
@@ -107,3 +109,49 @@ def test_every_trained_spelling_of_an_address_is_found(spark, documents):
     masked = {r.doc_id: r.text for r in P.mask_pii(docs).collect()}
     assert {masked[1000 + k] for k in range(len(spelled))} == {"please write to [EMAIL] before the end of the week"}
     P.windows("at-" * 100_000)
+
+
+def written(rnd, kind):
+    """A span in a spelling that no pattern has."""
+    word = lambda: "".join(rnd.choice("aeioubcdlmnrst") for _ in range(rnd.randint(3, 9)))
+    if kind == "email":
+        name = rnd.choice((word(), f"{word()}.{word()}", f"{word()}{rnd.randint(1, 99)}"))
+        labels = [word() for _ in range(rnd.randint(1, 6))] + [rnd.choice(("com", "org", "de", "net", "uk"))]
+        at, dot = rnd.choice(P.SPELLINGS)
+        return name + at + dot.join(labels)
+    if kind == "phone":
+        return f"({rnd.randint(100, 999)}) {rnd.randint(100, 999)}-{rnd.randint(1000, 9999)}"
+    while True:
+        digits = "".join(rnd.choice("0123456789") for _ in range(16))
+        if P.luhn(digits):
+            return "/".join(digits[i : i + 4] for i in range(0, 16, 4))
+
+
+CLEAN = """on 2024-01-02 12:30:45 it ran|look at example.com|met at noon dot com|version 10.2.3|order 20240102-123456 was sent|it was 12:30:45 then
+from 01.02.2024 08:15 to 01.02.2024 09:45|isbn 978-3-16-148410-0 is it|the years 1999 2000 2001 and 2002|a total of 1,234,567,890 units
+see us at www.example.org for more|we were at home dot and then|published at example.org in 2020|ratio 3.14159265358979|id 1234567890123 and so on
+we look at house dot com|released 2023.11.05 in may|call at 12:30 or 14:45 on 05/06/2024|numbers 12 34 56 78 90 12|page available at docs.example.com/en
+time 2024-01-02T12:30:45 ok|price 1 234 567 890 euro|see site at example dot org""".replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_and_precision_of_the_field_trained_on_the_given_tables(spark, folder):
+    model = P.train(table(spark, f"/root/testdata/{folder}", "documents"))
+    spans = lambda t: [(P.KINDS[k], t[a:b]) for a, b, k in P.all_spans(t, model)[1]]
+    for clean in CLEAN:
+        assert spans(clean) == [], clean
+    assert spans("jane [at] mail [dot] example [dot] co [dot] uk") == [("email", "jane [at] mail [dot] example [dot] co [dot] uk")]
+    rnd = random.Random(21)
+    for kind in ("email", "phone", "card"):
+        cases = [written(rnd, kind) for _ in range(150)]
+        found = [spans(f"they said {s} in the end") for s in cases]
+        right = sum((kind, s) in f for s, f in zip(cases, found))
+        print(folder, kind, "whole spans found:", right / len(cases), "other spans:", sum(len(f) for f in found) - right)
+        assert right >= 0.9 * len(cases), kind
+        assert sum(len(f) for f in found) - right <= 0.05 * len(cases), kind
+
+
+def test_long_texts_of_numbers():
+    model = P.fit(training_texts(60))
+    base, found = P.all_spans(" ".join(str(i * 7919) for i in range(20_000)) + " jane (at) example.com", model)
+    assert found[-1][2] == 0 and set(base) <= set(found)
