@@ -80,24 +80,28 @@ def promote(
     extracted_at: datetime,
     full_refresh_scope: dict[str, str] | None = None,
     small_batch: bool = False,
+    keyed_alike: bool = False,
 ) -> DataFrame:
     """Facts after the batch, with an ``outcome`` per row (NULL: not concerned).
 
     A pure function of its inputs: no job runs here, and a rerun gives the same rows. A batch that repeats an identity fails
     the job that computes the result; the copies are counted in the order that the join needs anyway. With a scope, only the
     facts of that scope take part in the join; the others pass through without a shuffle. ``small_batch`` says that the
-    batch is known to fit a broadcast: then no fact is shuffled at all.
+    batch is known to fit a broadcast: then no fact is shuffled at all. ``keyed_alike`` says that facts and batch are partitioned
+    by the key into the same number of parts: they meet without a shuffle, and the result is partitioned so again for the next batch.
     """
+    how = {"small_batch": small_batch, "keyed_alike": keyed_alike}
     if full_refresh_scope is None:
-        merged = _merge(facts, batch, extracted_at, IDENTITY_KEY, complete=False, small_batch=small_batch)
+        merged = _merge(facts, batch, extracted_at, IDENTITY_KEY, complete=False, **how)
         return merged.select(*facts.columns, "outcome")
-    merged = promote_scope(facts, batch, full_refresh_scope, extracted_at=extracted_at, small_batch=small_batch)
+    merged = promote_scope(facts, batch, full_refresh_scope, extracted_at=extracted_at, **how)
     others = facts.filter(~in_scope(full_refresh_scope)).withColumn("outcome", F.lit(None).cast("string"))
     return merged.unionByName(others)
 
 
 def promote_scope(
-    facts: DataFrame, batch: DataFrame, scope: dict[str, str], *, extracted_at: datetime, small_batch: bool = False
+    facts: DataFrame, batch: DataFrame, scope: dict[str, str], *, extracted_at: datetime, small_batch: bool = False,
+    keyed_alike: bool = False,
 ) -> DataFrame:
     """The facts of one scope after a complete extract of it.
 
@@ -116,6 +120,7 @@ def promote_scope(
         ("source_row_key",),
         complete=True,
         small_batch=small_batch,
+        keyed_alike=keyed_alike,
     )
     return merged.withColumns({c: F.lit(v) for c, v in scope.items()}).select(*facts.columns, "outcome")
 
@@ -143,6 +148,16 @@ def _meet(old: DataFrame, new: DataFrame, key: list[str], small_batch: bool) ->
     return met.unionByName(new.join(F.broadcast(known), key, "left_anti"), allowMissingColumns=True)
 
 
+def _meet_in_place(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """The same rows as a union that keeps the partitioning by key, which a full outer join gives up.
+
+    Facts with what the batch has for them, then the batch rows that no fact has; the facts' keys are looked at twice. The filter
+    asks for the mark of every fresh row, as nothing else does: without it a repeat among them would go unseen.
+    """
+    fresh = new.filter("_in_batch").join(old.select(*key), key, "left_anti")
+    return old.join(new, key, "left").unionByName(fresh, allowMissingColumns=True)
+
+
 def _merge(
     facts: DataFrame,
     batch: DataFrame,
@@ -151,6 +166,7 @@ def _merge(
     *,
     complete: bool,
     small_batch: bool,
+    keyed_alike: bool,
 ) -> DataFrame:
     """Facts joined with the batch on ``key``, and the five outcomes; a ``complete`` batch tombstones
     what it lacks.
@@ -165,6 +181,7 @@ def _merge(
     replaced = [c for c in carried if c in batch.columns]
     old = facts.select(*key, *[F.col(c).alias(f"_old_{c}") for c in carried], F.lit(True).alias("_in_facts"))
     new = _marked_once(batch.select(*key, *[F.col(c).alias(f"_new_{c}") for c in replaced]), key, small_batch)
+    met = _meet_in_place(old, new, list(key)) if keyed_alike and not small_batch else _meet(old, new, list(key), small_batch)
     in_facts, in_batch = F.col("_in_facts").isNotNull(), F.col("_in_batch").isNotNull()
     deleted = F.col("_old_source_deleted_at").isNotNull()
     outcome = (
@@ -183,8 +200,7 @@ def _merge(
         .otherwise(F.col("_old_source_deleted_at"))
     )
     return (
-        _meet(old, new, list(key), small_batch)
-        .withColumn("outcome", outcome)
+        met.withColumn("outcome", outcome)
         .select(*key, *[c.alias(name) for name, c in final.items()], "outcome")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerspark.fixed_values import IDENTITY, SCOPE
 from ledgerspark.operators import identity, promotion as P
 from ledgerspark.operators.registry import UnresolvedSource
+from ledgerspark.plans.queries import REGISTERED
 from ledgerspark.plans.ingest import concerned_facts, fact_schema, ingest_extract, promote_into
 from ledgerspark.sources import mart
 
@@ -516,3 +517,39 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+@pytest.mark.parametrize("full", [None, A])
+def test_sides_partitioned_alike_give_the_rows_of_the_join(spark, full, broadcast):
+    def keyed(df):
+        return df.repartition(4, "source_row_key")
+
+    def merged(facts, incoming, alike):
+        return P.promote(keyed(facts), keyed(incoming), extracted_at=T2, full_refresh_scope=scope(full) if full else None, keyed_alike=alike)
+
+    first = batch(spark, [(A, "1", "1"), (A, "1", "2"), (A, None, "3"), (A, "4", "4"), (A, "5", "5")], "b1")
+    facts = P.empty_facts(first).unionByName(first, allowMissingColumns=True)  # a key that repeats, and one that is NULL
+    second = batch(spark, [(A, "1", "1"), (A, None, "3"), (A, "4", "9"), (A, "6", "6")], "b2", T2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = rows(merged(facts, second, True))
+        assert found == rows(merged(facts, second, False)) and len(found) == 7
+        third = batch(spark, [(A, "6", "6"), (A, "7", "7")], "b3", T3)
+        chained = [P.promote(P.facts_after(merged(P.empty_facts(first), second, alike)), keyed(third), extracted_at=T3, keyed_alike=alike) for alike in (True, False)]
+        assert rows(chained[0]) == rows(chained[1])
+        twice = batch(spark, [(A, "8", "1"), (A, "8", "2")], "b2", T2)
+        with pytest.raises(Exception, match="more than once"):
+            merged(facts, twice, True).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_facts_do_not_move_between_the_batches(spark, small):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")  # the suppliers only
+    try:
+        for name in ("promote_facts", "fact_total"):
+            text = plan(REGISTERED[name](spark, small), "simple")
+            assert "Exchange hashpartitioning(concat_ws(" in text and "Exchange hashpartitioning(source_row_key" not in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
