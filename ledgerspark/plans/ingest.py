@@ -21,7 +21,7 @@ from ledgerspark.operators.promotion import (
     promote_scope,
     promotion_counts,
 )
-from ledgerspark.session import fits_broadcast, written_aside
+from ledgerspark.session import fits_broadcast, shuffles_removed, written_aside
 from ledgerspark.sources.mart import FactFiles, FactTable, stage_append
 
 BROADCAST_BATCH_ROWS = 100_000
@@ -73,7 +73,7 @@ def promote_into(
     else:
         merged = promote_scope(facts, batch, full_refresh_scope, extracted_at=extracted_at, small_batch=small)
     try:
-        generation = store.write_aside(merged)
+        generation = store.write_aside(merged, spread=full_refresh_scope is not None and not small)
     except PySparkException as error:
         if REPEATED in str(error):
             raise BatchRejected(REPEATED) from error
@@ -114,7 +114,7 @@ def ingest_extract(
         extracted_at=extracted_at,
         keep=["source_financial_year", *order_by],
     )
-    with written_aside(extract, "extract") as batch:
+    with shuffles_removed(rows.sparkSession), written_aside(extract, "extract") as batch:
         check_identities(batch)  # they come from one entry, so none can be of another scope
         staged = stage_append(batch, staging_path, payload=payload, order_by=order_by)
         counts = promote_into(

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
+COMPACT = "zstd"  # codec of tables that stay or are large: half the size of snappy's where hashes and texts fill them
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(app: str = "ledgerspark", cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -43,10 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def _write_aside(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def _write_aside(df: DataFrame, label: str, codec: str | None = None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -88,13 +90,24 @@ def _remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def written_aside(df: DataFrame, label: str) -> Iterator[DataFrame]:
     """``durable`` for the length of a job; its files are removed at the end."""
-    table, path = _write_aside(df, label)
+    table, path = _write_aside(df, label, COMPACT)
     try:
         yield table
     finally:
         _remove(df.sparkSession, path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside it remove their shuffle files as they end. Else these stay until the driver collects its garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def fits_broadcast(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
     """True if ``df`` has no more than ``rows`` rows and, written as JSON, no more than ``size`` bytes.
 

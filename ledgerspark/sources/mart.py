@@ -14,22 +14,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerspark import schemas
-from ledgerspark.fixed_values import IDENTITY, TOTAL
+from ledgerspark.fixed_values import IDENTITY, IDENTITY_KEY, TOTAL
 from ledgerspark.operators.identity import scope_id
 from ledgerspark.operators.promotion import new_staging_rows
+from ledgerspark.session import COMPACT
 from ledgerspark.sources.folders import age_seconds, exists, names_in, read_small, remove, rename_new, write_small
 
 
+MAX_NAMED_MARKS = 1000
+
+
 def read_staging(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], schemas.STAGING)
     return spark.read.schema(schemas.STAGING).parquet(path)
 
 
+def _fresh(staged: DataFrame, before: int, batch: DataFrame, order_by: Iterable[str]) -> DataFrame | None:
+    """``new_staging_rows``, or None if every row is staged. Whole rows are shuffled only where that can matter.
+
+    Rows whose key has a hash of its own among the batch and what is staged are new as they are. The others, as hashes may also
+    meet by chance, are compared by their keys.
+    """
+    key = [*IDENTITY_KEY, "extract_batch_id"]
+    mark = F.xxhash64(*key)
+    marks = batch.select(mark.alias("mark"))
+    if before:
+        if batch.select(*key).join(staged.select(*key), key, "left_anti").head() is None:
+            return None
+        marks = marks.union(staged.select(mark.alias("mark")))
+    met = marks.groupBy("mark").count().filter("count > 1").limit(MAX_NAMED_MARKS + 1).collect()
+    if not met:
+        return batch
+    if len(met) > MAX_NAMED_MARKS:
+        return new_staging_rows(staged, batch, order_by=order_by)
+    doubtful = mark.isin([r.mark for r in met])
+    return batch.filter(~doubtful).unionByName(new_staging_rows(staged, batch.filter(doubtful), order_by=order_by))
+
+
 def stage_append(batch: DataFrame, path: str, *, payload: Iterable[str], order_by: Iterable[str]) -> int:
     """Append the rows of one batch that are not staged yet and return their number.
 
-    ``batch`` is an ``as_batch`` result plus the ``order_by`` columns. Only the folder of the batch
+    ``batch`` is an ``as_batch`` result plus the ``order_by`` columns, read more than once. Only the folder of the batch
     is read back, so a resubmission is checked without touching the history. A run that dies after
     writing some files is repaired by running it again.
     """
@@ -41,7 +67,9 @@ def stage_append(batch: DataFrame, path: str, *, payload: Iterable[str], order_b
         return 0
     staged = read_staging(spark, path).filter(F.col("extract_batch_id") == ids[0])
     before = staged.count()
-    fresh = new_staging_rows(staged, batch, order_by=order_by)
+    fresh = _fresh(staged, before, batch, list(order_by))
+    if fresh is None:
+        return 0
     record = F.to_json(F.struct(*sorted(payload)), {"ignoreNullFields": "false"})
     year = F.col("source_financial_year") if "source_financial_year" in batch.columns else F.lit(None).cast("string")
     (
@@ -55,7 +83,7 @@ def stage_append(batch: DataFrame, path: str, *, payload: Iterable[str], order_b
         )
         .write.mode("append")
         .partitionBy("extract_batch_id")
-        .parquet(path)
+        .parquet(path, compression=COMPACT)
     )
     return read_staging(spark, path).filter(F.col("extract_batch_id") == ids[0]).count() - before
 
@@ -116,17 +144,18 @@ class FactFiles:
         reader = spark.read.schema(full).option("basePath", f"{self.path}/data")
         return reader.parquet(*[f"{self.path}/data/{f}" for f in folders]).select(*full.names)
 
-    def write_aside(self, facts: DataFrame) -> str:
+    def write_aside(self, facts: DataFrame, *, spread: bool = False) -> str:
         """Write facts, and any further columns, as a new generation that no manifest names yet.
 
         The rebalance keeps files near the advisory size: it splits a scope that holds much of the data and joins small ones.
+        Facts of one scope that a shuffle by their keys has ``spread`` over the tasks need none.
         """
         generation = uuid.uuid4().hex
+        named = facts.withColumn("scope_id", scope_id())
         (
-            facts.withColumn("scope_id", scope_id())
-            .hint("rebalance", "scope_id")
+            (named if spread else named.hint("rebalance", "scope_id"))
             .write.partitionBy("scope_id")
-            .parquet(f"{self.path}/data/generation={generation}")
+            .parquet(f"{self.path}/data/generation={generation}", compression=COMPACT)
         )
         return generation
 
@@ -223,7 +252,7 @@ class FactTable:
         self.create(spark)
         return spark.table(self.name)
 
-    def write_aside(self, facts: DataFrame) -> str:
+    def write_aside(self, facts: DataFrame, *, spread: bool = False) -> str:
         """Write facts, and any further columns, as bucketed files outside the table; one task writes one bucket."""
         spark, generation = facts.sparkSession, uuid.uuid4().hex
         self.create(spark)

@@ -253,6 +253,51 @@ def test_staging_appends_once_keeps_history_and_first_of_repeats(spark, tmp_path
     assert got["b1", "1"] == '{"credit":0.00,"debit":1.00}'
 
 
+def test_staging_shuffles_whole_rows_only_where_keys_meet(spark, tmp_path, monkeypatch):
+    path, compared = str(tmp_path / "staging"), []
+
+    def new_staging_rows(existing, rows, *, order_by):
+        compared.append(sorted(r.source_row_key or "" for r in rows.collect()))
+        return P.new_staging_rows(existing, rows, order_by=order_by)
+
+    monkeypatch.setattr(mart, "new_staging_rows", new_staging_rows)
+
+    def append(items, batch_id):
+        return mart.stage_append(batch(spark, items, batch_id), path, payload=["debit"], order_by=["debit"])
+
+    assert append([(A, str(i), "1") for i in range(20)], "b1") == 20 and compared == []
+    assert append([(A, str(i), "1") for i in range(20)], "b1") == 0 and compared == []
+    assert append([(A, "1", "1"), (B, "1", "1"), (A, "x", "7"), (A, "x", "6")], "b1") == 2 and compared == [["1", "x", "x"]]
+    assert append([(A, None, "1"), (A, None, "2"), (A, "z", "1")], "b1") == 2  # a null key matches nothing that is staged ...
+    assert append([(A, None, "1"), (A, "z", "1")], "b1") == 1
+    monkeypatch.setattr(mart, "MAX_NAMED_MARKS", 1)
+    assert append([(A, "z", "1"), (A, "w", "1"), (B, "1", "1"), (B, "2", "1"), (B, "2", "0")], "b1") == 2
+    got = sorted((r.source_object, r.source_row_key, r.payload) for r in mart.read_staging(spark, path).filter("source_row_key in ('x', '2')").collect())
+    assert got == [("T_A", "2", '{"debit":1.00}'), ("T_A", "x", '{"debit":6.00}'), ("T_B", "2", '{"debit":0.00}')]
+
+
+def test_an_extract_leaves_no_shuffle_files_and_moves_its_facts_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("ledgerspark.plans.ingest.BROADCAST_BATCH_ROWS", 0)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(setting, None), []
+
+    class Store(mart.FactFiles):
+        def write_aside(self, facts, **how):
+            seen.append((spark.conf.get(setting), how))
+            return super().write_aside(facts, **how)
+
+    extract = ledger(spark, [(i, str(i)) for i in range(1, 7)])
+    store = Store(str(tmp_path / "facts"), fact_schema(extract, ["entry_date", "debit"]))
+    for full in (True, False):
+        ingest_extract(extract, entry(), source_system="SYS", row_key=F.col("id"), payload=["entry_date", "debit"], batch_id=f"b{full}", extracted_at=T1,
+                       order_by=["source_row_key"], staging_path=str(tmp_path / "stg"), store=store, full_refresh=full)
+    assert seen == [("true", {"spread": True}), ("true", {"spread": False})] and spark.conf.get(setting, None) == before
+    facts = store.read(spark)
+    files = [f for f in facts.inputFiles() if f.endswith(".parquet")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+    assert facts.count() == 6
+
+
 def test_staging_reads_only_the_folder_of_its_batch(spark, tmp_path):
     path = str(tmp_path / "staging")
     mart.stage_append(batch(spark, [(A, "1", "2")], "b1"), path, payload=["debit"], order_by=["source_row_key"])
