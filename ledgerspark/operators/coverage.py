@@ -13,6 +13,7 @@ from ledgerspark.session import fits_broadcast
 
 BROADCAST_ROWS = 100_000
 BROADCAST_PER_TYPE = 500
+MANY_TYPES = 500  # so many types are taken to spread the rows, so that these may move by type
 
 
 class OverlapError(ValueError):
@@ -110,23 +111,18 @@ def coverage_timeline(registry: DataFrame, *, carry: Sequence[str] = ()) -> Data
     return found.select("source_type", "date_from", "date_to", "sources", "source")
 
 
-def _small(stretches: DataFrame, rows: int) -> bool:
-    """True if the stretches may be broadcast: bounded in rows and bytes, and few for each type, as a row tries all of its type."""
-    if not fits_broadcast(stretches, rows):
-        return False
-    most = stretches.groupBy("source_type").count().agg(F.max("count")).head()[0]
-    return (most or 0) <= BROADCAST_PER_TYPE
-
-
 def _match(rows: DataFrame, stretches: DataFrame, how: str, type_col: Column, date_col: Column, broadcast_rows: int) -> DataFrame:
     """Rows with the stretch of their type that covers their day, as column ``_stretch``."""
     keyed = rows.withColumns({"_row_type": type_col, "_row_day": date_col.cast("date")})
     stretch = F.struct("date_to", *[c for c in stretches.columns if c not in ("source_type", "date_from", "date_to")])
     marks = stretches.select(F.col("source_type").alias("_type"), F.col("date_from").alias("_day"), stretch.alias("_stretch"))
-    if _small(stretches, broadcast_rows):
+    most, types = stretches.groupBy("source_type").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.count(F.lit(1))).head()
+    small = most <= BROADCAST_PER_TYPE and fits_broadcast(stretches, broadcast_rows)
+    if small or (most <= BROADCAST_PER_TYPE and types >= MANY_TYPES):
+        # Few for each type, as a row tries all of its type. Too large to broadcast, they meet the rows by type: a row moves once.
         covered = (F.col("_row_type") == F.col("_type")) & F.col("_row_day").between(F.col("_day"), F.col("_stretch.date_to"))
-        return keyed.join(F.broadcast(marks), covered, how)
-    # Too large to broadcast. The days that occur are resolved, not the rows: distinct (type, day) pairs are sorted among the
+        return keyed.join(F.broadcast(marks) if small else marks, covered, how)
+    # Many of one type, or few types, one of which may hold nearly all rows. The days that occur are resolved, not the rows: distinct (type, day) pairs are sorted among the
     # starts of the stretches, and the last start is carried on. A type has no more of them than the calendar has days,
     # however many rows it holds. The rows then meet their day by equality, where AQE splits a day with very many rows.
     days = keyed.select(F.col("_row_type").alias("_type"), F.col("_row_day").alias("_day")).dropna().distinct()

@@ -73,11 +73,12 @@ def with_identity_as_of(
     """Add the identity of the source that covers each row's day; the registry is met once.
 
     Every row stays, whatever the state of the registry. ``unresolved`` tells why a row has no identity: ``NO_SOURCE`` covers
-    it, ``SEVERAL_SOURCES`` do, or the one that does is ``NOT_CONFIRMED``; NULL for the others.
+    it, ``SEVERAL_SOURCES`` do, or the one that does is ``NOT_CONFIRMED``; NULL for the others. The key is made after the match,
+    so that a text made from columns of the row does not travel.
     """
     known = registry.withColumn("scope", F.when(is_confirmed(), F.struct(*entry_scope(source_system))))
     found = resolve_as_of(
-        rows.withColumn("source_row_key", row_key.cast("string")),
+        rows,
         known,
         type_col=type_col,
         date_col=date_col,
@@ -92,7 +93,9 @@ def with_identity_as_of(
         .when(scope["source_owner"].isNull(), "NOT_CONFIRMED")
     )
     identity = {c: scope[c] for c in SCOPE} | {"unresolved": reason}
-    return found.withColumns(identity).drop("source_entry", "sources")
+    out = found.withColumn("source_row_key", row_key.cast("string")).withColumns(identity).drop("source_entry", "sources")
+    first = list(dict.fromkeys([*rows.columns, "source_row_key"]))
+    return out.select(*first, *[c for c in out.columns if c not in first])
 
 
 def scope_columns() -> Column:

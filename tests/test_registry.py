@@ -216,6 +216,25 @@ def test_days_are_resolved_not_rows_and_no_window_is_exploded(spark, tmp_path):
     assert text.count("HashAggregate") == 4  # ends of windows and distinct days, each combined before its shuffle
 
 
+def test_rows_of_many_types_move_once(spark, tmp_path, monkeypatch):
+    entries = [entry(f"{t}-{y}", f"{y}-01-01", f"{y}-{11 + y % 2}-30", kind=f"T{t}") for t in range(20) for y in range(2020, 2024)]
+    make(spark, *entries, entry("over", "2021-06-01", "2021-06-30", kind="T3")).write.parquet(str(tmp_path / "r"))
+    registry = spark.read.parquet(str(tmp_path / "r"))
+    df = spark.range(3000).select("id", F.concat(F.lit("T"), F.col("id") % 23).alias("t"), F.date_add(F.lit(D("2019-12-01")), (F.col("id") % 1500).cast("int")).alias("d"))
+    df = df.union(spark.sql("select -1L, cast(null as string), date'2021-01-01' union all select -2L, 'T1', null"))
+    ask = lambda: coverage.resolve_as_of(df, registry, type_col="t", date_col="d", broadcast_rows=0, strict=False)
+    gaps = lambda: rows(coverage.coverage_gaps(df, registry, type_col="t", date_col="d", broadcast_rows=0))
+    by_day, no_source = rows(ask()), gaps()
+    monkeypatch.setattr(coverage, "MANY_TYPES", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(ask(), "simple")
+        assert "NestedLoop" not in text and text.count("HashAggregate") == 2  # the ends of windows only
+        assert rows(ask()) == by_day and gaps() == no_source
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_identity_and_as_of_meet_the_registry_once(spark):
     shared = ("OWN", "T_ALL", "TABLE", "SHARED_DISCRIMINATOR", "CUBE_ID", "2")
     r = make(spark, entry("1", "2024-01-01", "2024-12-31", status="CONFIRMED", physical=SEPARATE),
