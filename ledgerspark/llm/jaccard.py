@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import plain_names, shingle_set
+from ledgerspark.llm.common import plain_names, release_memory, shingle_set
 from ledgerspark import session
 
 FREQUENT = 6  # a shingle seen so often within tasks comes last in the orders
@@ -44,6 +44,16 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return session.durable(df.coalesce(most), label)
 
 
+def _frugal(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run``, which gives the memory it freed back at the end of a task, as the worker lives on beside the joins that follow."""
+
+    def freed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        release_memory()
+
+    return freed
+
+
 def prefix_length(n: int, percent: int) -> int:
     """How many tokens of a set of ``n`` can be left out without leaving fewer than a partner must share, plus one."""
     return n - -(-n * percent // 100) + 1
@@ -72,7 +82,7 @@ def frequent_shingles(docs: DataFrame, k: int, text_col: str = "text") -> np.nda
                     held, size = [], 0
         yield repeated()
 
-    sums = docs.select(text_col).mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    sums = docs.select(text_col).mapInPandas(_frugal(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = sums.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toPandas()
     return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
 
@@ -109,7 +119,7 @@ def filtered_sets(docs: DataFrame, k: int, percent: int, text_col: str = "text")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, set_id long, n long, p1 array<long>, p2 array<int>, p3 array<int>"
-    return docs.select("doc_id", text_col).mapInPandas(sets, schema)
+    return docs.select("doc_id", text_col).mapInPandas(_frugal(sets), schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -162,7 +172,7 @@ class _Join:
         ids = durable(ids.join(self.firsts, "set_id"), "jaccard-wanted")
         few = ids.count() <= SENT_IDS
         rows = self.docs.join(F.broadcast(ids) if few else ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("set_id", "text")
-        return durable(rows.mapInPandas(_of_set(self.k), "set_id long, sketch binary, text string"), "jaccard-texts")
+        return durable(rows.mapInPandas(_frugal(_of_set(self.k)), "set_id long, sketch binary, text string"), "jaccard-texts")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the candidate pairs (a, b) that pass the other orders' filters and the verification."""
@@ -173,9 +183,9 @@ class _Join:
         texts = self.texts(passed)
         sketches, texts = texts.select("set_id", "sketch"), texts.select("set_id", "text")
         both = passed.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").select("a", "b", "sketch_a", "sketch_b")
-        close = durable(both.mapInPandas(_close(self.percent), "a long, b long"), "jaccard-close")
+        close = durable(both.mapInPandas(_frugal(_close(self.percent)), "a long, b long"), "jaccard-close")
         both = close.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
-        return durable(both.select("a", "b", "text_a", "text_b").mapInPandas(_verified(self.k, self.percent), "a long, b long"), "jaccard-links")
+        return durable(both.select("a", "b", "text_a", "text_b").mapInPandas(_frugal(_verified(self.k, self.percent)), "a long, b long"), "jaccard-links")
 
     def stars(self, members: DataFrame, turn: int) -> DataFrame:
         """Pairs of each document with the member drawn for each of its tokens, if in another component."""

@@ -153,3 +153,12 @@ def test_rows_without_id_or_of_one_id_stay_if_their_texts_differ(spark):
     found = [(r.doc_id, r.text) for r in J.keep_one_of_each(df).collect()]
     expected = [(None, "a b c"), (None, "d e f"), (None, "g h i"), (7, "j k l"), (7, "m n o"), (3, near + " end"), (None, ""), (None, ""), (8, None), (8, "")]
     assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+def test_tasks_give_their_memory_back_at_the_end(monkeypatch):
+    calls = []
+    monkeypatch.setattr(J, "release_memory", lambda: calls.append(len(seen)))
+    seen = []
+    for x in J._frugal(lambda batches: (2 * b for b in batches))(iter([1, 2, 3])):
+        seen.append(x)
+    assert seen == [2, 4, 6] and calls == [3]
