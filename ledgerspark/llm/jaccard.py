@@ -95,12 +95,15 @@ def _prefixes(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> list[np
     last = last.astype(np.uint64) << np.uint64(63)
     for factor in FACTORS:
         place = (tokens * np.uint64(factor)) >> np.uint64(1) | last
-        out.append(tokens[np.argpartition(place, size - 1)[:size]] if size < len(tokens) else tokens)
+        chosen = np.argpartition(place, size - 1)[:size] if size < len(tokens) else np.arange(len(tokens))
+        if not out:  # the first prefix is in its order, as its places count
+            chosen = chosen[np.lexsort((tokens[chosen], place[chosen]))]
+        out.append(tokens[chosen])
     return out
 
 
 def filtered_sets(docs: DataFrame, k: int, percent: int, text_col: str = "text") -> DataFrame:
-    """doc_id, set_id, n and the prefixes p1, p2, p3 of each document. Without words: set_id null, n 0, empty prefixes."""
+    """doc_id, set_id, n and the prefixes p1 (in its order), p2, p3 of each document. Without words: set_id null, n 0, empty prefixes."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k, text_col))
     short = lambda tokens: tokens.astype(np.uint32).view(np.int32)  # noqa: E731  half a hash can only let more pairs pass
 
@@ -149,13 +152,22 @@ def _near_in_size(n: str, m: str, percent: int) -> Column:
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
+def _enough_left(n: str, at: str, m: str, other: str, percent: int) -> Column:
+    """Whether two sets whose first common token stands at places ``at`` and ``other`` of their orders can have enough in common.
+
+    Nothing before that token is common, so what is left of the shorter rest bounds the intersection. A row of a later
+    common token may fail where that of the first one passes, but a linked pair always passes at its first.
+    """
+    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(other)) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
+
+
 class _Join:
     """The tables of one join: postings under the first order and filters under the others."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int, text_col: str):
         self.k, self.percent = k, percent
         self.sets = durable(filtered_sets(docs, k, percent, text_col), "jaccard-sets")
-        entries = self.sets.filter("n > 0").select(F.explode("p1").alias("token"), "set_id", "n")
+        entries = self.sets.filter("n > 0").select(F.posexplode("p1").alias("at", "token"), "set_id", "n")
         shared = entries.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi").select("token")
         entries = durable(entries.join(durable(shared, "jaccard-shared"), "token"), "jaccard-entries")
         self.postings = durable(entries.dropDuplicates(), "jaccard-postings")
@@ -196,13 +208,14 @@ class _Join:
         return members.join(leaders, (members["token"] == leaders["token"]) & near).select(F.col("set_id").alias("a"), "b")
 
     def crossing(self, members: DataFrame, largest: DataFrame) -> DataFrame:
-        """All pairs between different components that share a token. One side is never in the token's largest component."""
+        """All pairs between different components that share a token early enough. One side is never in the token's largest component."""
         one = members.join(largest, "token").withColumn("outside", F.col("component") != F.col("top"))
-        one = durable(one.select("token", "set_id", "n", "component", "outside"), "jaccard-members")
-        left = one.filter("outside").select("token", F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        right = one.select(F.col("token").alias("token_b"), F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "outside")
-        once = ~F.col("outside") | (F.col("a") < F.col("b"))
-        on = (F.col("token") == F.col("token_b")) & (F.col("c_a") != F.col("c_b")) & once & _near_in_size("n_a", "n_b", self.percent)
+        one = durable(one.select("token", "set_id", "n", "at", "component", "outside"), "jaccard-members")
+        side = lambda t, s: t.select(F.col("token").alias(f"token_{s}"), F.col("set_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "component")], F.col("outside").alias(f"outside_{s}"))
+        left, right = side(one.filter("outside"), "a"), side(one, "b")
+        once = ~F.col("outside_b") | (F.col("a") < F.col("b"))
+        near = _near_in_size("n_a", "n_b", self.percent) & _enough_left("n_a", "at_a", "n_b", "at_b", self.percent)
+        on = (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & once & near
         return left.join(right, on).select("a", "b")
 
     def components(self) -> DataFrame:

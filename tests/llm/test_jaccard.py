@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.llm import jaccard as J
 from ledgerspark.llm.common import shingle_set, table, word_hashes
@@ -162,3 +163,20 @@ def test_tasks_give_their_memory_back_at_the_end(monkeypatch):
     for x in J._frugal(lambda batches: (2 * b for b in batches))(iter([1, 2, 3])):
         seen.append(x)
     assert seen == [2, 4, 6] and calls == [3]
+
+
+def test_pairs_whose_first_common_token_comes_too_late_are_not_formed(spark):
+    """A common token of both prefixes is no longer enough: the sets must have enough left from it on. No linked pair is lost."""
+    rnd = random.Random(5)
+    texts = variants(rnd, " ".join(f"g{i}" for i in range(120)), 40, 5)
+    join = J._Join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90, "text")
+    members = join.postings.withColumn("component", F.col("set_id"))
+    largest = members.groupBy("token").agg(F.max("component").alias("top"))
+    formed = {frozenset((r.a, r.b)) for r in join.crossing(members, largest).collect()}
+    by: dict = {}
+    for r in join.postings.collect():
+        by.setdefault(r.token, {})[r.set_id] = r.n
+    near = {frozenset((a, b)) for m in by.values() for a in m for b in m if a < b and 90 * max(m[a], m[b]) <= 100 * min(m[a], m[b])}
+    found = {J.set_id(s): set(s.tolist()) for s in (shingle_set(t, 3) for t in texts)}
+    linked = {frozenset((a, b)) for a in found for b in found if a < b and 100 * len(found[a] & found[b]) >= 90 * len(found[a] | found[b])}
+    assert linked and linked <= formed and len(formed) < 0.8 * len(near)
