@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,6 +57,19 @@ def _reject_if_any(violations: DataFrame, message: str) -> None:
         raise BatchRejected(f"{message}: {example[0].asDict()}")
 
 
+def require_known(facts: Iterable[str], batch: Iterable[str]) -> None:
+    """Refuse batch columns that the facts lack."""
+    known = set(facts)
+    unknown = [c for c in batch if c not in known]
+    if unknown:
+        raise BatchRejected(f"the facts have no column for {', '.join(unknown)}")
+
+
+def taken() -> Column:
+    """True for merged rows that are the batch's, False for those that stay as they were stored, whatever their mark."""
+    return F.coalesce(F.col("outcome").isin("inserted", "updated", "revived"), F.lit(False))
+
+
 def check_identities(rows: DataFrame, scope: dict[str, str] | None = None) -> None:
     """Reject rows that cannot be traced to their source or lie outside the scope of a full refresh."""
     _reject_if_any(identity_violations(rows), "rows without a usable identity")
@@ -174,9 +187,7 @@ def _merge(
     A changed row takes the whole payload of the batch: what the batch lacks becomes NULL. A batch column that the
     facts lack is refused.
     """
-    unknown = [c for c in batch.columns if c not in facts.columns]
-    if unknown:
-        raise BatchRejected(f"the facts have no column for {', '.join(unknown)}")
+    require_known(facts.columns, batch.columns)
     carried = [c for c in facts.columns if c not in key]
     replaced = [c for c in carried if c in batch.columns]
     old = facts.select(*key, *[F.col(c).alias(f"_old_{c}") for c in carried], F.lit(True).alias("_in_facts"))
@@ -191,7 +202,7 @@ def _merge(
         .when(in_batch, "updated")
         .when(F.lit(complete) & ~deleted, "tombstoned")
     )
-    takes_new = F.coalesce(F.col("outcome").isin("inserted", "updated", "revived"), F.lit(False))
+    takes_new = taken()
     final = {c: F.when(~takes_new, F.col(f"_old_{c}")) for c in carried}
     final |= {c: F.when(takes_new, F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")) for c in replaced}
     final["source_deleted_at"] = (

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ledgerspark.operators.identity import scope_id
 from ledgerspark.operators.promotion import new_staging_rows
 from ledgerspark.session import COMPACT
 from ledgerspark.sources.folders import age_seconds, exists, names_in, read_small, remove, rename_new, write_small
+from ledgerspark.sources.places import MAX_BITMAPS, PLACE, at_places, with_places
 
 
 MAX_NAMED_MARKS = 1000
@@ -100,12 +102,38 @@ def _scopes_in(spark: SparkSession, folder: str) -> list[str]:
     return [n.removeprefix("scope_id=") for n in names_in(spark, folder) if n.startswith("scope_id=")]
 
 
+class Pieces(NamedTuple):
+    """The generations that hold rows of a scope: all of a generation's rows count, or of all but ``kept`` those that ``kept`` lists."""
+
+    generations: tuple[str, ...]
+    kept: str = ""
+    bitmaps: int = 0
+
+    @classmethod
+    def of(cls, shown: str | list) -> Pieces:
+        return cls((shown,)) if isinstance(shown, str) else cls(tuple(shown[0]), *shown[1:])
+
+    def shown(self) -> str | list:
+        return list(self) if self.kept else self.generations[0]
+
+    def folders(self, scope: str, *, listed: bool) -> list[str]:
+        """Those of which all rows count, or those of which a list says which ones do."""
+        return [f"generation={g}/scope_id={scope}" for g in self.generations if listed == (self.kept not in ("", g))]
+
+
+#: Where a fact stands in the files, and when it was tombstoned since it was written there.
+STANDING = ("_generation", *PLACE, "_mark")
+LISTED = "_generation string, _mark timestamp, _file string, _block long, _bits binary, scope_id string"
+
+
 @dataclass(frozen=True)
 class FactFiles:
     """Facts as Parquet files, and a manifest that says which files count.
 
     ``data/generation=<id>/scope_id=<id>`` holds what one job wrote for one scope and is never changed. ``manifest/<n>.json``
-    names the generation of every scope; the highest number is the current version. A job writes its generation aside, then
+    names the generations of every scope; the highest number is the current version. A job may write the rows that are new or changed only:
+    ``kept/generation=<id>/scope_id=<id>`` then lists, as bitmaps of places, the rows of earlier generations that still stand, and which of
+    them were tombstoned since. A job writes its generation aside, then
     renames one small manifest into place: readers see all of its scopes or none, and a death before that leaves the
     facts as they were. A reader pins a version, so that writers do not disturb it. Two jobs that started from the same
     version both come through if they touched other scopes; else the later one fails with ``ConcurrentChange``.
@@ -126,23 +154,53 @@ class FactFiles:
         """Number of the current version, 0 before the first."""
         return max(self.versions(spark), default=0)
 
-    def pointers(self, spark: SparkSession, version: int) -> dict[str, str]:
-        """Generation of each scope in a version."""
-        return json.loads(read_small(spark, self._manifest(version))) if version else {}
+    def pointers(self, spark: SparkSession, version: int) -> dict[str, Pieces]:
+        """Where the rows of each scope are in a version."""
+        shown = json.loads(read_small(spark, self._manifest(version))) if version else {}
+        return {s: Pieces.of(p) for s, p in shown.items()}
 
-    def read(self, spark: SparkSession, version: int | None = None) -> DataFrame:
-        """All facts of a version (the current one, if none is named) with their ``scope_id``."""
+    def read(self, spark: SparkSession, version: int | None = None, *, placed: bool = False) -> DataFrame:
+        """All facts of a version (the current one, if none is named) with their ``scope_id``, and on demand where they stand."""
         if version and version not in self.versions(spark):
             raise LookupError(f"no fact version {version}")
-        pinned = self.pointers(spark, self.current(spark) if version is None else version)
-        return self._files(spark, [f"generation={g}/scope_id={s}" for s, g in sorted(pinned.items())])
-
-    def _files(self, spark: SparkSession, folders: list[str]) -> DataFrame:
+        pinned = sorted(self.pointers(spark, self.current(spark) if version is None else version).items())
+        whole = [f for s, p in pinned for f in p.folders(s, listed=False)]
+        listed = [f for s, p in pinned for f in p.folders(s, listed=True)]
+        if not listed:
+            return self._files(spark, whole, placed=placed)
+        lists = [f"{self.path}/kept/generation={p.kept}/scope_id={s}" for s, p in pinned if p.kept]
+        bits = spark.read.schema(LISTED).option("basePath", f"{self.path}/kept").parquet(*lists)
+        rows = self._standing(spark, listed, bits, small=sum(p.bitmaps for _, p in pinned) <= 4 * MAX_BITMAPS)
+        rows = rows if placed else rows.drop(*STANDING)
+        return rows.unionByName(self._files(spark, whole, placed=placed)) if whole else rows
+
+    def _files(self, spark: SparkSession, folders: list[str], *, placed: bool = False) -> DataFrame:
         full = _with_scope_id(self.schema)
         if not folders:
-            return spark.createDataFrame([], full)
-        reader = spark.read.schema(full).option("basePath", f"{self.path}/data")
-        return reader.parquet(*[f"{self.path}/data/{f}" for f in folders]).select(*full.names)
+            none = spark.createDataFrame([], full)
+            return none.selectExpr("*", *[f"cast(null as {k}) as {c}" for c, k in zip(STANDING, ("string", "string", "long", "timestamp"))]) if placed else none
+        schema = T.StructType([*full.fields, T.StructField("generation", T.StringType())]) if placed else full
+        reader = spark.read.schema(schema).option("basePath", f"{self.path}/data")
+        files = reader.parquet(*[f"{self.path}/data/{f}" for f in folders])
+        if not placed:
+            return files.select(*full.names)
+        placed_files = with_places(files).withColumns({"_generation": F.col("generation"), "_mark": F.lit(None).cast("timestamp")})
+        return placed_files.select(*full.names, *STANDING)
+
+    def _standing(self, spark: SparkSession, folders: list[str], bits: DataFrame, *, small: bool = True) -> DataFrame:
+        """The listed rows of these folders. A mark tells that a row was tombstoned after it was written."""
+        rows = self._files(spark, folders, placed=True).drop("_mark")
+        found = at_places(rows, bits, ("scope_id", "_generation"), carry=("_mark",), small=small)
+        return found.withColumn("source_deleted_at", F.coalesce("_mark", "source_deleted_at"))
+
+    def standing(self, spark: SparkSession, bits: DataFrame) -> DataFrame:
+        """The facts that bitmaps by scope, generation and mark list."""
+        found = bits.select("scope_id", "_generation").distinct().collect()
+        return self._standing(spark, [f"generation={r._generation}/scope_id={r.scope_id}" for r in found], bits).select(*self.schema.names)
+
+    def rows_stored(self, spark: SparkSession, generations: Iterable[tuple[str, str]]) -> int:
+        """Number of rows, whether they still stand or not, in generations of scopes."""
+        return self._files(spark, [f"generation={g}/scope_id={s}" for s, g in generations]).count()
 
     def write_aside(self, facts: DataFrame, *, spread: bool = False) -> str:
         """Write facts, and any further columns, as a new generation that no manifest names yet.
@@ -159,6 +217,21 @@ class FactFiles:
         )
         return generation
 
+    def keep(self, generation: str, bits: DataFrame) -> None:
+        """List the rows of earlier generations that stand beside those of this one, as bitmaps by scope, generation and mark."""
+        bits.write.partitionBy("scope_id").parquet(f"{self.path}/kept/generation={generation}", compression=COMPACT)
+
+    def _pieces(self, spark: SparkSession, generation: str) -> dict[str, Pieces]:
+        """Where the rows of each scope of a generation are, from its folders and its list."""
+        pieces = {s: Pieces((generation,)) for s in _scopes_in(spark, f"{self.path}/data/generation={generation}")}
+        listed = f"{self.path}/kept/generation={generation}"
+        if _scopes_in(spark, listed):
+            by_scope = spark.read.schema(LISTED).parquet(listed).groupBy("scope_id")
+            for r in by_scope.agg(F.sort_array(F.collect_set("_generation")).alias("earlier"), F.count(F.lit(1)).alias("n")).collect():
+                own = pieces[r.scope_id].generations if r.scope_id in pieces else ()
+                pieces[r.scope_id] = Pieces((*own, *r.earlier), generation, r.n)
+        return pieces
+
     def written(self, spark: SparkSession, generation: str, column: str) -> DataFrame:
         """One text column of a generation, also one that the facts do not have."""
         folder = f"{self.path}/data/generation={generation}"
@@ -169,7 +242,7 @@ class FactFiles:
 
         ``based_on`` is the version that the facts were made from. ``whole`` drops every scope that the generation lacks.
         """
-        scopes = _scopes_in(spark, f"{self.path}/data/generation={generation}")
+        scopes = self._pieces(spark, generation)
         start = self.current(spark) if based_on is None else based_on
         known = self.pointers(spark, start)
         while True:
@@ -179,8 +252,8 @@ class FactFiles:
             if moved:
                 raise ConcurrentChange(f"version {latest} has other rows than version {start} for scope {moved[0]}")
             aside = f"{self.path}/manifest/_{generation}-{latest}"
-            new = {} if whole else pointers
-            write_small(spark, aside, json.dumps({**new, **dict.fromkeys(scopes, generation)}, indent=0, sort_keys=True))
+            new = {**({} if whole else pointers), **scopes}
+            write_small(spark, aside, json.dumps({s: p.shown() for s, p in new.items()}, indent=0, sort_keys=True))
             if rename_new(spark, aside, self._manifest(latest + 1)):
                 return latest + 1
             remove(spark, aside)  # another job was faster: look at what it did
@@ -204,15 +277,16 @@ class FactFiles:
         """
         versions = self.versions(spark)
         kept = versions[max(0, len(versions) - max(1, keep)) :]
-        named = {(g, s) for v in kept for s, g in self.pointers(spark, v).items()}
+        pinned = [(s, p) for v in kept for s, p in self.pointers(spark, v).items()]
+        named = {("data", g, s) for s, p in pinned for g in p.generations} | {("kept", p.kept, s) for s, p in pinned}
         gone = [self._manifest(v) for v in versions if v not in kept]
-        for folder in names_in(spark, f"{self.path}/data"):
-            at = f"{self.path}/data/{folder}"
+        for top, folder in [(top, n) for top in ("data", "kept") for n in names_in(spark, f"{self.path}/{top}")]:
+            at = f"{self.path}/{top}/{folder}"
             if age_seconds(spark, at) < older_than:
                 continue
             generation = folder.removeprefix("generation=")
             scopes = _scopes_in(spark, at)
-            unused = [s for s in scopes if (generation, s) not in named]
+            unused = [s for s in scopes if (top, generation, s) not in named]
             gone += [at] if len(unused) == len(scopes) else [f"{at}/scope_id={s}" for s in unused]
         for path in gone:
             remove(spark, path)

@@ -2,6 +2,7 @@ import random
 from datetime import date, datetime
 from decimal import Decimal as D
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import plan, rows
 from pyspark.sql import Row
@@ -11,8 +12,9 @@ from ledgerspark.fixed_values import IDENTITY, SCOPE
 from ledgerspark.operators import identity, promotion as P
 from ledgerspark.operators.registry import UnresolvedSource
 from ledgerspark.plans.queries import REGISTERED
+from ledgerspark.plans import ingest as plan_of_ingest
 from ledgerspark.plans.ingest import concerned_facts, fact_schema, ingest_extract, promote_into
-from ledgerspark.sources import mart
+from ledgerspark.sources import mart, places
 
 T1, T2, T3 = datetime(2025, 1, 1), datetime(2025, 2, 1), datetime(2025, 3, 1)
 A = ("SYS", "OWN", "T_A", "15", "", "")
@@ -598,3 +600,107 @@ def test_facts_do_not_move_between_the_batches(spark, small):
             assert "Exchange hashpartitioning(concat_ws(" in text and "Exchange hashpartitioning(source_row_key" not in text
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_places_as_bitmaps(spark, tmp_path):
+    spark.range(0, 150_000, 1, 2).write.parquet(str(tmp_path / "t"))  # two files, each of three bitmaps
+    placed = places.with_places(spark.read.parquet(str(tmp_path / "t")))
+    chosen = "id % 7 = 3 or id in (0, 63, 64, 32767, 32768, 74999, 75000, 149999)"
+    bits = places.place_bits(placed.filter(chosen).withColumn("mark", F.col("id") % 2), ["mark"])
+    for small in (True, False):
+        found = places.at_places(placed, bits, carry=["mark"], small=small)
+        assert sorted((r.id, r.mark) for r in found.select("id", "mark").collect()) == [
+            (i, i % 2) for i in range(150_000) if i % 7 == 3 or i in (0, 63, 64, 32767, 32768, 74999, 75000, 149999)]
+    assert places.at_places(placed, places.place_bits(placed.filter("false"))).count() == 0
+    assert places.at_places(placed, places.place_bits(placed.unionByName(placed))).count() == 150_000
+
+
+def stored_rows(store, tmp_path):
+    """Rows in the files of each generation, oldest first."""
+    folders = sorted((tmp_path / "facts" / "data").glob("generation=*"), key=lambda p: p.stat().st_mtime_ns)
+    return [sum(pq.ParquetFile(f).metadata.num_rows for f in p.rglob("*.parquet")) for p in folders]
+
+
+def test_rows_that_stay_are_not_written_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plan_of_ingest, "BROADCAST_BATCH_ROWS", 0)
+    monkeypatch.setattr(plan_of_ingest, "MERGE_ROWS", 8)  # so that each batch is merged in three slices
+    shuffled, merge = [], P.promote_scope
+
+    def promote_scope(facts, batch, *args, **more):
+        shuffled.append({*facts.columns, *batch.columns})
+        return merge(facts, batch, *args, **more)
+
+    monkeypatch.setattr(plan_of_ingest, "promote_scope", promote_scope)
+    first = ledger(spark, [(i, str(i)) for i in range(1, 21)])
+    store = mart.FactFiles(str(tmp_path / "facts"), fact_schema(first, ["entry_date", "debit"]))
+
+    def run(df, batch_id, at):
+        return ingest_extract(df, entry(), source_system="SYS", row_key=F.col("id"), payload=["entry_date", "debit"], batch_id=batch_id,
+                              extracted_at=at, order_by=["source_row_key"], staging_path=str(tmp_path / "stg"), store=store, full_refresh=True)
+
+    def seen(version):
+        facts = store.read(spark, version).collect()
+        return {r.source_row_key: (int(r.debit), r.extract_batch_id, r.extracted_at, r.source_deleted_at) for r in facts}, len(facts)
+
+    changed = ledger(spark, [(i, str(i if i != 5 else 50)) for i in range(1, 22) if i != 7])  # 5 changes, 7 goes, 21 comes
+    back = ledger(spark, [(i, str(i if i != 5 else 50)) for i in range(1, 22)])
+    assert run(first, "b1", T1) == {"staged": 20, "inserted": 20, "updated": 0, "unchanged": 0, "tombstoned": 0, "revived": 0}
+    assert run(changed, "b2", T2) == {"staged": 20, "inserted": 1, "updated": 1, "unchanged": 18, "tombstoned": 1, "revived": 0}
+    assert run(changed, "b2", T2) == {"staged": 0, "inserted": 0, "updated": 0, "unchanged": 20, "tombstoned": 0, "revived": 0}
+    assert run(back, "b3", T3) == {"staged": 21, "inserted": 0, "updated": 0, "unchanged": 20, "tombstoned": 0, "revived": 1}
+    assert stored_rows(store, tmp_path) == [20, 2, 0, 1]
+    assert len(shuffled) == 12 and not any({"debit", "entry_date", "extract_batch_id"} & c for c in shuffled)
+    one = {str(i): (i, "b1", T1, None) for i in range(1, 21)}
+    two = {**one, "5": (50, "b2", T2, None), "7": (7, "b1", T1, T2), "21": (21, "b2", T2, None)}
+    four = {**two, "7": (7, "b3", T3, None)}
+    for version, expected in enumerate((one, two, two, four), 1):
+        assert seen(version) == (expected, len(expected))
+    assert {r.row_hash for r in store.read(spark, 4).collect()} == {r.row_hash for r in P.as_batch(  # the hash is made anew, and the same
+        identity.with_identity(back, entry(), F.col("id"), "SYS"), payload=["entry_date", "debit"], batch_id="b", extracted_at=T1).collect()}
+    assert store.vacuum(spark, keep=1, older_than=-1) and seen(4) == (four, 21)
+    with pytest.raises(P.BatchRejected, match="no column for id"):
+        ingest_extract(back, entry(), source_system="SYS", row_key=F.col("id"), payload=["entry_date", "debit"], batch_id="b4", extracted_at=T3,
+                       order_by=["id"], staging_path=str(tmp_path / "stg"), store=store, full_refresh=True)
+
+
+def test_extracts_of_many_sources_against_a_row_by_row_model(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plan_of_ingest, "MAX_GENERATIONS", 3)
+    rnd, facts, kept = random.Random(5), {}, []
+    sources = {A: entry("15", "T_A"), B: entry(), S1: entry("X", "T_ALL", ("NAME", "PART_A"), mode="SHARED_DISCRIMINATOR")}
+    store = mart.FactFiles(str(tmp_path / "facts"), fact_schema(ledger(spark, []), ["entry_date", "debit"]))
+    for n in range(7):
+        at, full = rnd.choice([A, A, A, B, S1]), rnd.random() < 0.6
+        items = [(at, str(k), str(rnd.choice([1, 1, 1, 2]))) for k in rnd.sample(range(12), rnd.randrange(6, 12))]
+        monkeypatch.setattr(plan_of_ingest, "BROADCAST_BATCH_ROWS", rnd.choice([0, 100]))
+        expected = model(facts, items, f"b{n}", at if full else None)
+        counts = ingest_extract(ledger(spark, [(int(k), v) for _, k, v in items]), sources[at], source_system="SYS", row_key=F.col("id"),
+                                payload=["entry_date", "debit"], batch_id=f"b{n}", extracted_at=T1, order_by=["source_row_key"],
+                                staging_path=str(tmp_path / "stg"), store=store, full_refresh=full)
+        assert {k: v for k, v in counts.items() if v and k != "staged"} == expected and counts["staged"] == len(items)
+        kept.append({k: (f"{v[0]}.00", *v[1:]) for k, v in facts.items()})
+    pieces = [p for v in store.versions(spark) for p in store.pointers(spark, v).values()]
+    assert max(len(p.generations) for p in pieces) in (2, 3) and any(p.kept for p in pieces)
+    for version, expected in enumerate(kept, 1):
+        got = store.read(spark, version).collect()
+        assert len(got) == len(expected)
+        assert {(tuple(r[c] for c in SCOPE), r.source_row_key): (str(r.debit), r.extract_batch_id, r.source_deleted_at is not None) for r in got} == expected
+
+
+def test_facts_that_repeat_a_key_are_merged_as_whole_rows(spark, tmp_path):
+    extract = ledger(spark, [(1, "2")])
+    store = mart.FactFiles(str(tmp_path / "facts"), fact_schema(extract, ["entry_date", "debit"]))
+    twice = P.as_batch(identity.with_identity(ledger(spark, [(1, "1"), (1, "1")]), entry(), F.col("id"), "SYS"),
+                       payload=["entry_date", "debit"], batch_id="b0", extracted_at=T1)
+    empty = spark.createDataFrame([], store.schema)
+    store.replace_scopes(empty.unionByName(twice, allowMissingColumns=True))
+    counts = ingest_extract(extract, entry(), source_system="SYS", row_key=F.col("id"), payload=["entry_date", "debit"], batch_id="b1", extracted_at=T1,
+                            order_by=["source_row_key"], staging_path=str(tmp_path / "stg"), store=store, full_refresh=True)
+    assert counts["updated"] == 2 and [r.debit for r in store.read(spark).collect()] == [D(2), D(2)]
+
+
+def test_hash_bytes_keep_texts_apart(spark):
+    from ledgerspark.functions.hashing import hash_bytes
+
+    texts = ["ab" * 32, "AB" * 32, "ab" * 31, "xy" * 32, "", None, "=" + "a" * 31]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "h string").select(hash_bytes(F.col("h"))).collect()]
+    assert bytes(got[0]) == bytes.fromhex("ab" * 32) and got[5] is None and len({bytes(g) for g in got if g is not None}) == 6
